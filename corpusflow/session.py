@@ -48,3 +48,15 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier run has used."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str):
+    """Write a result that several branches read, and return the written table.
+
+    Used where recomputing would repeat a scan of the whole corpus. The table
+    lives in the shared folder, so a lost executor does not lose it.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -58,3 +58,13 @@ def token_vectors(spark: SparkSession, root: str) -> DataFrame:
         F.col("embedding").alias("vec"),
         "label",
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table stored in fewer splits than there are cores.
+
+    Text functions dominate such jobs, and one split would run them on one
+    core. Tables with enough splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
