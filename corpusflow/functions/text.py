@@ -56,7 +56,8 @@ def count_of(text: Column, phrases: list[str]) -> Column:
 
 def any_match(text: Column, patterns: list[str], ignore_case: bool = False) -> Column:
     """True if one of the patterns is found."""
-    flag = "(?i)" if ignore_case else ""
+    # U: word characters and boundaries are those of Unicode.
+    flag = "(?iU)" if ignore_case else ""
     test = F.lit(False)
     for pattern in patterns:
         test = test | text.rlike(flag + pattern)

@@ -36,6 +36,19 @@ MATHY = r"""mathy AS (SELECT doc_id, n_chars, 'Let \frac{' || n_chars || '}{' ||
   FROM documents)"""
 
 
+def _formula_sql(patterns, flags):
+    parts = []
+    for pattern, groups in patterns:
+        text = (flags + pattern).replace("'", "''")
+        one = f"regexp_extract_all(text, '{text}', {1 if groups == 2 else groups})"
+        if groups == 2:
+            one = (f"list_filter(list_transform(list_zip({one}, regexp_extract_all(text, '{text}', 2)), "
+                   "lambda p: CASE WHEN coalesce(p[1], '') <> '' THEN p[1] ELSE p[2] END), lambda f: coalesce(f, '') <> '')")
+        parts.append(one)
+    body = ", ".join(parts)
+    return f"list_sort(list_distinct(flatten([{body}])))"
+
+
 @query("accepted_articles", "A1 B1", """
 SELECT doc_id, title, lang, len(text) AS n FROM (SELECT *, source || ' ' || doc_id AS title FROM documents)
 WHERE text <> '' AND title <> '' ORDER BY doc_id LIMIT 500""")
@@ -87,14 +100,13 @@ def file_types(spark, root):
     return table(spark, root, "documents").select("doc_id", name.alias("name")).withColumn("kind", kind_of(F.col("name")))
 
 
-@query("math_articles", "B2 C2", rf"""WITH {MATHY}
-SELECT doc_id, n_chars FROM mathy WHERE doc_id % 5 > 0""")
+@query("math_articles", "B2 C2", rf"""
+SELECT doc_id, n_formulas FROM (SELECT doc_id, len({_formula_sql(fm.INGEST_PATTERNS, fm.INGEST_FLAGS)}) AS n_formulas FROM documents)
+WHERE n_formulas > 0""")
 def math_articles(spark, root):
-    """Only articles with formulas; the formula is removed from every fifth text first."""
-    plain = F.pmod("doc_id", F.lit(5)) == 0
-    body = F.when(plain, F.lit("no formula here")).otherwise(F.col("text"))
-    found = mathy(spark, root).select("doc_id", "n_chars", fm.ingest_formulas(body).alias("f"))
-    return found.filter(F.size("f") > 0).select("doc_id", "n_chars")
+    """Only articles in which a formula is found."""
+    found = articles(spark, root).select("doc_id", F.size(fm.ingest_formulas(F.col("text"))).alias("n_formulas"))
+    return found.filter("n_formulas > 0")
 
 
 @query("clean_html", "C1", r"""
@@ -108,19 +120,6 @@ def clean_html(spark, root):
         "page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-def _formula_sql(patterns, flags):
-    parts = []
-    for pattern, groups in patterns:
-        text = (flags + pattern).replace("'", "''")
-        one = f"regexp_extract_all(text, '{text}', {1 if groups == 2 else groups})"
-        if groups == 2:
-            one = (f"list_filter(list_transform(list_zip({one}, regexp_extract_all(text, '{text}', 2)), "
-                   "lambda p: CASE WHEN coalesce(p[1], '') <> '' THEN p[1] ELSE p[2] END), lambda f: coalesce(f, '') <> '')")
-        parts.append(one)
-    body = ", ".join(parts)
-    return f"list_sort(list_distinct(flatten([{body}])))"
-
-
 @query("ingest_formulas", "C2", rf"""WITH {MATHY}
 SELECT doc_id, len(f) AS n_formulas, md5(array_to_string(f, chr(30))) AS digest FROM (
   SELECT doc_id, {_formula_sql(fm.INGEST_PATTERNS, fm.INGEST_FLAGS)} AS f FROM mathy)""")
