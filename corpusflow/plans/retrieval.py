@@ -11,11 +11,12 @@ from corpusflow.operators.judgments import contained_in
 from corpusflow.operators.ranking import best_hits, stable
 from corpusflow.plans import sqlparts as sql
 from corpusflow.plans.registry import query
-from corpusflow.sources.tables import queries_of, table, user_turns
+from corpusflow.session import materialize
+from corpusflow.sources.tables import queries_of, spread, table, user_turns
 
 
 def corpus(spark, root):
-    return table(spark, root, "documents").select("doc_id", "text")
+    return spread(table(spark, root, "documents").select("doc_id", "text"))
 
 
 def vectors(spark, root):
@@ -158,7 +159,9 @@ def candidates(spark, root):
     """BM25 candidates, min(5k, 100) per query, with title, dot and content as text."""
     docs = table(spark, root, "documents").select(
         "doc_id", "source", F.concat("source", F.lit(". "), "text").alias("text"))
-    return sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), 50).join(docs, "doc_id")
+    found = sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), 50).join(docs, "doc_id")
+    # Several branches read the list; without the table each would search the corpus again.
+    return materialize(found, "candidates")
 
 
 OKAPI = rf"""

@@ -66,7 +66,8 @@ def compare(spark, con, entry, root):
         return False, f"columns {sorted(frame.columns)} != {sorted(names)}", seconds, len(got)
     if len(got) != len(want):
         return False, f"rows {len(got)} != {len(want)}", seconds, len(got)
-    exact = _rows(frame.columns, got, 0) == _rows(names, want, 0)
+    raw_a, raw_b = _rows(frame.columns, got, 0), _rows(names, want, 0)
+    exact = raw_a == raw_b
     left, right = _rows(frame.columns, got, 6), _rows(names, want, 6)
     if left != right:
         diff = [(a, b) for a, b in zip(left, right) if a != b]
@@ -74,7 +75,7 @@ def compare(spark, con, entry, root):
     kinds_a = {c: {_kind(r[i]) for r in got[:500]} - {"null"} for i, c in enumerate(frame.columns)}
     kinds_b = {c: {_kind(r[i]) for r in want[:500]} - {"null"} for i, c in enumerate(names)}
     odd = {c: (kinds_a[c], kinds_b[c]) for c in kinds_a if kinds_a[c] != kinds_b[c]}
-    note = "equal" if exact else "equal to 6 digits"
+    note = "equal" if exact else "equal to 6 digits " + str([(a, b) for a, b in zip(raw_a, raw_b) if a != b][:2])
     return (not odd), note + (f" TYPES {odd}" if odd else ""), seconds, len(got)
 
 
