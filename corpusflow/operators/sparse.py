@@ -116,7 +116,7 @@ def okapi_rerank(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame
     )
     scored = candidates.select("query_id", "doc_id").join(
         matched, ["query_id", "doc_id"], "left"
-    ).select("query_id", "doc_id", stable(F.coalesce("score", F.lit(0.0))).alias("score"))
+    ).select("query_id", "doc_id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
     return best_hits(scored, k)
 
 

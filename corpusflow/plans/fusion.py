@@ -101,8 +101,8 @@ def multi_source_union(spark, root):
 
 
 SCORES5 = f"""WITH {sql.bm25()}, {CANDIDATES}, {OVERLAP},
-st AS (SELECT query_id, doc_id, 'query' AS src, score FROM ov UNION ALL SELECT query_id, doc_id, 'h1', round(overlap, 9) FROM ov
-  UNION ALL SELECT query_id, doc_id, 'h2', round(1.0::DOUBLE / rank, 9) FROM cand),
+st AS (SELECT query_id, doc_id, 'query' AS src, score FROM ov UNION ALL SELECT query_id, doc_id, 'h1', round(overlap, 6) FROM ov
+  UNION ALL SELECT query_id, doc_id, 'h2', round(1.0::DOUBLE / rank, 6) FROM cand),
 pr AS (SELECT query_id, doc_id, max(CASE WHEN src = 'query' THEN score END) AS qs, avg(CASE WHEN src <> 'query' THEN score END) AS hs FROM st GROUP BY ALL),
 pn AS (SELECT query_id, doc_id, qs, hs, CASE WHEN qhi - qlo <= 1e-8 THEN 0.5 ELSE (qs - qlo) / (qhi - qlo) END AS qn, CASE WHEN hhi - hlo <= 1e-8 THEN 0.5 ELSE (hs - hlo) / (hhi - hlo) END AS hn FROM (
   SELECT *, max(qs) OVER w AS qhi, min(qs) OVER w AS qlo, max(hs) OVER w AS hhi, min(hs) OVER w AS hlo FROM pr WINDOW w AS (PARTITION BY query_id))),
@@ -118,7 +118,7 @@ def source_scores(spark, root):
     """Candidates scored by three sources: the query itself and two stand-ins for hypothetical answers."""
     scored = sparse.overlap_scores(queries_of(spark, root), candidates(spark, root))
     rows = F.array(*[F.struct(F.lit(n).alias("source"), c.alias("score")) for n, c in (
-        ("query", F.col("score")), ("h1", stable(F.col("overlap"))), ("h2", stable(1.0 / F.col("rank"))))])
+        ("query", F.col("score")), ("h1", F.round("overlap", 6)), ("h2", F.round(1.0 / F.col("rank"), 6)))])
     return scored.select("query_id", "doc_id", F.inline(rows))
 
 

@@ -172,7 +172,7 @@ ctf AS (SELECT query_id, doc_id, term, count(*) AS tf FROM ct GROUP BY ALL),
 cidf AS (SELECT query_id, term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf, avg_len
   FROM (SELECT query_id, term, count(*) AS df FROM ctf GROUP BY ALL) JOIN cst USING (query_id)),
 cm AS (SELECT query_id, avg(idf) AS mean_idf FROM cidf GROUP BY 1),
-okapi AS (SELECT cand.query_id, cand.doc_id, round(coalesce(s, 0), 9) AS score FROM cand LEFT JOIN (
+okapi AS (SELECT cand.query_id, cand.doc_id, round(coalesce(s, 0), 6) AS score FROM cand LEFT JOIN (
   SELECT query_id, doc_id, sum(qtf * CASE WHEN idf < 0 THEN 0.25::DOUBLE * mean_idf ELSE idf END
     * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))) AS s
   FROM qt JOIN cidf USING (query_id, term) JOIN cm USING (query_id) JOIN ctf USING (query_id, term)
