@@ -76,13 +76,13 @@ def running_total(df: DataFrame, keys: Sequence[str], block: str, order: Sequenc
     inner = W.partitionBy(*keys, block).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     across = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
     totals = (
-        df.groupBy(*keys, block).agg(F.sum(value).alias("_block_sum"))
-        .withColumn("_before", F.coalesce(F.sum("_block_sum").over(across), F.lit(0)))
-        .drop("_block_sum")
+        df.groupBy(*keys, block).agg(F.sum(value).alias("_rt_sum"))
+        .withColumn("_rt_before", F.coalesce(F.sum("_rt_sum").over(across), F.lit(0)))
+        .drop("_rt_sum")
     )
     return (
-        df.withColumn("_inside", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+        df.withColumn("_rt_inside", F.coalesce(F.sum(value).over(inner), F.lit(0)))
         .join(totals, [*keys, block])
-        .withColumn(out, F.col("_inside") + F.col("_before"))
-        .drop("_inside", "_before")
+        .withColumn(out, F.col("_rt_inside") + F.col("_rt_before"))
+        .drop("_rt_inside", "_rt_before")
     )
