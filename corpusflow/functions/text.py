@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: a word is a run of Unicode letters, digits and underscores.
@@ -62,3 +62,13 @@ def any_match(text: Column, patterns: list[str], ignore_case: bool = False) -> C
     for pattern in patterns:
         test = test | text.rlike(flag + pattern)
     return test
+
+
+def exploded(df: DataFrame, array: str, out: str) -> DataFrame:
+    """One row per array element.
+
+    The outer form keeps Catalyst from adding a "size > 0" filter that would run
+    the array's expression a second time, below the exchange.
+    """
+    rest = [c for c in df.columns if c != array]
+    return df.select(*rest, F.explode_outer(array).alias(out)).filter(F.col(out).isNotNull())

@@ -86,9 +86,13 @@ def sentence_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OV
     rest = [c for c in docs.columns if c not in (doc, text)]
     short = F.length(text) / CHARS_PER_TOKEN < size + 1
     cut = docs.select(doc, *rest, text, F.when(short, F.array(text)).otherwise(split(F.col(text))).alias("_units"))
-    spans = cut.select(doc, *rest, "_units", F.posexplode(pack_units("_units", size, overlap)).alias("chunk_index", "_span"))
-    joined = F.array_join(F.slice("_units", F.col("_span.s") + 1, F.col("_span.e") - F.col("_span.s")), separator)
-    return spans.select(doc, *rest, "chunk_index", joined.alias("chunk"))
+    chunks = _joined(pack_units("_units", size, overlap), separator)
+    return cut.select(doc, *rest, F.posexplode(chunks).alias("chunk_index", "chunk"))
+
+
+def _joined(spans: Column, separator: str, units: str = "_units") -> Column:
+    """Chunk texts of all spans, built on the document's row before it is exploded."""
+    return F.transform(spans, lambda s: F.array_join(F.slice(units, s["s"] + 1, s["e"] - s["s"]), separator))
 
 
 def document_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS,
@@ -110,11 +114,9 @@ def document_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OV
     flat = runs.select(doc, *rest, F.posexplode("_runs").alias("_run", "_r")).select(
         doc, *rest, "_run", F.col("_r.big").alias("_big"),
         F.when(F.col("_r.big"), sentences(F.get(F.col("_r.units"), F.lit(0)))).otherwise(F.col("_r.units")).alias("_units"))
-    spans = flat.select(doc, *rest, "_run", "_big", "_units",
-                        F.posexplode(pack_units("_units", size, overlap)).alias("_k", "_span"))
-    part = F.slice("_units", F.col("_span.s") + 1, F.col("_span.e") - F.col("_span.s"))
-    text_of = F.when(F.col("_big"), F.array_join(part, " ")).otherwise(F.array_join(part, "\n\n"))
-    pieces = spans.select(doc, *rest, "_run", "_k", text_of.alias("chunk"))
+    packed = pack_units("_units", size, overlap)
+    texts = F.when(F.col("_big"), _joined(packed, " ")).otherwise(_joined(packed, "\n\n"))
+    pieces = flat.select(doc, *rest, "_run", F.posexplode(texts).alias("_k", "chunk"))
     from pyspark.sql import Window as W
 
     order = W.partitionBy(doc).orderBy("_run", "_k")
@@ -145,20 +147,19 @@ def char_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLA
         ELSE named_struct('done', concat(a.done, array(named_struct('s', a.s, 'e', {end}))),
           's', ({end}) - {back}, 'open', ({end}) < length({text})) END,
       a -> a.done)"""
-    spans = docs.select(doc, *rest, text, F.posexplode(F.expr(walk)).alias("chunk_index", "_span"))
-    body = F.expr(f"substring({text}, _span.s + 1, _span.e - _span.s)")
-    return spans.select(doc, *rest, "chunk_index", F.col("_span.s").alias("start_char"),
-                        F.col("_span.e").alias("end_char"), _strip(body).alias("chunk"))
+    spans = docs.select(doc, *rest, text, F.expr(walk).alias("_spans"))
+    rows = F.expr(f"transform(_spans, p -> named_struct('s', p.s, 'e', p.e, 't', substring({text}, p.s + 1, p.e - p.s)))")
+    cut = spans.select(doc, *rest, F.posexplode(rows).alias("chunk_index", "_p"))
+    return cut.select(doc, *rest, "chunk_index", F.col("_p.s").alias("start_char"), F.col("_p.e").alias("end_char"), _strip(F.col("_p.t")).alias("chunk"))
 
 
 def word_windows(docs: DataFrame, size: int, overlap: int, min_share: int = 2, doc: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """Windows of ``size`` words, step size-overlap; windows under size/min_share words are dropped."""
     rest = [c for c in docs.columns if c not in (doc, text)]
-    bag = docs.select(doc, *rest, words(text).alias("_w"))
+    bag = docs.select(doc, *rest, words(text).alias("_w")).filter(F.size("_w") > 0)
     starts = F.sequence(F.lit(0), F.size("_w") - 1, F.lit(size - overlap))
-    parts = bag.filter(F.size("_w") > 0).select(doc, *rest, "_w", F.posexplode(starts).alias("chunk_index", "_start"))
-    piece = F.slice("_w", F.col("_start") + 1, F.lit(size))
-    return parts.select(doc, *rest, "chunk_index", piece.alias("_piece")).filter(
-        F.size("_piece") >= size // min_share
-    ).select(doc, *rest, "chunk_index", F.size("_piece").alias("n_words"), F.array_join("_piece", " ").alias("chunk"))
+    # Windows are built on the document's row; exploding first would copy all words to each window.
+    pieces = F.filter(F.transform(starts, lambda i: F.slice("_w", i + 1, F.lit(size))), lambda p: F.size(p) >= size // min_share)
+    cut = bag.select(doc, *rest, F.posexplode_outer(pieces).alias("chunk_index", "_piece")).filter(F.col("_piece").isNotNull())
+    return cut.select(doc, *rest, "chunk_index", F.size("_piece").alias("n_words"), F.array_join("_piece", " ").alias("chunk"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import token_count, tokens
+from corpusflow.functions.text import exploded, token_count, tokens
 from corpusflow.operators.ranking import best_hits, stable
 
 # BM25 saturation, length weight and the smallest idf.
@@ -15,17 +15,22 @@ IDF_FLOOR = 0.25
 
 
 def postings(docs: DataFrame, only_terms: DataFrame | None = None, doc: str = "doc_id",
-             text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+             text: str = "text", keep: tuple[str, ...] = (), by_document: bool = False) -> DataFrame:
     """(term, doc_id, doc_len, tf): one row per distinct word of a document.
 
     The length rides along as a grouping key, so no second pass or join is
     needed. With ``only_terms`` other words are dropped before the shuffle.
     """
-    bags = docs.select(doc, *keep, tokens(text).alias("_bag"))
-    flat = bags.select(doc, *keep, F.size("_bag").alias("doc_len"), F.explode("_bag").alias("term"))
+    # The length is taken before the array is exploded, so the array is not copied to every word.
+    bags = docs.select(doc, *keep, tokens(text).alias("_bag")).select(doc, *keep, F.size("_bag").alias("doc_len"), "_bag")
+    flat = exploded(bags, "_bag", "term")
     if only_terms is not None:
         flat = flat.join(only_terms, "term", "left_semi")
-    return flat.groupBy("term", doc, *keep, "doc_len").agg(F.count("*").alias("tf"))
+    if not by_document:
+        return flat.groupBy("term", doc, *keep, "doc_len").agg(F.count("*").alias("tf"))
+    # Words of one document stay together: counting them and later summing a
+    # document's score both happen in this partitioning, without further shuffles.
+    return flat.repartition(doc, *keep).groupBy(doc, *keep, "doc_len", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, term, qtf): repeated words count."""
     return (
-        queries.select(query, F.explode(tokens(text)).alias("term"))
+        exploded(queries.select(query, tokens(text).alias("_bag")), "_bag", "term")
         .groupBy(query, "term").agg(F.count("*").alias("qtf"))
     )
 
@@ -62,7 +67,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, text: str = "text",
     term statistics still come from the whole corpus.
     """
     wanted = query_terms(queries)
-    posts = postings(docs, wanted.select("term").distinct(), text=text)
+    posts = postings(docs, wanted.select("term").distinct(), text=text, by_document=True)
     stats = corpus_stats(docs, text)
     n_docs = stats.select("n_docs").scalar()
     avg_len = stats.select("avg_len").scalar()
@@ -91,7 +96,7 @@ def okapi_rerank(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame
     of the mean idf over all words of the list. Zero scores stay in the list.
     ``candidates`` has (query_id, doc_id, text).
     """
-    posts = postings(candidates, keep=("query_id",))
+    posts = postings(candidates, keep=("query_id",), by_document=True)
     lists = candidates.groupBy("query_id").agg(
         F.count("*").alias("n_docs"), F.avg(token_count("text")).alias("avg_len")
     )
