@@ -68,8 +68,8 @@ def fixed_window_limit(requests: DataFrame, keys: Sequence[str], limit: int, sec
     allowed = F.col("_place") <= F.col("_last")
     reset = F.col("window_start") + seconds
     return numbered.withColumns({
-        "allowed": allowed, "remaining": F.coalesce(F.lit(limit) - F.col("_n"), F.lit(0)), "reset_time": reset,
-        "retry_after": F.when(allowed, 0).otherwise(reset - F.col(time)),
+        "allowed": allowed, "remaining": F.coalesce(F.lit(limit) - F.col("_n"), F.lit(0)).cast("long"), "reset_time": reset,
+        "retry_after": F.when(allowed, 0).otherwise(reset - F.col(time)).cast("long"),
     }).drop("_place", "_last", "_n")
 
 

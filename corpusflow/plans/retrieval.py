@@ -161,7 +161,7 @@ def candidates(spark, root):
         "doc_id", "source", F.concat("source", F.lit(". "), "text").alias("text"))
     found = sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), 50).join(docs, "doc_id")
     # Several branches read the list; without the table each would search the corpus again.
-    return materialize(found, "candidates")
+    return spread(materialize(found, "candidates"))
 
 
 OKAPI = rf"""

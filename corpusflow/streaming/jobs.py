@@ -143,8 +143,8 @@ def rate_limit_sink(keys: list[str], limit: int, seconds: int):
             numbered = numbered.join(used, [*keys, "window_start"], "left").withColumn("_n", F.lit(limit) - F.col("remaining") + earlier)
             fits = F.col("allowed") & (F.col("_n") <= limit)
             numbered = numbered.withColumns({
-                "allowed": fits, "remaining": F.when(fits, F.lit(limit) - F.col("_n")).otherwise(0),
-                "retry_after": F.when(fits, 0).otherwise(F.col("reset_time") - F.col("sec"))}).drop("_n", "_used")
+                "allowed": fits, "remaining": F.when(fits, F.lit(limit) - F.col("_n")).otherwise(0).cast("long"),
+                "retry_after": F.when(fits, 0).otherwise(F.col("reset_time") - F.col("sec")).cast("long")}).drop("_n", "_used")
         numbered.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
         done = spark.read.parquet(f"{path}/data/batch={number}")
         counts = done.filter("allowed").groupBy(*keys, "window_start").agg(F.count("*").alias("_used"))
