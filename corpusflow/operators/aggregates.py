@@ -23,7 +23,11 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     ranges = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n"))
-    binned = (counts.join(ranges, keys) if keys else counts.join(F.broadcast(ranges))).withColumn(
+    if keys:
+        ranged = counts.join(ranges, keys)
+    else:
+        ranged = counts.withColumns({c: ranges.select(c).scalar() for c in ("_lo", "_hi", "n")})
+    binned = ranged.withColumn(
         "_bin", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS)).otherwise(0))
     placed = running_total(binned, keys, "_bin", ["_v"], "_n", "_before")
     picks = []

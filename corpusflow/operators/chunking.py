@@ -46,7 +46,11 @@ def pack_units(units: str, size: int, overlap: int) -> Column:
     with the longest run of trailing units whose tokens fit into the overlap.
     ``units`` names an array column of texts.
     """
-    return F.expr(f"""
+    return F.expr(_packing(units, size, overlap))
+
+
+def _packing(units: str, size: int, overlap: int) -> str:
+    return f"""
     aggregate(
       sequence(0, size({units})),
       named_struct('done', cast(array() as array<struct<s:int,e:int>>), 's', 0, 't', cast(0 as bigint)),
@@ -62,7 +66,7 @@ def pack_units(units: str, size: int, overlap: int) -> Column:
             't', {_carry(units, overlap)}.t + cast(length({units}[i]) div {CHARS_PER_TOKEN} as bigint))
         ELSE named_struct('done', a.done, 's', a.s, 't', a.t + cast(length({units}[i]) div {CHARS_PER_TOKEN} as bigint))
       END,
-      a -> a.done)""")
+      a -> a.done)"""
 
 
 def _carry(units: str, overlap: int) -> str:
@@ -111,16 +115,12 @@ def document_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OV
         WHEN size(acc) > 0 AND NOT element_at(acc, -1).big THEN
           concat(slice(acc, 1, size(acc) - 1), array(named_struct('big', false, 'units', concat(element_at(acc, -1).units, array(p)))))
         ELSE concat(acc, array(named_struct('big', false, 'units', array(p)))) END)""").alias("_runs"))
-    flat = runs.select(doc, *rest, F.posexplode("_runs").alias("_run", "_r")).select(
-        doc, *rest, "_run", F.col("_r.big").alias("_big"),
-        F.when(F.col("_r.big"), sentences(F.get(F.col("_r.units"), F.lit(0)))).otherwise(F.col("_r.units")).alias("_units"))
-    packed = pack_units("_units", size, overlap)
-    texts = F.when(F.col("_big"), _joined(packed, " ")).otherwise(_joined(packed, "\n\n"))
-    pieces = flat.select(doc, *rest, "_run", F.posexplode(texts).alias("_k", "chunk"))
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy(doc).orderBy("_run", "_k")
-    return pieces.withColumn("chunk_index", F.row_number().over(order) - 1).drop("_run", "_k")
+    # Long paragraphs become sentences; every run is packed and joined on the document's own row.
+    units = runs.withColumn("_runs", F.transform("_runs", lambda r: F.struct(
+        r["big"].alias("big"), F.when(r["big"], sentences(F.get(r["units"], F.lit(0)))).otherwise(r["units"]).alias("units"))))
+    texts = F.expr(f"""flatten(transform(_runs, r -> transform({_packing("r.units", size, overlap)},
+      p -> array_join(slice(r.units, p.s + 1, p.e - p.s), CASE WHEN r.big THEN ' ' ELSE '\\n\\n' END))))""")
+    return units.select(doc, *rest, F.posexplode(texts).alias("chunk_index", "chunk"))
 
 
 def char_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS,
@@ -161,5 +161,6 @@ def word_windows(docs: DataFrame, size: int, overlap: int, min_share: int = 2, d
     starts = F.sequence(F.lit(0), F.size("_w") - 1, F.lit(size - overlap))
     # Windows are built on the document's row; exploding first would copy all words to each window.
     pieces = F.filter(F.transform(starts, lambda i: F.slice("_w", i + 1, F.lit(size))), lambda p: F.size(p) >= size // min_share)
-    cut = bag.select(doc, *rest, F.posexplode_outer(pieces).alias("chunk_index", "_piece")).filter(F.col("_piece").isNotNull())
-    return cut.select(doc, *rest, "chunk_index", F.size("_piece").alias("n_words"), F.array_join("_piece", " ").alias("chunk"))
+    held = bag.select(doc, *rest, pieces.alias("_pieces")).select(doc, *rest, F.size("_pieces").alias("total_chunks"), "_pieces")
+    cut = held.select(doc, *rest, "total_chunks", F.posexplode_outer("_pieces").alias("chunk_index", "_piece")).filter(F.col("_piece").isNotNull())
+    return cut.select(doc, *rest, "chunk_index", "total_chunks", F.size("_piece").alias("n_words"), F.array_join("_piece", " ").alias("chunk"))

@@ -17,6 +17,8 @@ from corpusflow.operators.ranking import DIGITS, best_hits
 
 QUERY_BLOCK = 2048
 FLUSH_ROWS = 2_000_000
+# Packed queries up to this size are broadcast; larger ones are shuffled in salted blocks.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 _BLOCK_TYPE = "block long, {p}ids array<long>, {p}vecs array<double>"
 _HITS_SCHEMA = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
@@ -113,7 +115,7 @@ def _scorer(k: int, threshold: float | None, exclude_self: bool):
                 )
                 left = qvecs.reshape(len(qids), -1)
                 sims = np.round(left @ vvecs.reshape(len(vids), -1).T, DIGITS)
-                key = (int(qids[0]), len(qids))
+                key = qids.tobytes()
                 if key not in state:
                     empty = (np.empty(0), np.empty(0, dtype=np.int64))
                     state[key] = (qids.copy(), [empty] * len(qids))
@@ -143,12 +145,27 @@ def pack(vectors: DataFrame, prefix: str, normalize: bool = True) -> DataFrame:
     return vectors.mapInArrow(_packer(prefix, normalize), _BLOCK_TYPE.format(p=prefix))
 
 
-def search_blocks(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None,
-                  exclude_self: bool = False) -> DataFrame:
-    """Top-k over the block pairs that an equi-join on ``block`` brings together."""
-    pairs = queries.join(vectors, "block").select("qids", "qvecs", "vids", "vvecs")
-    partial = pairs.mapInArrow(_scorer(k, threshold, exclude_self),
-                               "query_id long, doc_id long, score double")
+def join_blocks(queries: DataFrame, vectors: DataFrame, n_blocks: int, query_bytes: int, first_id: str) -> DataFrame:
+    """Bring every query block to every vector block.
+
+    Few queries (their size is known) are broadcast, and vectors stay where they
+    were scanned. Otherwise vector blocks are dealt over salts and query blocks
+    copied to each salt, so that even a single query block is met by many tasks.
+    """
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>"))
+    spread_out = vectors.drop("block").withColumn("block", numbers)
+    if query_bytes <= BROADCAST_BYTES:
+        return spread_out.join(F.broadcast(queries), "block")
+    salts = queries.sparkSession.sparkContext.defaultParallelism
+    copied = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = spread_out.withColumn("_salt", F.pmod(F.xxhash64(F.get(first_id, F.lit(0))), F.lit(salts)).cast("int"))
+    return dealt.join(copied, ["block", "_salt"])
+
+
+def scored(pairs: DataFrame, k: int, threshold: float | None = None, exclude_self: bool = False) -> DataFrame:
+    """Top-k over joined block pairs."""
+    partial = pairs.select("qids", "qvecs", "vids", "vvecs").mapInArrow(
+        _scorer(k, threshold, exclude_self), "query_id long, doc_id long, score double")
     return best_hits(partial, k)
 
 
@@ -156,19 +173,20 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, threshold:
                 exclude_self: bool = False, normalize: bool = True) -> DataFrame:
     """Exact cosine top-k of every query: (query_id, doc_id, score, rank).
 
-    ``queries`` is (query_id, vec), ``vectors`` is (doc_id, vec). Queries are
-    split into blocks of at most QUERY_BLOCK; a vector block is sent once per
-    query block. With ``normalize=False`` the score is the plain dot product.
+    ``queries`` is (query_id, vec), ``vectors`` is (doc_id, vec). Queries are cut
+    into blocks of about QUERY_BLOCK; each vector block meets each query block.
+    With ``normalize=False`` the score is the plain dot product.
     """
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    size = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
+    n_blocks = max(1, -(-size[0] // QUERY_BLOCK))
     left = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"), "query_id", "vec"
     )
     if n_blocks > 1:
         left = left.repartition(n_blocks, "block")
     right = pack(vectors.select(F.lit(0).cast("long").alias("block"), "doc_id", "vec"), "v", normalize)
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
-    return search_blocks(pack(left, "q", normalize), right, k, threshold, exclude_self)
+    pairs = join_blocks(pack(left, "q", normalize), right, n_blocks, 8 * size[0] * (size[1] or 0), "vids")
+    return scored(pairs, k, threshold, exclude_self)
 
 
 def train_centroids(vectors: DataFrame, n_lists: int, sample: float = 1.0, seed: int = 42,
@@ -212,10 +230,13 @@ def ivf_topk(queries: DataFrame, vectors: DataFrame, centroids: list[list[float]
              n_probe: int = 10, exclude_self: bool = False, salt: int = 8) -> DataFrame:
     """Approximate top-k: only cells nearest to the query are searched.
 
-    A cell may hold very many vectors, so it is spread over ``salt`` partitions;
-    packing keeps several blocks per cell and the queries meet each of them.
+    A cell may hold very many vectors, so its vectors are dealt over ``salt``
+    parts and the queries that probe it are copied to each part.
     """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(salt))
     cells = nearest_cells(vectors, "doc_id", centroids, 1)
-    cells = cells.repartition(F.col("block"), F.pmod(F.xxhash64("doc_id"), F.lit(salt)))
-    probes = nearest_cells(queries, "query_id", centroids, n_probe).repartition("block")
-    return search_blocks(pack(probes, "q"), pack(cells, "v"), k, None, exclude_self)
+    cells = cells.withColumn("block", F.col("block") * salt + part).repartition("block")
+    probes = nearest_cells(queries, "query_id", centroids, n_probe)
+    probes = probes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    probes = probes.select((F.col("block") * salt + F.col("_part")).alias("block"), "query_id", "vec").repartition("block")
+    return scored(pack(probes, "q").join(pack(cells, "v"), "block"), k, None, exclude_self)

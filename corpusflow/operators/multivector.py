@@ -9,7 +9,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators.dense import _list_of, keep_best
+from corpusflow.operators.dense import _list_of, join_blocks, keep_best
 from corpusflow.operators.ranking import DIGITS, best_hits, stable
 
 # Longest document per domain in tokens, bits per value, pooling thresholds.
@@ -132,14 +132,14 @@ _PAIR_COLUMNS = ("qids", "qcounts", "qlens", "qvecs", "qextra", "dids", "dlens",
 
 def _pairs(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Block pairs: query blocks of bounded size, each document block sent once per query block."""
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    size = queries.agg(F.count("*"), F.sum(F.size("flat"))).first()
+    n_blocks = max(1, -(-size[0] // QUERY_BLOCK))
     none = F.array().cast("array<double>")
     extra = F.col("extra") if "extra" in queries.columns else none
     left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"), "query_id", "lens", "flat", extra.alias("extra"))
     left = left.repartition(n_blocks, "block").mapInArrow(*_blocks("q"))
     right = docs.select(F.lit(0).cast("long").alias("block"), "doc_id", "lens", "flat", none.alias("extra")).mapInArrow(*_blocks("d"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
-    return left.join(right, "block").select(*_PAIR_COLUMNS)
+    return join_blocks(left, right, n_blocks, 8 * (size[1] or 0), "dids").select(*_PAIR_COLUMNS)
 
 
 def _unpack(batches):

@@ -253,8 +253,7 @@ def chunk_records(spark, root):
     key = F.md5(F.concat_ws(":", "title", "source", F.substring("text", 1, 100)))
     docs = articles(spark, root).select("doc_id", "text", "source", "lang", key.alias("document_id"), "title")
     parts = chunking.word_windows(docs, 128, 12, min_share=4)
-    totals = parts.groupBy("doc_id").agg(F.count("*").alias("total_chunks"))
-    return parts.join(totals, "doc_id").select(
+    return parts.select(
         F.concat("document_id", F.lit("_chunk_"), "chunk_index").alias("chunk_id"), "doc_id", "document_id", "title", "source",
         "lang", "chunk_index", "total_chunks", F.col("n_words").alias("word_count"), token_estimate("chunk").alias("est_tokens"),
         fm.has_math(F.col("chunk"), fm.processor_formulas(F.col("chunk"))).alias("has_math"),

@@ -182,21 +182,28 @@ def completions(events: DataFrame, timeout: str = "12 hours", how: str = "inner"
     return submitted.join(completed, near, how).select("submitted_id", "completed_id", (F.col("c_us") - F.col("s_us")).alias("took_us"))
 
 
-def upload_sink(chunker, keys=("id",)):
-    """Sink for uploads: chunks are upserted by key into a table version per batch, outcomes appended."""
-    from corpusflow.sources.collections import merge_latest
+def upload_sink(chunker):
+    """Sink for uploads: a batch's chunks and outcomes go to folders of that batch.
+
+    Nothing stored before is rewritten; :func:`current_chunks` gives the last
+    version of every chunk.
+    """
 
     def sink(batch: DataFrame, number: int, path: str) -> None:
         spark = batch.sparkSession
-        chunks = chunker(batch.filter("text is not null and trim(text) <> ''")).withColumn("version", F.lit(number).cast("long"))
-        if number > 0:
-            old = spark.read.parquet(f"{path}/chunks/batch={number - 1}")
-            chunks = merge_latest(old, chunks.select(*old.columns), list(keys), "version")
+        chunks = chunker(batch.filter("text is not null and trim(text) <> ''"))
         chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
         stored = spark.read.parquet(f"{path}/chunks/batch={number}").groupBy("doc_id").agg(F.count("*").alias("chunks"))
         outcome = batch.select("doc_id").join(stored, "doc_id", "left").select(
-            "doc_id", F.col("chunks").isNotNull().alias("success"), F.coalesce("chunks", F.lit(0)).alias("chunks"),
+            "doc_id", F.col("chunks").isNotNull().alias("success"), F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"),
             F.when(F.col("chunks").isNull(), "no text").otherwise("").alias("error"))
         outcome.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
 
     return sink
+
+
+def current_chunks(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """Uploaded chunks, last upload wins."""
+    rows = spark.read.option("basePath", f"{path}/chunks").parquet(f"{path}/chunks/batch=*")
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(key, *[f"_r.{c}" for c in rest])

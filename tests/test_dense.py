@@ -30,9 +30,11 @@ def data(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, vec array<float>").repartition(3)
 
 
-@pytest.mark.parametrize("block", [2048, 25])
-def test_topk_is_exact(data, monkeypatch, block):
+@pytest.mark.parametrize("block,limit", [(2048, 1 << 25), (25, 1 << 25), (2048, 0), (25, 0)])
+def test_topk_is_exact(data, monkeypatch, block, limit):
+    """Broadcast and salted joins, one and several query blocks."""
     rows, frame = data
+    monkeypatch.setattr(dense, "BROADCAST_BYTES", limit)
     monkeypatch.setattr(dense, "QUERY_BLOCK", block)
     got = {}
     for r in dense.cosine_topk(frame.withColumnRenamed("doc_id", "query_id"), frame, 7, exclude_self=True).collect():
@@ -61,6 +63,16 @@ def test_clustered_search_recall(spark, root):
     assert _recall(exact, dense.ivf_topk(queries, base, centroids, 10, n_probe=4, exclude_self=True).collect()) > 0.6
 
 
+def test_clustered_search_scores_are_true_scores(spark, data):
+    rows, frame = data
+    queries = frame.withColumnRenamed("doc_id", "query_id")
+    hits = dense.ivf_topk(queries, frame, dense.train_centroids(frame, 6), 5, n_probe=2)
+    vecs = {i: np.array(v, dtype=np.float32).astype(np.float64) for i, v in rows}
+    for r in hits.collect():
+        a, b = vecs[r.query_id], vecs[r.doc_id]
+        assert abs(r.score - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-8
+
+
 def test_quantized_forms_stay_close(spark, root):
     base = spark.read.parquet(f"{root}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
     queries = base.withColumnRenamed("doc_id", "query_id")
