@@ -28,9 +28,13 @@ def _counter(dim: int):
 
 
 def hashed(df: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
-    """(key, vec): word counts per bucket. Hashing runs in the JVM, counting on Arrow batches."""
-    cut = df.select(key, buckets(text, dim).alias("_b")).filter(F.size("_b") > 0)
-    return cut.select(key, _counter(dim)("_b").alias("vec"))
+    """(key, vec): word counts per bucket. Hashing runs in the JVM, counting on Arrow batches.
+
+    Texts without words are dropped after counting: a filter on the words
+    themselves would be pushed down and hash every text twice.
+    """
+    cut = df.select(key, buckets(text, dim).alias("_b"))
+    return cut.select(key, _counter(dim)("_b").alias("vec")).filter(F.array_max("vec") > 0)
 
 
 Encoder = Callable[[list[str]], np.ndarray]

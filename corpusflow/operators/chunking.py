@@ -157,10 +157,11 @@ def word_windows(docs: DataFrame, size: int, overlap: int, min_share: int = 2, d
                  text: str = "text") -> DataFrame:
     """Windows of ``size`` words, step size-overlap; windows under size/min_share words are dropped."""
     rest = [c for c in docs.columns if c not in (doc, text)]
-    bag = docs.select(doc, *rest, words(text).alias("_w")).filter(F.size("_w") > 0)
-    starts = F.sequence(F.lit(0), F.size("_w") - 1, F.lit(size - overlap))
+    # No filter on empty texts here: it would be pushed down and split every text twice.
+    bag = docs.select(doc, *rest, words(text).alias("_w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - 1, F.lit(0)), F.lit(size - overlap))
     # Windows are built on the document's row; exploding first would copy all words to each window.
-    pieces = F.filter(F.transform(starts, lambda i: F.slice("_w", i + 1, F.lit(size))), lambda p: F.size(p) >= size // min_share)
+    pieces = F.filter(F.transform(starts, lambda i: F.slice("_w", i + 1, F.lit(size))), lambda p: F.size(p) >= max(size // min_share, 1))
     held = bag.select(doc, *rest, pieces.alias("_pieces")).select(doc, *rest, F.size("_pieces").alias("total_chunks"), "_pieces")
     cut = held.select(doc, *rest, "total_chunks", F.posexplode_outer("_pieces").alias("chunk_index", "_piece")).filter(F.col("_piece").isNotNull())
     return cut.select(doc, *rest, "chunk_index", "total_chunks", F.size("_piece").alias("n_words"), F.array_join("_piece", " ").alias("chunk"))
