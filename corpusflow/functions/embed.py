@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,22 +21,29 @@ def buckets(text: Column | str, dim: int = DIM) -> Column:
     return F.transform(tokens(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int"), F.lit(dim)))
 
 
-def _counter(dim: int):
-    @F.pandas_udf("array<double>")
-    def count(series: pd.Series) -> pd.Series:
-        return series.map(lambda b: np.bincount(b, minlength=dim).astype(np.float64))
-
-    return count
-
-
 def hashed(df: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
-    """(key, vec): word counts per bucket. Hashing runs in the JVM, counting on Arrow batches.
+    """(key, vec): word counts per bucket; texts without words have none.
 
-    Texts without words are dropped after counting: a filter on the words
-    themselves would be pushed down and hash every text twice.
+    Hashing runs in the JVM, a batch is counted at once in Arrow memory.
     """
-    cut = df.select(key, buckets(text, dim).alias("_b"))
-    return cut.select(key, _counter(dim)("_b").alias("vec")).filter(F.array_max("vec") > 0)
+    schema = pa.schema([(key, pa.int64()), ("vec", pa.list_(pa.float64()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not sizes.sum():
+                continue
+            found = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            counts = np.bincount(rows * dim + found, minlength=len(sizes) * dim).reshape(-1, dim).astype(np.float64)
+            keep = sizes > 0
+            counts = counts[keep]
+            offsets = np.arange(len(counts) + 1, dtype=np.int32) * dim
+            yield pa.RecordBatch.from_arrays([
+                pa.array(batch.column(0).to_numpy(zero_copy_only=False)[keep], type=pa.int64()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel()))], schema=schema)
+
+    return df.select(key, buckets(text, dim).alias("_b")).mapInArrow(count, f"{key} long, vec array<double>")
 
 
 Encoder = Callable[[list[str]], np.ndarray]
