@@ -28,7 +28,8 @@ def vector_queries(spark, root):
 
 
 def containment(spark, root):
-    return contained_in(queries_of(spark, root), corpus(spark, root))
+    # Read once for hits and once for ideal gains; the written table saves a second pass over the corpus.
+    return materialize(contained_in(queries_of(spark, root), corpus(spark, root)), "judgments")
 
 
 @query("bm25_index_terms", "E5 C20", rf"""
