@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import exact, mixing, packing
+from corpusflow.llm import exact, fingerprints, jaccard, mixing, packing
 from corpusflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,33 @@ def register(sql: str | None = None):
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@register()
+def op4_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
+    return fingerprints.fingerprints(table(spark, root, "documents"))
+
+
+WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@register(f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=LOWERED)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3
+        THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+""")
+def op5_ngram_join(spark: SparkSession, root: str) -> DataFrame:
+    """Groups of documents whose three-word shingles agree by nine tenths."""
+    return jaccard.jaccard_components(table(spark, root, "documents"), shingle=3, numerator=90, denominator=100)
+
+
 @register()
 def op7_source_mix(spark: SparkSession, root: str) -> DataFrame:
     """Words that a mix of all sources takes of every document."""
