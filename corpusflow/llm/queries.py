@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import exact, fingerprints, jaccard, mixing, packing
+from corpusflow.llm import exact, extraction, fingerprints, jaccard, licenses, mixing, packing, substrings, toxicity
 from corpusflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,15 +28,42 @@ def register(sql: str | None = None):
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@register()
+def op1_license_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Licences that the text of every document names."""
+    return licenses.scanned(table(spark, root, "documents"))
+
+
+@register()
+def op2_html_extraction(spark: SparkSession, root: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extracted(table(spark, root, "pages"))
+
+
+@register(f"""
+WITH w AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM w, unnest(range(1, len(ws) - 11)) AS u(i)),
+f AS (SELECT win, min(doc_id) AS least FROM g GROUP BY 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (win) WHERE least < doc_id),
+r AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(list_filter(ws, lambda x, k: NOT list_contains(coalesce(gone, []), k)), ' ')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+""")
+def op3_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Every document without the word windows that an earlier one holds."""
+    return substrings.deduplicated_substrings(table(spark, root, "documents")).drop("kept")
+
+
 @register()
 def op4_fingerprints(spark: SparkSession, root: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are."""
     return fingerprints.fingerprints(table(spark, root, "documents"))
 
 
-WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
-
-
 @register(f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=LOWERED)} AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3
@@ -62,6 +89,12 @@ def op7_source_mix(spark: SparkSession, root: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+@register()
+def op8_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 @register(f"""
 WITH d AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
