@@ -9,6 +9,7 @@ component are left out, so no link between components is lost.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,44 +92,67 @@ def _sorted_tokens(h: np.ndarray, d: np.ndarray, ranks: np.ndarray) -> np.ndarra
     return tokens
 
 
-def _profiles(docs: DataFrame, size: int, num: int, den: int, ranks) -> DataFrame:
-    """One row per document: id, set size n, digest of the set, suffix bins, and the prefix tokens."""
+def _digests(docs: DataFrame, size: int) -> DataFrame:
+    """(id, n, d1, d2): set size and a 128-bit digest of every document's set."""
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, h, d, count in _sets(batches, size):
-            tokens = _sorted_tokens(h, d, table)
             bounds = np.searchsorted(d, np.arange(count + 1))
-            n = np.diff(bounds)
-            low, high = np.zeros(len(h) + 1, np.uint64), np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(mix(h), out=low[1:])
-            np.cumsum(mix(h ^ np.uint64(0xC2B2AE3D27D4EB4F)), out=high[1:])
-            bins = np.bincount(d * SUFFIX_BINS + (h & np.uint64(SUFFIX_BINS - 1)).astype(np.int64), minlength=count * SUFFIX_BINS)
-            length = np.where(n > 0, n - (n * num + den - 1) // den + 1, 0)
-            spans = np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
-            prefix = tokens[np.arange(int(length.sum())) + spans] if len(tokens) else tokens
-            offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                ids.cast(pa.int64()), pa.array(n, pa.int64()),
-                pa.array((low[bounds[1:]] - low[bounds[:-1]]).view(np.int64)), pa.array((high[bounds[1:]] - high[bounds[:-1]]).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * SUFFIX_BINS), pa.array(bins.astype(np.int32))),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)),
-            ], ["id", "n", "d1", "d2", "bins", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(profile, "id long, n long, d1 long, d2 long, bins array<int>, prefix array<long>")
-
-
-def _token_sets(docs: DataFrame, size: int, ranks) -> DataFrame:
-    """(id, tokens) of whole sets."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value
-        for ids, h, d, count in _sets(batches, size):
-            bounds = np.searchsorted(d, np.arange(count + 1)).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(bounds), pa.array(_tokens(h, table)))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), tokens], ["id", "tokens"])
+            sums = []
+            for salt in (0, 0xC2B2AE3D27D4EB4F):
+                total = np.zeros(len(h) + 1, np.uint64)
+                np.cumsum(mix(h ^ np.uint64(salt)), out=total[1:])
+                sums.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(bounds), pa.int64()), *sums], ["id", "n", "d1", "d2"])
+
+    return docs.select("doc_id", "text").mapInArrow(digest, "id long, n long, d1 long, d2 long")
 
-    return docs.select("doc_id", "text").mapInArrow(whole, "id long, tokens array<long>")
+
+def _profiles(docs: DataFrame, size: int, num: int, den: int, ranks) -> DataFrame:
+    """Set size n, suffix bins and prefix tokens of every document, beside its id and text."""
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ranks.value
+        for batch in batches:
+            first = 0
+            for ids, h, d, count in _sets([batch], size):
+                tokens = _sorted_tokens(h, d, table)
+                bounds = np.searchsorted(d, np.arange(count + 1))
+                n = np.diff(bounds)
+                bins = np.bincount(d * SUFFIX_BINS + (h & np.uint64(SUFFIX_BINS - 1)).astype(np.int64), minlength=count * SUFFIX_BINS)
+                length = np.where(n > 0, n - (n * num + den - 1) // den + 1, 0)
+                skip = np.repeat(bounds[:-1] - (np.cumsum(length) - length), length)
+                prefix = tokens[np.arange(len(skip)) + skip] if len(skip) else tokens[:0]
+                offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    ids.cast(pa.int64()), pa.array(n, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * SUFFIX_BINS), pa.array(bins.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), batch.column(1).slice(first, count),
+                ], ["id", "n", "bins", "prefix", "text"])
+                first += count
+
+    return docs.select("doc_id", "text").mapInArrow(profile, "id long, n long, bins array<int>, prefix array<long>, text string")
+
+
+def _common(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, common) of the text pairs (a, b, ta, tb): sizes of both sets and of what they share."""
+    for batch in batches:
+        sides = []
+        for k in (2, 3):
+            rows, hashes = [], []
+            for words in word_runs(batch.column(k), lower=True):
+                h, d = distinct_per_document(*shingle_hashes(words, words.hashes(), size))
+                rows.append(d + words.first)
+                hashes.append(h)
+            sides.append((np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+        sizes = [np.bincount(r, minlength=batch.num_rows) for r, _ in sides]
+        row, h = np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides])
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        twice = (row[1:] == row[:-1]) & (h[1:] == h[:-1])
+        both = np.bincount(row[1:][twice], minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.astype(np.int64)) for x in (*sizes, both))],
+                                         ["a", "b", "na", "nb", "common"])
 
 
 def _may_link(a: str, b: str, num: int, den: int):
@@ -141,21 +165,20 @@ def _may_link(a: str, b: str, num: int, den: int):
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (most * (num + den) >= (na + nb) * num)
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that really link. The suffix filter drops pairs whose sets, cut into bins, cannot overlap enough."""
-    left, right = sizes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba")), sizes.select(
-        F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb"))
-    most = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = (pairs.join(left, "a").join(right, "b").filter(most * (num + den) >= (F.col("na") + F.col("nb")) * num)
-            .select("a", "b", "na", "nb").distinct())
-    common = F.size(F.array_intersect("ta", "tb"))
-    return (
-        near.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-        .withColumn("common", common)
-        .filter(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num)
-        .select("a", "b")
-    )
+def _verified(pairs: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that really link, each verified once.
+
+    The suffix filter drops pairs whose sets, cut into bins, cannot overlap enough. ``reps`` is bucketed by id, so
+    only the pairs move: first to a's text, then with it to b's.
+    """
+    sizes = reps.select("id", "n", "bins")
+    left, right = (sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
+    most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    near = pairs.join(left, "a").join(right, "b").filter(most * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+    texts = (near.join(reps.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+             .join(reps.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
+    shared = texts.select("a", "b", "ta", "tb").mapInArrow(lambda batches: _common(batches, size), "a long, b long, na long, nb long, common long")
+    return shared.filter(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -169,23 +192,33 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int =
     """
     spark, num, den = docs.sparkSession, numerator, denominator
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranks = spark.sparkContext.broadcast(_frequency_ranks(docs, shingle))
-    profiles = materialize(_profiles(docs, shingle, num, den, ranks), "profiles")
-    filled = profiles.filter("n > 0 AND id IS NOT NULL")
+    digests = materialize(_digests(docs, shingle), "digests")
+    filled = digests.filter("n > 0 AND id IS NOT NULL")
     classes = filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
-    reps = filled.join(classes, ["n", "d1", "d2"]).filter("id = rep").dropDuplicates(["id", "n", "d1", "d2"])
-    sizes = materialize(reps.select("id", "n", "bins", "prefix"), "representatives")
-    entries = sizes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("id", "n", "pos")).alias("c")).filter("m > 1")
-    buckets = materialize(entries.join(shared.select("token", "c"), "token"), "buckets")
-    members = buckets.select("id").distinct()
-    sets = materialize(_token_sets(docs.join(members, docs["doc_id"] == members["id"], "left_semi"), shingle, ranks), "token_sets")
-    sizes = sizes.select("id", "n", "bins")
+    ranks = spark.sparkContext.broadcast(_frequency_ranks(docs, shingle))
+    found = _linked(docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), ranks, shingle, num, den)
+    named = digests.join(classes, ["n", "d1", "d2"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+                        F.coalesce("component", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).alias("component_id"))
+
+
+def _linked(docs: DataFrame, ranks, shingle: int, num: int, den: int) -> DataFrame:
+    """(id, component) of the documents that link with another one."""
+    spark = docs.sparkSession
+    # bucketed by id, as the join by doc_id has dealt the rows, so that no later join moves the texts again
+    name = f"jaccard_{uuid.uuid4().hex}"
+    buckets_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _profiles(docs, shingle, num, den, ranks).write.bucketBy(buckets_n, "id").sortBy("id").format("parquet").saveAsTable(name)
+    reps = spark.table(name)
+    entries = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
+    buckets = materialize(entries.join(shared, "token"), "buckets")
+    centres = buckets.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("c"))
 
     # every member against its bucket's first document
-    star = buckets.select(F.struct("id", "n", "pos").alias("x"), "c").filter("x.id <> c.id").filter(_may_link("x", "c", num, den))
-    links = materialize(_verified(star.select(F.col("x.id").alias("a"), F.col("c.id").alias("b")).distinct(), sizes, sets, num, den), "links")
-    buckets = buckets.select("token", "id", "n", "pos")
+    star = buckets.select("token", F.struct("id", "n", "pos").alias("x")).join(centres, "token").filter("x.id <> c.id").filter(_may_link("x", "c", num, den))
+    pairs = star.select(F.col("c.id").alias("a"), F.col("x.id").alias("b")).distinct()
+    links = materialize(_verified(pairs, reps, shingle, num, den), "links")
     affordable, before = 8 * buckets.count(), None
     while True:
         found = materialize(components(links), "components")
@@ -202,14 +235,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int =
         before = left
         near = minors.withColumnRenamed("x", "a") if last else minors.groupBy("token").agg(F.min("x").alias("a"))
         pairs = (near.join(open_.withColumnRenamed("x", "b"), "token").filter("a.comp <> b.comp").filter(_may_link("a", "b", num, den))
-                 .select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct())
-        links = materialize(links.unionByName(_verified(pairs, sizes, sets, num, den)), "links")
+                 .select(F.greatest("a.id", "b.id").alias("b"), F.least("a.id", "b.id").alias("a")).distinct())
+        links = materialize(links.unionByName(_verified(pairs, reps, shingle, num, den)), "links")
         if last:
             break
-    found = components(links)
-    named = profiles.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                        F.coalesce("component", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).alias("component_id"))
+    found = materialize(components(links), "components")
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def one_per_component(docs: DataFrame, **how) -> DataFrame:
