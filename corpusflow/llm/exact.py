@@ -98,10 +98,11 @@ def deduplicated(docs: DataFrame, index: DigestIndex | None = None, batches: int
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (largest doc_id of each text)."""
-    columns = docs.columns
-    marks = deduplicated(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    hashed = docs.withColumn("_sha", text_digest(F.col("text").cast("string")))
-    found = hashed.join(marks, (hashed["doc_id"].eqNullSafe(marks["_keep_id"])) & (hashed["_sha"] == marks["_keep_sha"]))
-    # rows repeated in full, and rows that repeat doc_id and text, leave one row
-    return found.dropDuplicates(["_keep_id", "_keep_sha"]).select(*columns)
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the largest doc_id, null ids last.
+
+    Of rows that repeat both doc_id and text one stays.
+    """
+    marks = deduplicated(docs).filter("kept").select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
+    hashed = docs.withColumn("__sha", text_digest(F.col("text").cast("string")))
+    found = hashed.join(marks, F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")))
+    return found.dropDuplicates(["__keep_id", "__keep_sha"]).select(*docs.columns)

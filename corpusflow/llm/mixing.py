@@ -93,7 +93,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: fl
           most_repeats: int = MOST_REPEATS) -> DataFrame:
     """How many words the mix takes of every document.
 
-    Columns: doc_id, source, size, source_size, target, repeats, taken. Sources are weighed by ``weights`` in turn, in
+    Columns: doc_id, source, size, source_size, target, repeats, taken, tie (a hash of the text). Sources are weighed by ``weights`` in turn, in
     code-point order, null last; together they get ``total_share`` of all words, none over ``most_repeats`` times its
     own. A target of w wholes and a part takes every document w times and then fits the part to a subset: documents
     are counted by length, a knapsack fits the lengths, and each length's documents are drawn in seeded order. Null
@@ -143,4 +143,17 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: fl
     edge = joined.filter(~whole).withColumn("drawn", (F.row_number().over(rank) <= F.col("room")).cast("long"))
     repeats = F.col("wholes") + F.col("drawn")
     return sure.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"),
-                                         (F.col("size") * repeats).alias("taken"))
+                                         (F.col("size") * repeats).alias("taken"), "tie")
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it, with all its columns.
+
+    Rows that repeat doc_id, source and text are one document, taken as often as all of them together.
+    """
+    plan = (mixed(docs, **how).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"))
+            .agg(F.sum("repeats").alias("__repeats")).filter("__repeats > 0"))
+    once = docs.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__text"])
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__tie"))
+    copies = once.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__repeats"))))
+    return copies.select(*docs.columns)

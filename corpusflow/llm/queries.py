@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import exact, extraction, fingerprints, jaccard, licenses, mixing, packing, substrings, toxicity
+from corpusflow.llm import exact, extraction, fingerprints, jaccard, licenses, mixing, packing, quality, substrings, toxicity
 from corpusflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,12 @@ def op5_ngram_join(spark: SparkSession, root: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, root, "documents"), shingle=3, numerator=90, denominator=100)
 
 
+@register()
+def op6_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Quality score of every document from two co-trained views."""
+    return quality.quality(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 @register()
 def op7_source_mix(spark: SparkSession, root: str) -> DataFrame:
     """Words that a mix of all sources takes of every document."""

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.llm.logistic import fitted, probability
+
 WINDOW_WORDS = 6
 LEVEL = 9
 DIFFERENCES = (2, 3, 4, 5, 6, 7, 8)
@@ -149,38 +151,10 @@ class Distance:
         return out
 
 
-def fitted(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps on scaled features: rows of (mean, scale, weight), the intercept first."""
-    mean, scale = features.mean(0), features.std(0) + 1e-9
-    z = np.c_[np.ones(len(features)), (features - mean) / scale]
-    w = np.zeros(z.shape[1])
-    ridge = penalty * np.eye(len(w))
-    ridge[0, 0] = 1e-6
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(z) + ridge, z.T @ (p - labels) / len(z) + ridge @ w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return np.c_[np.r_[0.0, mean], np.r_[1.0, scale], w]
-
-
-def probability(model: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = np.c_[np.ones(len(features)), (features - model[1:, 0]) / model[1:, 1]] @ model[:, 2]
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with doc_id, held_out, score (0 to 1) and predicted (1 if score >= 0.3).
-
-    Labels come from rows of ``labels`` (doc_id, toxic) whose crc32(doc_id) mod 4 is not 2; parts 0 and 1 train the
-    dictionaries, part 3 the calibration, each on a bounded sample drawn by a seeded hash of the id. Text alone
-    enters a score. Null and empty texts have no windows and get the calibrated score of a text without any. Labels
-    that are null are left out, the largest of repeated ones counts. Without both labels the score is the share of
-    toxic labels (0 without any). An empty table gives an empty result; other columns are not read.
-    """
+def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with one more column, __toxic_score; see ``toxicity``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg((F.max("toxic") > 0).cast("int").alias("toxic")).withColumn("part", part_of("doc_id"))
              .withColumn("place", F.xxhash64(F.lit(8), "doc_id")).filter(F.col("part") != HELD_OUT))
@@ -188,7 +162,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = first.filter("toxic = 1").orderBy("place").limit(TOXIC_ROWS).unionByName(first.filter("toxic = 0").orderBy("place").limit(ORDINARY_ROWS))
     rest = known.filter(~F.col("part").isin(*DICTIONARY_PARTS)).orderBy("place").limit(CALIBRATION_ROWS)
     # both samples are bounded by the constants above, so their ids may be broadcast
-    contents = trained_dictionaries(docs.join(F.broadcast(rows.select("doc_id", "toxic")), "doc_id").select("text", "toxic"))
+    contents = trained_dictionaries(plain.join(F.broadcast(rows.select("doc_id", "toxic")), "doc_id").select("text", "toxic"))
     model, sides = None, None
     if contents is not None:
         sides = spark.sparkContext.broadcast(contents)
@@ -199,34 +173,40 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 found = [distance.features(t).tolist() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["toxic", "features"])
 
-        seen = docs.join(F.broadcast(rest.select("doc_id", "toxic")), "doc_id").select("toxic", "text").mapInArrow(
+        seen = plain.join(F.broadcast(rest.select("doc_id", "toxic")), "doc_id").select("toxic", "text").mapInArrow(
             measured, "toxic int, features array<double>").collect()
         y = np.array([r.toxic for r in seen], dtype=float)
         if 0 < y.sum() < len(y):
             model = fitted(np.array([r.features for r in seen]), y)
     share = known.agg(F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("s")).first().s if model is None else 0.0
+    at = docs.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(sides.value) if model is not None else None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if distance is None:
+            if distance is None or not batch.num_rows:
                 score = np.full(batch.num_rows, share)
             else:
-                score = probability(model, np.array([distance.features(t) for t in batch.column(1).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([p == HELD_OUT for p in parts(batch.column(0).to_pylist())]),
-                pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                score = probability(model, np.array([distance.features(t) for t in batch.column(at).cast(pa.string()).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "__toxic_score"])
 
-    return docs.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("__toxic_score", T.DoubleType())]))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score stays below the threshold, with all their columns.
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every row of ``docs`` with doc_id, held_out, score (0 to 1) and predicted (1 if score >= 0.3).
 
-    Rows with one doc_id are judged together: one toxic text rejects all of them. Rows with a null doc_id are kept
-    unless one of them is rejected.
+    Labels come from rows of ``labels`` (doc_id, toxic) whose crc32(doc_id) mod 4 is not 2; parts 0 and 1 train the
+    dictionaries, part 3 the calibration, each on a bounded sample drawn by a seeded hash of the id. Text alone
+    enters a score. Null and empty texts have no windows and get the calibrated score of a text without any. Labels
+    that are null are left out, the largest of repeated ones counts. Without both labels the score is the share of
+    toxic labels (0 without any). An empty table gives an empty result; other columns are not read.
     """
-    bad = toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    judged = _judged(docs.select("doc_id", "text"), labels)
+    score = F.col("__toxic_score")
+    return judged.select("doc_id", (part_of("doc_id") == HELD_OUT).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose own score stays below the threshold, with all their columns; see ``toxicity``."""
+    return _judged(docs, labels).filter(F.col("__toxic_score") < THRESHOLD).select(*docs.columns)
