@@ -69,9 +69,9 @@ def storage_stats(tokens: DataFrame) -> DataFrame:
 
 # --- MaxSim by blocks -----------------------------------------------------------------
 
-def packed_documents(tokens: DataFrame, maxlen: int = DOMAIN_MAXLEN["general"], key: str = "doc_id") -> DataFrame:
-    """(key, lens, flat): all token vectors of a document in one row, at most ``maxlen`` of them."""
-    return tokens.filter(F.col("pos") < maxlen).groupBy(key).agg(
+def packed_documents(tokens: DataFrame, maxlen: int | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, lens, flat): all token vectors of a document in one row; with ``maxlen`` at most so many."""
+    return (tokens if maxlen is None else tokens.filter(F.col("pos") < maxlen)).groupBy(key).agg(
         F.array(F.count("*").cast("long")).alias("lens"), F.flatten(F.collect_list("vec")).alias("flat"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.functions.text import exploded, token_count, tokens
-from corpusflow.operators.ranking import best_hits, stable
+from corpusflow.operators.ranking import DIGITS, best_hits, stable
 
 # BM25 saturation, length weight and the smallest idf.
 K1 = 1.5
@@ -85,8 +89,85 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, text: str = "text",
     )
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, **options) -> DataFrame:
-    return best_hits(bm25_scores(queries, docs, **options), k)
+#: Up to so many (query, word) weights documents are scored in blocks; beyond it through the join.
+BLOCK_WEIGHTS = 200_000
+BLOCK_CELLS = 4_000_000
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, text: str = "text",
+              subset: DataFrame | None = None) -> DataFrame:
+    """The k best documents of every query.
+
+    A query set of bounded size goes to every task as a weight matrix: a block of documents becomes a matrix of
+    word counts, one product scores it, and at most k rows (and ties) per query and block leave the task. No word
+    occurrence is shuffled. A larger query set takes the join of :func:`bm25_scores`.
+    """
+    wanted = query_terms(queries).limit(BLOCK_WEIGHTS + 1).collect()
+    if len(wanted) > BLOCK_WEIGHTS:
+        return best_hits(bm25_scores(queries, docs, text=text, subset=subset), k)
+    return best_hits(_block_scores(wanted, queries, docs, k, text, subset), k)
+
+
+def _block_scores(wanted: list, queries: DataFrame, docs: DataFrame, k: int, text: str, subset: DataFrame | None) -> DataFrame:
+    spark = docs.sparkSession
+    terms = sorted({r.term for r in wanted})
+    asked = sorted({r.query_id for r in wanted})
+    width, place, row_of = len(terms), {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(asked)}
+    vocabulary = pa.array(terms, pa.string())
+    bags = docs.select("doc_id", tokens(text).alias("_bag"))
+
+    def counted(bag: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, word, tf) of the query words in a column of bags, sorted."""
+        flat = pc.index_in(bag.flatten(), value_set=vocabulary)
+        owner = np.repeat(np.arange(len(bag)), pc.fill_null(pc.list_value_length(bag), 0).to_numpy(zero_copy_only=False))
+        known = pc.is_valid(flat).to_numpy(zero_copy_only=False)
+        key, tf = np.unique(owner[known] * width + flat.filter(flat.is_valid()).to_numpy(), return_counts=True)
+        return key // max(width, 1), key % max(width, 1), tf
+
+    def statistics(batches):
+        df, n_docs, length = np.zeros(width, np.int64), 0, 0
+        for batch in batches:
+            bag = batch.column(0)
+            df += np.bincount(counted(bag)[1], minlength=width)
+            n_docs += batch.num_rows
+            length += len(bag.flatten())
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *range(width)], pa.int64()), pa.array([length, n_docs, *df.tolist()], pa.int64())], ["place", "n"])
+
+    # a number for each query word, whatever the corpus
+    found = bags.select("_bag").mapInArrow(statistics, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    sums = {r.place: r.n for r in found}
+    n_docs, total = sums.get(-1, 0), sums.get(-2, 0)
+    df = np.array([sums.get(i, 0) for i in range(width)], dtype=float)
+    idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5) + 1.0), IDF_FLOOR)
+    average = total / n_docs if n_docs else 1.0
+    weights = np.zeros((width, len(asked)))
+    for r in wanted:
+        weights[place[r.term], row_of[r.query_id]] = r.qtf * idf[place[r.term]]
+    shared = spark.sparkContext.broadcast(weights)
+    rows = max(1, BLOCK_CELLS // max(1, width + len(asked)))
+
+    def score(batches):
+        matrix = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                doc, word, tf = counted(batch.column(1))
+                length = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+                gain = np.zeros((batch.num_rows, width))
+                gain[doc, word] = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * (length[doc] / average)))
+                scores = np.round(gain @ matrix, DIGITS)
+                if batch.num_rows > k:
+                    least = np.partition(scores, batch.num_rows - k, axis=0)[batch.num_rows - k]
+                    d, q = np.nonzero((scores > 0) & (scores >= least))
+                else:
+                    d, q = np.nonzero(scores > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), batch.column(0).take(pa.array(d)), pa.array(scores[d, q])], ["_q", "doc_id", "score"])
+
+    if subset is not None:
+        bags = bags.join(subset.select("doc_id").distinct(), "doc_id", "left_semi")
+    schema = T.StructType([T.StructField("_q", T.LongType()), bags.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    names = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], T.StructType([T.StructField("_q", T.LongType()), queries.schema["query_id"]]))
+    return bags.mapInArrow(score, schema).join(F.broadcast(names), "_q").select("query_id", "doc_id", "score")
 
 
 def okapi_rerank(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:

@@ -87,10 +87,10 @@ def daily_latency(spark, root):
     return out.select("day", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
-@query("language_distribution", "H7", f"WITH {EV} SELECT day, coalesce(lang, 'unknown') AS lang, count(*) AS n FROM ev LEFT JOIN (SELECT doc_id, lang FROM documents WHERE lang <> 'es') d ON d.doc_id = ev.k GROUP BY ALL")
+@query("language_distribution", "H7", f"WITH {EV} SELECT day, coalesce(lang, 'unknown') AS lang, count(*) AS n FROM ev LEFT JOIN documents d ON d.doc_id = ev.k GROUP BY ALL")
 def language_distribution(spark, root):
     """Queries per day and language; unlabelled ones are unknown."""
-    langs = table(spark, root, "documents").filter("lang <> 'es'").select(F.col("doc_id").alias("k"), "lang")
+    langs = table(spark, root, "documents").select(F.col("doc_id").alias("k"), "lang")
     joined = daily_questions(spark, root).join(langs, "k", "left")
     return joined.groupBy("day", F.coalesce("lang", F.lit("unknown")).alias("lang")).agg(F.sum("n").alias("n"))
 

@@ -243,18 +243,18 @@ def chunk_size_stats(spark, root):
         F.max("n_words").alias("max_size"), F.round(F.stddev_samp("n_words"), 6).alias("std_size"))
 
 
-CHUNK_RECORDS = rf"""recs AS (SELECT md5(title || ':' || source || ':' || substr(text, 1, 100)) || '_chunk_' || chunk_index AS chunk_id,
+CHUNK_RECORDS = rf"""recs AS (SELECT md5(title || ':' || source || ':' || substr(text, 1, 100)) || '_chunk_' || chunk_index AS chunk_key,
   doc_id, chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, n_words AS word_count, len(chunk) // 4 AS est_tokens,
   regexp_matches(chunk, '[{fm.MATH_SYMBOLS}]') OR regexp_matches(chunk, '\$([^$\n]+)\$') OR regexp_matches(chunk, '\\(frac|sqrt)') AS has_math
-  FROM ({windows_sql(128, 12, 4)}) JOIN (SELECT doc_id, text, source, source || ' ' || doc_id AS title FROM documents) USING (doc_id))"""
+  FROM ({windows_sql(128, 12, 128)}) JOIN (SELECT doc_id, text, source, source || ' ' || doc_id AS title FROM documents) USING (doc_id))"""
 
 
 def chunk_records(spark, root):
     key = F.md5(F.concat_ws(":", "title", "source", F.substring("text", 1, 100)))
-    docs = articles(spark, root).select("doc_id", "text", "source", "lang", key.alias("document_id"), "title")
-    parts = chunking.word_windows(docs, 128, 12, min_share=4)
+    docs = articles(spark, root).select("doc_id", "text", "source", "lang", key.alias("document_key"), "title")
+    parts = chunking.word_windows(docs, 128, 12, min_share=128)
     return parts.select(
-        F.concat("document_id", F.lit("_chunk_"), "chunk_index").alias("chunk_id"), "doc_id", "document_id", "title", "source",
+        F.concat("document_key", F.lit("_chunk_"), "chunk_index").alias("chunk_key"), "doc_id", "document_key", "title", "source",
         "lang", "chunk_index", "total_chunks", F.col("n_words").alias("word_count"), token_estimate("chunk").alias("est_tokens"),
         fm.has_math(F.col("chunk"), fm.processor_formulas(F.col("chunk"))).alias("has_math"),
         (F.size(fm.code_blocks(F.col("chunk"))) > 0).alias("has_code"), "chunk")
@@ -264,7 +264,7 @@ def chunk_records(spark, root):
 def chunk_record_query(spark, root):
     """Chunk rows with ids, totals, counts and flags."""
     return chunk_records(spark, root).select(
-        "chunk_id", "doc_id", "chunk_index", "total_chunks", "word_count", "est_tokens", "has_math")
+        "chunk_key", "doc_id", "chunk_index", "total_chunks", "word_count", "est_tokens", "has_math")
 
 
 @query("document_rollup", "C15 C16", f"""WITH {CHUNK_RECORDS}
@@ -293,17 +293,17 @@ def content_keys(spark, root):
 
 @query("ingest_statistics", "C18 C16", rf"""WITH {MATHY}, f AS (
   SELECT doc_id, {_formula_sql(fm.INGEST_PATTERNS, fm.INGEST_FLAGS)} AS f FROM mathy),
-w AS (SELECT doc_id, count(*) AS n FROM ({windows_sql(128, 12, 4, 'mathy')}) GROUP BY 1)
+w AS (SELECT doc_id, count(*) AS n FROM ({windows_sql(128, 12, 128, 'mathy')}) GROUP BY 1)
 SELECT count(*) AS articles, sum(CASE WHEN len(f) > 0 THEN 1 ELSE 0 END)::BIGINT AS with_math, sum(coalesce(n, 0))::BIGINT AS chunks,
   sum(len(f))::BIGINT AS formulas FROM f LEFT JOIN w USING (doc_id)""")
 def ingest_statistics(spark, root):
     """Articles, articles with formulas, chunks and formulas of one ingest, in a single pass."""
-    step, size, least = 116, 128, 32
+    step = 116
     n_words = F.size(words("text"))
-    # Windows start every `step` words; the last ones may be too short to be kept.
-    kept = F.greatest(F.floor((n_words - least) / step) + 1, F.lit(0))
+    # Windows start every `step` words and all of them are kept.
+    kept = F.floor((n_words - 1) / step) + 1
     per_doc = mathy(spark, root).select(
-        F.size(fm.ingest_formulas(F.col("text"))).alias("f"), F.when(n_words >= least, kept).otherwise(0).alias("c"))
+        F.size(fm.ingest_formulas(F.col("text"))).alias("f"), F.when(n_words > 0, kept).otherwise(0).alias("c"))
     return per_doc.agg(F.count("*").alias("articles"), F.sum((F.col("f") > 0).cast("long")).alias("with_math"),
                        F.sum("c").alias("chunks"), F.sum("f").alias("formulas"))
 

@@ -75,13 +75,13 @@ def results(spark, root):
             "rrf": fusion.weighted_reciprocal_rank(lists["dense"], lists["sparse"], 10)}
     coded = None
     for number, name in enumerate(TECHNIQUES):
-        part = runs[name].select((F.col("query_id") * 10 + number).alias("query_id"), "doc_id", "rank")
+        part = runs[name].select(F.struct("query_id", F.lit(number).alias("t")).alias("query_id"), "doc_id", "rank")
         coded = part if coded is None else coded.unionByName(part)
     numbers = F.explode(F.array(*[F.lit(i) for i in range(len(TECHNIQUES))]))
-    qrels = containment(spark, root).withColumn("_t", numbers).select((F.col("query_id") * 10 + F.col("_t")).alias("query_id"), "doc_id", "rel")
+    qrels = containment(spark, root).withColumn("t", numbers).select(F.struct("query_id", "t").alias("query_id"), "doc_id", "rel")
     scored = evaluation.per_query_metrics(coded, qrels, (10,))
-    names = F.get(F.array(*[F.lit(t) for t in TECHNIQUES]), F.pmod("query_id", F.lit(10)).cast("int"))
-    plain = scored.select(names.alias("technique"), F.expr("query_id div 10").alias("query_id"),
+    names = F.get(F.array(*[F.lit(t) for t in TECHNIQUES]), F.col("query_id.t"))
+    plain = scored.select(names.alias("technique"), F.col("query_id.query_id").alias("query_id"),
                           *[F.col(f"`{m}@10`").alias(m) for m in ("ndcg", "map", "recall", "precision")], "mrr")
     length = F.length("text")
     asked = queries_of(spark, root).select("query_id", F.when(length > 150, "long").otherwise("short").alias("dataset"), (length / 1000.0).alias("seconds"))
@@ -183,11 +183,11 @@ def fusion_weight_sweep(spark, root):
             if d is None else F.when(F.col("source") == "dense", d).otherwise(s) * F.col("norm")).alias("part"))
         for i, (_, d, s) in enumerate(FUSION_CONFIGS)])
     fused = scaled.select("query_id", "doc_id", F.inline(shares)).groupBy(
-        (F.col("query_id") * 10 + F.col("c")).alias("query_id"), "doc_id").agg(stable(F.sum("part")).alias("score"))
+        F.struct("query_id", F.col("c").alias("t")).alias("query_id"), "doc_id").agg(stable(F.sum("part")).alias("score"))
     numbers = F.explode(F.array(*[F.lit(i) for i in range(len(FUSION_CONFIGS))]))
-    qrels = containment(spark, root).withColumn("_t", numbers).select((F.col("query_id") * 10 + F.col("_t")).alias("query_id"), "doc_id", "rel")
+    qrels = containment(spark, root).withColumn("t", numbers).select(F.struct("query_id", "t").alias("query_id"), "doc_id", "rel")
     scored = evaluation.per_query_metrics(best_hits(fused, 10), qrels, (10,))
-    name = F.get(F.array(*[F.lit(n) for n, _, _ in FUSION_CONFIGS]), F.pmod("query_id", F.lit(10)).cast("int"))
+    name = F.get(F.array(*[F.lit(n) for n, _, _ in FUSION_CONFIGS]), F.col("query_id.t"))
     return scored.groupBy(name.alias("configuration")).agg(*[F.round(F.avg(f"`{m}@10`"), 9).alias(m) for m in ("ndcg", "recall", "map")])
 
 
@@ -214,16 +214,16 @@ def window_sweep(spark, root, configs):
     runs = counts = None
     for number, (size, overlap) in enumerate(configs):
         chunks = chunking.word_windows(docs, size, overlap, min_share=size).select(
-            (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("doc_id"), F.col("chunk").alias("text"))
-        hits = sparse.bm25_scores(queries, chunks).withColumn("parent_id", F.expr("doc_id div 100000"))
+            F.struct("doc_id", "chunk_index").alias("doc_id"), F.col("chunk").alias("text"))
+        hits = sparse.bm25_scores(queries, chunks).withColumn("parent_id", F.col("doc_id.doc_id"))
         run = best_hits(evaluation.best_per_parent(hits), 10).select(
-            (F.col("query_id") * 10 + number).alias("query_id"), "doc_id", "rank")
+            F.struct("query_id", F.lit(number).alias("t")).alias("query_id"), "doc_id", "rank")
         size_row = chunks.agg(F.lit(number).alias("c"), F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), F.count("*").alias("chunks"))
         runs = run if runs is None else runs.unionByName(run)
         counts = size_row if counts is None else counts.unionByName(size_row)
     numbers = F.explode(F.array(*[F.lit(i) for i in range(len(configs))]))
-    qrels = containment(spark, root).withColumn("_t", numbers).select((F.col("query_id") * 10 + F.col("_t")).alias("query_id"), "doc_id", "rel")
-    scored = evaluation.per_query_metrics(runs, qrels, (10,)).withColumn("c", F.pmod("query_id", F.lit(10)).cast("int"))
+    qrels = containment(spark, root).withColumn("t", numbers).select(F.struct("query_id", "t").alias("query_id"), "doc_id", "rel")
+    scored = evaluation.per_query_metrics(runs, qrels, (10,)).withColumn("c", F.col("query_id.t"))
     means = scored.groupBy("c").agg(*[F.round(F.avg(f"`{m}@10`"), 9).alias(m) for m in ("ndcg", "recall", "map")])
     return counts.join(means, "c").select(
         "size", "overlap", "chunks", stable(evaluation.storage_mib(F.col("chunks"), 64)).alias("storage_mib"),
@@ -280,11 +280,12 @@ def parent_child_search(spark, root):
 
     docs = spread(table(spark, root, "documents").select("doc_id", "text", "source", "lang"))
     chunks = chunking.word_windows(docs.select("doc_id", "text"), 64, 6, min_share=64).select(
-        (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("doc_id"), F.col("chunk").alias("text"))
-    summary = docs.select((F.col("doc_id") * 100000 + 99999).alias("doc_id"), F.concat_ws(
+        F.struct("doc_id", "chunk_index").alias("doc_id"), F.col("chunk").alias("text"))
+    # the summary is the document's part without an index
+    summary = docs.select(F.struct("doc_id", F.lit(-1).alias("chunk_index")).alias("doc_id"), F.concat_ws(
         " ", "source", "lang", F.array_join(F.filter(tokens("text"), lambda w: F.length(w) > 8), " ")).alias("text"))
     hits = sparse.bm25_scores(queries_of(spark, root), chunks.unionByName(summary))
-    parents = hits.groupBy("query_id", F.expr("doc_id div 100000").alias("doc_id")).agg(F.max("score").alias("score"), F.count("*").alias("matched"))
+    parents = hits.groupBy("query_id", F.col("doc_id.doc_id").alias("doc_id")).agg(F.max("score").alias("score"), F.count("*").alias("matched"))
     return best_hits(parents, 10)
 
 

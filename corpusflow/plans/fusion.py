@@ -170,9 +170,9 @@ def variations(spark, root):
 def variation_runs(spark, root):
     """All variations searched in one job."""
     varied = variations(spark, root)
-    coded = varied.select((F.col("query_id") * 10 + F.col("variation_id")).alias("query_id"), "text")
+    coded = varied.select(F.struct("query_id", "variation_id").alias("query_id"), "text")
     run = sparse.bm25_topk(coded, corpus(spark, root), 20)
-    plain = run.select(F.expr("query_id div 10").alias("query_id"), F.pmod("query_id", F.lit(10)).alias("variation_id"), "doc_id", "score", "rank")
+    plain = run.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.variation_id").alias("variation_id"), "doc_id", "score", "rank")
     return plain.join(varied.select("query_id", "variation_id", "confidence"), ["query_id", "variation_id"])
 
 

@@ -14,12 +14,12 @@ from corpusflow.sources import collections as store
 from corpusflow.sources.files import judged_dataset
 from corpusflow.sources.tables import queries_of, spread, table
 
-CHUNKS = f"""ch AS (SELECT md5(doc_id || '_chunk_' || chunk_index) AS id, doc_id, lang AS collection, chunk FROM ({windows_sql(128, 12, 4)}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id))"""
+CHUNKS = f"""ch AS (SELECT md5(doc_id || '_chunk_' || chunk_index) AS id, doc_id, lang AS collection, chunk FROM ({windows_sql(128, 12, 128)}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id))"""
 
 
 def chunk_points(spark, root):
     docs = spread(table(spark, root, "documents").select("doc_id", "text", "lang"))
-    parts = chunking.word_windows(docs, 128, 12, min_share=4)
+    parts = chunking.word_windows(docs, 128, 12, min_share=128)
     return parts.select(F.md5(F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))).alias("id"),
                         "doc_id", F.col("lang").alias("collection"), "chunk")
 

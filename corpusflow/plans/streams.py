@@ -10,7 +10,7 @@ from corpusflow.operators.ranking import stable
 from corpusflow.plans.analytics import CACHE, EV, audit
 from corpusflow.plans.corpus import windows_sql
 from corpusflow.plans.registry import query
-from corpusflow.plans.timeseries import AUDIT, LIMIT, _hop, log_lines, parse_lines, seconds
+from corpusflow.plans.timeseries import AUDIT, LIMIT, LOG_FIELDS, _hop, log_lines, parse_lines, seconds
 from corpusflow.streaming import jobs
 
 
@@ -87,15 +87,15 @@ def stream_error_ratios(spark, root):
     return done.select("service", seconds("start").alias("start"), "n", stable(F.col("e")).alias("error_ratio"), (F.col("e") > mon.ERROR_RATIO_LIMIT).alias("high_errors"))
 
 
-@query("stream_log_counts", "J17 J19 A8", f"""WITH {EV} SELECT sec // 60 * 60 AS minute, CASE WHEN is_error THEN 'error' ELSE 'info' END AS level, count(*) AS lines FROM ev
-WHERE service NOT IN (2, 3) AND (sec // 60 * 60 + 60) <= (SELECT max(sec) FROM ev WHERE service NOT IN (2, 3)) - 3600 GROUP BY ALL""")
+@query("stream_log_counts", "J17 J19 A8", f"""WITH {EV} SELECT sec // 60 * 60 AS minute, {LOG_FIELDS}, count(*) AS lines FROM ev
+WHERE (sec // 60 * 60 + 60) <= (SELECT max(sec) FROM ev) - 3600 GROUP BY ALL""")
 def stream_log_counts(spark, root):
-    """Log lines parsed from the stream and counted per minute and level."""
+    """Log lines of all containers parsed from the stream and counted per minute, service and level."""
     raw = jobs.metric_roles(jobs.read_table(spark, root, "events", jobs.EVENT_SCHEMA))
     lines = log_lines(raw).withColumn("svc", mon.service_of(F.col("container")))
-    parsed = parse_lines(lines).filter(~F.col("service").isin("postgres", "redis")).withColumn("at", F.timestamp_seconds("sec")).withWatermark("at", "1 hour")
-    counts = parsed.groupBy(F.window("at", "1 minute").alias("w"), "level").agg(F.count("*").alias("lines"))
-    return _data(spark, jobs.drain(counts, "loglines")).select(F.unix_timestamp("w.start").alias("minute"), "level", "lines")
+    parsed = parse_lines(lines).withColumn("at", F.timestamp_seconds("sec")).withWatermark("at", "1 hour")
+    counts = parsed.groupBy(F.window("at", "1 minute").alias("w"), "service", "level").agg(F.count("*").alias("lines"))
+    return _data(spark, jobs.drain(counts, "loglines")).select(F.unix_timestamp("w.start").alias("minute"), "service", "level", "lines")
 
 
 @query("stream_audit", "J23", f"WITH {AUDIT} SELECT event_id, audit_type, status, audit_type = 'login_failure' AS security FROM au")

@@ -189,7 +189,7 @@ def log_lines(ev):
         level.alias("level"), F.concat(F.col("event_type"), F.lit(" handled")).alias("message"), stamp.alias("timestamp"), F.col("user_id").cast("string").alias("user_id"),
         F.col("value").alias("duration_ms"), F.when(F.col("is_error"), 500).otherwise(200).alias("status_code"), F.when(F.col("is_error"), "Timeout").alias("error_type")))
     postgres = F.concat(stamp, F.lit(".123 UTC ["), F.col("event_id").cast("string"), F.lit("] "), F.upper(level), F.lit(":  "), F.col("event_type"), F.lit(" done"))
-    redis = F.concat(F.col("event_id").cast("string"), F.lit(":M 01 Jan 2024 00:00:00.123 "), F.when(F.col("is_error"), "#").otherwise("*"), F.lit(" "), F.col("event_type"))
+    redis = F.concat(F.col("event_id").cast("string"), F.lit(":M "), F.date_format(F.col("ts"), "dd MMM yyyy HH:mm:ss"), F.lit(".123 "), F.when(F.col("is_error"), "#").otherwise("*"), F.lit(" "), F.col("event_type"))
     line = F.when(F.col("service") == 2, postgres).when(F.col("service") == 3, redis).otherwise(as_json)
     container = F.get(F.array(*[F.lit(c) for c in CONTAINERS]), F.col("service").cast("int"))
     return ev.select("event_id", "sec", container.alias("container"), line.alias("line"))
@@ -198,7 +198,7 @@ def log_lines(ev):
 @query("parsed_log_lines", "J17 A8", f"""WITH {EV} SELECT event_id, CASE service WHEN 0 THEN 'query-analysis' WHEN 1 THEN 'document-retrieval' WHEN 2 THEN 'postgres' WHEN 3 THEN 'redis' ELSE '' END AS service,
   CASE WHEN service = 2 THEN CASE WHEN is_error THEN 'ERROR' ELSE 'INFO' END WHEN service = 3 THEN CASE WHEN is_error THEN '#' ELSE '*' END ELSE CASE WHEN is_error THEN 'error' ELSE 'info' END END AS level,
   CASE WHEN service = 2 THEN event_type || ' done' WHEN service = 3 THEN event_type ELSE event_type || ' handled' END AS message, CASE WHEN service NOT IN (2, 3) THEN value END AS duration_ms,
-  CASE WHEN service NOT IN (2, 3) AND is_error THEN 'Timeout' END AS error_type, CASE WHEN service NOT IN (2, 3) THEN sec END AS sec FROM ev""")
+  CASE WHEN service NOT IN (2, 3) AND is_error THEN 'Timeout' END AS error_type, sec FROM ev""")
 def parsed_log_lines(spark, root):
     """Log lines of all containers parsed back into fields."""
     lines = log_lines(events(spark, root)).withColumn("svc", mon.service_of(F.col("container")))
@@ -210,6 +210,10 @@ def parse_lines(lines):
     fields = "level string, message string, timestamp string, duration_ms double, error_type string"
     j = lines.withColumn("j", F.from_json("line", fields)).withColumns(mon.parse_database_line(F.col("svc"), F.col("line")))
     at = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', to_timestamp_ntz(j.timestamp, 'yyyy-MM-dd HH:mm:ss'))")
+    stamp = F.regexp_extract("line", r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)|:M (\d\d \w{3} \d{4} \d\d:\d\d:\d\d)", 0)
+    db_at = F.coalesce(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(F.regexp_replace(stamp, "^:M ", ""), F.lit("dd MMM yyyy HH:mm:ss")))
+    since = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), db_at.cast("timestamp_ntz"))
+    at = F.coalesce(at, since)
     return j.select("event_id", F.col("svc").alias("service"), F.coalesce("db_level", F.lower("j.level")).alias("level"), F.coalesce("db_message", "j.message").alias("message"),
                     "j.duration_ms", "j.error_type", at.alias("sec"))
 
@@ -221,11 +225,16 @@ def container_services(spark, root):
     return lines.groupBy(mon.service_of(F.col("container")).alias("service")).agg(F.count("*").alias("lines"))
 
 
-@query("log_counts", "J19", f"WITH {EV} SELECT sec // 60 * 60 AS minute, CASE WHEN is_error THEN 'error' ELSE 'info' END AS level, count(*) AS lines FROM ev WHERE service NOT IN (2, 3) GROUP BY ALL")
+#: Service and level of every line as its container writes them.
+LOG_FIELDS = """CASE service WHEN 0 THEN 'query-analysis' WHEN 1 THEN 'document-retrieval' WHEN 2 THEN 'postgres' WHEN 3 THEN 'redis' ELSE '' END AS service,
+  CASE WHEN service = 2 THEN CASE WHEN is_error THEN 'ERROR' ELSE 'INFO' END WHEN service = 3 THEN CASE WHEN is_error THEN '#' ELSE '*' END
+       ELSE CASE WHEN is_error THEN 'error' ELSE 'info' END END AS level"""
+
+
+@query("log_counts", "J19", f"WITH {EV} SELECT sec // 60 * 60 AS minute, {LOG_FIELDS}, count(*) AS lines FROM ev GROUP BY ALL")
 def log_counts(spark, root):
-    """Lines per minute and level."""
-    ev = parsed_log_lines(spark, root).filter(~F.col("service").isin("postgres", "redis"))
-    return ev.groupBy((F.expr("sec div 60") * 60).alias("minute"), "level").agg(F.count("*").alias("lines"))
+    """Lines per minute, service and level, of all containers."""
+    return parsed_log_lines(spark, root).groupBy((F.expr("sec div 60") * 60).alias("minute"), "service", "level").agg(F.count("*").alias("lines"))
 
 
 @query("log_selection", "B20", f"WITH {EV} SELECT event_id, CASE service WHEN 0 THEN 'query-analysis' ELSE 'document-retrieval' END AS service FROM ev WHERE service IN (0, 1) AND is_error AND value > 20")

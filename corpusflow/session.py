@@ -40,6 +40,8 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")

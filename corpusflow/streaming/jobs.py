@@ -24,11 +24,15 @@ MESSAGE_SCHEMA = ("query_id string, user_id string, session_id string, timestamp
 
 
 def read_table(spark: SparkSession, root: str, name: str, schema, files: int | None = None) -> DataFrame:
-    """A table's files as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A table as a stream: a folder of files, or one file of that name."""
+    reader = spark.readStream.schema(schema)
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
-    return reader.parquet(root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.parquet")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{root}/{name}.parquet")
+    # a stream watches folders; the filter is matched against the names of files
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
 
 
 def event_stream(spark: SparkSession, root: str, delay: str = "1 hour") -> DataFrame:
@@ -125,9 +129,12 @@ def closed_sessions(events: DataFrame, gap: str = "1 hour") -> DataFrame:
         "user_id", "started", "ended", "n")
 
 
-def rate_limit_sink(keys: list[str], limit: int, seconds: int):
+def rate_limit_sink(keys: list[str], limit: int, seconds: int, lateness: int = 86_400):
     """Sink for the request limiter.
 
+    Counts are kept for windows up to ``lateness`` seconds behind the newest one. A
+    request that comes later than that is refused, as its window is forgotten.
+
     The state is one row per key and open window, in a folder per batch; a batch
     reads the state of the batch before and writes its own, so a replay repeats
     the same step.
@@ -138,10 +145,12 @@ def rate_limit_sink(keys: list[str], limit: int, seconds: int):
         numbered = monitoring.fixed_window_limit(batch, keys, limit, seconds)
         if number > 0:
             used = spark.read.parquet(f"{path}/state/batch={number - 1}")
+            newest = used.agg(F.max("window_start")).first()[0]
             # Places left in a window that earlier batches have begun.
             earlier = F.coalesce("_used", F.lit(0))
             numbered = numbered.join(used, [*keys, "window_start"], "left").withColumn("_n", F.lit(limit) - F.col("remaining") + earlier)
-            fits = F.col("allowed") & (F.col("_n") <= limit)
+            in_time = F.lit(True) if newest is None else F.col("window_start") >= newest - lateness
+            fits = F.col("allowed") & (F.col("_n") <= limit) & in_time
             numbered = numbered.withColumns({
                 "allowed": fits, "remaining": F.when(fits, F.lit(limit) - F.col("_n")).otherwise(0).cast("long"),
                 "retry_after": F.when(fits, 0).otherwise(F.col("reset_time") - F.col("sec")).cast("long")}).drop("_n", "_used")
@@ -149,9 +158,10 @@ def rate_limit_sink(keys: list[str], limit: int, seconds: int):
         done = spark.read.parquet(f"{path}/data/batch={number}")
         counts = done.filter("allowed").groupBy(*keys, "window_start").agg(F.count("*").alias("_used"))
         if number > 0:
-            newest = done.agg(F.max("window_start")).scalar()
-            old = spark.read.parquet(f"{path}/state/batch={number - 1}").filter(F.col("window_start") >= newest - 2 * seconds)
-            counts = counts.unionByName(old).groupBy(*keys, "window_start").agg(F.sum("_used").alias("_used"))
+            counts = counts.unionByName(used).groupBy(*keys, "window_start").agg(F.sum("_used").alias("_used"))
+            ahead = [t for t in (newest, done.agg(F.max("window_start")).first()[0]) if t is not None]
+            if ahead:
+                counts = counts.filter(F.col("window_start") >= max(ahead) - lateness)
         counts.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
 
     return sink
