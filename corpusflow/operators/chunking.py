@@ -1,12 +1,15 @@
 """Splitting documents into units and packing units into overlapping chunks.
 
-All of it is column work on the row of one document; nothing is shuffled.
+Everything happens on the row of one document; nothing is shuffled. Texts are split and joined in the JVM, the
+greedy walks over their lengths are linear loops on Arrow batches.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.functions.text import words
 
@@ -39,45 +42,70 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), _strip), lambda p: p != "")
 
 
-def pack_units(units: str, size: int, overlap: int) -> Column:
-    """Greedy packing: array of (s, e), the first and one past the last unit of each chunk.
+SPANS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("apart", T.BooleanType())]))
+
+
+def greedy_spans(costs: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """First and one past the last unit of each chunk, in one pass over running sums.
 
     A chunk is closed when the next unit would overflow it; the next chunk starts
     with the longest run of trailing units whose tokens fit into the overlap.
-    ``units`` names an array column of texts.
     """
-    return F.expr(_packing(units, size, overlap))
-
-
-def _packing(units: str, size: int, overlap: int) -> str:
-    return f"""
-    aggregate(
-      sequence(0, size({units})),
-      named_struct('done', cast(array() as array<struct<s:int,e:int>>), 's', 0, 't', cast(0 as bigint)),
-      (a, i) -> CASE
-        WHEN i = size({units}) THEN
-          CASE WHEN i > a.s
-            THEN named_struct('done', concat(a.done, array(named_struct('s', a.s, 'e', i))), 's', i, 't', cast(0 as bigint))
-            ELSE a END
-        WHEN a.t + length({units}[i]) div {CHARS_PER_TOKEN} > {size} AND i > a.s THEN
-          named_struct(
-            'done', concat(a.done, array(named_struct('s', a.s, 'e', i))),
-            's', i - {_carry(units, overlap)}.n,
-            't', {_carry(units, overlap)}.t + cast(length({units}[i]) div {CHARS_PER_TOKEN} as bigint))
-        ELSE named_struct('done', a.done, 's', a.s, 't', a.t + cast(length({units}[i]) div {CHARS_PER_TOKEN} as bigint))
-      END,
-      a -> a.done)"""
-
-
-def _carry(units: str, overlap: int) -> str:
-    """How many trailing units (n) of the closed chunk fit into the overlap, and their tokens (t)."""
-    return f"""aggregate(
-        reverse(slice({units}, a.s + 1, i - a.s)),
-        named_struct('n', 0, 't', cast(0 as bigint), 'open', true),
-        (c, u) -> CASE
-          WHEN c.open AND c.t + length(u) div {CHARS_PER_TOKEN} <= {overlap}
-            THEN named_struct('n', c.n + 1, 't', c.t + cast(length(u) div {CHARS_PER_TOKEN} as bigint), 'open', true)
-          ELSE named_struct('n', c.n, 't', c.t, 'open', false) END)"""
+    spans, before, start, total = [], [0], 0, 0
+    for i, cost in enumerate(costs):
+        if before[-1] - before[start] + cost > size and i > start:
+            spans.append((start, i))
+            back = i
+            while back > start and before[i] - before[back - 1] <= overlap:
+                back -= 1
+            start = back
+        before.append(before[-1] + cost)
+    return spans + ([(start, len(costs))] if len(costs) > start else [])
+
+
+def _packer(size: int, overlap: int):
+    """Column function: spans of the units of every document, given their costs and their runs.
+
+    Only the numbers leave the JVM. Units of one run are packed together; ``apart`` marks runs cut from one unit.
+    """
+
+    @F.pandas_udf(SPANS)
+    def pack(costs: pd.Series, runs: pd.Series, apart: pd.Series) -> pd.Series:
+        out = []
+        for cost, run, own in zip(costs, runs, apart):
+            spans, first = [], 0
+            cost, run = ([] if x is None else list(x) for x in (cost, run))
+            while first < len(cost):
+                last = first
+                while last < len(cost) and run[last] == run[first]:
+                    last += 1
+                spans += [{"s": first + s, "e": first + e, "apart": bool(own[first])} for s, e in greedy_spans(cost[first:last], size, overlap)]
+                first = last
+            out.append(spans)
+        return pd.Series(out)
+
+    return pack
+
+
+def _packed(cut: DataFrame, doc: str, rest: list[str], size: int, overlap: int, separator: str) -> DataFrame:
+    """(doc, ..., chunk_index, chunk) from ``_units``, an array of (text, run, apart)."""
+    costs = F.transform("_units", lambda u: F.floor(F.length(u["text"]) / CHARS_PER_TOKEN).cast("int"))
+    spans = cut.withColumn("_spans", _packer(size, overlap)(costs, F.col("_units.run"), F.col("_units.apart")))
+    # Chunk texts are built on the document's row before it is exploded.
+    chunks = F.transform("_spans", lambda p: F.when(p["apart"], _text(p, " ")).otherwise(_text(p, separator)))
+    return spans.select(doc, *rest, F.posexplode(chunks).alias("chunk_index", "chunk"))
+
+
+def _text(span: Column, separator: str) -> Column:
+    return F.array_join(F.transform(F.slice("_units", span["s"] + 1, span["e"] - span["s"]), lambda u: u["text"]), separator)
+
+
+def _short(text: str, size: int) -> Column:
+    return F.length(text) / CHARS_PER_TOKEN < size + 1
+
+
+def _units(parts: Column, run: Column, apart: Column) -> Column:
+    return F.transform(parts, lambda p: F.struct(p.alias("text"), run.cast("int").alias("run"), apart.alias("apart")))
 
 
 def sentence_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS,
@@ -88,68 +116,60 @@ def sentence_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OV
     A text no longer than ``size`` tokens is one chunk.
     """
     rest = [c for c in docs.columns if c not in (doc, text)]
-    short = F.length(text) / CHARS_PER_TOKEN < size + 1
-    cut = docs.select(doc, *rest, text, F.when(short, F.array(text)).otherwise(split(F.col(text))).alias("_units"))
-    chunks = _joined(pack_units("_units", size, overlap), separator)
-    return cut.select(doc, *rest, F.posexplode(chunks).alias("chunk_index", "chunk"))
-
-
-def _joined(spans: Column, separator: str, units: str = "_units") -> Column:
-    """Chunk texts of all spans, built on the document's row before it is exploded."""
-    return F.transform(spans, lambda s: F.array_join(F.slice(units, s["s"] + 1, s["e"] - s["s"]), separator))
+    parts = F.when(_short(text, size), F.array(text)).otherwise(split(F.col(text)))
+    cut = docs.select(doc, *rest, _units(parts, F.lit(0), F.lit(False)).alias("_units"))
+    return _packed(cut, doc, rest, size, overlap, separator)
 
 
 def document_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS,
                     doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ..., chunk_index, chunk): paragraphs packed greedily, long paragraphs by sentence.
 
-    Paragraphs between two over-long ones form a run that is packed on its own,
-    so every run can be packed independently and put back in order.
+    Paragraphs between two over-long ones form a run that is packed on its own; so does every over-long one.
     """
     rest = [c for c in docs.columns if c not in (doc, text)]
-    short = F.length(text) / CHARS_PER_TOKEN < size + 1
-    cut = docs.select(doc, *rest, F.when(short, F.array(text)).otherwise(paragraphs(F.col(text))).alias("_paras"))
-    runs = cut.select(doc, *rest, F.expr(f"""
-      aggregate(_paras, cast(array() as array<struct<big:boolean,units:array<string>>>), (acc, p) -> CASE
-        WHEN length(p) div {CHARS_PER_TOKEN} > {size} THEN concat(acc, array(named_struct('big', true, 'units', array(p))))
-        WHEN size(acc) > 0 AND NOT element_at(acc, -1).big THEN
-          concat(slice(acc, 1, size(acc) - 1), array(named_struct('big', false, 'units', concat(element_at(acc, -1).units, array(p)))))
-        ELSE concat(acc, array(named_struct('big', false, 'units', array(p)))) END)""").alias("_runs"))
-    # Long paragraphs become sentences; every run is packed and joined on the document's own row.
-    units = runs.withColumn("_runs", F.transform("_runs", lambda r: F.struct(
-        r["big"].alias("big"), F.when(r["big"], sentences(F.get(r["units"], F.lit(0)))).otherwise(r["units"]).alias("units"))))
-    texts = F.expr(f"""flatten(transform(_runs, r -> transform({_packing("r.units", size, overlap)},
-      p -> array_join(slice(r.units, p.s + 1, p.e - p.s), CASE WHEN r.big THEN ' ' ELSE '\\n\\n' END))))""")
-    return units.select(doc, *rest, F.posexplode(texts).alias("chunk_index", "chunk"))
+    paras = docs.select(doc, *rest, F.when(_short(text, size), F.array(text)).otherwise(paragraphs(F.col(text))).alias("_paras"))
+    long = lambda p: F.floor(F.length(p) / CHARS_PER_TOKEN) > size
+    # a long paragraph is run 2 * its number + 1, others are 2 * the number of the last long one before them
+    places = F.filter(F.transform("_paras", lambda p, i: F.when(long(p), i)), lambda i: i.isNotNull())
+    placed = paras.withColumn("_long", places)
+    own = lambda p, i: F.when(long(p), _units(sentences(p), 2 * i + 1, F.lit(True))).otherwise(
+        _units(F.array(p), F.coalesce(2 * F.try_element_at(F.filter("_long", lambda k: k < i), F.lit(-1)) + 2, F.lit(0)), F.lit(False)))
+    cut = placed.select(doc, *rest, F.flatten(F.transform("_paras", own)).alias("_units"))
+    return _packed(cut, doc, rest, size, overlap, "\n\n")
+
+
+CHAR_SPANS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("t", T.StringType())]))
 
 
 def char_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS,
                 doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Character windows of 4*size that back off to the last blank, overlapping by 4*overlap.
 
-    The walk ends with the window that reaches the end of the text. Windows always
-    move forward: where backing off to a blank would lose more than half of a
-    step (a "word" of that length), the window is cut at its full width.
+    The walk ends with the window that reaches the end of the text. A window is cut
+    at its full width only if backing off would not move the walk forward.
     """
     width, back = size * CHARS_PER_TOKEN, overlap * CHARS_PER_TOKEN
+
+    @F.pandas_udf(CHAR_SPANS)
+    def walk(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            spans, start = [], 0
+            while t:
+                end = len(t)
+                if start + width < len(t):
+                    blank = t.rfind(" ", start, start + width)
+                    end = blank if blank - back > start else start + width
+                spans.append({"s": start, "e": end, "t": t[start:end]})
+                if end >= len(t):
+                    break
+                start = end - back
+            out.append(spans)
+        return pd.Series(out)
+
     rest = [c for c in docs.columns if c not in (doc, text)]
-    reach = back + max(width - back, 1) // 2
-    steps = f"ceil(2 * length({text}) / {max(width - back, 1)}) + 2"
-    # a.s is the 0-based start; window text is substring(text, a.s + 1, width)
-    end = f"""CASE WHEN a.s + {width} >= length({text}) THEN length({text})
-      ELSE CASE WHEN instr(reverse(substring({text}, a.s + 1, {width})), ' ') > 0
-                 AND {width} - instr(reverse(substring({text}, a.s + 1, {width})), ' ') > {reach}
-            THEN a.s + {width} - instr(reverse(substring({text}, a.s + 1, {width})), ' ')
-            ELSE a.s + {width} END END"""
-    walk = f"""aggregate(sequence(1, cast({steps} as int)),
-      named_struct('done', cast(array() as array<struct<s:int,e:int>>), 's', 0, 'open', length({text}) > 0),
-      (a, i) -> CASE WHEN NOT a.open THEN a
-        ELSE named_struct('done', concat(a.done, array(named_struct('s', a.s, 'e', {end}))),
-          's', ({end}) - {back}, 'open', ({end}) < length({text})) END,
-      a -> a.done)"""
-    spans = docs.select(doc, *rest, text, F.expr(walk).alias("_spans"))
-    rows = F.expr(f"transform(_spans, p -> named_struct('s', p.s, 'e', p.e, 't', substring({text}, p.s + 1, p.e - p.s)))")
-    cut = spans.select(doc, *rest, F.posexplode(rows).alias("chunk_index", "_p"))
+    cut = docs.select(doc, *rest, walk(text).alias("_spans")).select(doc, *rest, F.posexplode("_spans").alias("chunk_index", "_p"))
     return cut.select(doc, *rest, "chunk_index", F.col("_p.s").alias("start_char"), F.col("_p.e").alias("end_char"), _strip(F.col("_p.t")).alias("chunk"))
 
 

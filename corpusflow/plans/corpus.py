@@ -191,7 +191,53 @@ def paragraphs(spark, root):
     return cut.select("doc_id", F.size("p").alias("n_paragraphs"), F.md5(F.array_join("p", "\x1e")).alias("digest"))
 
 
-@query("paragraph_chunks", "C9")
+def packing_sql(size, overlap):
+    """Greedy packing of runs(doc_id, run, us, sep), one recursion step a chunk, as packed(doc_id, chunk_index, chunk)."""
+    return rf"""costs AS (SELECT *, list_transform(us, lambda x: len(x) // 4) AS c FROM runs),
+sums AS (SELECT *, len(us) AS n, list_transform(range(0, len(us) + 1), lambda i: coalesce(list_sum(c[1:i]), 0)) AS p FROM costs),
+walk AS (SELECT doc_id, run, 0::BIGINT AS k, 0::BIGINT AS s, {_close_sql(size, "0", "1")} AS e FROM sums WHERE n > 0
+  UNION ALL SELECT doc_id, run, k + 1, ns, {_close_sql(size, "ns", "e0 + 1")} FROM (
+    SELECT w.doc_id, w.run, k, w.e AS e0, n, p, list_min(list_filter(range(w.s, w.e + 1), lambda j: p[w.e + 1] - p[j + 1] <= {overlap})) AS ns
+    FROM walk w JOIN sums USING (doc_id, run) WHERE w.e < n)),
+packed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run, k) - 1 AS chunk_index, CASE WHEN sep = ' ' THEN array_to_string(us[s + 1:e], ' ') ELSE array_to_string(us[s + 1:e], chr(10) || chr(10)) END AS chunk
+  FROM walk JOIN sums USING (doc_id, run))"""
+
+
+def _close_sql(size, start, first):
+    return f"coalesce(list_min(list_filter(range({first}, n), lambda i: p[i + 2] - p[{start} + 1] > {size})), n)"
+
+
+def sentence_packing_sql(size, overlap):
+    return f"""{SENTENCES}, runs AS (SELECT doc_id, 0 AS run, ' ' AS sep, CASE WHEN len(text) / 4 < {size + 1} THEN [text] ELSE s END AS us
+  FROM documents JOIN sent USING (doc_id)), {packing_sql(size, overlap)}"""
+
+
+def paragraph_packing_sql(size, overlap):
+    """Paragraphs of documents with their sentence-ending lines made paragraph ends; long ones are runs of sentences."""
+    split = SENTENCES.replace("SELECT doc_id, list_filter", "SELECT doc_id, i, list_filter").replace("FROM documents", "FROM big")
+    return rf"""h AS (SELECT doc_id, regexp_replace(text, '([.!?])\n', '\1' || chr(10) || chr(10), 'g') AS text FROM documents),
+para AS (SELECT doc_id, CASE WHEN len(text) / 4 < {size + 1} THEN [text] ELSE list_filter(list_transform(string_split(regexp_replace(text, '\n\s*\n', chr(30), 'g'), chr(30)),
+    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') END AS ps FROM h),
+each_ AS (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS text FROM para),
+big AS (SELECT * FROM each_ WHERE len(text) // 4 > {size}), {split},
+placed AS (SELECT *, len(text) // 4 > {size} AS is_big, max(CASE WHEN len(text) // 4 > {size} THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS last_big FROM each_),
+runs AS (SELECT doc_id, 2 * i + 1 AS run, ' ' AS sep, s AS us FROM sent
+  UNION ALL SELECT doc_id, coalesce(2 * last_big + 2, 0), chr(10) || chr(10), list(text ORDER BY i) FROM placed WHERE NOT is_big GROUP BY 1, 2), {packing_sql(size, overlap)}"""
+
+
+def char_walk_sql(size, overlap):
+    width, back = 4 * size, 4 * overlap
+    end = lambda s: f"""CASE WHEN {s} + {width} >= len(text) THEN len(text)
+      WHEN instr(reverse(substr(text, {s} + 1, {width})), ' ') > 0 AND {width} - instr(reverse(substr(text, {s} + 1, {width})), ' ') > {back}
+        THEN {s} + {width} - instr(reverse(substr(text, {s} + 1, {width})), ' ') ELSE {s} + {width} END"""
+    return f"""w AS (SELECT doc_id, text, 0::BIGINT AS chunk_index, 0::BIGINT AS start_char, ({end("0")})::BIGINT AS end_char FROM documents WHERE text <> ''
+  UNION ALL SELECT doc_id, text, chunk_index + 1, end_char - {back}, ({end(f"(end_char - {back})")})::BIGINT FROM w WHERE end_char < len(text))"""
+
+
+PACKED = "SELECT doc_id, chunk_index, len(chunk) AS n_chars, md5(chunk) AS digest FROM packed"
+
+
+@query("paragraph_chunks", "C9", f"WITH RECURSIVE {paragraph_packing_sql(256, 25)} {PACKED}")
 def paragraph_chunks(spark, root):
     """Greedy paragraph packing, long paragraphs by sentence: 256 tokens, 25 overlap."""
     text = F.regexp_replace("text", r"([.!?])\n", "$1\n\n")
@@ -199,14 +245,15 @@ def paragraph_chunks(spark, root):
     return chunks.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
-@query("sentence_chunks", "C10")
+@query("sentence_chunks", "C10", f"WITH RECURSIVE {sentence_packing_sql(1024, 102)} {PACKED}")
 def sentence_chunks(spark, root):
     """Greedy sentence packing: 1024 tokens, 102 overlap."""
     chunks = chunking.sentence_chunks(articles(spark, root).select("doc_id", "text"))
     return chunks.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
-@query("char_chunks", "C11")
+@query("char_chunks", "C11", rf"""WITH RECURSIVE {char_walk_sql(256, 25)}
+SELECT doc_id, chunk_index, start_char, end_char, md5(regexp_replace(substr(text, start_char + 1, end_char - start_char), '^\s+|\s+$', '', 'g')) AS digest FROM w""")
 def char_chunks(spark, root):
     """Character windows with word back-off: 256 tokens, 25 overlap."""
     chunks = chunking.char_chunks(articles(spark, root).select("doc_id", "text"), 256, 25)

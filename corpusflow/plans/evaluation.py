@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from corpusflow.operators import chunking, evaluation, fusion, sparse
 from corpusflow.operators.ranking import best_hits, stable, top_k
 from corpusflow.plans import sqlparts as sql
-from corpusflow.plans.corpus import windows_sql
+from corpusflow.plans.corpus import paragraph_packing_sql, sentence_packing_sql, windows_sql
 from corpusflow.plans.fusion import BOTH, RRF, dense_run, sparse_run
 from corpusflow.plans.registry import query
 from corpusflow.plans.retrieval import containment, corpus, vector_queries, vectors
@@ -253,7 +253,11 @@ def context_length_sweep(spark, root):
     return window_sweep(spark, root, CONTEXT_SWEEP)
 
 
-@query("chunking_strategies", "I11")
+@query("chunking_strategies", "I11", f"""WITH RECURSIVE sc AS (WITH RECURSIVE {sentence_packing_sql(256, 25)} SELECT * FROM packed),
+pc AS (WITH RECURSIVE {paragraph_packing_sql(256, 25)} SELECT * FROM packed),
+cuts AS (SELECT 'fixed' AS strategy, len(chunk) AS n FROM ({windows_sql(128, 0, 2)}) UNION ALL SELECT 'sliding', len(chunk) FROM ({windows_sql(128, 64, 2)})
+  UNION ALL SELECT 'sentence', len(chunk) FROM sc UNION ALL SELECT 'paragraph', len(chunk) FROM pc)
+SELECT strategy, count(*) AS chunks, round(avg(n), 9) AS avg_chars, min(n) AS min_chars, max(n) AS max_chars FROM cuts GROUP BY 1""")
 def chunking_strategies(spark, root):
     """Chunks and their sizes for fixed, sliding, sentence and paragraph cutting."""
     docs = corpus(spark, root)
@@ -264,7 +268,7 @@ def chunking_strategies(spark, root):
     for name, frame in cuts.items():
         part = frame.select(F.lit(name).alias("strategy"), F.length("chunk").alias("n"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("strategy").agg(F.count("*").alias("chunks"), F.avg("n").alias("avg_chars"), F.min("n").alias("min_chars"), F.max("n").alias("max_chars"))
+    return out.groupBy("strategy").agg(F.count("*").alias("chunks"), F.round(F.avg("n"), 9).alias("avg_chars"), F.min("n").alias("min_chars"), F.max("n").alias("max_chars"))
 
 
 PARENTS = f"""reps AS (SELECT doc_id * 100000 + chunk_index AS doc_id, chunk AS text FROM ({windows_sql(64, 6, 64)})
