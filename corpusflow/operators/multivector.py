@@ -246,7 +246,9 @@ def half_precision(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     """Values after a round trip through 16-bit floats."""
     @F.pandas_udf("array<float>")
     def trip(series: pd.Series) -> pd.Series:
-        return series.map(lambda v: np.asarray(v, dtype=np.float32).astype(np.float16).astype(np.float32))
+        sizes = series.map(len).to_numpy()
+        flat = np.concatenate([*series, np.zeros(0)]).astype(np.float32).astype(np.float16).astype(np.float32)
+        return pd.Series(np.split(flat, np.cumsum(sizes)[:-1])) if len(sizes) else series
 
     return vectors.withColumn(vec, trip(vec))
 

@@ -29,35 +29,26 @@ def best_hits(df: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id
     return top_k(df, [query], [F.col(score).desc(), F.col(doc).asc()], k)
 
 
-def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
-    """Add per-group aggregates to every row.
-
-    A window over the whole group would move the group into one task. The
-    aggregate combines on the map side and the join back can be split by AQE
-    when one key is hot.
-    """
-    return df.join(df.groupBy(*keys).agg(*aggs), list(keys))
-
-
 def min_max(df: DataFrame, keys: Sequence[str], score: str = "score", out: str = "norm",
             constant: str = "keep", eps: float = 0.0) -> DataFrame:
     """Scale scores to 0..1 per group; ``constant`` rules lists without spread.
 
-    keep: unchanged; one: all 1.0; half: all 0.5.
+    keep: unchanged; one: all 1.0; half: all 0.5. Groups are ranked lists cut to
+    their best k rows, so a window over one is small and the list is not computed twice.
     """
     flat = {"keep": F.col(score), "one": F.lit(1.0), "half": F.lit(0.5)}[constant]
     spread = F.col("_hi") - F.col("_lo")
-    stats = with_group_stats(df, keys, [F.min(score).alias("_lo"), F.max(score).alias("_hi")])
+    whole = W.partitionBy(*keys)
+    stats = df.withColumns({"_lo": F.min(score).over(whole), "_hi": F.max(score).over(whole)})
     return stats.withColumn(
         out, F.when(spread <= eps, flat).otherwise((F.col(score) - F.col("_lo")) / spread)
     ).drop("_lo", "_hi")
 
 
 def z_score(df: DataFrame, keys: Sequence[str], score: str = "score", out: str = "z") -> DataFrame:
-    """Centre and divide by the population deviation; a flat list is only centred."""
-    stats = with_group_stats(
-        df, keys, [F.avg(score).alias("_mean"), F.stddev_pop(score).alias("_std")]
-    )
+    """Centre and divide by the population deviation; a flat list is only centred. Groups are cut lists."""
+    whole = W.partitionBy(*keys)
+    stats = df.withColumns({"_mean": F.avg(score).over(whole), "_std": F.stddev_pop(score).over(whole)})
     centred = F.col(score) - F.col("_mean")
     return stats.withColumn(
         out, F.when(F.col("_std") < 1e-8, centred).otherwise(centred / F.col("_std"))

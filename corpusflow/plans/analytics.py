@@ -255,19 +255,19 @@ def session_titles(spark, root):
 
 @query("user_history", "G10 E18", f"""WITH {EV}, {QUESTIONS}, h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS rank FROM ev)
 SELECT user_id, event_id, rank, sec, md5(text) AS question FROM h JOIN qs USING (k) WHERE rank <= 10""")
-def user_history(spark, root):
-    """Ten latest queries per user of the thousand kept, with their details; missing details are skipped."""
-    kept = top_k(events(spark, root).select("user_id", "event_id", "us", "sec", "k"), ["user_id"], [F.col("us").desc(), F.col("event_id").desc()], 1000)
+def user_history(spark, root, kept_rows=1000, shown=10):
+    """Latest queries per user of those kept, with their details; missing details are skipped."""
+    kept = top_k(events(spark, root).select("user_id", "event_id", "us", "sec", "k"), ["user_id"], [F.col("us").desc(), F.col("event_id").desc()], kept_rows)
     details = questions(spark, root).select("k", F.md5("text").alias("question"))
-    return kept.filter("rank <= 10").join(details, "k").select("user_id", "event_id", "rank", "sec", "question")
+    return kept.filter(F.col("rank") <= shown).join(details, "k").select("user_id", "event_id", "rank", "sec", "question")
 
 
 @query("retained_history", "A20 J7", f"WITH {EV} SELECT event_id, day FROM ev WHERE us >= (SELECT max(us) FROM ev) - 7 * 86400000000")
-def retained_history(spark, root):
-    """Log rows young enough to be kept (a week)."""
+def retained_history(spark, root, days=7):
+    """Log rows young enough to be kept; stores of history keep 30 days, of analytics 90."""
     ev = events(spark, root)
     newest = ev.agg(F.max("us")).scalar()
-    return ev.filter(F.col("us") >= newest - 7 * 86400000000).select("event_id", "day")
+    return ev.filter(F.col("us") >= newest - days * 86400000000).select("event_id", "day")
 
 
 @query("budget_cut", "G7", f"""WITH {sql.bm25()}, {CANDIDATES}, s AS (SELECT query_id, doc_id, rank, len(text) // 4 AS tokens, sum(len(text) // 4) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM cand)

@@ -52,10 +52,10 @@ def _formula_sql(patterns, flags):
 @query("accepted_articles", "A1 B1", """
 SELECT doc_id, title, lang, len(text) AS n FROM (SELECT *, source || ' ' || doc_id AS title FROM documents)
 WHERE text <> '' AND title <> '' ORDER BY doc_id LIMIT 500""")
-def accepted_articles(spark, root):
-    """Corpus scan that stops after 500 accepted articles (text and title present)."""
+def accepted_articles(spark, root, most=500):
+    """Corpus scan that stops after ``most`` accepted articles (text and title present)."""
     ok = articles(spark, root).filter("text <> '' and title <> ''")
-    return ok.orderBy("doc_id").limit(500).select("doc_id", "title", "lang", F.length("text").alias("n"))
+    return ok.orderBy("doc_id").limit(most).select("doc_id", "title", "lang", F.length("text").alias("n"))
 
 
 @query("collection_scroll", "A5", """

@@ -91,9 +91,11 @@ def hypothetical_topk(spark, root):
     return mv.hypothetical_topk(mv.packed_variants(variants), docs, 10)
 
 
-@query("half_precision", "L6")
+# the exponent of a half is at least -14, its fraction has ten bits, ties go to the even neighbour
+@query("half_precision", "L6", """WITH u AS (SELECT vec_id, x, pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10) AS ulp FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings))
+SELECT vec_id AS doc_id, max(CASE WHEN x = 0 THEN 0 ELSE abs((round_even(x::DOUBLE / ulp, 0) * ulp)::FLOAT - x) END)::DOUBLE AS max_error FROM u GROUP BY 1""")
 def half_precision(spark, root):
-    """Largest relative error of 16-bit storage per vector."""
+    """Largest error of 16-bit storage per vector."""
     base = vectors(spark, root).withColumn("orig", F.col("vec"))
     error = F.zip_with("vec", "orig", lambda a, b: F.abs(a - b))
     return mv.half_precision(base).select("doc_id", F.array_max(error).cast("double").alias("max_error"))
