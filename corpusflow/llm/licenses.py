@@ -101,11 +101,13 @@ def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Dat
     rarest = Window.partitionBy("phrase").orderBy(F.desc("idf"), "at")
     weighed = (weighed.withColumn("anchor", F.row_number().over(rarest) == 1)
                .withColumn("whole", F.sum("idf").over(Window.partitionBy("phrase")))
-               .select("phrase", "at", "word", "phrase_words", "idf", "anchor", "whole"))
+               .withColumn("rarest", F.max(F.when(F.col("anchor"), F.col("word"))).over(Window.partitionBy("phrase")))
+               .select("phrase", "at", "word", "phrase_words", "idf", "anchor", "whole", "rarest"))
     index = F.broadcast(weighed)
-    hits = files.select("row", F.explode("hits").alias("h")).select("row", F.col("h.word").alias("word"), F.col("h.pos").alias("pos"))
+    # only phrases whose rarest word the file has are looked up any further
+    hits = files.select("row", "present", F.explode("hits").alias("h")).select("row", "present", F.col("h.word").alias("word"), F.col("h.pos").alias("pos"))
     aligned = (
-        hits.join(index, "word")
+        hits.join(index, "word").filter(F.array_contains("present", F.col("rarest")))
         .groupBy("row", "phrase", (F.col("pos") - F.col("at")).alias("start"))
         .agg(F.bool_or("anchor").alias("anchored"), F.count("*").alias("in_place"), F.max("phrase_words").alias("phrase_words"),
              F.sum("idf").alias("found"), F.max("whole").alias("whole"))
