@@ -37,6 +37,8 @@ MARKS = frozenset("ad ads advert advertisement adverts adsense banner breadcrumb
 COMMENT_MARKS = frozenset(["comment", "comments", "reply", "replies", "respond", "disqus"])
 KEEPS_CLASS = frozenset(["html", "body", "main"])
 RECURRING_PAGES, RECURRING_SHARE = 5, 0.2
+#: Parts that the pages of a host are dealt to, so that a host with a third of all pages is many tasks.
+HOST_PARTS = 64
 
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -278,7 +280,9 @@ def extracted(pages: DataFrame) -> DataFrame:
                                              ["page_id", "url", "text", "n_chars", "host"])
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    # Spark sends the per-host lists to every task only while they are small; a large host is split by the join
-    joined = _hosts(pages).join(site_templates(pages), "host", "left")
+    # a host's list is copied to the parts that its pages are dealt to
+    lists = site_templates(pages).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
+    dealt = _hosts(pages).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(HOST_PARTS)).cast("int"))
+    joined = dealt.join(lists, ["host", "part"], "left")
     return joined.select("page_id", "url", "host", "html", "template").mapInArrow(
         texts, "page_id long, url string, text string, n_chars long, host string")
