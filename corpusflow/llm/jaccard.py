@@ -24,7 +24,7 @@ from corpusflow.session import materialize
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 SKETCH_BITS = 22  # counters of the frequency sketch: a fixed 4 MB once quantised, at any corpus size
 CHUNK_BITS = 16
-SUFFIX_BINS = 16
+PARITY_BITS = 512
 
 
 def _sets(batches, size: int):
@@ -109,7 +109,7 @@ def _digests(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _profiles(docs: DataFrame, size: int, num: int, den: int, ranks) -> DataFrame:
-    """Set size n, suffix bins and prefix tokens of every document, beside its id and text."""
+    """Set size n, parity bits and prefix tokens of every document, beside its id and text."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
@@ -119,19 +119,20 @@ def _profiles(docs: DataFrame, size: int, num: int, den: int, ranks) -> DataFram
                 tokens = _sorted_tokens(h, d, table)
                 bounds = np.searchsorted(d, np.arange(count + 1))
                 n = np.diff(bounds)
-                bins = np.bincount(d * SUFFIX_BINS + (h & np.uint64(SUFFIX_BINS - 1)).astype(np.int64), minlength=count * SUFFIX_BINS)
+                flips = np.bincount(d * PARITY_BITS + (mix(h ^ np.uint64(0x94D049BB133111EB)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=count * PARITY_BITS)
+                bits = np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64)
                 length = np.where(n > 0, n - (n * num + den - 1) // den + 1, 0)
                 skip = np.repeat(bounds[:-1] - (np.cumsum(length) - length), length)
                 prefix = tokens[np.arange(len(skip)) + skip] if len(skip) else tokens[:0]
                 offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     ids.cast(pa.int64()), pa.array(n, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * SUFFIX_BINS), pa.array(bins.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(bits)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), batch.column(1).slice(first, count),
-                ], ["id", "n", "bins", "prefix", "text"])
+                ], ["id", "n", "bits", "prefix", "text"])
                 first += count
 
-    return docs.select("doc_id", "text").mapInArrow(profile, "id long, n long, bins array<int>, prefix array<long>, text string")
+    return docs.select("doc_id", "text").mapInArrow(profile, "id long, n long, bits array<long>, prefix array<long>, text string")
 
 
 def _common(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -165,16 +166,25 @@ def _may_link(a: str, b: str, num: int, den: int):
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (most * (num + den) >= (na + nb) * num)
 
 
+def _near_enough(a_bits, b_bits, na, nb, num: int, den: int):
+    """Suffix filter: a lower bound of the Hamming distance of two sets against the most that linked sets can have.
+
+    Every token flips one of the parity bits, so the bits in which two sets differ are no more than their different tokens.
+    """
+    apart = sum((F.bit_count(a_bits[i].bitwiseXOR(b_bits[i])) for i in range(1, PARITY_BITS // 64)), F.bit_count(a_bits[0].bitwiseXOR(b_bits[0])))
+    return apart * (num + den) <= (na + nb) * (den - num)
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that really link, each verified once.
 
-    The suffix filter drops pairs whose sets, cut into bins, cannot overlap enough. ``reps`` is bucketed by id, so
-    only the pairs move: first to a's text, then with it to b's.
+    ``reps`` is bucketed by id, so only the pairs move: first to a's size and bits, then to b's for the suffix filter,
+    and those that pass in the same way to the texts.
     """
-    sizes = reps.select("id", "n", "bins")
-    left, right = (sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
-    most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(left, "a").join(right, "b").filter(most * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+    sizes = reps.select("id", "n", "bits")
+    left, right = (sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    near = (pairs.join(left, "a").join(right, "b")
+            .filter(_near_enough(F.col("bits_a"), F.col("bits_b"), F.col("na"), F.col("nb"), num, den)).select("a", "b"))
     texts = (near.join(reps.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
              .join(reps.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
     shared = texts.select("a", "b", "ta", "tb").mapInArrow(lambda batches: _common(batches, size), "a long, b long, na long, nb long, common long")
@@ -215,17 +225,22 @@ def _linked(docs: DataFrame, ranks, shingle: int, num: int, den: int) -> DataFra
     buckets = materialize(entries.join(shared, "token"), "buckets")
     centres = buckets.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("c"))
 
-    # every member against its bucket's first document
+    # every member against the first document of one of its buckets
     star = buckets.select("token", F.struct("id", "n", "pos").alias("x")).join(centres, "token").filter("x.id <> c.id").filter(_may_link("x", "c", num, den))
-    pairs = star.select(F.col("c.id").alias("a"), F.col("x.id").alias("b")).distinct()
+    pairs = star.groupBy(F.col("x.id").alias("b")).agg(F.min("c.id").alias("a"))
     links = materialize(_verified(pairs, reps, shingle, num, den), "links")
     affordable, before = 8 * buckets.count(), None
     while True:
         found = materialize(components(links), "components")
         placed = (buckets.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-                  .select("token", F.struct("id", "n", "pos", "comp").alias("x")))
+                  .select("token", F.struct("comp", *[c for c in buckets.columns if c != "token"]).alias("x")))
         mixed = placed.groupBy("token").agg(F.min("x.comp").alias("lo"), F.max("x.comp").alias("hi")).filter("lo < hi").select("token")
-        open_ = materialize(placed.join(mixed, "token", "left_semi"), "open")
+        still = placed.join(mixed, "token", "left_semi").select("token", "x.*")
+        if "bits" not in buckets.columns:
+            still = still.join(reps.select("id", "bits"), "id")
+        # buckets of one component stay so; later rounds read only the others
+        open_ = materialize(still.select("token", F.struct("id", "n", "pos", "comp", "bits").alias("x")), "open")
+        buckets = open_.select("token", "x.id", "x.n", "x.pos", "x.bits")
         per = open_.groupBy("token", "x.comp").agg(F.count("*").alias("k"))
         major = per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"))
         minors = open_.join(major.select("token", F.col("top.comp").alias("top")), "token").filter("x.comp <> top").select("token", "x")
@@ -235,7 +250,10 @@ def _linked(docs: DataFrame, ranks, shingle: int, num: int, den: int) -> DataFra
         before = left
         near = minors.withColumnRenamed("x", "a") if last else minors.groupBy("token").agg(F.min("x").alias("a"))
         pairs = (near.join(open_.withColumnRenamed("x", "b"), "token").filter("a.comp <> b.comp").filter(_may_link("a", "b", num, den))
+                 .filter(_near_enough(F.col("a.bits"), F.col("b.bits"), F.col("a.n"), F.col("b.n"), num, den))
                  .select(F.greatest("a.id", "b.id").alias("b"), F.least("a.id", "b.id").alias("a")).distinct())
+        if not last:  # a link to one centre joins a member as well as links to many
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a"))
         links = materialize(links.unionByName(_verified(pairs, reps, shingle, num, den)), "links")
         if last:
             break
