@@ -1,8 +1,8 @@
 """Main text of web pages: site templates are found by counting element subtrees per host.
 
-Every element subtree gets a hash of its tags and text. Spark counts on how many different pages of a host each
-subtree stands; subtrees that recur on many of them are the site's template and are deleted, along with elements
-whose tag, role or class says that they are no part of the article.
+Every element subtree that may be furniture (short, or a box of links) gets a hash of its tags and text. Spark counts
+on how many different pages of a host each subtree stands; those that recur are the site's template and are deleted,
+along with elements whose tag, role or class says that they are no part of the article.
 """
 
 from __future__ import annotations
@@ -36,7 +36,10 @@ MARKS = frozenset("ad ads advert advertisement adverts adsense banner breadcrumb
                   "sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 COMMENT_MARKS = frozenset(["comment", "comments", "reply", "replies", "respond", "disqus"])
 KEEPS_CLASS = frozenset(["html", "body", "main"])
+LINK_LISTS = frozenset("dl menu ol ul".split())
 RECURRING_PAGES, RECURRING_SHARE = 5, 0.2
+#: Characters up to which a subtree may be furniture without being a box of links.
+SHORT = 200
 #: Parts that the pages of a host are dealt to, so that a host with a third of all pages is many tasks.
 HOST_PARTS = 64
 
@@ -44,12 +47,13 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "pieces", "dropped", "hash", "article", "main", "pinned")
+    __slots__ = ("tag", "parent", "pieces", "dropped", "hash", "article", "main", "pinned",
+                 "pins", "size", "linked", "links", "prose", "box", "menu")
 
     def __init__(self, tag: str, parent: "_Node | None"):
         self.tag, self.parent, self.pieces = tag, parent, []
-        self.dropped = self.article = self.main = self.pinned = False
-        self.hash = 0
+        self.dropped = self.article = self.main = self.pinned = self.pins = self.box = self.menu = False
+        self.hash = self.size = self.linked = self.links = self.prose = 0
 
 
 class _Tree(HTMLParser):
@@ -58,11 +62,15 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.top = self.at = _Node("html", None)
+        self.link: _Node | None = None
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             self.at.pieces.append(" ")
             return
+        if tag == "a":
+            self.link = self.at
+            self.at.links += 1
         attrs = {k: v or "" for k, v in attrs}
         dropped = tag in FURNITURE or self._marked(tag, attrs)
         if tag in VOID:
@@ -108,6 +116,8 @@ class _Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = None
         node = self.at
         while node.parent is not None:
             if node.tag == tag:
@@ -117,6 +127,9 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         self.at.pieces.append(data)
+        # a link that is never closed ends with its block
+        if self.link is not None and self.link in (self.at, self.at.parent):
+            self.at.linked += len("".join(data.split()))
 
 
 def _parsed(html: str | None) -> _Node:
@@ -179,19 +192,87 @@ def _spread(nodes: list[_Node], roots: list[_Node]) -> None:
             node.dropped = not (node.tag in HEADINGS and node.parent.tag == "header" and id(node) in inside and not node.dropped)
 
 
-def page_subtrees(html: str | None) -> tuple[int, list[int]]:
-    """(hash of the page's own text, distinct hashes of the subtrees that may be template)."""
+def _measure(nodes: list[_Node]) -> None:
+    """Sizes of what is shown (characters without white space), and `box` where a subtree may be template.
+
+    Template may be a short box, or a box that is mostly links, but no subtree with text blocks of an article and, outside
+    articles, no text block by itself. A list of links is furniture inside an article too.
+    """
+    for node in reversed(nodes):
+        if node.dropped:
+            # only headings are left below a dropped element
+            node.linked = node.links = 0
+        for piece in node.pieces:
+            if isinstance(piece, _Node):
+                node.size += piece.size
+                node.linked += piece.linked
+                node.links += piece.links
+                node.prose += piece.prose
+                node.pins |= piece.pins
+            elif piece and not node.dropped:
+                node.size += len("".join(piece.split()))
+        if node.dropped:
+            continue
+        node.pins |= node.pinned and node.size > 0
+        if node.tag in LINK_LISTS and node.links > 1 and 10 * node.linked >= 9 * node.size:
+            node.pins = False
+        if node.tag in TEXT_BLOCK and node.tag not in HEADINGS:
+            node.prose = max(0, node.size - node.linked)
+        node.menu = node.links > 1 and 3 * node.linked >= 2 * node.size
+        node.box = (node.parent is not None and node.size > 0 and not node.pins
+                    and (node.menu or (node.size <= SHORT and node.tag not in TEXT_BLOCK)))
+
+
+def _prepared(html: str | None) -> tuple[list[_Node], list[_Node]]:
     nodes = _walk(_parsed(html))
     _hashed(nodes)
     roots = _roots(nodes)
     _spread(nodes, roots)
+    _measure(nodes)
+    return nodes, roots
+
+
+def page_subtrees(html: str | None) -> tuple[int, list[int]]:
+    """(hash of the page's own text, distinct hashes of the subtrees that may be template)."""
+    nodes, roots = _prepared(html)
     own = hashlib.blake2b("\n".join(_blocks(roots, frozenset())).encode("utf-8", "surrogatepass"), digest_size=8)
-    return int.from_bytes(own.digest(), "little", signed=True), sorted({n.hash for n in nodes[1:] if not n.pinned})
+    return int.from_bytes(own.digest(), "little", signed=True), sorted({n.hash for n in nodes if n.box})
+
+
+def _template_nodes(roots: list[_Node], template: frozenset[int]) -> set[int]:
+    """The outermost boxes of a page that are template.
+
+    Boxes with most of the page's main text are not: then the page is a near copy of others. Main text is what stands in
+    text blocks other than headings and in no link, or all text where there is none; beside main text, links are none.
+    """
+    if not template:
+        return set()
+    prose = sum(r.prose for r in roots)
+
+    def outermost(may) -> list[_Node]:
+        found, todo = [], list(roots)
+        while todo:
+            node = todo.pop()
+            if node.box and node.hash in template and may(node):
+                found.append(node)
+            else:
+                todo.extend(p for p in node.pieces if isinstance(p, _Node))
+        return found
+
+    weight = (lambda n: 0 if n.menu else n.prose) if prose else (lambda n: n.size)
+    found = outermost(lambda n: True)
+    if 2 * sum(map(weight, found)) > (prose or sum(r.size for r in roots)):
+        found = outermost(lambda n: not weight(n))
+    gone = sum(n.size for n in found if not n.menu)
+    if gone > SHORT and 2 * gone > sum(r.size for r in roots):
+        found = [n for n in found if n.menu]
+    return {id(n) for n in found}
 
 
 def _blocks(roots: list[_Node], template: frozenset[int]) -> list[str]:
     out: list[str] = []
     text: list[str] = []
+    gone = _template_nodes(roots, template)
 
     def end():
         block = " ".join("".join(text).split())
@@ -207,7 +288,7 @@ def _blocks(roots: list[_Node], template: frozenset[int]) -> list[str]:
                 end()
             elif isinstance(piece, str):
                 text.append(piece)
-            elif not piece.pinned and piece.hash in template:
+            elif id(piece) in gone:
                 end()
             elif piece.dropped:
                 # only headings of an article's header are left below a dropped element
@@ -222,11 +303,7 @@ def _blocks(roots: list[_Node], template: frozenset[int]) -> list[str]:
 
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     """The article's blocks, one a line, without furniture and without the given template subtrees."""
-    nodes = _walk(_parsed(html))
-    _hashed(nodes)
-    roots = _roots(nodes)
-    _spread(nodes, roots)
-    return "\n".join(_blocks(roots, template))
+    return "\n".join(_blocks(_prepared(html)[1], template))
 
 
 def _hosts(pages: DataFrame) -> DataFrame:

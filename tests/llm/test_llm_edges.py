@@ -84,6 +84,32 @@ def test_passages_shared_by_articles_stay(spark):
     assert all(r.text == f"own {r.page_id}\nshared passage" for r in got)
 
 
+def texts_of(spark, pages):
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    return {r.page_id: r.text for r in extraction.extracted(frame).collect()}
+
+
+def test_near_copies_keep_their_text(spark):
+    story = " ".join(f"word{i}" for i in range(60))
+    parts = "".join(f"<p>Part {i} of a story.</p>" for i in range(6))
+    pages = []
+    for k in range(12):
+        pages += [(k, "http://wrapped.example/", f"<article><h1>title {k}</h1><div><p>same story</p></div></article>"),
+                  (100 + k, "http://section.example/", f"<main><h1>title {k}</h1><section><h2>Part</h2><div><p>same</p><ul><li>story</li></ul></div></section></main>"),
+                  (200 + k, "http://plain.example/", f"<h1>title {k}</h1><p>same story</p><p>to its end</p>"),
+                  (300 + k, "http://boxed.example/", f"<h1>title {k}</h1><div>{parts}</div>"),
+                  (400 + k, "http://long.example/", f"<p>{story} {k}</p><p>own {k} {story}</p><div><p>{story}</p></div>"),
+                  (500 + k, "http://divs.example/", f"<article><h1>title {k}</h1><div>same story</div></article>")]
+    got = texts_of(spark, pages)
+    for k in range(12):
+        assert got[k] == f"title {k}\nsame story"
+        assert got[100 + k] == f"title {k}\nPart\nsame\nstory"
+        assert got[200 + k] == f"title {k}\nsame story\nto its end"
+        assert got[300 + k] == f"title {k}\n" + "\n".join(f"Part {i} of a story." for i in range(6))
+        assert got[400 + k] == f"{story} {k}\nown {k} {story}\n{story}"
+        assert got[500 + k] == f"title {k}\nsame story"
+
+
 def joined_labels(spark, frame, root):
     return frame.join(spark.read.parquet(f"{root}/labels.parquet"), "doc_id").filter("held_out").collect()
 
