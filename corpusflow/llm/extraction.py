@@ -37,11 +37,12 @@ MARKS = frozenset("ad ads advert advertisement adverts adsense banner breadcrumb
 COMMENT_MARKS = frozenset(["comment", "comments", "reply", "replies", "respond", "disqus"])
 KEEPS_CLASS = frozenset(["html", "body", "main"])
 LINK_LISTS = frozenset("dl menu ol ul".split())
-RECURRING_PAGES, RECURRING_SHARE = 5, 0.2
+#: Pages of different text that make a subtree template, however large the host is.
+RECURRING_PAGES = 5
 #: Characters up to which a subtree may be furniture without being a box of links.
 SHORT = 200
-#: Parts that the pages of a host are dealt to, so that a host with a third of all pages is many tasks.
-HOST_PARTS = 64
+#: Parts that the pages with one subtree are dealt to, so that a menu on a third of all pages is many tasks.
+SUBTREE_PARTS = 64
 
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -308,30 +309,32 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
 
 def _hosts(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    return pages.select("page_id", "url", "html", host.alias("host"))
+    return pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("row"))
 
 
-def site_templates(pages: DataFrame, least_pages: int = RECURRING_PAGES, least_share: float = RECURRING_SHARE) -> DataFrame:
-    """(host, template): the subtree hashes that recur on many pages of a host.
+def site_templates(pages: DataFrame, least_pages: int = RECURRING_PAGES) -> DataFrame:
+    """(row, template): of every row that has some, the subtree hashes that recur on pages of its host.
 
-    Pages with the same text count once, so copies of an article do not turn it into template.
+    Pages with the same text count once, so copies of an article do not turn it into template. A row gets only hashes
+    that stand on its page, so nothing grows with the number of templates of a host.
     """
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [page_subtrees(h) for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()),
-                                              pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["host", "page", "subtrees"])
-
-    seen = _hosts(pages).select("host", "html").mapInArrow(subtrees, "host string, page long, subtrees array<long>")
-    seen = materialize(seen, "subtrees")  # hashes only; two counts read them
-    sizes = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    # distinct first, then counted: a host with a third of all pages is many small rows
-    counts = (seen.select("host", "page", F.explode("subtrees").alias("subtree")).distinct()
-              .groupBy("host", "subtree").agg(F.count("*").alias("on")).filter(F.col("on") >= least_pages))
-    recurring = counts.join(sizes, "host").filter(F.col("on") >= F.col("pages") * least_share)
-    # at most 1 / least_share times the subtrees of a page for each host
-    return recurring.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+            found = [page_subtrees(h) for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.int64()),
+                                              pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["row", "host", "page", "subtrees"])
+
+    seen = _hosts(pages).select("row", "host", "html").mapInArrow(subtrees, "row long, host string, page long, subtrees array<long>")
+    seen = materialize(seen.filter(F.size("subtrees") > 0), "subtrees")  # hashes only; counts and hits read them
+    part = F.pmod(F.col("page"), F.lit(SUBTREE_PARTS)).cast("int").alias("part")
+    stands = (seen.select("row", "host", "page", part, F.explode("subtrees").alias("subtree"))
+              .select("row", "page", "part", "subtree", F.xxhash64("host", "subtree").alias("at")))
+    # a page's text decides its part, so that the pages counted in the parts add up
+    counts = stands.select("at", "part", "page").distinct().groupBy("at", "part").agg(F.count("*").alias("on"))
+    recurring = counts.groupBy("at").agg(F.sum("on").alias("on"), F.collect_list("part").alias("parts")).filter(F.col("on") >= least_pages)
+    recurring = recurring.select("at", F.explode("parts").alias("part"))
+    return stands.select("row", "part", "subtree", "at").join(recurring, ["at", "part"]).groupBy("row").agg(F.collect_set("subtree").alias("template"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -346,20 +349,13 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[str, frozenset[int]] = {}
-            out = []
-            for host, html, template in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                if host not in known:
-                    known[host] = frozenset(template or ())
-                out.append(main_text(html, known[host]))
+            out = [main_text(html, frozenset(template or ())) for html, template in zip(*(batch.column(k).to_pylist() for k in (3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()),
                                               pa.array([len(t) for t in out], pa.int64()), batch.column(2)],
                                              ["page_id", "url", "text", "n_chars", "host"])
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    # a host's list is copied to the parts that its pages are dealt to
-    lists = site_templates(pages).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
-    dealt = _hosts(pages).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(HOST_PARTS)).cast("int"))
-    joined = dealt.join(lists, ["host", "part"], "left")
+    # rows are keyed one by one, so that neither a host nor a copied page is one task
+    joined = _hosts(pages).join(site_templates(pages), "row", "left")
     return joined.select("page_id", "url", "host", "html", "template").mapInArrow(
         texts, "page_id long, url string, text string, n_chars long, host string")

@@ -110,6 +110,25 @@ def test_near_copies_keep_their_text(spark):
         assert got[500 + k] == f"title {k}\nsame story"
 
 
+def test_rotating_furniture_of_a_large_host_is_template(spark):
+    def page(k, article):
+        # each banner, notice and related box stands on few of the host's 600 pages
+        links = "".join(f"<li><a href='/{i}'>Headline {i} of week {k % 60}</a></li>" for i in range(12))
+        body = f"<h1>Title {k}</h1><p>story {k} of many</p><div>Banner of section {k % 40}: read our magazine</div><div><ul>{links}</ul></div><p>end of story {k}</p>"
+        return (k, "http://large.example/", f"<article>{body}</article>" if article else f"{body}<p>{'own text ' * 40}{k}</p>")
+
+    got = texts_of(spark, [page(k, k % 2) for k in range(600)])
+    for k in range(600):
+        assert got[k] == f"Title {k}\nstory {k} of many\nend of story {k}" + ("" if k % 2 else f"\n{'own text ' * 40}{k}")
+
+
+def test_template_of_one_host_stays_on_others(spark):
+    page = lambda k, host: (k, f"http://{host}/", f"<div>Call us today</div><p>story {k} of a host</p>")
+    got = texts_of(spark, [page(k, "five.example") for k in range(5)] + [page(k, "four.example") for k in range(5, 9)])
+    assert [got[k] for k in range(5)] == [f"story {k} of a host" for k in range(5)]
+    assert [got[k] for k in range(5, 9)] == [f"Call us today\nstory {k} of a host" for k in range(5, 9)]
+
+
 def joined_labels(spark, frame, root):
     return frame.join(spark.read.parquet(f"{root}/labels.parquet"), "doc_id").filter("held_out").collect()
 
