@@ -35,6 +35,18 @@ MARKS = frozenset("ad ads advert advertisement adverts adsense banner breadcrumb
                   "overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing "
                   "sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 COMMENT_MARKS = frozenset(["comment", "comments", "reply", "replies", "respond", "disqus"])
+HEADER_MARKS = frozenset(["header", "masthead"])
+#: Known compounds: a place or purpose before a mark, and a mark before a word for its box.
+PLACES = frozenset("site page main global top bottom left right primary secondary mobile".split())
+PLACED = frozenset("ad ads banner breadcrumb breadcrumbs footer header menu nav navbar navigation sidebar toolbar".split())
+BOXED = frozenset("ad ads advert advertisement banner breadcrumb comment comments cookie cookies consent footer gdpr login menu modal nav "
+                  "navbar navigation newsletter notice pagination popup promo recommended reply share sharing sidebar signup social "
+                  "sponsored subscribe toolbar widget".split())
+BOXES = frozenset("area banner bar block box button buttons container form holder icons inner items links list menu modal notice overlay "
+                  "panel popup respond signup slot thread unit wrap wrapper".split())
+COMPOUNDS = frozenset(["-".join(pair) for places, words in ((PLACES, PLACED), (BOXED, BOXES)) for pair in ((x, y) for x in places for y in words)]
+                      + "adsbygoogle comment-respond nav-links nav-menu recommended-articles recommended-posts related-articles related-content "
+                        "related-links related-posts related-stories share-this sharedaddy social-media social-share social-sharing".split())
 KEEPS_CLASS = frozenset(["html", "body", "main"])
 LINK_LISTS = frozenset("dl menu ol ul".split())
 #: Pages of different text that make a subtree template, however large the host is.
@@ -44,16 +56,26 @@ SHORT = 200
 #: Parts that the pages with one subtree are dealt to, so that a menu on a third of all pages is many tasks.
 SUBTREE_PARTS = 64
 
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[_-]+")
+_NUMBER = re.compile(r"-?\d+(x\d+)?$")
+
+
+def _names(value: str) -> set[str]:
+    """Whole names of a class or id: lower case, parts joined by one hyphen, without a number at the end."""
+    return {_NUMBER.sub("", "-".join(p for p in _HUMPS.split(name) if p).lower()) for name in value.split()}
+
+
+def _header_names(names: set[str]) -> set[str]:
+    return {n for n in names if n in HEADER_MARKS or (n in COMPOUNDS and n.rpartition("-")[2] in HEADER_MARKS and n.partition("-")[0] in PLACES)}
 
 
 class _Node:
     __slots__ = ("tag", "parent", "pieces", "dropped", "hash", "article", "main", "pinned",
-                 "pins", "size", "linked", "links", "prose", "box", "menu")
+                 "pins", "size", "linked", "links", "prose", "box", "menu", "head")
 
     def __init__(self, tag: str, parent: "_Node | None"):
         self.tag, self.parent, self.pieces = tag, parent, []
-        self.dropped = self.article = self.main = self.pinned = self.pins = self.box = self.menu = False
+        self.dropped = self.article = self.main = self.pinned = self.pins = self.box = self.menu = self.head = False
         self.hash = self.size = self.linked = self.links = self.prose = 0
 
 
@@ -73,7 +95,11 @@ class _Tree(HTMLParser):
             self.link = self.at
             self.at.links += 1
         attrs = {k: v or "" for k, v in attrs}
-        dropped = tag in FURNITURE or self._marked(tag, attrs)
+        marks, shut = self._marks(tag, attrs)
+        titles = _header_names(marks)
+        if tag in HEADINGS:
+            marks = marks - titles
+        dropped = tag in FURNITURE or shut or bool(marks)
         if tag in VOID:
             if tag in BLOCK:
                 self.at.pieces.append(None)
@@ -88,20 +114,20 @@ class _Tree(HTMLParser):
             self._close(SIBLINGS[tag], stop={"ul", "ol", "dl", "table", "select"})
         node = _Node(tag, self.at)
         node.dropped = dropped
+        node.head = dropped and not shut and (tag == "header" or tag not in FURNITURE) and marks <= titles
         node.article = tag == "article" and not dropped
         node.main = (tag == "main" or attrs.get("role", "").lower() == "main") and not dropped
         self.at.pieces.append(node)
         self.at = node
 
-    def _marked(self, tag, attrs) -> bool:
+    def _marks(self, tag, attrs) -> tuple[set[str], bool]:
+        """(names that mark furniture, whether it is hidden or has such a role). Ids of headings and text blocks are anchors."""
         if tag in KEEPS_CLASS:
-            return False
-        if "hidden" in attrs or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-            return True
-        if attrs.get("role", "").lower() in ROLES:
-            return True
-        names = {w.lower() for w in _PARTS.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
-        return bool(names & (COMMENT_MARKS if tag == "article" else MARKS))
+            return set(), False
+        shut = ("hidden" in attrs or attrs.get("role", "").lower() in ROLES
+                or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I)))
+        names = _names(attrs.get("class", "") + ("" if tag in TEXT_BLOCK else " " + attrs.get("id", "")))
+        return {n for n in names if (n in COMMENT_MARKS if tag == "article" else n in MARKS or n in COMPOUNDS)}, shut
 
     def _close(self, tags, stop):
         node = self.at
@@ -180,7 +206,7 @@ def _roots(nodes: list[_Node]) -> list[_Node]:
 def _spread(nodes: list[_Node], roots: list[_Node]) -> None:
     """Push `dropped` and `pinned` down: furniture below a dropped element goes too, an article's text blocks stay.
 
-    A header inside an article loses all but its headings. Text blocks of an article are never template, because
+    A header inside an article, by tag or by class, loses all but its headings. Text blocks of an article are never template, because
     documents may share passages.
     """
     tops = {id(r) for r in roots if r.article or r.main}
@@ -190,7 +216,11 @@ def _spread(nodes: list[_Node], roots: list[_Node]) -> None:
             inside.add(id(node))
             node.pinned = id(node) in tops or node.tag in TEXT_BLOCK or (node.parent.pinned and node.parent.tag in TEXT_BLOCK)
         if node.parent is not None and node.parent.dropped:
-            node.dropped = not (node.tag in HEADINGS and node.parent.tag == "header" and id(node) in inside and not node.dropped)
+            if node.dropped:
+                node.head &= node.parent.head
+            else:
+                node.dropped = not (node.tag in HEADINGS and node.parent.head and id(node) in inside)
+                node.head = node.dropped and node.parent.head
 
 
 def _measure(nodes: list[_Node]) -> None:
@@ -293,7 +323,7 @@ def _blocks(roots: list[_Node], template: frozenset[int]) -> list[str]:
                 end()
             elif piece.dropped:
                 # only headings of an article's header are left below a dropped element
-                todo.extend(p for p in reversed(piece.pieces) if isinstance(p, _Node) and not p.dropped)
+                todo.extend(p for p in reversed(piece.pieces) if isinstance(p, _Node) and (p.head or not p.dropped))
             else:
                 end()
                 todo.append(None)

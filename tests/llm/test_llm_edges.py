@@ -89,6 +89,23 @@ def texts_of(spark, pages):
     return {r.page_id: r.text for r in extraction.extracted(frame).collect()}
 
 
+MARKED = [
+    ("<article><h2 id='related-work'>Related work</h2><p id='notice'>a</p><h2 id='social-impact'>Social impact</h2>"
+     "<section id='comments-on-method'><p>b</p></section><ul><li id='share'>c</ul></article>", "Related work\na\nSocial impact\nb\nc"),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p>a</p></article>", "Title\na"),
+    ("<article><div class='header'><div><h1>Title</h1><span>by x</span></div><nav><h2>menu</h2></nav></div><p>a</p></article>", "Title\na"),
+    ("<article><header><div class='site-header'><h1 class='header'>Title</h1></div><div hidden><h2>no</h2></div></header><p>a</p></article>", "Title\na"),
+    ("<article><section class='notice-and-comment ad-hoc'><p>rules</p></section><div class='login-theory'>b</div></article>", "rules\nb"),
+    ("<article><p>a</p><div class='post related-posts'>x</div><div class='cookie_banner'>x</div><div class='socialShare'>x</div><div id='ad-12'>x</div>"
+     "<div class='ad'><h2>x</h2></div><section id='comments'><h3>x</h3></section><div class='site-footer'>x</div></article>", "a"),
+    ("<div class='header'><h1>Site</h1></div><p>a</p>", "a"),
+]
+
+
+def test_only_whole_names_mark_furniture():
+    assert [extraction.main_text(html) for html, _ in MARKED] == [want for _, want in MARKED]
+
+
 def test_near_copies_keep_their_text(spark):
     story = " ".join(f"word{i}" for i in range(60))
     parts = "".join(f"<p>Part {i} of a story.</p>" for i in range(6))
