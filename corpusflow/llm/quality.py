@@ -15,13 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusflow.llm.logistic import fitted, probability
 from corpusflow.llm.toxicity import part_of, parts
 from corpusflow.llm.words import text_buffers, word_runs
+from corpusflow.session import materialize
 
-#: The only samples: labelled rows for training and calibration, and the pool of unlabelled rows for co-training.
-TRAIN_ROWS, CALIBRATION_ROWS, POOL_ROWS = 20_000, 10_000, 20_000
+#: The only samples: labelled rows for training and calibration. They also bound the pseudo-labels of a round.
+TRAIN_ROWS, CALIBRATION_ROWS = 20_000, 10_000
 ROUNDS = 4
 SURE = 0.98
 HANDED_SHARE = 0.1
@@ -95,29 +97,81 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def co_trained(views: list[np.ndarray], labels: np.ndarray, pool: list[np.ndarray]) -> list[np.ndarray]:
-    """A model for each view after the rounds of exchanged pseudo-labels."""
+def _pool(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every unlabelled row outside the held-out part: row, place (order among equals) and features, written once."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.array(list(text_features(batch.column(2))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, *batch.columns[3:]], ["doc_id", "place", "text", "source", "lang", "n_chars"])
+
+    place = F.xxhash64(F.lit(6), "doc_id", "text").alias("place")
+    shapes = docs.filter(part_of("doc_id") != HELD_OUT).select("doc_id", place, "text", "source", "lang", "n_chars").mapInArrow(
+        measured, "doc_id long, place long, text array<double>, source string, lang string, n_chars long")
+    # features are joined, not texts
+    free = shapes.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti")
+    return materialize(free.select(F.monotonically_increasing_id().alias("row"), "place", "text", "source", "lang", "n_chars"), "pool")
+
+
+def surest(pool: DataFrame, models: list[np.ndarray], taken: np.ndarray, room: int) -> pa.Table:
+    """Of all rows but the taken ones, the ``room`` that each view is surest of for either label.
+
+    Columns side (2 * view + label), row, text, meta. Every row is scored; a task keeps ``room`` rows for each side.
+    """
+
+    def best(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        order = np.lexsort((table["row"], table["place"], -table["sure"]))[:room]
+        return {name: column[order] for name, column in table.items()}
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, dict[str, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, place = (batch.column(k).to_numpy() for k in (0, 1))
+            views = [batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1), metadata_features(*(batch.column(k).to_pylist() for k in (3, 4, 5)))]
+            free = ~np.isin(row, taken)
+            for v in (0, 1):
+                p = probability(models[v], views[v])
+                for label, sure in ((1, p), (0, 1 - p)):
+                    at = np.flatnonzero(free & (sure >= SURE))
+                    found = best({"sure": sure[at], "place": place[at], "row": row[at], "text": views[0][at], "meta": views[1][at]})
+                    side = 2 * v + label
+                    kept[side] = best({n: np.concatenate([kept[side][n], c]) for n, c in found.items()}) if side in kept else found
+        for side, found in kept.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(found["row"]), side, np.int32)), *(pa.array(found[n]) for n in ("sure", "place", "row")),
+                 *(pa.array(list(found[n]), pa.list_(pa.float64())) for n in ("text", "meta"))], ["side", "sure", "place", "row", "text", "meta"])
+
+    found = pool.mapInArrow(scored, "side int, sure double, place long, row long, text array<double>, meta array<double>")
+    order = Window.partitionBy("side").orderBy(F.desc("sure"), "place", "row")
+    # 4 * room rows come to the driver
+    return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= room)
+            .orderBy("side", "rank").select("side", "row", "text", "meta").toArrow())
+
+
+def co_trained(views: list[np.ndarray], labels: np.ndarray, pool: DataFrame) -> list[np.ndarray]:
+    """A model for each view after the rounds of exchanged pseudo-labels, drawn from all rows of the pool."""
     given = [[views[v]] for v in (0, 1)]
     answers = [[labels] for _ in (0, 1)]
-    free = np.ones(len(pool[0]), dtype=bool)
+    taken = np.zeros(0, np.int64)
+    room = max(1, int(HANDED_SHARE * len(labels) / 2))
     models = []
     for turn in range(ROUNDS + 1):
         models = [fitted(np.concatenate(given[v]), np.concatenate(answers[v])) for v in (0, 1)]
-        if turn == ROUNDS or not free.any():
+        if turn == ROUNDS:
             break
-        room = max(1, int(HANDED_SHARE * len(labels) / 2))
-        taken = np.zeros(len(free), dtype=bool)
-        for v in (0, 1):
-            p = probability(models[v], pool[v])
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.flatnonzero(free & (sure >= SURE))
-                best = best[np.argsort(-sure[best], kind="stable")][:room]
-                given[1 - v].append(pool[1 - v][best])
-                answers[1 - v].append(np.full(len(best), label))
-                taken[best] = True
-        free &= ~taken
-        if not taken.any():
+        found = surest(pool, models, taken, room)
+        if not found.num_rows:
             break
+        side = found.column("side").to_numpy()
+        shapes = [np.array(found.column(c).to_pylist(), dtype=float) for c in ("text", "meta")]
+        for v in (0, 1):
+            for label in (1, 0):
+                own = side == 2 * v + label
+                given[1 - v].append(shapes[1 - v][own])
+                answers[1 - v].append(np.full(own.sum(), float(label)))
+        taken = np.union1d(taken, found.column("row").to_numpy())
     return models
 
 
@@ -125,8 +179,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every row of ``docs`` with doc_id, held_out, text_score, metadata_score, score (0 to 1), predicted and keep.
 
     Labels come from rows of ``labels`` (doc_id, quality) whose crc32(doc_id) mod 4 is not 2: part 3 calibrates, the
-    rest trains, each on a bounded sample drawn by a seeded hash of the id; so is the pool of unlabelled rows. keep is
-    score >= 0.5. Null and empty texts, and null metadata, have feature values of their own and get a score. Null
+    rest trains, each on a bounded sample drawn by a seeded hash of the id. All unlabelled rows outside part 2 may get
+    pseudo-labels. keep is score >= 0.5. Null and empty texts, and null metadata, have feature values of their own and get a score. Null
     labels are left out, the smallest of repeated ones counts. With labels of one kind only, or none, every score is
     their mean (1 without any). An empty table gives an empty result; other columns are not read.
     """
@@ -138,9 +192,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
              .withColumn("place", F.xxhash64(F.lit(6), "doc_id")).filter(F.col("part") != HELD_OUT))
     train = known.filter(F.col("part") != CALIBRATION_PART).orderBy("place").limit(TRAIN_ROWS).withColumn("use", F.lit("train"))
     calibrate = known.filter(F.col("part") == CALIBRATION_PART).orderBy("place").limit(CALIBRATION_ROWS).withColumn("use", F.lit("calibrate"))
-    pool = (docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").filter(part_of("doc_id") != HELD_OUT)
-            .orderBy(F.xxhash64(F.lit(6), "doc_id")).limit(POOL_ROWS).select("doc_id", F.lit(None).cast("int").alias("label"), F.lit("pool").alias("use")))
-    rows = train.select("doc_id", "label", "use").unionByName(calibrate.select("doc_id", "label", "use")).unionByName(pool)
+    rows = train.select("doc_id", "label", "use").unionByName(calibrate.select("doc_id", "label", "use"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,17 +204,16 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = docs.join(F.broadcast(rows), "doc_id").select("label", "use", "text", "source", "lang", "n_chars").mapInArrow(
         measured, "label int, use string, text array<double>, meta array<double>").toArrow()
     use = np.array(sample.column("use").to_pylist(), dtype=object)
-    label = np.array([np.nan if v is None else float(v) for v in sample.column("label").to_pylist()])
+    label = np.array(sample.column("label").to_pylist(), dtype=float)
     views = [np.array(sample.column(c).to_pylist(), dtype=float) for c in ("text", "meta")]
-    learn, check, free = (use == name for name in ("train", "calibrate", "pool"))
+    learn, check = (use == name for name in ("train", "calibrate"))
     models = mixer = single = None
     if len(set(label[learn])) == 2 and len(set(label[check])) == 2:
-        models = co_trained([v[learn] for v in views], label[learn], [v[free] for v in views])
+        models = co_trained([v[learn] for v in views], label[learn], _pool(docs, labels))
         sides = np.stack([_logit(probability(m, v[check])) for m, v in zip(models, views)], 1)
         single = [fitted(sides[:, [k]], label[check]) for k in (0, 1)]
         mixer = fitted(sides, label[check])
-    known_labels = label[~np.isnan(label)]
-    mean = float(known_labels.mean()) if len(known_labels) else 1.0
+    mean = float(label.mean()) if len(label) else 1.0
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

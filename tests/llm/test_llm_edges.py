@@ -167,6 +167,37 @@ def test_quality_finds_held_out_junk(spark):
     assert sum(not r.keep for r in bad) / len(bad) > 0.9 and sum(r.keep for r in good) / len(good) > 0.98
 
 
+def test_pseudo_labels_come_from_all_unlabelled_rows(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    # only the length tells good from bad; 30 000 of 40 000 unlabelled rows are outside the held-out part
+    ids = spark.range(41_000).select(F.col("id").alias("doc_id"))
+    length = F.when(F.col("doc_id") < 1000, F.col("doc_id") + 1).otherwise(F.col("doc_id") % 37 * 27 + F.col("doc_id") / 100_000 * 27).cast("long")
+    docs = ids.select("doc_id", F.lit("a b c").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"), (length * 1000 + F.col("doc_id") % 1000).alias("n_chars"))
+    labels = ids.filter("doc_id < 1000").select("doc_id", (F.col("doc_id") >= 500).cast("int").alias("quality"))
+    seen, fit = [], quality.fitted
+    monkeypatch.setattr(quality, "fitted", lambda x, y: seen.append((x, fit(x, y), y)) or seen[-1][1])
+    assert quality.quality(docs, labels).count() == 41_000
+    # the text view's second training set ends with what the metadata view was surest of
+    text, meta = seen[0], seen[1]
+    free = [r.n_chars for r in docs.filter("doc_id >= 1000").withColumn("part", quality.part_of("doc_id")).filter("part != 2").collect()]
+    shape = quality.metadata_features(["s"] * len(free), ["en"] * len(free), free)
+    p = quality.probability(meta[1], shape)
+    room = int(quality.HANDED_SHARE * len(text[2]) / 2)
+    assert len(free) > 25_000 and room > 10
+    for side in (p, 1 - p):
+        assert np.sort(side)[-room] >= quality.SURE
+    # the metadata view gets what the text view was surest of, the text view `room` rows of each label
+    assert len(seen[2][2]) == len(text[2]) + 2 * room
+    best = quality.surest(quality._pool(docs, labels), [text[1], meta[1]], np.zeros(0, np.int64), room)
+    sides = np.array(best.column("side").to_pylist())
+    got = np.array(best.column("meta").to_pylist())
+    for label, side in ((1, p), (0, 1 - p)):
+        mine = quality.probability(meta[1], got[sides == 2 + label])
+        assert np.allclose(np.sort(mine if label else 1 - mine), np.sort(side)[-room:], rtol=0, atol=1e-12)
+
+
 def test_scores_do_not_depend_on_other_columns(spark):
     docs = cases.documents(spark)
     changed = docs.selectExpr("doc_id", "text", "'xx' AS lang", "'other' AS source", "n_chars", "9 AS score", "kept", "part", "tag", "id")
