@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.text import exploded, token_count, tokens
+from corpusflow.operators.dense import join_blocks
 from corpusflow.operators.ranking import DIGITS, best_hits, stable
+from corpusflow.session import materialize
 
 # BM25 saturation, length weight and the smallest idf.
 K1 = 1.5
@@ -89,85 +91,110 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, text: str = "text",
     )
 
 
-#: Up to so many (query, word) weights documents are scored in blocks; beyond it through the join.
-BLOCK_WEIGHTS = 200_000
-BLOCK_CELLS = 4_000_000
+#: Queries and weights of a query block, words of a document block, and cells of any dense matrix.
+QUERY_BLOCK, WEIGHT_BLOCK, WORD_BLOCK = 1024, 100_000, 200_000
+BLOCK_CELLS = 1_000_000
+#: Bytes of a (query, word, weight) in a packed block, for the choice between broadcast and shuffle.
+WEIGHT_BYTES = 48
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, text: str = "text",
               subset: DataFrame | None = None) -> DataFrame:
     """The k best documents of every query.
 
-    A query set of bounded size goes to every task as a weight matrix: a block of documents becomes a matrix of
-    word counts, one product scores it, and at most k rows (and ties) per query and block leave the task. No word
-    occurrence is shuffled. A larger query set takes the join of :func:`bm25_scores`.
+    Queries are dealt to blocks that stay sparse (query, word, weight); blocks of documents meet query blocks through an
+    equi-join on the block number. A task multiplies tiles of bounded size, and at most k rows (and ties) per query and
+    pair of blocks leave it. No word occurrence is shuffled to be counted, and no query reaches the driver.
     """
-    wanted = query_terms(queries).limit(BLOCK_WEIGHTS + 1).collect()
-    if len(wanted) > BLOCK_WEIGHTS:
-        return best_hits(bm25_scores(queries, docs, text=text, subset=subset), k)
-    return best_hits(_block_scores(wanted, queries, docs, k, text, subset), k)
-
-
-def _block_scores(wanted: list, queries: DataFrame, docs: DataFrame, k: int, text: str, subset: DataFrame | None) -> DataFrame:
-    spark = docs.sparkSession
-    terms = sorted({r.term for r in wanted})
-    asked = sorted({r.query_id for r in wanted})
-    width, place, row_of = len(terms), {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(asked)}
-    vocabulary = pa.array(terms, pa.string())
+    wanted = materialize(query_terms(queries), "query-terms")  # its size, the weights and the blocks read it
+    size = wanted.agg(F.count("*").alias("weights"), F.count_distinct("query_id").alias("queries")).first()
+    n_blocks = max(1, -(-size.queries // QUERY_BLOCK), -(-size.weights // WEIGHT_BLOCK))
     bags = docs.select("doc_id", tokens(text).alias("_bag"))
+    total = bags.agg(F.count("*").alias("n"), F.sum(F.when(F.col("_bag").isNotNull(), F.size("_bag"))).alias("words")).first()
+    average = (total.words or 0) / total.n if total.n else 1.0
+    # words of a document count once; the counts are combined in the scan's own tasks
+    df = exploded(bags.select(F.array_distinct("_bag").alias("_bag")), "_bag", "term").groupBy("term").agg(F.count("*").alias("df"))
+    weights = wanted.join(df, "term").select(
+        F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("long").alias("block"), "query_id", "term",
+        (F.col("qtf") * smoothed_idf(F.lit(total.n), F.col("df"))).alias("weight"))
+    blocks = weights.groupBy("block").agg(F.collect_list(F.struct("query_id", "term", "weight")).alias("asked"))
+    if subset is not None:
+        bags = bags.join(subset.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = join_blocks(blocks, _packed(bags), n_blocks, WEIGHT_BYTES * size.weights, "ids")
+    schema = T.StructType([queries.schema["query_id"], bags.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    hits = pairs.select("asked", "ids", "lens", "owner", "terms", "tfs").mapInArrow(_scorer(k, average or 1.0), schema)
+    return best_hits(hits, k)
 
-    def counted(bag: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, word, tf) of the query words in a column of bags, sorted."""
-        flat = pc.index_in(bag.flatten(), value_set=vocabulary)
-        owner = np.repeat(np.arange(len(bag)), pc.fill_null(pc.list_value_length(bag), 0).to_numpy(zero_copy_only=False))
-        known = pc.is_valid(flat).to_numpy(zero_copy_only=False)
-        key, tf = np.unique(owner[known] * width + flat.filter(flat.is_valid()).to_numpy(), return_counts=True)
-        return key // max(width, 1), key % max(width, 1), tf
 
-    def statistics(batches):
-        df, n_docs, length = np.zeros(width, np.int64), 0, 0
-        for batch in batches:
-            bag = batch.column(0)
-            df += np.bincount(counted(bag)[1], minlength=width)
-            n_docs += batch.num_rows
-            length += len(bag.flatten())
-        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *range(width)], pa.int64()), pa.array([length, n_docs, *df.tolist()], pa.int64())], ["place", "n"])
-
-    # a number for each query word, whatever the corpus
-    found = bags.select("_bag").mapInArrow(statistics, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
-    sums = {r.place: r.n for r in found}
-    n_docs, total = sums.get(-1, 0), sums.get(-2, 0)
-    df = np.array([sums.get(i, 0) for i in range(width)], dtype=float)
-    idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5) + 1.0), IDF_FLOOR)
-    average = total / n_docs if n_docs else 1.0
-    weights = np.zeros((width, len(asked)))
-    for r in wanted:
-        weights[place[r.term], row_of[r.query_id]] = r.qtf * idf[place[r.term]]
-    shared = spark.sparkContext.broadcast(weights)
-    rows = max(1, BLOCK_CELLS // max(1, width + len(asked)))
+def _packed(bags: DataFrame) -> DataFrame:
+    """Blocks of documents: ids and lengths, and (document, word, tf) of their distinct words."""
+    kind = bags.schema["doc_id"].dataType
 
-    def score(batches):
-        matrix = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, rows):
-                batch = whole.slice(start, rows)
-                doc, word, tf = counted(batch.column(1))
-                length = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-                gain = np.zeros((batch.num_rows, width))
-                gain[doc, word] = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * (length[doc] / average)))
-                scores = np.round(gain @ matrix, DIGITS)
-                if batch.num_rows > k:
-                    least = np.partition(scores, batch.num_rows - k, axis=0)[batch.num_rows - k]
-                    d, q = np.nonzero((scores > 0) & (scores >= least))
-                else:
-                    d, q = np.nonzero(scores > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), batch.column(0).take(pa.array(d)), pa.array(scores[d, q])], ["_q", "doc_id", "score"])
+    def one(values) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-    if subset is not None:
-        bags = bags.join(subset.select("doc_id").distinct(), "doc_id", "left_semi")
-    schema = T.StructType([T.StructField("_q", T.LongType()), bags.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    names = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], T.StructType([T.StructField("_q", T.LongType()), queries.schema["query_id"]]))
-    return bags.mapInArrow(score, schema).join(F.broadcast(names), "_q").select("query_id", "doc_id", "score")
+    def pack(batches):
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            part = np.cumsum(lengths) // WORD_BLOCK
+            edges = np.r_[np.flatnonzero(np.diff(part, prepend=-1)), batch.num_rows]
+            for start, end in zip(edges[:-1], edges[1:]):
+                rows = batch.slice(start, end - start)
+                own = lengths[start:end]
+                words = rows.column(1).flatten().dictionary_encode()
+                width = max(1, len(words.dictionary))
+                key, tf = np.unique(np.repeat(np.arange(len(own)), own) * width + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([0], pa.int64()), one(rows.column(0)), one(pa.array(own, pa.int32())), one(pa.array(key // width, pa.int32())),
+                     one(words.dictionary.take(pa.array(key % width))), one(pa.array(tf, pa.int32()))], ["block", "ids", "lens", "owner", "terms", "tfs"])
+
+    ints = T.ArrayType(T.IntegerType())
+    return bags.mapInArrow(pack, T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("lens", ints), T.StructField("owner", ints),
+        T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", ints)]))
+
+
+def _scorer(k: int, average: float):
+    def score(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, ids, lens, owner, terms, tfs = (batch.column(c)[i].values for c in range(6))
+                query_of = asked.field("query_id").dictionary_encode(null_encoding="encode")
+                word_of = asked.field("term").dictionary_encode()
+                asking, words, weight = query_of.indices.to_numpy(), word_of.indices.to_numpy(), asked.field("weight").to_numpy()
+                length, n_queries = lens.to_numpy(), len(query_of.dictionary)
+                place = pc.index_in(terms, value_set=word_of.dictionary)
+                known = pc.is_valid(place).to_numpy(zero_copy_only=False)
+                # only words that both blocks have, numbered anew
+                shared, word = np.unique(pc.drop_null(place).to_numpy(), return_inverse=True)
+                doc, tf = owner.to_numpy()[known], tfs.to_numpy()[known]
+                gain = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * (length[doc] / average)))
+                both = np.isin(words, shared)
+                asking, weight, words = asking[both], weight[both], np.searchsorted(shared, words[both])
+                by_word = np.argsort(words, kind="stable")
+                asking, weight, words = asking[by_word], weight[by_word], words[by_word]
+                deep = max(1, BLOCK_CELLS // max(1, n_queries))
+                for low in range(0, len(ids), deep):
+                    first, last = np.searchsorted(doc, (low, low + deep))
+                    rows = min(deep, len(ids) - low)
+                    scores = np.zeros((rows, n_queries))
+                    wide = max(1, BLOCK_CELLS // max(rows, n_queries))
+                    for left in range(0, len(shared), wide):
+                        right = min(left + wide, len(shared))
+                        inside = np.flatnonzero((word[first:last] >= left) & (word[first:last] < right)) + first
+                        counts, matrix = np.zeros((rows, right - left)), np.zeros((right - left, n_queries))
+                        counts[doc[inside] - low, word[inside] - left] = gain[inside]
+                        a, b = np.searchsorted(words, (left, right))
+                        matrix[words[a:b] - left, asking[a:b]] = weight[a:b]
+                        scores += counts @ matrix
+                    scores = np.round(scores, DIGITS)
+                    found = scores > 0
+                    if rows > k:
+                        found &= scores >= np.partition(scores, rows - k, axis=0)[rows - k]
+                    d, q = np.nonzero(found)
+                    yield pa.RecordBatch.from_arrays([query_of.dictionary.take(pa.array(q)), ids.take(pa.array(d + low)), pa.array(scores[d, q])], ["query_id", "doc_id", "score"])
+
+    return score
 
 
 def okapi_rerank(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:

@@ -45,6 +45,17 @@ def test_keyword_match(spark):
     assert {h.doc_id for h in hits} == {1, 3}
 
 
+def test_bm25_blocks_give_the_scores_of_the_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 23}" for j in range(i % 9))) for i in range(60)] + [(60, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"w{i % 23} w{i % 7} w{i % 7} none") for i in range(50)], "query_id string, text string")
+    for name, value in (("QUERY_BLOCK", 8), ("WORD_BLOCK", 40), ("BLOCK_CELLS", 60), ("WEIGHT_BYTES", 10 ** 9)):
+        monkeypatch.setattr(sparse, name, value)  # many blocks and tiles, joined by key
+    rows = lambda hits: sorted((h.query_id, h.rank, h.doc_id, round(h.score, 6)) for h in hits.collect())
+    got = sparse.bm25_topk(asked, docs.filter("text IS NOT NULL"), 5)
+    assert rows(got) == rows(sparse.best_hits(sparse.bm25_scores(asked, docs.filter("text IS NOT NULL")), 5))
+    assert sparse.bm25_topk(asked, docs, 5).count() > 0 and sparse.bm25_topk(asked, docs.limit(0), 5).collect() == []
+
+
 def test_ordered_dedup_and_limit(spark):
     frame = spark.createDataFrame([("machine learning machine ai learning",)], "text string")
     assert frame.select(querytext.keywords(F.col("text"))).first()[0] == ["machine", "learning"]
