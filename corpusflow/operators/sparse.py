@@ -117,7 +117,9 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, text: str = "tex
     weights = wanted.join(df, "term").select(
         F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("long").alias("block"), "query_id", "term",
         (F.col("qtf") * smoothed_idf(F.lit(total.n), F.col("df"))).alias("weight"))
-    blocks = weights.groupBy("block").agg(F.collect_list(F.struct("query_id", "term", "weight")).alias("asked"))
+    # one entry for each query, so that a query is known by its place in the block and its id may have any type
+    blocks = (weights.groupBy("block", "query_id").agg(F.collect_list(F.struct("term", "weight")).alias("words"))
+              .groupBy("block").agg(F.collect_list(F.struct("query_id", "words")).alias("asked")))
     if subset is not None:
         bags = bags.join(subset.select("doc_id").distinct(), "doc_id", "left_semi")
     pairs = join_blocks(blocks, _packed(bags), n_blocks, WEIGHT_BYTES * size.weights, "ids")
@@ -159,10 +161,12 @@ def _scorer(k: int, average: float):
         for batch in batches:
             for i in range(batch.num_rows):
                 asked, ids, lens, owner, terms, tfs = (batch.column(c)[i].values for c in range(6))
-                query_of = asked.field("query_id").dictionary_encode(null_encoding="encode")
-                word_of = asked.field("term").dictionary_encode()
-                asking, words, weight = query_of.indices.to_numpy(), word_of.indices.to_numpy(), asked.field("weight").to_numpy()
-                length, n_queries = lens.to_numpy(), len(query_of.dictionary)
+                query_ids, lists = asked.field("query_id"), asked.field("words")
+                wanted = lists.flatten()
+                word_of = wanted.field("term").dictionary_encode()
+                asking = np.repeat(np.arange(len(query_ids)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                words, weight = word_of.indices.to_numpy(), wanted.field("weight").to_numpy()
+                length, n_queries = lens.to_numpy(), len(query_ids)
                 place = pc.index_in(terms, value_set=word_of.dictionary)
                 known = pc.is_valid(place).to_numpy(zero_copy_only=False)
                 # only words that both blocks have, numbered anew
@@ -192,7 +196,7 @@ def _scorer(k: int, average: float):
                     if rows > k:
                         found &= scores >= np.partition(scores, rows - k, axis=0)[rows - k]
                     d, q = np.nonzero(found)
-                    yield pa.RecordBatch.from_arrays([query_of.dictionary.take(pa.array(q)), ids.take(pa.array(d + low)), pa.array(scores[d, q])], ["query_id", "doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(q)), ids.take(pa.array(d + low)), pa.array(scores[d, q])], ["query_id", "doc_id", "score"])
 
     return score
 

@@ -1,5 +1,6 @@
 """Small cases with known results."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import evaluation, formulas, fusion, querytext, sparse
@@ -56,6 +57,18 @@ def test_bm25_blocks_give_the_scores_of_the_join(spark, monkeypatch):
     assert sparse.bm25_topk(asked, docs, 5).count() > 0 and sparse.bm25_topk(asked, docs.limit(0), 5).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["struct<a: bigint, b: string>", "string", "bigint"])
+def test_bm25_takes_query_ids_of_any_type(spark, kind):
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5}") for i in range(20)], "doc_id long, text string")
+    made = "named_struct('a', id, 'b', nullif(concat('x', id), 'x1'))" if kind.startswith("struct") else f"cast(nullif(id, 1) AS {kind})"
+    asked = spark.range(3).selectExpr("id", f"{made} AS query_id", "concat('w', id) AS text")
+    plain = sparse.bm25_topk(asked.select(F.col("id").alias("query_id"), "text"), docs, 4).collect()
+    got = sparse.bm25_topk(asked.select("query_id", "text"), docs, 4)
+    assert got.schema["query_id"].dataType.simpleString() == kind.replace(": ", ":").replace(", ", ",")
+    name = {r.id: r.query_id for r in asked.collect()}
+    assert {(name[r.query_id], r["rank"], r.doc_id, r.score) for r in plain} == {(r.query_id, r["rank"], r.doc_id, r.score) for r in got.collect()}
+
+
 def test_ordered_dedup_and_limit(spark):
     frame = spark.createDataFrame([("machine learning machine ai learning",)], "text string")
     assert frame.select(querytext.keywords(F.col("text"))).first()[0] == ["machine", "learning"]

@@ -10,7 +10,7 @@ from oracle import compare, connect
 CATALOG = load_all()
 SAMPLE = [
     "bm25_topk", "bm25_evaluation", "dense_topk", "distance_search", "okapi_rerank", "hybrid_rerank", "weighted_fusion",
-    "variation_fusion", "score_fusion_strategies", "clean_html", "ingest_formulas", "sentences", "chunk_records", "page_offsets",
+    "variation_fusion", "strategy_weighted_fusion", "score_fusion_strategies", "clean_html", "ingest_formulas", "sentences", "chunk_records", "page_offsets",
     "document_guard", "url_check", "json_depth", "query_intents", "hybrid_routing", "query_expansion", "formula_search_queries",
     "constructed_queries", "technique_comparison", "chunk_size_sweep", "hypothetical_topk", "quantization_comparison", "daily_summary",
     "cache_lookup", "chunk_pages", "request_limiter", "counter_rates", "error_ratios", "alert_groups", "upserted_chunks",
