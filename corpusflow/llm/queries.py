@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import exact, extraction, fingerprints, jaccard, licenses, mixing, packing, quality, substrings, toxicity
+from corpusflow.llm import exact, extraction, fingerprints, jaccard, licenses, mixing, packing, quality, setsketch, substrings, toxicity
 from corpusflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,21 @@ def op9_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
 def op10_sequence_packing(spark: SparkSession, root: str) -> DataFrame:
     """Every piece of every document with the training sequence it goes to."""
     return packing.packed(table(spark, root, "documents"))
+
+
+@register(f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=LOWERED)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5
+        THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+""")
+def op13_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
+    """Groups of documents whose five-word shingles agree by 85 hundredths, found by banded SetSketch registers."""
+    return setsketch.near_duplicates(table(spark, root, "documents"), shingle=5, numerator=85, denominator=100)
