@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import exact, extraction, fingerprints, jaccard, licenses, mixing, packing, quality, setsketch, substrings, toxicity
+from corpusflow.llm import exact, extraction, fingerprints, jaccard, licenses, mixing, packing, phrases, quality, setsketch, substrings, toxicity
 from corpusflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,28 @@ def op10_sequence_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.packed(table(spark, root, "documents"))
 
 
+@register(f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({LOWERED}, '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY 1),
+o AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM w, unnest(range(1, 6)) AS u(k), unnest(range(1, len(ws) - k + 2)) AS v(i)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM o GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.k, c.a, cut, x.f AS l, y.f AS r, n, (1000 * c.a * n) // (x.f * y.f) AS score
+      FROM c CROSS JOIN unnest(range(1, 5)) AS u(cut) JOIN t USING (lang)
+      JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1:], ' ') WHERE cut < c.k),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, k, a, phrase, unnest(range(2, k)) AS m, ws FROM c),
+g AS (SELECT lang, array_to_string(ws[j:j + m - 1], ' ') AS phrase, max(a) AS most FROM i, unnest(range(1, k - m + 2)) AS v(j) GROUP BY ALL)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b LEFT JOIN g USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a) WHERE rank <= 2000
+""")
+def op12_phrase_collocations(spark: SparkSession, root: str) -> DataFrame:
+    """Each language's strongest collocations of two to five words."""
+    return phrases.collocations(table(spark, root, "documents"))
+
+
 @register(f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=LOWERED)} AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5
