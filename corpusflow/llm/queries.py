@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import exact, extraction, fingerprints, jaccard, licenses, mixing, packing, phrases, quality, setsketch, substrings, toxicity
+from corpusflow.llm import exact, extraction, fingerprints, hardneg, jaccard, licenses, mixing, packing, phrases, quality, setsketch, substrings, toxicity
 from corpusflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,22 @@ def op10_sequence_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.packed(table(spark, root, "documents"))
 
 
+@register("""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+""")
+def op11_hard_negatives(spark: SparkSession, root: str) -> DataFrame:
+    """Hard negatives of every anchor and positive among the embeddings."""
+    return hardneg.hard_negatives(table(spark, root, "embeddings"))
+
+
 @register(f"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({LOWERED}, '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
