@@ -1,10 +1,11 @@
 """Links inside buckets: from documents that share a bucket to connected components, without expanding a bucket.
 
 Candidate generation deals documents to buckets (prefix tokens, bands of a sketch). Here the members of a bucket are
-first compared with one centre. Members of buckets that still hold several components then meet in tiles: packs of at
-most about ``TILE`` members, compared as matrices inside a task, which hands over only each member's likeliest
-partners in other components. The number handed over grows from round to round until no member has more, so every
-possible link between components is confirmed on the full sets, each pair once.
+first compared with one centre, and those of large buckets that still hold several components with a few more.
+Members of the buckets that are left meet in tiles: packs of about ``TILE`` members, compared as matrices inside a
+task, which hands over only each member's likeliest partners in other components. The number handed over grows from
+round to round until no member has more, so every possible link between components is confirmed on the full sets,
+each pair once.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from corpusflow.llm.words import distinct_per_document, mix, shingle_hashes, wor
 from corpusflow.session import materialize
 
 TILE = 256
-FIRST_PARTNERS, MORE = 4, 4
+CENTRES = 4
+FIRST_PARTNERS, MORE = 8, 32
 
 
 def sets_of(batches, size: int):
@@ -152,6 +154,15 @@ def _partners(like: Likeness, most: int):
     return compare
 
 
+def _centre_pairs(members: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): members of each bucket with its seeded centres, where components differ and a link is possible."""
+    centre = [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("place"), "id", "n", "pos", "comp")) for k in range(CENTRES)]
+    centres = members.groupBy("token").agg(F.array_distinct(F.array(*[F.struct(c["id"].alias("id"), c["n"].alias("n"), c["pos"].alias("pos"), c["comp"].alias("comp")) for c in centre])).alias("c"))
+    met = members.join(centres.select("token", F.explode("c").alias("c")), "token").filter("comp <> c.comp")
+    met = met.filter(like.possible(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
+    return met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+
+
 def linked(entries: DataFrame, features: DataFrame, docs: DataFrame, like: Likeness, rule: Threshold) -> DataFrame:
     """(id, component) of the documents that link with another one.
 
@@ -160,35 +171,44 @@ def linked(entries: DataFrame, features: DataFrame, docs: DataFrame, like: Liken
     bucketed by id.
     """
     spark = docs.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = entries.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("c"), F.max("id").alias("last")).filter("last > c.id")
     buckets = materialize(entries.join(first.select("token", "c"), "token"), "buckets")
     name = f"texts_{uuid.uuid4().hex}"
     moved = docs.join(buckets.select("id").distinct(), "id").select("id", "text")
-    moved.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortBy("id").format("parquet").saveAsTable(name)
+    moved.write.bucketBy(shuffles, "id").sortBy("id").format("parquet").saveAsTable(name)
     try:
         texts = spark.table(name)
         star = (buckets.filter("id <> c.id").filter(like.possible(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
                 .select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct())
         checked = materialize(_judged_pairs(star, features, like), "pairs")
         links = materialize(confirmed(checked, texts, rule), "links")
-        members, most = buckets.select("token", "id", "n", "pos"), FIRST_PARTNERS
+        members, most, many = buckets.select("token", "id", "n", "pos"), FIRST_PARTNERS, True
         while True:
             found = materialize(components(links), "components")
-            # buckets of one component stay so; rounds read only the others, with features
+            # buckets of one component stay so; rounds read only the others
             placed = members.select("token", "id", "n", "pos").join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
             per = placed.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(
                 F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"), F.count("*").alias("comps")).filter("comps > 1")
-            opened = placed.join(per.select("token", "m", F.col("top.comp").alias("top")), "token").join(features.select("id", "feat").distinct(), "id")
-            members = materialize(opened, "open")
+            members = materialize(placed.join(per.select("token", "m", F.col("top.comp").alias("top")), "token"), "open")
             if members.isEmpty():
                 return found
-            tiles = F.ceil(F.col("m") / TILE)
-            tiled = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+            if many:  # large buckets once more with a few centres, before any matrix
+                many, large = False, members.filter(F.col("m") > TILE)
+                if not large.isEmpty():
+                    pairs = _judged_pairs(_centre_pairs(large, like).join(checked, ["a", "b"], "left_anti"), features, like)
+                    fresh = materialize(pairs, "pairs")
+                    links = materialize(links.unionByName(confirmed(fresh, texts, rule)), "links")
+                    checked = materialize(checked.unionByName(fresh), "pairs")
+                    continue
+            tiled = (members.join(features.select("id", "feat").distinct(), "id").withColumn("tiles", F.ceil(F.col("m") / TILE))
+                     .withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))))
             packs = F.collect_list(F.struct("id", "n", "pos", "comp", "feat"))
             left = (tiled.filter("comp <> top").groupBy("token", "tile", "tiles").agg(packs.alias("x"))
                     .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("token", F.col("other").alias("tile"), "x"))
             right = tiled.groupBy("token", "tile").agg(packs.alias("y"))
-            met = left.join(right, ["token", "tile"]).select("x", "y").mapInArrow(_partners(like, most), "a long, b long, more boolean")
+            # matrices cost much more than their bytes suggest, so they are dealt over all tasks
+            met = left.join(right, ["token", "tile"]).select("x", "y").repartition(shuffles).mapInArrow(_partners(like, most), "a long, b long, more boolean")
             pairs = materialize(met.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
             fresh = materialize(pairs.select("a", "b").join(checked, ["a", "b"], "left_anti"), "pairs")
             done = pairs.filter("more").isEmpty()
