@@ -6,24 +6,24 @@ the index already holds the digest (an anti-join that reads the index without sh
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpusflow.session import fresh_path
+from corpusflow.llm.names import row_hash, unused
+from corpusflow.session import fresh_path, materialize
 
 BUCKETS = 64
 
 
-@F.pandas_udf(T.StringType())
-def text_digest(texts: pd.Series) -> pd.Series:
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def text_digest(text) -> Column:
     """SHA-256 of the text in UTF-8 with A-Z lower-cased; null counts as empty."""
-    # bytes.lower() changes A-Z alone, str.lower() would change other letters too
-    return pd.Series([hashlib.sha256((t or "").encode("utf-8").lower()).hexdigest() for t in texts], dtype="object")
+    # lower() would change letters beyond A-Z too
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER).cast("binary"), 256)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -44,6 +44,9 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def ingest(self, hashed: DataFrame) -> None:
         """Add the digests that the index does not hold yet.
 
@@ -69,6 +72,7 @@ def deduplicated(docs: DataFrame, index: DigestIndex | None = None, batches: int
     text one is kept. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
+    own = index is None
     index = index or DigestIndex(spark)
     path = fresh_path(spark, "digests")
     digests(docs).write.parquet(path)  # the texts are read and hashed once
@@ -88,6 +92,9 @@ def deduplicated(docs: DataFrame, index: DigestIndex | None = None, batches: int
     rows = hashed.groupBy("digest", "doc_id").agg(F.count("*").alias("repeats"))
     sizes = rows.groupBy("digest").agg(F.sum("repeats").alias("group_size"))
     kept = index.read().select("digest", "keep_id")
+    if own:  # an index of this call alone leaves no table behind
+        kept = materialize(kept, "kept")
+        index.drop()
     return (
         rows.join(sizes, "digest").join(kept, "digest")
         .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
@@ -100,9 +107,12 @@ def deduplicated(docs: DataFrame, index: DigestIndex | None = None, batches: int
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts the largest doc_id, null ids last.
 
-    Of rows that repeat both doc_id and text one stays.
+    Of rows that repeat both doc_id and text one stays, the one with the smallest hash of its other columns. Columns may
+    have any names: helper names are made so that ``docs`` does not use them. An empty table stays empty.
     """
-    marks = deduplicated(docs).filter("kept").select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    hashed = docs.withColumn("__sha", text_digest(F.col("text").cast("string")))
-    found = hashed.join(marks, F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")))
-    return found.dropDuplicates(["__keep_id", "__keep_sha"]).select(*docs.columns)
+    keep_id, keep_sha, sha, place = (unused(docs, n) for n in ("keep_id", "keep_sha", "sha", "place"))
+    marks = deduplicated(docs).filter("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
+    hashed = docs.withColumn(sha, text_digest(F.col("text").cast("string")))
+    found = hashed.join(marks, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(sha) == F.col(keep_sha)))
+    first = Window.partitionBy(keep_id, keep_sha).orderBy(row_hash(docs))
+    return found.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).select(*docs.columns)

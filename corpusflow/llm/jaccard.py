@@ -2,14 +2,12 @@
 
 Every document becomes a set of shingle tokens in one global order, rare ones first. Two sets whose Jaccard
 similarity reaches the threshold share a token within their prefixes, so documents meet in the buckets of their
-prefix tokens. A bucket is never expanded into all of its pairs: members are first compared with one centre, for as
-long as that joins many, then members outside their bucket's largest component meet the others. Only pairs within one
-component are left out, so no link between components is lost.
+prefix tokens (``buckets.linked``): with one centre first, then in tiles with members of other components. Only pairs
+within one component are left out, so no link between components is lost, and each pair is confirmed once.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,23 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.graph import components
-from corpusflow.llm.words import distinct_per_document, mix, shingle_hashes, word_runs
+from corpusflow.llm.buckets import Likeness, Threshold, classes_named, linked, set_digests, sets_of
+from corpusflow.llm.names import unused
+from corpusflow.llm.words import mix
 from corpusflow.session import materialize
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
-SKETCH_BITS = 22  # counters of the frequency sketch: a fixed 4 MB once quantised, at any corpus size
+SKETCH_BITS = 22  # counters of the frequency sketch: a fixed 4 MB of saturating bytes, at any corpus size
 CHUNK_BITS = 16
-PARITY_BITS = 512
-
-
-def _sets(batches, size: int):
-    """(doc_id values, per document: sorted distinct shingle hashes) for runs of documents."""
-    for batch in batches:
-        ids = batch.column(0)
-        for words in word_runs(batch.column(1), lower=True):
-            h, d = distinct_per_document(*shingle_hashes(words, words.hashes(), size))
-            yield ids.slice(words.first, words.count), h, d, words.count
+COUNT_AT_ONCE = 1 << 18
+PARTS = 64
 
 
 def _frequency_ranks(docs: DataFrame, size: int) -> np.ndarray:
@@ -45,21 +36,25 @@ def _frequency_ranks(docs: DataFrame, size: int) -> np.ndarray:
     counters, chunk = 1 << SKETCH_BITS, 1 << CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, dtype=np.uint32)
+        total = np.zeros(counters, dtype=np.uint8)
+
+        def put(waiting):
+            place, more = np.unique(np.concatenate(waiting), return_counts=True)
+            total[place] = np.minimum(total[place] + more, 255)
+
         waiting, held = [], 0
-        for _, h, _, _ in _sets(batches, size):
+        for _, h, _, _ in sets_of(batches, size):
             waiting.append((h >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
             held += len(h)
-            if held > counters:
-                total += np.bincount(np.concatenate(waiting), minlength=counters).astype(np.uint32)
+            if held > COUNT_AT_ONCE:
+                put(waiting)
                 waiting, held = [], 0
         if held:
-            total += np.bincount(np.concatenate(waiting), minlength=counters).astype(np.uint32)
+            put(waiting)
         if total.any():
-            small = np.minimum(total, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(counters // chunk), pa.int64()),
-                 pa.array([small[i: i + chunk].tobytes() for i in range(0, counters, chunk)], pa.binary())], ["chunk", "counts"])
+                 pa.array([total[i: i + chunk].tobytes() for i in range(0, counters, chunk)], pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -92,103 +87,53 @@ def _sorted_tokens(h: np.ndarray, d: np.ndarray, ranks: np.ndarray) -> np.ndarra
     return tokens
 
 
-def _digests(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, d1, d2): set size and a 128-bit digest of every document's set."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, h, d, count in _sets(batches, size):
-            bounds = np.searchsorted(d, np.arange(count + 1))
-            sums = []
-            for salt in (0, 0xC2B2AE3D27D4EB4F):
-                total = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(mix(h ^ np.uint64(salt)), out=total[1:])
-                sums.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(bounds), pa.int64()), *sums], ["id", "n", "d1", "d2"])
-
-    return docs.select("doc_id", "text").mapInArrow(digest, "id long, n long, d1 long, d2 long")
-
-
 def _profiles(docs: DataFrame, size: int, num: int, den: int, ranks) -> DataFrame:
-    """Set size n, parity bits and prefix tokens of every document, beside its id and text."""
+    """(id, n, d1, d2, feat, prefix): set size, digest, part sizes and prefix tokens of every document."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
-        for batch in batches:
-            first = 0
-            for ids, h, d, count in _sets([batch], size):
-                tokens = _sorted_tokens(h, d, table)
-                bounds = np.searchsorted(d, np.arange(count + 1))
-                n = np.diff(bounds)
-                flips = np.bincount(d * PARITY_BITS + (mix(h ^ np.uint64(0x94D049BB133111EB)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=count * PARITY_BITS)
-                bits = np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64)
-                length = np.where(n > 0, n - (n * num + den - 1) // den + 1, 0)
-                skip = np.repeat(bounds[:-1] - (np.cumsum(length) - length), length)
-                prefix = tokens[np.arange(len(skip)) + skip] if len(skip) else tokens[:0]
-                offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    ids.cast(pa.int64()), pa.array(n, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(bits)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), batch.column(1).slice(first, count),
-                ], ["id", "n", "bits", "prefix", "text"])
-                first += count
-
-    return docs.select("doc_id", "text").mapInArrow(profile, "id long, n long, bits array<long>, prefix array<long>, text string")
-
-
-def _common(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb, common) of the text pairs (a, b, ta, tb): sizes of both sets and of what they share."""
-    for batch in batches:
-        sides = []
-        for k in (2, 3):
-            rows, hashes = [], []
-            for words in word_runs(batch.column(k), lower=True):
-                h, d = distinct_per_document(*shingle_hashes(words, words.hashes(), size))
-                rows.append(d + words.first)
-                hashes.append(h)
-            sides.append((np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64)))
-        sizes = [np.bincount(r, minlength=batch.num_rows) for r, _ in sides]
-        row, h = np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides])
-        order = np.lexsort((h, row))
-        row, h = row[order], h[order]
-        twice = (row[1:] == row[:-1]) & (h[1:] == h[:-1])
-        both = np.bincount(row[1:][twice], minlength=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.astype(np.int64)) for x in (*sizes, both))],
-                                         ["a", "b", "na", "nb", "common"])
-
-
-def _may_link(a: str, b: str, num: int, den: int):
-    """Length and positional filter for two members of a bucket (columns a_n, a_pos, b_n, b_pos).
-
-    Tokens before a shared one can match at most min(pos) times, tokens behind it at most the shorter rest.
+        for ids, h, d, count in sets_of(batches, size):
+            n, sums = set_digests(h, d, count)
+            tokens = _sorted_tokens(h, d, table)
+            parts = np.bincount(d * PARTS + (mix(h ^ np.uint64(0x94D049BB133111EB)) % np.uint64(PARTS)).astype(np.int64), minlength=count * PARTS)
+            parts = np.minimum(parts, 65535).astype(np.uint16).reshape(count, PARTS)
+            length = np.where(n > 0, n - (n * num + den - 1) // den + 1, 0)
+            skip = np.repeat(np.cumsum(n) - n - (np.cumsum(length) - length), length)
+            prefix = tokens[np.arange(len(skip)) + skip] if len(skip) else tokens[:0]
+            offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                ids.cast(pa.int64()), pa.array(n, pa.int64()), *map(pa.array, sums), pa.array([p.tobytes() for p in parts], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))], ["id", "n", "d1", "d2", "feat", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(profile, "id long, n long, d1 long, d2 long, feat binary, prefix array<long>")
+
+
+def likeness(num: int, den: int) -> Likeness:
+    """Length and positional filter for two members of a bucket, and the suffix filter.
+
+    Tokens before a shared one can match at most min(pos) times, tokens behind it at most the shorter rest. The suffix
+    filter splits the token space into ``PARTS`` parts: the two sets differ in at least as many tokens as their parts
+    differ in size, which bounds their similarity from above.
     """
-    na, nb, pa_, pb = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (most * (num + den) >= (na + nb) * num)
-
-
-def _near_enough(a_bits, b_bits, na, nb, num: int, den: int):
-    """Suffix filter: a lower bound of the Hamming distance of two sets against the most that linked sets can have.
-
-    Every token flips one of the parity bits, so the bits in which two sets differ are no more than their different tokens.
-    """
-    apart = sum((F.bit_count(a_bits[i].bitwiseXOR(b_bits[i])) for i in range(1, PARITY_BITS // 64)), F.bit_count(a_bits[0].bitwiseXOR(b_bits[0])))
-    return apart * (num + den) <= (na + nb) * (den - num)
-
-
-def _verified(pairs: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that really link, each verified once.
-
-    ``reps`` is bucketed by id, so only the pairs move: first to a's size and bits, then to b's for the suffix filter,
-    and those that pass in the same way to the texts.
-    """
-    sizes = reps.select("id", "n", "bits")
-    left, right = (sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    near = (pairs.join(left, "a").join(right, "b")
-            .filter(_near_enough(F.col("bits_a"), F.col("bits_b"), F.col("na"), F.col("nb"), num, den)).select("a", "b"))
-    texts = (near.join(reps.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-             .join(reps.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
-    shared = texts.select("a", "b", "ta", "tb").mapInArrow(lambda batches: _common(batches, size), "a long, b long, na long, nb long, common long")
-    return shared.filter(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select("a", "b")
+    def possible(na, pos_a, nb, pos_b):
+        most = F.least(pos_a, pos_b) + 1 + F.least(na - pos_a - 1, nb - pos_b - 1)
+        return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (most * (num + den) >= (na + nb) * num)
+
+    def score(na, pos_a, fa, nb, pos_b, fb):
+        total = na + nb
+        good = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
+        if pos_a is not None:
+            most = np.minimum(pos_a, pos_b) + 1 + np.minimum(na - pos_a - 1, nb - pos_b - 1)
+            good = good & (most * (num + den) >= total * num)
+        apart = np.zeros(good.shape, np.int64)
+        a, b = fa.view(np.uint16).astype(np.int32), fb.view(np.uint16).astype(np.int32)
+        if good.any():
+            for k in range(PARTS):  # part by part: no array of all pairs and parts at once
+                apart += np.abs(a[..., k] - b[..., k])
+        good = good & (apart * (num + den) <= total * (den - num))
+        return np.where(good, (total - apart) / np.maximum(total + apart, 1), -1.0)
+
+    return Likeness(possible, score)
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -200,72 +145,26 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int =
     one document for linking; rows with a null doc_id link with nothing and have a null component. Columns beyond
     doc_id and text are not read. An empty table gives an empty result.
     """
-    spark, num, den = docs.sparkSession, numerator, denominator
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = materialize(_digests(docs, shingle), "digests")
-    filled = digests.filter("n > 0 AND id IS NOT NULL")
-    classes = filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
     ranks = spark.sparkContext.broadcast(_frequency_ranks(docs, shingle))
-    found = _linked(docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), ranks, shingle, num, den)
-    named = digests.join(classes, ["n", "d1", "d2"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                        F.coalesce("component", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).alias("component_id"))
+    profiles = materialize(_profiles(docs, shingle, numerator, denominator, ranks), "profiles")
 
+    def link(reps: DataFrame) -> DataFrame:
+        own = profiles.filter("n > 0").join(reps.withColumnRenamed("rep", "id"), "id", "left_semi")
+        features = materialize(own.select("id", "n", "feat").distinct(), "features")
+        entries = own.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "n", F.col("pos").cast("long").alias("pos"))
+        return linked(entries, features, docs.withColumnRenamed("doc_id", "id"), likeness(numerator, denominator), Threshold(shingle, numerator, denominator))
 
-def _linked(docs: DataFrame, ranks, shingle: int, num: int, den: int) -> DataFrame:
-    """(id, component) of the documents that link with another one."""
-    spark = docs.sparkSession
-    # bucketed by id, as the join by doc_id has dealt the rows, so that no later join moves the texts again
-    name = f"jaccard_{uuid.uuid4().hex}"
-    buckets_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _profiles(docs, shingle, num, den, ranks).write.bucketBy(buckets_n, "id").sortBy("id").format("parquet").saveAsTable(name)
-    reps = spark.table(name)
-    entries = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
-    buckets = materialize(entries.join(shared, "token"), "buckets")
-    centres = buckets.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("c"))
-
-    # every member against the first document of one of its buckets
-    star = buckets.select("token", F.struct("id", "n", "pos").alias("x")).join(centres, "token").filter("x.id <> c.id").filter(_may_link("x", "c", num, den))
-    pairs = star.groupBy(F.col("x.id").alias("b")).agg(F.min("c.id").alias("a"))
-    links = materialize(_verified(pairs, reps, shingle, num, den), "links")
-    affordable, before = 8 * buckets.count(), None
-    while True:
-        found = materialize(components(links), "components")
-        placed = (buckets.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-                  .select("token", F.struct("comp", *[c for c in buckets.columns if c != "token"]).alias("x")))
-        mixed = placed.groupBy("token").agg(F.min("x.comp").alias("lo"), F.max("x.comp").alias("hi")).filter("lo < hi").select("token")
-        still = placed.join(mixed, "token", "left_semi").select("token", "x.*")
-        if "bits" not in buckets.columns:
-            still = still.join(reps.select("id", "bits"), "id")
-        # buckets of one component stay so; later rounds read only the others
-        open_ = materialize(still.select("token", F.struct("id", "n", "pos", "comp", "bits").alias("x")), "open")
-        buckets = open_.select("token", "x.id", "x.n", "x.pos", "x.bits")
-        per = open_.groupBy("token", "x.comp").agg(F.count("*").alias("k"))
-        major = per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"))
-        minors = open_.join(major.select("token", F.col("top.comp").alias("top")), "token").filter("x.comp <> top").select("token", "x")
-        # what is left: members outside their bucket's largest component against the whole bucket
-        left = major.agg(F.sum((F.col("m") - F.col("top.k")) * F.col("m"))).first()[0] or 0
-        last = left <= affordable or (before is not None and left > 0.75 * before)
-        before = left
-        near = minors.withColumnRenamed("x", "a") if last else minors.groupBy("token").agg(F.min("x").alias("a"))
-        pairs = (near.join(open_.withColumnRenamed("x", "b"), "token").filter("a.comp <> b.comp").filter(_may_link("a", "b", num, den))
-                 .filter(_near_enough(F.col("a.bits"), F.col("b.bits"), F.col("a.n"), F.col("b.n"), num, den))
-                 .select(F.greatest("a.id", "b.id").alias("b"), F.least("a.id", "b.id").alias("a")).distinct())
-        if not last:  # a link to one centre joins a member as well as links to many
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a"))
-        links = materialize(links.unionByName(_verified(pairs, reps, shingle, num, den)), "links")
-        if last:
-            break
-    found = materialize(components(links), "components")
-    spark.sql(f"DROP TABLE {name}")
-    return found
+    return classes_named(profiles, link)
 
 
 def one_per_component(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component stays: the smallest doc_id.
 
-    Rows with a null doc_id are in no component and stay. Of rows that share the staying doc_id all stay.
+    Rows with a null doc_id are in no component and stay. Of rows that share the staying doc_id all stay. Columns may
+    have any names: rows are compared by doc_id under a name that ``docs`` does not use. An empty table stays empty.
     """
-    found = jaccard_components(docs, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    dropped = unused(docs, "dropped")
+    found = jaccard_components(docs, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias(dropped)).distinct()
+    return docs.join(found, docs["doc_id"] == found[dropped], "left_anti")

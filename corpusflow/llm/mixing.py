@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.llm.names import row_hash, unused
 from corpusflow.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +16,7 @@ TOTAL_SHARE = 1.5
 MOST_REPEATS = 2
 SEED = 17
 HASH_BINS = 4096
+KNAPSACK_WORDS = 1 << 22
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -52,16 +54,19 @@ def fitted_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nd
         return counts.copy()
     take = np.floor(counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
     rest = int(budget - (lengths * take).sum())
-    longest = int(lengths.max(initial=0))
+    # sums are searched up to twice the longest document, but never beyond 2 * KNAPSACK_WORDS: still longer ones are only
+    # taken whole, largest first
+    longest = int(lengths[lengths <= KNAPSACK_WORDS].max(initial=0))
     # largest lengths first until the rest is about one longest document
     for i in np.argsort(-lengths, kind="stable"):
         if rest <= 2 * longest:
             break
         if lengths[i] > 0:
-            more = int(min(counts[i] - take[i], (rest - longest) // lengths[i]))
+            more = max(0, int(min(counts[i] - take[i], (rest - longest) // lengths[i])))
             take[i] += more
             rest -= more * int(lengths[i])
     items = []
+    rest = min(rest, 2 * KNAPSACK_WORDS)
     for i in np.argsort(-lengths, kind="stable"):
         left, size = min(int(counts[i] - take[i]), rest // max(1, int(lengths[i]))), 1
         while lengths[i] > 0 and left > 0:
@@ -149,11 +154,15 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: fl
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it, with all its columns.
 
-    Rows that repeat doc_id, source and text are one document, taken as often as all of them together.
+    Rows that repeat doc_id, source and text are one document, taken as often as all of them together; of such rows the
+    one with the smallest hash of its columns is taken. Columns may have any names: helper names are made so that
+    ``docs`` does not use them. Null texts and texts without words are not taken. An empty table stays empty.
     """
-    plan = (mixed(docs, **how).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"))
-            .agg(F.sum("repeats").alias("__repeats")).filter("__repeats > 0"))
-    once = docs.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__text"])
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__tie"))
-    copies = once.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__repeats"))))
+    key, source, tie, times, text, copy, place = (unused(docs, n) for n in ("key", "of_source", "tie", "times", "text_hash", "copy", "place"))
+    plan = (mixed(docs, **how).groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("tie").alias(tie))
+            .agg(F.sum("repeats").alias(times)).filter(F.col(times) > 0))
+    first = Window.partitionBy("doc_id", "source", text).orderBy(row_hash(docs))
+    once = docs.withColumn(text, F.xxhash64("text")).withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(text) == F.col(tie))
+    copies = once.join(plan, same).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
     return copies.select(*docs.columns)

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.llm.logistic import fitted, probability
+from corpusflow.llm.names import unused
+from corpusflow.session import materialize
 
 WINDOW_WORDS = 6
 LEVEL = 9
@@ -33,6 +35,7 @@ GRAM = 5
 #: The only samples: labelled rows that the dictionaries (per label) and the calibration are fitted on.
 TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS = 8_000, 24_000, 16_000
 THRESHOLD = 0.3
+AT_ONCE = 256  # rows of an Arrow batch that are Python objects at one time
 HELD_OUT, DICTIONARY_PARTS = 2, (0, 1)
 
 
@@ -55,6 +58,12 @@ def windows_of(words: list[bytes]) -> list[bytes]:
     return [b" " + b" ".join(words[i: i + WINDOW_WORDS]) + b" " for i in range(0, len(words), WINDOW_WORDS)]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(low, AT_ONCE)
+
+
 def _grams(word: bytes) -> set[bytes]:
     whole = b" " + word + b" "
     return {whole[i: i + GRAM] for i in range(len(whole) - GRAM + 1)}
@@ -101,28 +110,25 @@ def trained_dictionaries(docs: DataFrame) -> tuple[bytes, bytes] | None:
     sizes = {bool(r.toxic): r.n for r in docs.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    table = _word_table(docs).persist()
-    try:
-        rate_t = (F.col("toxic") + 0.1) / (sizes[True] + 1)
-        rate_o = (F.col("ordinary") + 0.1 * sizes[False] / sizes[True]) / (sizes[False] + 1)
-        known = table.filter(F.col("toxic") >= max(4, sizes[True] // 500)).filter(rate_t / rate_o > MARK_ODDS)
-        # no more rows than the dictionaries can hold come to the driver
-        marks = _cut([bytes(r.word) for r in known.orderBy(F.desc("toxic"), "word").limit(MARK_BYTES // 2).collect()], MARK_BYTES)
-        marked = set(marks)
-        uses = table.orderBy(F.desc("uses"), "word").limit(COMMON_BYTES // 2 + len(marks)).collect()
-        common = _cut([w for w in (bytes(r.word) for r in uses) if w not in marked], COMMON_BYTES)
-        grams = set().union(*map(_grams, marks)) if marks else set()
-
-        def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                shared = [0 if bytes(w) in marked else GRAM * len(_grams(bytes(w)) & grams) for w in frame["word"]]
-                frame["alike"] = np.array(shared, dtype=np.int64) * frame["uses"]
-                yield frame.loc[frame["alike"] > 0, ["word", "alike"]]
-
-        close = table.select("word", "uses").mapInPandas(alike, "word binary, alike long")
-        near = _cut([bytes(r.word) for r in close.orderBy(F.desc("alike"), "word").limit(MARK_BYTES // 2).collect()], len(_joined(marks)) + 1)
-    finally:
-        table.unpersist()
+    table = materialize(_word_table(docs), "words")
+    rate_t = (F.col("toxic") + 0.1) / (sizes[True] + 1)
+    rate_o = (F.col("ordinary") + 0.1 * sizes[False] / sizes[True]) / (sizes[False] + 1)
+    known = table.filter(F.col("toxic") >= max(4, sizes[True] // 500)).filter(rate_t / rate_o > MARK_ODDS)
+    # no more rows than the dictionaries can hold come to the driver
+    marks = _cut([bytes(r.word) for r in known.orderBy(F.desc("toxic"), "word").limit(MARK_BYTES // 2).collect()], MARK_BYTES)
+    marked = set(marks)
+    uses = table.orderBy(F.desc("uses"), "word").limit(COMMON_BYTES // 2 + len(marks)).collect()
+    common = _cut([w for w in (bytes(r.word) for r in uses) if w not in marked], COMMON_BYTES)
+    grams = set().union(*map(_grams, marks)) if marks else set()
+
+    def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            shared = [0 if bytes(w) in marked else GRAM * len(_grams(bytes(w)) & grams) for w in frame["word"]]
+            frame["alike"] = np.array(shared, dtype=np.int64) * frame["uses"]
+            yield frame.loc[frame["alike"] > 0, ["word", "alike"]]
+
+    close = table.select("word", "uses").mapInPandas(alike, "word binary, alike long")
+    near = _cut([bytes(r.word) for r in close.orderBy(F.desc("alike"), "word").limit(MARK_BYTES // 2).collect()], len(_joined(marks)) + 1)
     return _joined(marks) + _joined(common), _joined(near) + _joined(common)
 
 
@@ -151,8 +157,8 @@ class Distance:
         return out
 
 
-def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with one more column, __toxic_score; see ``toxicity``."""
+def _judged(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """``docs`` with one more column, ``name``, for the score; see ``toxicity``."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -169,7 +175,7 @@ def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             distance = Distance(sides.value)
-            for batch in batches:
+            for batch in sliced(batches):
                 found = [distance.features(t).tolist() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["toxic", "features"])
 
@@ -183,14 +189,14 @@ def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(sides.value) if model is not None else None
-        for batch in batches:
+        for batch in sliced(batches):
             if distance is None or not batch.num_rows:
                 score = np.full(batch.num_rows, share)
             else:
                 score = probability(model, np.array([distance.features(t) for t in batch.column(at).cast(pa.string()).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "__toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("__toxic_score", T.DoubleType())]))
+    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -202,11 +208,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     that are null are left out, the largest of repeated ones counts. Without both labels the score is the share of
     toxic labels (0 without any). An empty table gives an empty result; other columns are not read.
     """
-    judged = _judged(docs.select("doc_id", "text"), labels)
-    score = F.col("__toxic_score")
+    judged = _judged(docs.select("doc_id", "text"), labels, "toxic_score")
+    score = F.col("toxic_score")
     return judged.select("doc_id", (part_of("doc_id") == HELD_OUT).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose own score stays below the threshold, with all their columns; see ``toxicity``."""
-    return _judged(docs, labels).filter(F.col("__toxic_score") < THRESHOLD).select(*docs.columns)
+    """The rows of ``docs`` whose own score stays below the threshold, with all their columns; see ``toxicity``.
+
+    Each row is judged by itself, so repeated rows share their fate. Columns may have any names.
+    """
+    name = unused(docs, "toxic_score")
+    return _judged(docs, labels, name).filter(F.col(name) < THRESHOLD).select(*docs.columns)
