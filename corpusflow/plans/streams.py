@@ -11,7 +11,7 @@ from corpusflow.plans.analytics import CACHE, EV, audit
 from corpusflow.plans.corpus import windows_sql
 from corpusflow.plans.registry import query
 from corpusflow.plans.timeseries import AUDIT, LIMIT, LOG_FIELDS, _hop, log_lines, parse_lines, seconds
-from corpusflow.streaming import jobs
+from corpusflow.streaming import jobs, stateful
 
 
 def _data(spark, path):
@@ -48,17 +48,17 @@ def stream_deduplicated(spark, root):
 
 @query("stream_request_limiter", "J4 J5", f"WITH {EV}, " + LIMIT.format(s=3600, key="service", limit=2))
 def stream_request_limiter(spark, root):
-    """Request limiter over the stream, counts carried between batches."""
-    path = jobs.drain(jobs.event_stream(spark, root), "limiter", jobs.rate_limit_sink(["service"], 2, 3600))
-    return _batches(spark, path).select("event_id", "window_start", "allowed", "remaining", "reset_time", "retry_after")
+    """Request limiter over the stream, counts kept as keyed state until their window is over."""
+    path = jobs.drain(stateful.limited(jobs.event_stream(spark, root), ["service"], 2, 3600), "limiter")
+    return _data(spark, path).select("event_id", "window_start", "allowed", "remaining", "reset_time", "retry_after")
 
 
 @query("stream_cache", "J8", f"WITH {CACHE} SELECT read_id, k, sec, w[1] AS cached_at, w[3] AS payload, w IS NOT NULL AS hit FROM looked")
 def stream_cache(spark, root):
     """Cache lookups over the stream, entries expiring after two hours."""
     kind = F.col("event_type")
-    sink = jobs.cache_sink(7200, kind.isin("view", "signup", "purchase"), kind.isin("click", "error"))
-    return _batches(spark, jobs.drain(jobs.event_stream(spark, root), "cache", sink))
+    found = stateful.cached(jobs.event_stream(spark, root), 7200, kind.isin("view", "signup", "purchase"), kind.isin("click", "error"))
+    return _data(spark, jobs.drain(found, "cache"))
 
 
 @query("stream_sessions", "J9", f"""WITH {EV}, g AS (SELECT user_id, us, sec, CASE WHEN us - lag(us) OVER w > 3600000000 OR lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us)),

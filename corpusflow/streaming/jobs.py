@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.operators import aggregates, monitoring
 from corpusflow.session import fresh_path
 from corpusflow.sources.tables import metric_roles
+from corpusflow.streaming.stateful import keyed_state
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
@@ -49,11 +49,12 @@ def drain(stream: DataFrame, name: str, sink: Callable[[DataFrame, int, str], No
     """
     path = path or fresh_path(stream.sparkSession, name)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True)
-    if sink is None:
-        query = writer.format(fmt).start(f"{path}/data")
-    else:
-        query = writer.foreachBatch(lambda batch, number: sink(batch, number, path)).start()
-    query.awaitTermination()
+    with keyed_state(stream.sparkSession):
+        if sink is None:
+            query = writer.format(fmt).start(f"{path}/data")
+        else:
+            query = writer.foreachBatch(lambda batch, number: sink(batch, number, path)).start()
+        query.awaitTermination()
     return path
 
 
@@ -129,61 +130,6 @@ def closed_sessions(events: DataFrame, gap: str = "1 hour") -> DataFrame:
         "user_id", "started", "ended", "n")
 
 
-def rate_limit_sink(keys: list[str], limit: int, seconds: int, lateness: int = 86_400):
-    """Sink for the request limiter.
-
-    Counts are kept for windows up to ``lateness`` seconds behind the newest one. A
-    request that comes later than that is refused, as its window is forgotten.
-
-    The state is one row per key and open window, in a folder per batch; a batch
-    reads the state of the batch before and writes its own, so a replay repeats
-    the same step.
-    """
-
-    def sink(batch: DataFrame, number: int, path: str) -> None:
-        spark = batch.sparkSession
-        numbered = monitoring.fixed_window_limit(batch, keys, limit, seconds)
-        if number > 0:
-            used = spark.read.parquet(f"{path}/state/batch={number - 1}")
-            newest = used.agg(F.max("window_start")).first()[0]
-            # Places left in a window that earlier batches have begun.
-            earlier = F.coalesce("_used", F.lit(0))
-            numbered = numbered.join(used, [*keys, "window_start"], "left").withColumn("_n", F.lit(limit) - F.col("remaining") + earlier)
-            in_time = F.lit(True) if newest is None else F.col("window_start") >= newest - lateness
-            fits = F.col("allowed") & (F.col("_n") <= limit) & in_time
-            numbered = numbered.withColumns({
-                "allowed": fits, "remaining": F.when(fits, F.lit(limit) - F.col("_n")).otherwise(0).cast("long"),
-                "retry_after": F.when(fits, 0).otherwise(F.col("reset_time") - F.col("sec")).cast("long")}).drop("_n", "_used")
-        numbered.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
-        done = spark.read.parquet(f"{path}/data/batch={number}")
-        counts = done.filter("allowed").groupBy(*keys, "window_start").agg(F.count("*").alias("_used"))
-        if number > 0:
-            counts = counts.unionByName(used).groupBy(*keys, "window_start").agg(F.sum("_used").alias("_used"))
-            ahead = [t for t in (newest, done.agg(F.max("window_start")).first()[0]) if t is not None]
-            if ahead:
-                counts = counts.filter(F.col("window_start") >= max(ahead) - lateness)
-        counts.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
-
-    return sink
-
-
-def cache_sink(ttl: int, is_write, is_read):
-    """Sink for cache lookups: the latest write per key is carried from batch to batch until it expires."""
-
-    def sink(batch: DataFrame, number: int, path: str) -> None:
-        spark = batch.sparkSession
-        writes = batch.filter(is_write).select("k", "sec", F.col("event_id").alias("order"), "value")
-        reads = batch.filter(is_read).select(F.col("event_id").alias("read_id"), "k", "sec")
-        if number > 0:
-            writes = writes.unionByName(spark.read.parquet(f"{path}/state/batch={number - 1}"))
-        aggregates.latest_before(reads, writes, "k", "sec", ttl, "value").write.mode("overwrite").parquet(f"{path}/data/batch={number}")
-        last = writes.groupBy("k").agg(F.max(F.struct("sec", "order", "value")).alias("w")).select("k", "w.sec", "w.order", "w.value")
-        newest = writes.agg(F.max("sec")).scalar()
-        last.filter(F.col("sec") > newest - ttl).write.mode("overwrite").parquet(f"{path}/state/batch={number}")
-
-    return sink
-
-
 def completions(events: DataFrame, timeout: str = "12 hours", how: str = "inner") -> DataFrame:
     """Submitted and completed events of one user joined within the timeout; outer joins report lost ones when time is up."""
     submitted = events.filter("event_type = 'view'").select(F.col("event_id").alias("submitted_id"), F.col("user_id").alias("s_user"), F.col("at").alias("s_at"), F.col("us").alias("s_us"))

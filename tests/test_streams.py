@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators import aggregates, monitoring
 from corpusflow.session import fresh_path
 from corpusflow.sources.tables import events
-from corpusflow.streaming import jobs
+from corpusflow.streaming import jobs, stateful
 
 
 @pytest.fixture(scope="module")
@@ -30,24 +30,63 @@ def batches(spark, path):
     return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data/batch=*")
 
 
-def test_limiter_over_batches(spark, root, parts):
-    path = jobs.drain(stream(spark, parts), "limiter", jobs.rate_limit_sink(["service"], 3, 86400))
-    rows = batches(spark, path)
-    assert rows.select("batch").distinct().count() >= 4
+def grown(spark, root, folder, build):
+    """Run ``build`` over one more file at a time, each run a restart from the checkpoint; the rows written."""
+    path = fresh_path(spark, "out")
+    for i in range(4):
+        frame = spark.read.parquet(f"{root}/events.parquet")
+        frame.filter(F.expr(f"event_id div 250 = {i}")).coalesce(1).write.parquet(f"{folder}/p{i}")
+        jobs.drain(build(stream(spark, folder)), "restarted", path=path)
+    return spark.read.parquet(f"{path}/data")
+
+
+text = lambda rows: sorted(tuple(str(x) for x in r) for r in rows)
+
+
+@pytest.mark.parametrize("restarts", [False, True])
+def test_limiter_state_outlives_batches_and_restarts(spark, root, parts, restarts):
+    build = lambda events_: stateful.limited(events_, ["service"], 3, 86400)
+    rows = grown(spark, root, fresh_path(spark, "parts"), build) if restarts else spark.read.parquet(f"{jobs.drain(build(stream(spark, parts)), 'limiter')}/data")
     want = monitoring.fixed_window_limit(events(spark, root), ["service"], 3, 86400)
-    columns = ["event_id", "allowed", "remaining", "retry_after"]
-    assert sorted(map(tuple, rows.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    columns = ["service", "event_id", "window_start", "allowed", "remaining", "reset_time", "retry_after"]
+    assert text(rows.select(*columns).collect()) == text(want.select(*columns).collect())
 
 
-def test_cache_over_batches(spark, root, parts):
+@pytest.mark.parametrize("restarts", [False, True])
+def test_cache_state_outlives_batches_and_restarts(spark, root, parts, restarts):
     kind = F.col("event_type")
-    path = jobs.drain(stream(spark, parts), "cache", jobs.cache_sink(72000, kind == "view", kind == "click"))
+    build = lambda events_: stateful.cached(events_, 72000, kind == "view", kind == "click")
+    rows = grown(spark, root, fresh_path(spark, "parts"), build) if restarts else spark.read.parquet(f"{jobs.drain(build(stream(spark, parts)), 'cache')}/data")
     ev = events(spark, root)
     want = aggregates.latest_before(ev.filter(kind == "click").select(F.col("event_id").alias("read_id"), "k", "sec"),
                                     ev.filter(kind == "view").select("k", "sec", F.col("event_id").alias("order"), "value"), "k", "sec", 72000, "value")
     columns = ["read_id", "cached_at", "payload", "hit"]
-    key = lambda r: tuple(str(x) for x in r)
-    assert sorted(map(key, batches(spark, path).select(*columns).collect())) == sorted(map(key, want.select(*columns).collect()))
+    assert text(rows.select(*columns).collect()) == text(want.select(*columns).collect())
+    assert {r.hit for r in rows.collect()} == {True, False}
+
+
+def test_state_follows_the_keys_touched_and_expires(spark):
+    """A batch writes the state of its own keys only, and a timer removes what the watermark has passed."""
+    folder, path = fresh_path(spark, "keys"), fresh_path(spark, "out")
+    day = dt.datetime(2024, 1, 1)
+
+    def run(number, made):
+        rows = [(number * 100 + i, day + dt.timedelta(hours=h), 1, kind, 1.0, f'{{"k": {k}}}') for i, (k, h, kind) in enumerate(made)]
+        spark.createDataFrame(rows, jobs.EVENT_SCHEMA).coalesce(1).write.parquet(f"{folder}/p{number}")
+        kind = F.col("event_type")
+        out = stateful.cached(stream(spark, folder), 7200, kind == "view", kind == "click")
+        with stateful.keyed_state(spark):
+            query = out.writeStream.option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).format("parquet").start(f"{path}/data")
+            query.awaitTermination()
+        return [p.stateOperators[0] for p in query.recentProgress]
+
+    assert run(0, [(k, 0, "view") for k in range(40)])[0].numRowsTotal >= 40
+    before = run(1, [(3, 1, "click"), (50, 1, "view")])
+    # a key's list has one entry and its length; forty untouched keys are not written again
+    assert sum(p.numRowsUpdated for p in before) < 40
+    later = run(2, [(99, 30, "view")]) + run(3, [(99, 31, "click")])
+    assert later[-1].numRowsTotal < before[0].numRowsTotal / 4  # the state of all earlier keys is gone
+    assert sorted((r.k, r.hit) for r in spark.read.parquet(f"{path}/data").collect()) == [(3, True), (99, True)]
 
 
 def test_counts_over_batches(spark, root, parts):
