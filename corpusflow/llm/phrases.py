@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from corpusflow.session import materialize
 LONGEST, LEAST, TOP = 5, 100, 2000
 CHUNK_BYTES = 2 << 20
 HELD_BYTES = 16 << 20
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 BITS = 48
 _SEPARATES = np.zeros(256, dtype=bool)
 _SEPARATES[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -81,7 +83,7 @@ class Chunk:
     """Words of a chunk, the piece each is in, and prefix polynomials over their hashes."""
 
     def __init__(self, lang: str, body: bytes):
-        self.data = np.frombuffer(body, dtype=np.uint8)
+        self.body, self.data = body, np.frombuffer(body, dtype=np.uint8)
         separates = _SEPARATES[self.data]
         solid = ~(separates | _BLANK[self.data])
         edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).view(np.int8)))
@@ -116,8 +118,8 @@ class Chunk:
         seen: dict[bytes, int] = {}  # two words with one hash
         return np.array([seen.setdefault(self.data[s:e].tobytes(), len(seen)) for s, e in zip(self.starts, self.ends)])
 
-    def text(self, at: int, n: int) -> str:
-        return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[at: at + n], self.ends[at: at + n])).decode("utf-8")
+    def text(self, at: int, n: int) -> bytes:
+        return b" ".join(self.body[s:e] for s, e in zip(self.starts[at: at + n].tolist(), self.ends[at: at + n].tolist()))
 
 
 def _short(h: np.ndarray) -> np.ndarray:
@@ -213,13 +215,11 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
 
         def texts(own: pa.Table, flags: pa.Table) -> pa.Table:
             out = []
-            for lang, body in zip(own.column("lang").to_pylist(), own.column("body")):
+            for lang, body, chunk in zip(own.column("lang").to_pylist(), own.column("body"), own.column("chunk").to_pylist()):
                 mine, known = Chunk(lang, body.as_buffer().to_pybytes()), _known(flags)
-                out.append(([lang], [0], [None], [len(mine.words)]))
-                if not len(known):
-                    continue
-                exact = mine.exact_words()
-                for n in range(1, longest + 1):
+                found: dict[int, list[tuple]] = {chunk % parts: [(0, None, len(mine.words))]}
+                exact = mine.exact_words() if len(known) else None
+                for n in range(1, longest + 1) if len(known) else ():
                     at, h = mine.grams(n)
                     take = _among(_short(h), known)
                     at, h = at[take], h[take]
@@ -227,29 +227,36 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
                         continue
                     _, first, number, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                     model = at[first][number]
-                    if all((exact[at + k] == exact[model + k]).all() for k in range(n)):
-                        models, counts = at[first].tolist(), count.tolist()
-                    else:  # two phrases with one fingerprint
+                    if not all((exact[at + k] == exact[model + k]).all() for k in range(n)):  # two phrases with one fingerprint
                         _, first, count = np.unique(np.stack([exact[at + k] for k in range(n)], axis=1), axis=0, return_index=True, return_counts=True)
-                        models, counts = at[first].tolist(), count.tolist()
-                    out.append(([lang] * len(models), [n] * len(models), [mine.text(m, n) for m in models], counts))
-            if not out:
-                return _COUNTED.empty_table()
-            return pa.table([pa.array(sum((o[k] for o in out), []), t) for k, t in enumerate(_COUNTED.types)], schema=_COUNTED)
+                    for m, c in zip(at[first].tolist(), count.tolist()):
+                        text = mine.text(m, n)
+                        found.setdefault(zlib.crc32(text) % parts, []).append((n, text, c))
+                for part, rows in found.items():
+                    out.append((lang, part, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
+            return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate(_TEXTS.types)], schema=_TEXTS)
+
+        def exact_counts(table: pa.Table) -> pa.Table:
+            own = pa.table({c: table.column(c).combine_chunks().flatten() for c in ("words", "phrase", "f")})
+            own = own.group_by(["words", "phrase"]).aggregate([("f", "sum")])
+            own = own.filter(pc.or_(pc.equal(own.column("words"), 0), pc.greater_equal(own.column("f_sum"), least)))
+            lang = pa.array(table.column("lang").slice(0, 1).to_pylist() * own.num_rows, pa.string())
+            return pa.table([lang, own.column("words"), own.column("phrase").cast(pa.string()), own.column("f_sum")], ["lang", "words", "phrase", "f"])
 
         pairs = materialize(_frequent(chunks.mapInArrow(short_grams, "part long, chunk long, prints binary, counts binary"), least), "prints")
         longer = chunks.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(long_grams, "part long, chunk long, prints binary, counts binary")
         longer = materialize(_frequent(longer, least), "prints")
+        # the phrases of a chunk and part travel as one row
         found = chunks.groupBy("chunk").cogroup(pairs.unionByName(longer).groupBy("chunk")).applyInArrow(
-            texts, "lang string, words long, phrase string, f long")
-        counts = materialize(found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter((F.col("words") == 0) | (F.col("f") >= least)), "phrases")
+            texts, "lang string, part long, words array<long>, phrase array<binary>, f array<long>")
+        counts = materialize(found.groupBy("lang", "part").applyInArrow(exact_counts, "lang string, words long, phrase string, f long"), "phrases")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return counts.filter("words > 0"), counts.filter("words = 0").select("lang", F.col("f").alias("n"))
+    return counts.filter("words > 0"), counts.filter("words = 0").groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 _PACKED = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary())])
-_COUNTED = pa.schema([("lang", pa.string()), ("words", pa.int64()), ("phrase", pa.string()), ("f", pa.int64())])
+_TEXTS = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("words", pa.list_(pa.int64())), ("phrase", pa.list_(pa.binary())), ("f", pa.list_(pa.int64()))])
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP) -> DataFrame:
