@@ -156,6 +156,37 @@ def _packed(bags: DataFrame) -> DataFrame:
         T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", ints)]))
 
 
+def tile_hits(asking, words, weight, n_queries: int, doc, word, tf, length, n_words: int, k: int, average: float):
+    """(query, document, score) numbers of a block of queries and one of documents: at most k (and ties) a query and tile.
+
+    Queries are (asking, words, weight) triples, documents (doc, word, tf) triples sorted by document, words numbered in
+    common. Both are multiplied in tiles of at most ``BLOCK_CELLS`` cells.
+    """
+    gain = saturated_tf(tf, length[doc], average)
+    by_word = np.argsort(words, kind="stable")
+    asking, weight, words = asking[by_word], weight[by_word], words[by_word]
+    deep = max(1, BLOCK_CELLS // max(1, n_queries))
+    for low in range(0, len(length), deep):
+        first, last = np.searchsorted(doc, (low, low + deep))
+        rows = min(deep, len(length) - low)
+        scores = np.zeros((rows, n_queries))
+        wide = max(1, BLOCK_CELLS // max(rows, n_queries))
+        for left in range(0, n_words, wide):
+            right = min(left + wide, n_words)
+            inside = np.flatnonzero((word[first:last] >= left) & (word[first:last] < right)) + first
+            counts, matrix = np.zeros((rows, right - left)), np.zeros((right - left, n_queries))
+            counts[doc[inside] - low, word[inside] - left] = gain[inside]
+            a, b = np.searchsorted(words, (left, right))
+            matrix[words[a:b] - left, asking[a:b]] = weight[a:b]
+            scores += counts @ matrix
+        scores = np.round(scores, DIGITS)
+        found = scores > 0
+        if rows > k:
+            found &= scores >= np.partition(scores, rows - k, axis=0)[rows - k]
+        d, q = np.nonzero(found)
+        yield q, d + low, scores[d, q]
+
+
 def _scorer(k: int, average: float):
     def score(batches):
         for batch in batches:
@@ -172,31 +203,10 @@ def _scorer(k: int, average: float):
                 # only words that both blocks have, numbered anew
                 shared, word = np.unique(pc.drop_null(place).to_numpy(), return_inverse=True)
                 doc, tf = owner.to_numpy()[known], tfs.to_numpy()[known]
-                gain = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * (length[doc] / average)))
+                # words of the queries that the block has
                 both = np.isin(words, shared)
-                asking, weight, words = asking[both], weight[both], np.searchsorted(shared, words[both])
-                by_word = np.argsort(words, kind="stable")
-                asking, weight, words = asking[by_word], weight[by_word], words[by_word]
-                deep = max(1, BLOCK_CELLS // max(1, n_queries))
-                for low in range(0, len(ids), deep):
-                    first, last = np.searchsorted(doc, (low, low + deep))
-                    rows = min(deep, len(ids) - low)
-                    scores = np.zeros((rows, n_queries))
-                    wide = max(1, BLOCK_CELLS // max(rows, n_queries))
-                    for left in range(0, len(shared), wide):
-                        right = min(left + wide, len(shared))
-                        inside = np.flatnonzero((word[first:last] >= left) & (word[first:last] < right)) + first
-                        counts, matrix = np.zeros((rows, right - left)), np.zeros((right - left, n_queries))
-                        counts[doc[inside] - low, word[inside] - left] = gain[inside]
-                        a, b = np.searchsorted(words, (left, right))
-                        matrix[words[a:b] - left, asking[a:b]] = weight[a:b]
-                        scores += counts @ matrix
-                    scores = np.round(scores, DIGITS)
-                    found = scores > 0
-                    if rows > k:
-                        found &= scores >= np.partition(scores, rows - k, axis=0)[rows - k]
-                    d, q = np.nonzero(found)
-                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(q)), ids.take(pa.array(d + low)), pa.array(scores[d, q])], ["query_id", "doc_id", "score"])
+                for q, d, found in tile_hits(asking[both], np.searchsorted(shared, words[both]), weight[both], n_queries, doc, word, tf, length, len(shared), k, average):
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(q)), ids.take(pa.array(d)), pa.array(found)], ["query_id", "doc_id", "score"])
 
     return score
 

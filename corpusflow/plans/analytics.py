@@ -12,7 +12,7 @@ from corpusflow.plans import sqlparts as sql
 from corpusflow.plans.corpus import PAGE_TEXT, page_texts
 from corpusflow.plans.querytext import STOPS
 from corpusflow.plans.registry import query
-from corpusflow.plans.retrieval import CANDIDATES, OVERLAP, candidates, corpus
+from corpusflow.plans.retrieval import CANDIDATES, OVERLAP, candidates, corpus, corpus_index
 from corpusflow.sources.tables import events, queries_of, table
 
 # The query log: an event is a query; its k names the conversation that holds the question.
@@ -218,7 +218,7 @@ STAR = f"""{sql.bm25()}, r AS ({sql.ranked('scores', 10)})"""
 FROM r JOIN labels USING (doc_id) GROUP BY 1""")
 def feedback_by_rank(spark, root):
     """Share of helpful and used results per rank; labels stand for feedback."""
-    run = sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), 10)
+    run = corpus_index(spark, root).search(queries_of(spark, root), 10)
     share = lambda test: F.round(F.avg(F.when(test, 1.0).otherwise(0.0)), 9)
     return run.join(table(spark, root, "labels"), "doc_id").groupBy("rank").agg(
         F.count("*").alias("shown"), share(F.col("quality") == 1).alias("helpful"), share(F.col("toxic") == 0).alias("used"))
@@ -228,7 +228,7 @@ def feedback_by_rank(spark, root):
 JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id)""")
 def result_star_join(spark, root):
     """Results with their query, document and feedback."""
-    run = sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), 10)
+    run = corpus_index(spark, root).search(queries_of(spark, root), 10)
     asked = queries_of(spark, root).select("query_id", F.md5("text").alias("question"))
     docs = table(spark, root, "documents").select("doc_id", "lang", "source")
     feedback = table(spark, root, "labels").select("doc_id", "quality")
@@ -284,7 +284,7 @@ TOP3 = f"""{sql.bm25()}, t3 AS (SELECT r.query_id, r.doc_id, r.rank, r.score, so
 
 def top3(spark, root):
     docs = table(spark, root, "documents").select("doc_id", F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("title"), "source", "text")
-    return sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), 3).join(docs, "doc_id")
+    return corpus_index(spark, root).search(queries_of(spark, root), 3).join(docs, "doc_id")
 
 
 @query("prompt_context", "H23", f"""WITH {TOP3}, c AS (SELECT query_id, chr(10) || repeat('-', 80) || string_agg('Document ' || rank || ': ' || title || chr(10) || 'Source: ' || source || chr(10) ||

@@ -11,7 +11,7 @@ from corpusflow.plans import sqlparts as sql
 from corpusflow.plans.corpus import paragraph_packing_sql, sentence_packing_sql, windows_sql
 from corpusflow.plans.fusion import BOTH, RRF, dense_run, sparse_run
 from corpusflow.plans.registry import query
-from corpusflow.plans.retrieval import containment, corpus, vector_queries, vectors
+from corpusflow.plans.retrieval import containment, corpus, corpus_index, vector_queries, vectors
 from corpusflow.session import materialize
 from corpusflow.sources.tables import events, queries_of, spread, table
 
@@ -46,7 +46,7 @@ def graded_evaluation(spark, root):
     docs = table(spark, root, "documents")
     grade = (1 + (F.length("text") > 1000).cast("int") + (F.col("lang") == "en").cast("int")).alias("rel")
     qrels = containment(spark, root).drop("rel").join(docs.select("doc_id", grade), "doc_id")
-    run = sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), 100)
+    run = corpus_index(spark, root).search(queries_of(spark, root), 100)
     return evaluation.evaluate(run, qrels).withColumn("value", F.round("value", 9))
 
 

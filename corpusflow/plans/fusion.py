@@ -13,7 +13,7 @@ from corpusflow.operators.ranking import best_hits, min_max, stable, z_score
 from corpusflow.plans import sqlparts as sql
 from corpusflow.plans.querytext import STOPS
 from corpusflow.plans.registry import query
-from corpusflow.plans.retrieval import CANDIDATES, OKAPI, OVERLAP, candidates, corpus
+from corpusflow.plans.retrieval import CANDIDATES, OKAPI, OVERLAP, candidates, corpus, corpus_index
 from corpusflow.session import materialize
 from corpusflow.sources.tables import queries_of, table
 
@@ -41,7 +41,7 @@ def dense_run(spark, root, k=DEPTH):
 
 
 def sparse_run(spark, root, k=DEPTH):
-    return sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), k)
+    return corpus_index(spark, root).search(queries_of(spark, root), k)
 
 
 @query("hashed_embeddings", "L12 K1", f"""WITH e AS ({_counts('documents', 'doc_id')})
@@ -171,7 +171,7 @@ def variation_runs(spark, root):
     """All variations searched in one job."""
     varied = variations(spark, root)
     coded = varied.select(F.struct("query_id", "variation_id").alias("query_id"), "text")
-    run = sparse.bm25_topk(coded, corpus(spark, root), 20)
+    run = corpus_index(spark, root).search(coded, 20)
     plain = run.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.variation_id").alias("variation_id"), "doc_id", "score", "rank")
     return plain.join(varied.select("query_id", "variation_id", "confidence"), ["query_id", "variation_id"])
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import token_count
 from corpusflow.operators import dense, sparse
 from corpusflow.operators.evaluation import evaluate
 from corpusflow.operators.judgments import contained_in
 from corpusflow.operators.ranking import best_hits, stable
+from corpusflow.operators.termindex import index_of
 from corpusflow.plans import sqlparts as sql
 from corpusflow.plans.registry import query
 from corpusflow.session import materialize
@@ -19,6 +19,11 @@ def corpus(spark, root):
     return spread(table(spark, root, "documents").select("doc_id", "text"))
 
 
+def corpus_index(spark, root):
+    """The corpus as a stored inverted index."""
+    return index_of(spark, root, corpus(spark, root))
+
+
 def vectors(spark, root):
     return table(spark, root, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
 
@@ -38,33 +43,32 @@ SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM (
 GROUP BY term""")
 def bm25_index_terms(spark, root):
     """Inverted-index statistics: document frequency and occurrences of every word."""
-    posts = sparse.postings(corpus(spark, root))
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    return corpus_index(spark, root).occurrences()
 
 
 @query("bm25_corpus_stats", "E5", rf"""
 SELECT count(*) AS n_docs, round(avg(len({sql.WORDS})), 9) AS avg_len FROM documents""")
 def bm25_corpus_stats(spark, root):
     """Number of documents and mean document length."""
-    return sparse.corpus_stats(corpus(spark, root)).withColumn("avg_len", F.round("avg_len", 9))
+    return corpus_index(spark, root).stats().withColumn("avg_len", F.round("avg_len", 9))
 
 
 @query("bm25_doc_lengths", "E5 C20", rf"SELECT doc_id, len({sql.WORDS}) AS doc_len FROM documents")
 def bm25_doc_lengths(spark, root):
     """Length in words of every document."""
-    return corpus(spark, root).select("doc_id", token_count("text").alias("doc_len"))
+    return corpus_index(spark, root).doc_lengths()
 
 
 @query("bm25_topk", "E6 G1", f"WITH {sql.bm25()} {sql.ranked('scores', 10)}")
 def bm25_topk(spark, root):
     """Ten best documents for every benchmark query."""
-    return sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), 10)
+    return corpus_index(spark, root).search(queries_of(spark, root), 10)
 
 
 @query("bm25_batch_turns", "E8", f"WITH {sql.bm25(sql.TURNS)} {sql.ranked('scores', 10)}")
 def bm25_batch_turns(spark, root):
     """Ten best documents for every user question of every conversation."""
-    return sparse.bm25_topk(user_turns(spark, root), corpus(spark, root), 10)
+    return corpus_index(spark, root).search(user_turns(spark, root), 10)
 
 
 @query("bm25_topk_subset", "E6 E17", f"""WITH {sql.bm25()},
@@ -73,7 +77,7 @@ sub AS (SELECT s.* FROM scores s JOIN documents USING (doc_id) WHERE lang = 'en'
 def bm25_topk_subset(spark, root):
     """BM25 restricted to English documents, statistics from the whole corpus."""
     english = table(spark, root, "documents").filter("lang = 'en'").select("doc_id")
-    return sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), 10, subset=english)
+    return corpus_index(spark, root).search(queries_of(spark, root), 10, subset=english)
 
 
 @query("benchmark_containment", "A2", f"WITH {sql.QRELS} SELECT * FROM qrels")
@@ -86,7 +90,7 @@ def benchmark_containment(spark, root):
 run AS ({sql.ranked('scores', 100)}), {sql.QRELS}, {sql.metrics('run')} {sql.LONG}""")
 def bm25_evaluation(spark, root):
     """nDCG, MAP, recall, precision at all cut-offs and MRR of BM25 in long form."""
-    run = sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), 100)
+    run = corpus_index(spark, root).search(queries_of(spark, root), 100)
     return evaluate(run, containment(spark, root)).withColumn("value", F.round("value", 9))
 
 
@@ -160,7 +164,7 @@ def candidates(spark, root):
     """BM25 candidates, min(5k, 100) per query, with title, dot and content as text."""
     docs = table(spark, root, "documents").select(
         "doc_id", "source", F.concat("source", F.lit(". "), "text").alias("text"))
-    found = sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), 50).join(docs, "doc_id")
+    found = corpus_index(spark, root).search(queries_of(spark, root), 50).join(docs, "doc_id")
     # Several branches read the list; without the table each would search the corpus again.
     return spread(materialize(found, "candidates"))
 

@@ -8,7 +8,7 @@ from corpusflow.operators import chunking, sparse
 from corpusflow.plans import sqlparts as sql
 from corpusflow.plans.corpus import windows_sql
 from corpusflow.plans.registry import query
-from corpusflow.plans.retrieval import containment, corpus
+from corpusflow.plans.retrieval import containment, corpus, corpus_index
 from corpusflow.session import fresh_path
 from corpusflow.sources import collections as store
 from corpusflow.sources.files import judged_dataset
@@ -68,7 +68,7 @@ def dropped_collection(spark, root):
 @query("cascade_delete", "A16 E17", f"""WITH {sql.bm25()}, r AS ({sql.ranked('scores', 10)}) SELECT query_id, doc_id, rank FROM r WHERE query_id NOT IN (SELECT item_id FROM benchmark WHERE len(text) > 250) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
 def cascade_delete(spark, root):
     """Result rows left after long queries and poor documents are deleted."""
-    run = sparse.bm25_topk(queries_of(spark, root), corpus(spark, root), 10)
+    run = corpus_index(spark, root).search(queries_of(spark, root), 10)
     queries = queries_of(spark, root).filter(F.length("text") > 250)
     docs = table(spark, root, "labels").filter("quality = 0")
     return store.cascade(run, queries, docs).select("query_id", "doc_id", "rank")
