@@ -1,8 +1,8 @@
 """Main text of web pages: site templates are found by counting element subtrees per host.
 
-Every element subtree that may be furniture (short, or a box of links) gets a hash of its tags and text. Spark counts
-on how many different pages of a host each subtree stands; those that recur are the site's template and are deleted,
-along with elements whose tag, role or class says that they are no part of the article.
+Every element subtree outside an article's text blocks gets a hash of its tags and text. Spark counts on how many
+different pages of a host each subtree stands; those that recur are the site's template and are deleted, along with
+elements whose tag, role or class says that they are no part of the article.
 """
 
 from __future__ import annotations
@@ -51,8 +51,14 @@ KEEPS_CLASS = frozenset(["html", "body", "main"])
 LINK_LISTS = frozenset("dl menu ol ul".split())
 #: Pages of different text that make a subtree template, however large the host is.
 RECURRING_PAGES = 5
-#: Characters up to which a subtree may be furniture without being a box of links.
-SHORT = 200
+#: Parts of tables and headings keep their text whatever their class says.
+KEEPS_TEXT = HEADINGS | frozenset("dd dt figcaption tbody td tfoot th thead tr".split())
+#: Elements that are no furniture where they hold the article or most of the page's text blocks.
+WRAPS = frozenset(["form", "header"])
+#: Class words that such a wrapper may carry too.
+WRAP_MARKS = frozenset("header login masthead menu modal overlay popup widget widgets".split())
+#: Recurring boxes with this many times the text of all else on a page make it a near copy.
+MOST = 4
 #: Parts that the pages with one subtree are dealt to, so that a menu on a third of all pages is many tasks.
 SUBTREE_PARTS = 64
 
@@ -71,12 +77,12 @@ def _header_names(names: set[str]) -> set[str]:
 
 class _Node:
     __slots__ = ("tag", "parent", "pieces", "dropped", "hash", "article", "main", "pinned",
-                 "pins", "size", "linked", "links", "prose", "box", "menu", "head")
+                 "pins", "size", "linked", "links", "prose", "box", "menu", "head", "wraps", "own", "edge")
 
     def __init__(self, tag: str, parent: "_Node | None"):
         self.tag, self.parent, self.pieces = tag, parent, []
-        self.dropped = self.article = self.main = self.pinned = self.pins = self.box = self.menu = self.head = False
-        self.hash = self.size = self.linked = self.links = self.prose = 0
+        self.dropped = self.article = self.main = self.pinned = self.pins = self.box = self.menu = self.head = self.wraps = self.edge = False
+        self.hash = self.size = self.linked = self.links = self.prose = self.own = 0
 
 
 class _Tree(HTMLParser):
@@ -97,8 +103,8 @@ class _Tree(HTMLParser):
         attrs = {k: v or "" for k, v in attrs}
         marks, shut = self._marks(tag, attrs)
         titles = _header_names(marks)
-        if tag in HEADINGS:
-            marks = marks - titles
+        if tag in KEEPS_TEXT:
+            marks = set()
         dropped = tag in FURNITURE or shut or bool(marks)
         if tag in VOID:
             if tag in BLOCK:
@@ -114,6 +120,7 @@ class _Tree(HTMLParser):
             self._close(SIBLINGS[tag], stop={"ul", "ol", "dl", "table", "select"})
         node = _Node(tag, self.at)
         node.dropped = dropped
+        node.wraps = dropped and not shut and (tag in WRAPS or tag not in FURNITURE) and (marks <= titles or marks <= WRAP_MARKS)
         node.head = dropped and not shut and (tag == "header" or tag not in FURNITURE) and marks <= titles
         node.article = tag == "article" and not dropped
         node.main = (tag == "main" or attrs.get("role", "").lower() == "main") and not dropped
@@ -187,8 +194,47 @@ def _hashed(nodes: list[_Node]) -> None:
         node.hash = int.from_bytes(digest.digest(), "little", signed=True)
 
 
+def _weighed(nodes: list[_Node]) -> None:
+    """``own``: characters of a node's text blocks outside links and furniture; wrappers of the page's text are no furniture."""
+    inside: dict[int, tuple[int, int]] = {}
+    holds: set[int] = set()
+
+    def weigh() -> None:
+        inside.clear()
+        holds.clear()
+        for node in reversed(nodes):
+            size, linked, node.own = sum(len("".join(p.split())) for p in node.pieces if isinstance(p, str)), node.linked, 0
+            for piece in node.pieces:
+                if isinstance(piece, _Node):
+                    if piece.dropped and not piece.wraps:
+                        continue
+                    more = inside[id(piece)]
+                    size, linked = size + more[0], linked + more[1]
+                    node.own += piece.own
+                    if id(piece) in holds or (piece.article or piece.main) and piece.own > 0:
+                        holds.add(id(node))
+            inside[id(node)] = size, linked
+            if node.tag in TEXT_BLOCK and node.tag not in HEADINGS:
+                node.own = max(0, size - linked)
+
+    weigh()
+    total = nodes[0].own
+    for node in nodes:
+        if node.dropped and node.wraps and node.own and (2 * node.own > total or (node.tag in WRAPS and id(node) in holds)):
+            node.dropped = node.head = False
+        node.wraps = False
+    weigh()
+
+
 def _roots(nodes: list[_Node]) -> list[_Node]:
-    """The outermost articles, else the outermost main elements, else the whole page."""
+    """Where the page's text is: the outermost articles, the outermost main elements, or the whole page.
+
+    Articles count if they hold half of the text blocks of main elements around them and a quarter of the page's, main
+    elements if they hold a quarter of the page's. Without text blocks anywhere, the first kind with text counts.
+    """
+    kinds, size = {}, {}
+    for node in reversed(nodes):
+        size[id(node)] = sum(len("".join(p.split())) if isinstance(p, str) else 0 if p.dropped else size[id(p)] for p in node.pieces if p)
     for kind in ("article", "main"):
         found, inside = [], set()
         for node in nodes:
@@ -198,8 +244,13 @@ def _roots(nodes: list[_Node]) -> list[_Node]:
             if getattr(node, kind):
                 found.append(node)
                 inside.add(id(node))
-        if found:
-            return found
+        kinds[kind] = found
+    weight = (lambda found: sum(n.own for n in found)) if nodes[0].own else (lambda found: sum(size[id(n)] for n in found))
+    articles, main, page = weight(kinds["article"]), weight(kinds["main"]), weight(nodes[:1])
+    if articles and 2 * articles >= main and 4 * articles >= page:
+        return kinds["article"]
+    if main and 4 * main >= page:
+        return kinds["main"]
     return nodes[:1]
 
 
@@ -226,8 +277,8 @@ def _spread(nodes: list[_Node], roots: list[_Node]) -> None:
 def _measure(nodes: list[_Node]) -> None:
     """Sizes of what is shown (characters without white space), and `box` where a subtree may be template.
 
-    Template may be a short box, or a box that is mostly links, but no subtree with text blocks of an article and, outside
-    articles, no text block by itself. A list of links is furniture inside an article too.
+    Template may be any subtree without text blocks of an article; a text block outside articles only at the start or the
+    end of a page (``edge``), because documents may share passages. A list of links is furniture inside an article too.
     """
     for node in reversed(nodes):
         if node.dropped:
@@ -250,13 +301,14 @@ def _measure(nodes: list[_Node]) -> None:
         if node.tag in TEXT_BLOCK and node.tag not in HEADINGS:
             node.prose = max(0, node.size - node.linked)
         node.menu = node.links > 1 and 3 * node.linked >= 2 * node.size
-        node.box = (node.parent is not None and node.size > 0 and not node.pins
-                    and (node.menu or (node.size <= SHORT and node.tag not in TEXT_BLOCK)))
+        node.box = node.parent is not None and node.size > 0 and not node.pins
+        node.edge = node.box and not node.menu and (node.tag in TEXT_BLOCK or node.prose > 0)
 
 
 def _prepared(html: str | None) -> tuple[list[_Node], list[_Node]]:
     nodes = _walk(_parsed(html))
     _hashed(nodes)
+    _weighed(nodes)
     roots = _roots(nodes)
     _spread(nodes, roots)
     _measure(nodes)
@@ -270,6 +322,32 @@ def page_subtrees(html: str | None) -> tuple[int, list[int]]:
     return int.from_bytes(own.digest(), "little", signed=True), sorted({n.hash for n in nodes if n.box})
 
 
+def _at_edges(roots: list[_Node], found: list[_Node]) -> list[_Node]:
+    """``found`` without recurring text blocks that other text surrounds: those are passages that documents share."""
+    if not any(n.edge for n in found):
+        return found
+    known = {id(n) for n in found}
+    order: list[_Node | None] = []  # what is shown in page order: template subtrees, and None for other text
+    todo: list = list(reversed(roots))
+    while todo:
+        piece = todo.pop()
+        if isinstance(piece, str):
+            if not piece.isspace():
+                order.append(None)
+        elif piece is not None:
+            if id(piece) in known:
+                order.append(piece)
+            elif not piece.dropped or piece.head:
+                todo.extend(reversed(piece.pieces))
+    keep: set[int] = set()
+    for run in (order, order[::-1]):
+        for node in run:
+            if node is None:
+                break
+            keep.add(id(node))
+    return [n for n in found if not n.edge or id(n) in keep]
+
+
 def _template_nodes(roots: list[_Node], template: frozenset[int]) -> set[int]:
     """The outermost boxes of a page that are template.
 
@@ -291,11 +369,11 @@ def _template_nodes(roots: list[_Node], template: frozenset[int]) -> set[int]:
         return found
 
     weight = (lambda n: 0 if n.menu else n.prose) if prose else (lambda n: n.size)
-    found = outermost(lambda n: True)
+    found = _at_edges(roots, outermost(lambda n: True))
     if 2 * sum(map(weight, found)) > (prose or sum(r.size for r in roots)):
-        found = outermost(lambda n: not weight(n))
-    gone = sum(n.size for n in found if not n.menu)
-    if gone > SHORT and 2 * gone > sum(r.size for r in roots):
+        found = _at_edges(roots, outermost(lambda n: not weight(n)))
+    gone, shown = sum(n.size for n in found if not n.menu), sum(r.size for r in roots)
+    if gone > MOST * (shown - gone):
         found = [n for n in found if n.menu]
     return {id(n) for n in found}
 
