@@ -24,6 +24,7 @@ from corpusflow.llm.words import distinct_per_document, mix, shingle_hashes, wor
 from corpusflow.session import materialize
 
 TILE = 256
+HOME_TILE = 48
 CENTRES = 4
 FIRST_PARTNERS, MORE = 8, 32
 
@@ -75,34 +76,57 @@ def _rows_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _common(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb, common) of the text pairs (a, b, ta, tb): sizes of both sets and of what they share."""
-    for batch in batches:
-        sides = []
-        for k in (2, 3):
-            rows, hashes = [], []
-            for words in word_runs(batch.column(k), lower=True):
-                h, d = distinct_per_document(*shingle_hashes(words, words.hashes(), size))
-                rows.append(d + words.first)
-                hashes.append(h)
-            sides.append((np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64)))
-        sizes = [np.bincount(r, minlength=batch.num_rows) for r, _ in sides]
-        row, h = np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides])
-        order = np.lexsort((h, row))
-        row, h = row[order], h[order]
-        twice = (row[1:] == row[:-1]) & (h[1:] == h[:-1])
-        both = np.bincount(row[1:][twice], minlength=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.astype(np.int64)) for x in (*sizes, both))],
-                                         ["a", "b", "na", "nb", "common"])
+def _sets(texts: pa.ChunkedArray, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of every text."""
+    out: list[np.ndarray] = []
+    for chunk in texts.chunks:
+        for words in word_runs(chunk, lower=True):
+            h, d = distinct_per_document(*shingle_hashes(words, words.hashes(), size))
+            out += np.split(h, np.searchsorted(d, np.arange(1, words.count)))
+    return out
+
+
+def _linking(rule: Threshold):
+    """For a home (documents and pairs of them): the pairs whose full sets link. Each document's set is built once."""
+
+    def check(docs: pa.Table, pairs: pa.Table) -> pa.Table:
+        sets = _sets(docs.column("text"), rule.size) if docs.num_rows else []
+        rows: dict[int, list[int]] = {}
+        for i, doc in enumerate(docs.column("id").to_pylist()):
+            rows.setdefault(doc, []).append(i)
+        good = np.zeros(pairs.num_rows, bool)
+        for k, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
+            for x in (sets[i] for i in rows.get(a, ())):
+                for y in (sets[i] for i in rows.get(b, ())):
+                    low, high = (x, y) if len(x) <= len(y) else (y, x)
+                    if len(low):
+                        common = int((high[np.minimum(np.searchsorted(high, low), len(high) - 1)] == low).sum())
+                        good[k] |= common * rule.den >= (len(x) + len(y) - common) * rule.num
+        return pairs.select(["a", "b"]).filter(pa.array(good))
+
+    return check
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
-    """The pairs (a, b) whose full sets link. ``texts`` (id, text) is bucketed by id, so only pairs and one text each move."""
-    size = rule.size
-    sides = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
-    shared = sides.select("a", "b", "ta", "tb").mapInArrow(lambda batches: _common(batches, size), "a long, b long, na long, nb long, common long")
-    return shared.filter(F.col("common") * rule.den >= (F.col("na") + F.col("nb") - F.col("common")) * rule.num).select("a", "b").distinct()
+    """The pairs (a, b) whose full sets link. ``texts`` (id, text) is bucketed by id, so it is joined where it lies.
+
+    A pair's home is the smallest neighbour of its documents, so that pairs of one family meet; a home's documents are
+    dealt to tiles, and a text moves once for each pair of tiles that needs it, not once for each pair.
+    """
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("low"))
+    homed = pairs.join(low, "a").join(low.select(F.col("a").alias("b"), F.col("low").alias("low_b")), "b").select("a", "b", F.least("low", "low_b").alias("home"))
+    homed = materialize(homed, "homes")
+    size = homed.select("home", F.explode(F.array("a", "b")).alias("id")).groupBy("home").agg(F.approx_count_distinct("id").alias("docs"))
+    tile = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("docs") / HOME_TILE))
+    at = ["home", "left", "right"]
+    placed = homed.join(size, "home").withColumn("x", tile("a")).withColumn("y", tile("b")).select(
+        "home", F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), "a", "b")
+    placed = materialize(placed, "homes")
+    needed = placed.select(*at, F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select(
+        *[F.col(c).alias(f"{c}_of") for c in at], "id", "text")
+    found = needed.groupBy(*[f"{c}_of" for c in at]).cogroup(placed.groupBy(*at)).applyInArrow(_linking(rule), "a long, b long")
+    return found.distinct()
 
 
 def _judged_pairs(pairs: DataFrame, features: DataFrame, like: Likeness) -> DataFrame:

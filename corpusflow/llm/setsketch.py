@@ -126,6 +126,11 @@ def likeness(num: int, den: int) -> Likeness:
     def possible(na, pos_a, nb, pos_b):
         return F.least(na, nb) * den >= F.greatest(na, nb) * num
 
+    def first_shared(a, b):
+        """The first band in which each pair of registers agrees; BANDS where none does."""
+        same = (a[:, : BANDS * ROWS] == b[:, : BANDS * ROWS]).reshape(len(a), BANDS, ROWS).all(axis=-1)
+        return np.where(same.any(axis=1), same.argmax(axis=1), BANDS)
+
     def score(na, pos_a, fa, nb, pos_b, fb):
         a, b = fa.view(np.int16), fb.view(np.int16)
         equal = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), np.int16)
@@ -137,17 +142,24 @@ def likeness(num: int, den: int) -> Likeness:
         if len(maybe[0]):
             wide = (*equal.shape, REGISTERS)
             a, b = np.broadcast_to(a, wide), np.broadcast_to(b, wide)
-            above = np.concatenate([(a[part] > b[part]).sum(axis=-1) for part in
-                                    (tuple(x[low: low + 8192] for x in maybe) for low in range(0, len(maybe[0]), 8192))])
-            at, odds = estimate(na[maybe].astype(float), nb[maybe].astype(float), above, REGISTERS - equal[maybe] - above, floor)
-            out[maybe] = np.where(odds <= LOG_ODDS, at, -1.0)
+            # several bands hold the same pair; it is judged in the first of them
+            here = None if pos_a is None else np.broadcast_to(pos_a, equal.shape)
+            for low in range(0, len(maybe[0]), 8192):
+                part = tuple(x[low: low + 8192] for x in maybe)
+                left, right = a[part], b[part]
+                above = (left > right).sum(axis=-1)
+                at, odds = estimate(na[part].astype(float), nb[part].astype(float), above, REGISTERS - equal[part] - above, floor)
+                good = odds <= LOG_ODDS
+                if here is not None:
+                    good &= first_shared(left, right) == here[part]
+                out[part] = np.where(good, at, -1.0)
         return out
 
     return Likeness(possible, score)
 
 
 def _bands(sketched: DataFrame) -> DataFrame:
-    """(token, id, n, pos): one bucket for each band of ROWS registers; the place is not used."""
+    """(token, id, n, pos): one bucket for each band of ROWS registers; the place is the band."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +170,7 @@ def _bands(sketched: DataFrame) -> DataFrame:
                 token = mix(token * np.uint64(4099) + regs[:, :, k])
             index = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
             yield pa.RecordBatch.from_arrays([pa.array(token.reshape(-1).view(np.int64)), batch.column("id").take(index), batch.column("n").take(index),
-                                              pa.array(np.zeros(len(index), np.int64))], ["token", "id", "n", "pos"])
+                                              pa.array(np.tile(np.arange(BANDS), batch.num_rows))], ["token", "id", "n", "pos"])
 
     return sketched.select("id", "n", "regs").mapInArrow(band, "token long, id long, n long, pos long")
 
