@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators.ranking import DIGITS, best_hits
+from corpusflow.session import fresh_path, materialize
 
 QUERY_BLOCK = 2048
 FLUSH_ROWS = 2_000_000
@@ -216,16 +217,53 @@ def nearest_cells(vectors: DataFrame, key: str, centroids: list[list[float]], n:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             matrix = flat.reshape(len(ids), -1)
             cells = np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :n]
-            repeated = np.repeat(matrix, n, axis=0)
+            repeated = np.repeat(matrix, cells.shape[1], axis=0)
             yield pa.RecordBatch.from_arrays([
                 pa.array(cells.ravel(), type=pa.int64()),
-                pa.array(np.repeat(ids, n), type=pa.int64()),
+                pa.array(np.repeat(ids, cells.shape[1]), type=pa.int64()),
                 _list_of(repeated.ravel(), [matrix.shape[1]] * len(repeated), pa.float64()),
             ], schema=schema)
 
     return vectors.select(key, "vec").mapInArrow(assign, f"block long, {key} long, vec array<double>")
 
 
+class InvertedLists:
+    """Vectors kept by cell: written once, each search reads the folders of the cells it probes and no others.
+
+    A vector is listed in its ``copies`` nearest cells, so that one near a border is found from either side.
+    """
+
+    def __init__(self, spark, path: str, centroids: list[list[float]]):
+        self.spark, self.path, self.centroids = spark, path, centroids
+
+    @classmethod
+    def build(cls, vectors: DataFrame, centroids: list[list[float]], copies: int = 2) -> "InvertedLists":
+        spark = vectors.sparkSession
+        path = fresh_path(spark, "lists")
+        cells = nearest_cells(vectors, "doc_id", centroids, copies).withColumnRenamed("block", "cell")
+        # a cell may hold a third of all vectors: rows are dealt by cell and id, so that no single task writes a cell
+        parts = max(1, min(64, spark.sparkContext.defaultParallelism))
+        dealt = cells.repartition(parts, "cell", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+        dealt.write.partitionBy("cell").parquet(path)
+        return cls(spark, path, centroids)
+
+    def read(self, cells: list[int] | None = None) -> DataFrame:
+        lists = self.spark.read.schema("doc_id long, vec array<double>, cell long").parquet(self.path)
+        return lists if cells is None else lists.filter(F.col("cell").isin(cells))
+
+    def search(self, queries: DataFrame, k: int = 10, n_probe: int = 6, exclude_self: bool = False, salt: int = 8) -> DataFrame:
+        """The k best of the vectors listed in each query's ``n_probe`` nearest cells: query_id, doc_id, score, rank."""
+        probes = materialize(nearest_cells(queries, "query_id", self.centroids, n_probe), "probes")
+        wanted = [r.block for r in probes.select("block").distinct().collect()]  # at most one number per centroid
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(salt))
+        cells = self.read(wanted).select((F.col("cell") * salt + part).alias("block"), "doc_id", "vec").repartition("block")
+        probes = probes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        probes = probes.select((F.col("block") * salt + F.col("_part")).alias("block"), "query_id", "vec").repartition("block")
+        hits = pack(probes, "q").join(pack(cells, "v"), "block").select("qids", "qvecs", "vids", "vvecs").mapInArrow(
+            _scorer(k, None, exclude_self), "query_id long, doc_id long, score double")
+        return best_hits(hits.distinct(), k)  # a vector that is listed twice has the same score twice
+
+
 def ivf_topk(queries: DataFrame, vectors: DataFrame, centroids: list[list[float]], k: int = 10,
              n_probe: int = 10, exclude_self: bool = False, salt: int = 8) -> DataFrame:
     """Approximate top-k: only cells nearest to the query are searched.

@@ -9,6 +9,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.operators import dense
 from corpusflow.operators.dense import _list_of, join_blocks, keep_best
 from corpusflow.operators.ranking import DIGITS, best_hits, stable
 
@@ -253,37 +254,111 @@ def half_precision(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     return vectors.withColumn(vec, trip(vec))
 
 
+def _parts(vecs: pa.Array, n_sub: int, width: int) -> np.ndarray:
+    """Unit vectors cut into sub-vectors; zeros behind vectors that are too short, zero vectors stay zero."""
+    sizes, flat = np.diff(vecs.offsets.to_numpy()), vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((len(sizes), n_sub * width))
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).reshape(len(sizes), n_sub, width)
+
+
+def _nearest_codes(parts: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Nearest code of every sub-vector, as bytes."""
+    codes = np.empty(parts.shape[:2], np.uint8)
+    for s in range(len(books)):
+        half = (books[s] ** 2).sum(axis=1) / 2
+        for low in range(0, len(parts), 4096):
+            codes[low: low + 4096, s] = (half[None, :] - parts[low: low + 4096, s] @ books[s].T).argmin(axis=1)
+    return codes
+
+
 def train_codebooks(vectors: DataFrame, n_sub: int = 8, n_codes: int = 256, seed: int = 42, max_iter: int = 5) -> np.ndarray:
-    """Codebooks (n_sub x n_codes x width) by k-means on every sub-vector."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """Codebooks (n_sub x n_codes x width) of unit vectors, at most 256 codes each.
 
-    dim = vectors.select(F.max(F.size("vec"))).first()[0]
-    width = dim // n_sub
-    books = []
-    for s in range(n_sub):
-        part = F.transform(F.slice("vec", s * width + 1, width), lambda x: x.cast("double"))
-        centers = KMeans(k=n_codes, seed=seed, maxIter=max_iter).fit(vectors.select(array_to_vector(part).alias("features"))).clusterCenters()
-        rows = np.array([list(map(float, c)) for c in centers])
-        books.append(np.vstack([rows, np.repeat(rows[-1:], n_codes - len(rows), axis=0)]))
-    return np.stack(books)
+    Starts from ``n_codes`` vectors in seeded hash order; each iteration is one pass in which tasks sum the sub-vectors of
+    every code for all sub-spaces. What comes to the driver has the size of the codebooks.
+    """
+    dim = vectors.select(F.max(F.size("vec"))).first()[0] or n_sub
+    width = -(-dim // n_sub)
+    first = vectors.filter("vec IS NOT NULL").select("vec").distinct().orderBy(F.xxhash64(F.lit(seed), "vec")).limit(n_codes).toArrow().column("vec").combine_chunks()
+    start = _parts(first, n_sub, width) if len(first) else np.zeros((1, n_sub, width))
+    books = np.resize(start, (n_codes, n_sub, width)).transpose(1, 0, 2).copy()
+    for _ in range(max_iter):
+        known = books
+
+        def sums(batches):
+            total, count = np.zeros(known.shape), np.zeros(known.shape[:2])
+            for batch in batches:
+                parts = _parts(batch.column(0), n_sub, width)
+                codes = _nearest_codes(parts, known)
+                for s in range(n_sub):
+                    count[s] += np.bincount(codes[:, s], minlength=n_codes)
+                    for w in range(width):
+                        total[s, :, w] += np.bincount(codes[:, s], weights=parts[:, s, w], minlength=n_codes)
+            at = np.flatnonzero(count.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count.ravel()[at]), _list_of(total.reshape(-1, width)[at].ravel(), [width] * len(at), pa.float64())], ["at", "n", "total"])
+
+        partial = vectors.filter("vec IS NOT NULL").select("vec").mapInArrow(sums, "at long, n double, total array<double>")
+        added = [F.sum(F.get("total", F.lit(w))).alias(f"t{w}") for w in range(width)]
+        rows = partial.groupBy("at").agg(F.sum("n").alias("n"), *added).collect()  # one row per code
+        books = books.copy()
+        for r in rows:
+            books[r.at // n_codes, r.at % n_codes] = np.array([r[f"t{w}"] for w in range(width)]) / r.n
+    return books
 
 
 def product_codes(vectors: DataFrame, books: np.ndarray, key: str = "doc_id") -> DataFrame:
-    """(key, codes, vec): code per sub-vector and the vector the codes stand for."""
+    """(key, code): one byte per sub-vector."""
     n_sub, _, width = books.shape
-    schema = pa.schema([(key, pa.int64()), ("codes", pa.list_(pa.int64())), ("vec", pa.list_(pa.float64()))])
 
     def encode(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), n_sub, width)
-            codes = np.stack([((parts[:, s, None, :] - books[s][None]) ** 2).sum(2).argmin(1) for s in range(n_sub)], axis=1)
-            decoded = np.concatenate([books[s][codes[:, s]] for s in range(n_sub)], axis=1)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids, type=pa.int64()), _list_of(codes.ravel(), [n_sub] * len(ids), pa.int64()),
-                _list_of(decoded.ravel(), [n_sub * width] * len(ids), pa.float64())], schema=schema)
-
-    return vectors.select(key, "vec").mapInArrow(encode, f"{key} long, codes array<long>, vec array<double>")
+            codes = _nearest_codes(_parts(batch.column(1), n_sub, width), books)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], [key, "code"])
+
+    return vectors.filter("vec IS NOT NULL").select(key, "vec").mapInArrow(encode, f"{key} {vectors.schema[key].dataType.simpleString()}, code binary")
+
+
+def product_topk(queries: DataFrame, vectors: DataFrame, codes: DataFrame, books: np.ndarray, k: int = 10, depth: int = 100, exclude_self: bool = False) -> DataFrame:
+    """The k best by cosine among each query's ``depth`` best in code space: query_id, doc_id, score, rank.
+
+    A query's products with all codes of a sub-space form a table; scores are sums of table entries looked up by the codes'
+    bytes. Only the ``depth`` best meet their vectors, for exact scores.
+    """
+    n_sub, n_codes, width = books.shape
+    hit_schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def pack_codes(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), _list_of(batch.column(0).to_numpy(), [batch.num_rows], pa.int64()),
+                                                  pa.array([b"".join(batch.column(1).to_pylist())], pa.binary())], ["block", "vids", "codes"])
+
+    def look_up(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qids, qvecs, vids = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("qids", "qvecs", "vids"))
+                asked = np.zeros((len(qids), n_sub * width))
+                asked[:, : len(qvecs) // len(qids)] = qvecs.reshape(len(qids), -1)
+                tables = np.einsum("qsw,scw->qsc", asked.reshape(len(qids), n_sub, width), books)
+                codes = np.frombuffer(batch.column("codes")[i].as_py(), np.uint8).reshape(len(vids), n_sub)
+                for low in range(0, len(qids), 64):
+                    scores = sum(tables[low: low + 64, s, :][:, codes[:, s]] for s in range(n_sub))
+                    for q, row in zip(qids[low: low + 64], scores):
+                        ids = vids
+                        if exclude_self:
+                            row, ids = row[vids != q], vids[vids != q]
+                        best, found = dense.keep_best(np.round(row, DIGITS), ids, depth)
+                        yield _columns(hit_schema, np.full(len(found), q), found, best)
+
+    size = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
+    n_blocks = max(1, -(-size[0] // dense.QUERY_BLOCK))
+    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"), "query_id", "vec")
+    left = left.repartition(n_blocks, "block") if n_blocks > 1 else left
+    packed = codes.select("doc_id", "code").mapInArrow(pack_codes, "block long, vids array<long>, codes binary")
+    pairs = dense.join_blocks(dense.pack(left, "q"), packed, n_blocks, 8 * size[0] * (size[1] or 0), "vids")
+    near = best_hits(pairs.select("qids", "qvecs", "vids", "codes").mapInArrow(look_up, "query_id long, doc_id long, score double"), depth)
+    exact = (near.select("query_id", "doc_id").join(queries.select("query_id", F.col("vec").alias("_q")), "query_id")
+             .join(vectors.select("doc_id", F.col("vec").alias("_v")), "doc_id"))
+    return best_hits(exact.select("query_id", "doc_id", stable(dense.cosine(F.col("_q"), F.col("_v"))).alias("score")), k)

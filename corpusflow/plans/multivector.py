@@ -10,6 +10,7 @@ from corpusflow.operators.ranking import stable
 from corpusflow.plans import sqlparts as sql
 from corpusflow.plans.registry import query
 from corpusflow.plans.retrieval import vector_queries, vectors
+from corpusflow.session import materialize
 from corpusflow.sources.tables import table, token_vectors
 
 TOK = "tok AS (SELECT vec_id // 8 AS doc_id, vec_id % 8 AS pos, embedding::DOUBLE[] AS vec, label FROM embeddings)"
@@ -138,10 +139,11 @@ def hamming_topk(spark, root):
 
 @query("product_quantization", "L9")
 def product_quantization(spark, root):
-    """Search over vectors rebuilt from eight sub-codes."""
+    """Search in code space, eight bytes a vector, the hundred best of each query scored exactly."""
     base = vectors(spark, root)
-    coded = mv.product_codes(base, mv.train_codebooks(base, 8, 16))
-    return dense.cosine_topk(vector_queries(spark, root), coded.select("doc_id", "vec"), 10, exclude_self=True)
+    books = mv.train_codebooks(base, 8, 256)
+    codes = materialize(mv.product_codes(base, books), "codes")
+    return mv.product_topk(vector_queries(spark, root), base, codes, books, 10, 100, exclude_self=True)
 
 
 def _quality_sql(name, source, dims=None):

@@ -150,10 +150,10 @@ def vector_functions(spark, root):
 
 @query("ivf_search", "E4")
 def ivf_search(spark, root):
-    """Clustered approximate search: 16 cells, the 6 nearest are probed."""
+    """Clustered approximate search over stored lists: 16 cells, vectors listed in three, the 6 nearest are probed."""
     base = vectors(spark, root)
-    centroids = dense.train_centroids(base, 16)
-    return dense.ivf_topk(vector_queries(spark, root), base, centroids, 10, n_probe=6, exclude_self=True)
+    lists = dense.InvertedLists.build(base, dense.train_centroids(base, 16), copies=3)
+    return lists.search(vector_queries(spark, root), 10, n_probe=6, exclude_self=True)
 
 
 CANDIDATES = f"""cand AS (SELECT r.query_id, r.doc_id, r.score, r.rank, source || '. ' || text AS text, source
