@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators import dense, evaluation
 from corpusflow.operators import multivector as mv
 from corpusflow.operators.ranking import stable
+from corpusflow.operators.tokenindex import TokenIndexes
 from corpusflow.plans import sqlparts as sql
 from corpusflow.plans.registry import query
 from corpusflow.plans.retrieval import vector_queries, vectors
@@ -68,6 +69,30 @@ def multivector_storage(spark, root):
     return stats.withColumns({"avg_tokens": stable(F.col("avg_tokens")), "storage_mib": stable(F.col("storage_mib"))})
 
 
+def _three_indexes(spark, root):
+    """Indexes of the even, the odd and all documents; the odd one is deleted again."""
+    t, found = tokens(spark, root), TokenIndexes(spark)
+    for name, part in (("even", t.filter("doc_id % 2 = 0")), ("odd", t.filter("doc_id % 2 = 1")), ("all", t)):
+        found.save(name, part)
+    found.delete("odd")
+    return found
+
+
+@query("token_index_catalog", "A18", f"""WITH {TOK}, n AS (SELECT 'all' AS name, * FROM tok UNION ALL SELECT 'even', * FROM tok WHERE doc_id % 2 = 0)
+SELECT name, count(DISTINCT doc_id) AS documents, count(*) AS tokens, max(len(vec)) AS dim, round(count(*) * max(len(vec)) / 1048576.0::DOUBLE, 9) AS storage_mib FROM n GROUP BY 1""")
+def token_index_catalog(spark, root):
+    """Stored token-vector indexes after three saves and a delete."""
+    return _three_indexes(spark, root).catalog().select("name", "documents", "tokens", "dim", stable(F.col("storage_mib")).alias("storage_mib"))
+
+
+@query("token_index_search", "A18 E10")
+def token_index_search(spark, root):
+    """MaxSim top-10 through a stored index: cells near the query's tokens, candidates scored exactly."""
+    t, found = tokens(spark, root), TokenIndexes(spark)
+    found.save("all", t)
+    return found.load("all").search(t.withColumnRenamed("doc_id", "query_id"), 10)
+
+
 MAXSIM = f"""{TOK}, ms AS (SELECT q.doc_id AS query_id, d.doc_id, q.pos, max(list_inner_product(q.vec, d.vec)) AS best FROM tok q, tok d GROUP BY ALL),
 mx AS (SELECT query_id, doc_id, round(avg(best), 9) AS score FROM ms GROUP BY ALL)"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators import dense
 from corpusflow.operators import multivector as mv
+from corpusflow.operators.tokenindex import TokenIndexes
 from corpusflow.plans.registry import load_all
 
 
@@ -95,6 +96,35 @@ def test_registered_settings_reach_nine_tenths(spark, name):
     assert all(abs(true[r.query_id, r.doc_id] - r.score) < 1e-8 for r in found if (r.query_id, r.doc_id) in true)
 
 
+def test_token_index_lives_by_its_manifest(spark):
+    rng = np.random.default_rng(11)
+    rows = [(d, p, [float(x) for x in rng.normal(size=6)]) for d in range(40) for p in range(1 + d % 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, pos long, vec array<double>")
+    indexes = TokenIndexes(spark)
+    assert indexes.catalog().collect() == [] and not indexes.exists("a")
+    indexes.save("a", frame.filter("doc_id < 10"), cells=4)
+    indexes.save("a", frame, cells=4)  # replaces
+    indexes.save("b", frame, cells=4)
+    indexes.delete("b")
+    indexes.delete("none")
+    assert [(r.name, r.documents, r.tokens, r.dim) for r in indexes.catalog().collect()] == [("a", 40, len(rows), 6)]
+    with pytest.raises(KeyError):
+        TokenIndexes(spark, indexes.folder).load("b")
+    # another session of the same folder finds it; with all cells and all documents the search is exact
+    index = TokenIndexes(spark, indexes.folder).load("a")
+    hits = index.search(frame.withColumnRenamed("doc_id", "query_id"), 5, depth=40, n_probe=4).collect()
+    packed = mv.packed_documents(frame)
+    exact = mv.maxsim_topk(packed.withColumnRenamed("doc_id", "query_id"), packed, 5).collect()
+    rows_of = lambda found: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in found)
+    assert rows_of(hits) == rows_of(exact)
+
+
+def test_token_index_recall_as_registered(spark):
+    catalog = load_all()
+    exact, found = catalog["maxsim_topk"].job(spark, REGISTERED).collect(), catalog["token_index_search"].job(spark, REGISTERED).collect()
+    assert _recall(exact, found) >= 0.9
+
+
 def test_a_search_reads_the_probed_cells_only(spark, root):
     base = spark.read.parquet(f"{root}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
     lists = dense.InvertedLists.build(base, dense.train_centroids(base, 8), copies=2)
