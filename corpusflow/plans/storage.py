@@ -9,7 +9,7 @@ from corpusflow.plans import sqlparts as sql
 from corpusflow.plans.corpus import windows_sql
 from corpusflow.plans.registry import query
 from corpusflow.plans.retrieval import containment, corpus, corpus_index
-from corpusflow.session import fresh_path
+from corpusflow.session import fresh_path, materialize
 from corpusflow.sources import collections as store
 from corpusflow.sources.files import judged_dataset
 from corpusflow.sources.tables import queries_of, spread, table
@@ -28,18 +28,16 @@ def chunk_points(spark, root):
   md5(CASE WHEN quality = 1 THEN 'new ' || chunk ELSE chunk END) AS digest, CASE WHEN quality = 1 THEN 20 ELSE 10 END AS updated_at FROM ch LEFT JOIN labels USING (doc_id)""")
 def upserted_chunks(spark, root):
     """Labelled documents ingested again, twice: good ones changed, others unchanged; the last version wins."""
-    base = chunk_points(spark, root).withColumns({"version": F.lit(1), "updated_at": F.lit(10)})
-    path = fresh_path(spark, "collection")
-    store.write_collections(base, f"{path}/v1")
-    current = spark.read.parquet(f"{path}/v1")
+    stored = store.StoredCollections(spark, fresh_path(spark, "collection"))
+    stored.create(chunk_points(spark, root).withColumns({"version": F.lit(1), "updated_at": F.lit(10)}))
     marks = table(spark, root, "labels").select("doc_id", "quality")
-    again = current.join(marks, "doc_id").select(
+    again = stored.read().join(marks, "doc_id").select(
         "id", "doc_id", F.when(F.col("quality") == 1, F.concat(F.lit("new "), "chunk")).otherwise(F.col("chunk")).alias("chunk"),
-        F.lit(2).alias("version"), F.lit(20).alias("updated_at"), "collection").select(*current.columns)
-    once = store.merge_latest(current, again, ["id"], "version", "chunk", "updated_at")
-    store.write_collections(once, f"{path}/v2")
-    twice = store.merge_latest(spark.read.parquet(f"{path}/v2").select(*current.columns), again, ["id"], "version", "chunk", "updated_at")
-    return twice.select("id", "collection", "version", F.md5("chunk").alias("digest"), "updated_at")
+        F.lit(2).alias("version"), F.lit(20).alias("updated_at"), "collection")
+    again = materialize(again, "again")
+    stored.merge(again, ["id"], "version", "chunk", "updated_at")
+    stored.merge(again, ["id"], "version", "chunk", "updated_at")
+    return stored.read().select("id", "collection", "version", F.md5("chunk").alias("digest"), "updated_at")
 
 
 @query("appended_documents", "A10", "SELECT md5(text) AS id, min(doc_id) AS first_doc, count(*) AS copies, lang AS collection FROM documents GROUP BY md5(text), lang")
@@ -52,17 +50,19 @@ def appended_documents(spark, root):
 @query("deleted_documents", "A14", f"WITH {CHUNKS} SELECT collection, count(*) AS points FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1")
 def deleted_documents(spark, root):
     """Points left after the chunks of toxic documents are deleted."""
-    gone = table(spark, root, "labels").filter("toxic = 1")
-    return store.without_documents(chunk_points(spark, root), gone).groupBy("collection").agg(F.count("*").alias("points"))
+    stored = store.StoredCollections(spark, fresh_path(spark, "collection"))
+    stored.create(chunk_points(spark, root))
+    stored.remove_documents(table(spark, root, "labels").filter("toxic = 1"))
+    return stored.read().groupBy("collection").agg(F.count("*").alias("points"))
 
 
 @query("dropped_collection", "A15 A18", f"WITH {CHUNKS} SELECT collection, count(*) AS points, count(DISTINCT doc_id) AS documents FROM ch WHERE collection <> 'de' GROUP BY 1")
 def dropped_collection(spark, root):
     """A written index listed after one collection is dropped."""
-    path = fresh_path(spark, "index")
-    store.write_collections(chunk_points(spark, root), f"{path}/v1")
-    store.write_collections(store.without_collection(spark.read.parquet(f"{path}/v1"), "de"), f"{path}/v2")
-    return store.catalog(spark.read.parquet(f"{path}/v2")).select("collection", "points", "documents")
+    stored = store.StoredCollections(spark, fresh_path(spark, "collection"))
+    stored.create(chunk_points(spark, root))
+    stored.drop_collection("de")
+    return store.catalog(stored.read()).select("collection", "points", "documents")
 
 
 @query("cascade_delete", "A16 E17", f"""WITH {sql.bm25()}, r AS ({sql.ranked('scores', 10)}) SELECT query_id, doc_id, rank FROM r WHERE query_id NOT IN (SELECT item_id FROM benchmark WHERE len(text) > 250) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")

@@ -1,15 +1,22 @@
 """Stored collections: keyed upserts, deletes, catalog and plain sinks.
 
-A collection table is Parquet partitioned by ``collection``. Changes write a new
-version of the table; readers follow the newest complete version.
+Stored collections keep their rows in Parquet, cut by collection and by a bucket of
+the document id. A change rewrites only the cuts it touches; a manifest then commits
+the new version at once, and readers follow the newest complete manifest.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MANIFEST = "collection string, bucket int, folder string, schema string"
 
 
 def merge_latest(current: DataFrame, incoming: DataFrame, keys: Sequence[str], version: str, content: str | None = None,
@@ -73,3 +80,96 @@ def write_judged_dataset(corpus: DataFrame, queries: DataFrame, qrels: DataFrame
     queries.select(F.col("query_id").cast("string").alias("_id"), "text").write.json(f"{folder}/queries.jsonl")
     qrels.select(F.col("query_id").alias("query-id"), F.col("doc_id").alias("corpus-id"), F.col("rel").alias("score")).write.option(
         "sep", "\t").option("header", True).csv(f"{folder}/qrels/{split}.tsv")
+
+
+class StoredCollections:
+    """Rows with a ``collection`` and a document id, changed in place by cuts (collection, bucket of the document id)."""
+
+    def __init__(self, spark: SparkSession, path: str, document: str = "doc_id", buckets: int = 16):
+        self.spark, self.path, self.document, self.buckets = spark, path.rstrip("/"), document, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.document), F.lit(self.buckets)).cast("int")
+
+    # --- versions ---------------------------------------------------------------------
+
+    def versions(self) -> list[int]:
+        """Numbers of the complete versions; a manifest counts once its write has been committed."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        top = hadoop.Path(f"{self.path}/manifest")
+        files = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(top):
+            return []
+        found = [s.getPath() for s in files.listStatus(top)]
+        return sorted(int(p.getName()) for p in found if files.exists(hadoop.Path(p, "_SUCCESS")))
+
+    def cuts(self, version: int | None = None) -> dict[tuple[str | None, int], str]:
+        """Folder of every cut (collection, bucket) of a version; its size is collections x buckets."""
+        version = version if version is not None else (self.versions() or [None])[-1]
+        if version is None:
+            return {}
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/{version:08d}").collect()
+        self._schema = T.StructType.fromJson(json.loads(next(r.schema for r in rows if r.schema is not None)))
+        return {(r.collection, r.bucket): r.folder for r in rows if r.folder is not None}
+
+    def _commit(self, cuts: dict, schema: T.StructType) -> int:
+        number = (self.versions() or [0])[-1] + 1
+        rows = [(c, b, folder, None) for (c, b), folder in cuts.items()] + [(None, None, None, schema.json())]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/manifest/{number:08d}")
+        return number
+
+    def read(self, only: Sequence[tuple[str | None, int]] | None = None, version: int | None = None) -> DataFrame:
+        """All rows of a version, or those of some cuts. Cuts are partitions, so others are not read."""
+        cuts = self.cuts(version)
+        by_folder = defaultdict(lambda: defaultdict(list))
+        for cut in cuts if only is None else [c for c in only if c in cuts]:
+            by_folder[cuts[cut]][cut[0]].append(cut[1])
+        out = self.spark.createDataFrame([], self._schema)
+        inside = T.StructType([*[f for f in self._schema.fields if f.name != "collection"], T.StructField("collection", T.StringType()), T.StructField("_bucket", T.IntegerType())])
+        for folder, held in by_folder.items():
+            wanted = F.lit(False)
+            for collection, numbers in held.items():
+                wanted = wanted | (F.col("collection").eqNullSafe(F.lit(collection)) & F.col("_bucket").isin(numbers))
+            out = out.unionByName(self.spark.read.schema(inside).parquet(f"{self.path}/{folder}").filter(wanted).drop("_bucket"))
+        return out
+
+    # --- changes ----------------------------------------------------------------------
+
+    def _rewrite(self, rows: DataFrame, touched: set, cuts: dict) -> int:
+        """Write ``rows`` as the new content of the touched cuts and commit them with all others as they are."""
+        folder = f"data/{uuid.uuid4().hex}"
+        # a large collection is as many cuts as there are buckets, so the number of buckets bounds what one task writes
+        dealt = rows.withColumn("_bucket", self._bucket()).repartition("collection", "_bucket")
+        dealt.write.partitionBy("collection", "_bucket").parquet(f"{self.path}/{folder}")
+        kinds = "collection string, _bucket int"
+        written = {(r[0], r[1]) for r in self.spark.read.schema(f"{self.document} string, {kinds}").parquet(f"{self.path}/{folder}").select("collection", "_bucket").distinct().collect()}
+        kept = {cut: f for cut, f in cuts.items() if cut not in touched}
+        return self._commit(kept | {cut: folder for cut in written}, rows.schema)
+
+    def create(self, rows: DataFrame) -> int:
+        return self._rewrite(rows, set(), {})
+
+    def _cuts_of(self, rows: DataFrame) -> set:
+        return {(r[0], r[1]) for r in rows.select("collection", self._bucket().alias("b")).distinct().collect()}
+
+    def merge(self, incoming: DataFrame, keys: Sequence[str], version: str, content: str | None = None, touched: str | None = None) -> int:
+        """``merge_latest`` into the cuts that ``incoming`` has rows for; repeating a merge changes nothing."""
+        cuts = self.cuts()
+        hit = self._cuts_of(incoming)
+        current = self.read(sorted(hit, key=str))
+        merged = merge_latest(current, incoming.select(*current.columns), keys, version, content, touched).select(*current.columns)
+        return self._rewrite(merged, hit, cuts)
+
+    def remove_documents(self, gone: DataFrame) -> int:
+        """Drop all rows of these documents; cuts without any of them stay as they are."""
+        cuts = self.cuts()
+        numbers = {r[0] for r in gone.select(self._bucket().alias("b")).distinct().collect()}
+        held = self.read([c for c in cuts if c[1] in numbers]).join(gone.select(self.document).distinct(), self.document, "left_semi")
+        hit = self._cuts_of(held)
+        current = self.read(sorted(hit, key=str))
+        return self._rewrite(without_documents(current, gone, self.document).select(*current.columns), hit, cuts)
+
+    def drop_collection(self, name: str) -> int:
+        """The manifest alone changes."""
+        cuts = self.cuts()
+        return self._commit({cut: folder for cut, folder in cuts.items() if cut[0] != name}, self._schema)
