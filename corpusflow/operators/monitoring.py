@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusflow.operators.ranking import top_k
 
@@ -114,6 +115,52 @@ def gauge_alerts(latest: DataFrame) -> DataFrame:
     return latest.withColumn("_r", rule).filter(fires).withColumn("severity", F.col("_r.severity")).drop("_r")
 
 
+#: All alert rules as one table: gauges are sampled, volumes are summed over a window that moves by ``hop`` seconds.
+RULE_SCHEMA = "rule string, op string, limit double, hold long, severity string"
+
+
+def rule_table(spark) -> DataFrame:
+    """The gauge and volume rules (12 rows) with their hold times."""
+    rows = [(m, op, x, hold, severity) for m, op, x, hold, severity in GAUGE_RULES] + [(n, ">", x, hold, severity) for n, _, x, hold, severity in VOLUME_RULES]
+    return spark.createDataFrame(rows, RULE_SCHEMA)
+
+
+def judged_samples(samples: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds what its rule says to every sample (rule, series, tick, value): met, hold, severity."""
+    met = F.when(F.col("op") == ">", F.col("value") > F.col("limit")).otherwise(F.col("value") == F.col("limit"))
+    return samples.join(F.broadcast(rules), "rule").withColumn("met", F.coalesce(met, F.lit(False))).drop("op", "limit")  # a handful of rules
+
+
+def volume_samples(events: DataFrame, rule: str, value: Column, window: int, hop: int) -> DataFrame:
+    """(rule, series, tick, value): sums over the ``window`` seconds before each tick; a tick without events counts as zero.
+
+    Only ticks that follow a window with events are written out: one zero behind each stretch is enough to end it.
+    """
+    first = (F.floor(F.col("sec") / hop) + 1) * hop
+    reached = F.explode(F.sequence(first, F.floor((F.col("sec") + window) / hop) * hop, F.lit(hop).cast("long"))).alias("tick")
+    sums = events.select("service", value.alias("v"), reached).groupBy("service", "tick").agg(F.sum("v").alias("value"))
+    zeros = sums.select("service", (F.col("tick") + hop).alias("tick"), F.lit(0.0).alias("value"))
+    both = sums.unionByName(zeros).groupBy("service", "tick").agg(F.max("value").alias("value"))
+    return both.select(F.lit(rule).alias("rule"), F.col("service").alias("series"), "tick", "value")
+
+
+def held_alerts(judged: DataFrame) -> DataFrame:
+    """Stretches in which a rule is met: rule, series, severity, started, fired_at, resolved_at, state.
+
+    A stretch goes from the first sample that meets the rule to the next one that does not. It fires when it has held for
+    the rule's time; until then it is pending, and a pending stretch that ends leaves nothing. Samples are one per series
+    and tick, so a series has as many rows as ticks, however many events are behind them.
+    """
+    order = W.partitionBy("rule", "series").orderBy("tick")
+    turns = judged.withColumn("_was", F.lag("met", 1, False).over(order)).filter(F.col("met") != F.col("_was"))
+    turns = turns.withColumn("resolved_at", F.lead("tick").over(order)).filter("met").withColumnRenamed("tick", "started")
+    now = judged.agg(F.max("tick").alias("now")).select("now").scalar()
+    held = F.coalesce("resolved_at", now) - F.col("started") >= F.col("hold")
+    state = F.when(~held, "pending").when(F.col("resolved_at").isNull(), "firing").otherwise("resolved")
+    return turns.withColumn("state", state).filter("state <> 'pending' OR resolved_at IS NULL").select(
+        "rule", "series", "severity", "started", F.when(held, F.col("started") + F.col("hold")).alias("fired_at"), "resolved_at", "state")
+
+
 def counter_increase(previous: Column, value: Column) -> Column:
     """Growth of a counter; a drop means it restarted from zero."""
     return F.when(previous.isNull(), 0.0).when(value < previous, value).otherwise(value - previous)

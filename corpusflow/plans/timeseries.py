@@ -151,6 +151,48 @@ def volume_alerts(spark, root):
                       (F.col("tokens") * 1000 > limits["token_usage"]).alias("token_alert"), (F.col("tokens") / 100 > limits["cost"]).alias("cost_alert"))
 
 
+#: The gauge that an event samples, by its number; the value's scale lets every rule be met sometimes.
+GAUGES = [name for name, *_ in mon.GAUGE_RULES]
+GAUGE_SCALE = {"up": 0.0, "queue_messages": 400.0, "mean_exec_ms": 40.0}
+VOLUMES = {"token_usage": ("value * 1000", 3600, 600), "cost": ("value / 100", 3600, 600), "request_rate": ("600.0D", 60, 60), "rate_limited": ("if(is_error, 6.0D, 0.0D)", 300, 60)}
+
+
+def alert_samples(ev):
+    """Samples of all twelve rules: one gauge per event, volumes over moving windows; one sample a series and second."""
+    name = F.get(F.array(*[F.lit(g) for g in GAUGES]), F.pmod("event_id", F.lit(len(GAUGES))).cast("int"))
+    scale = F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in GAUGE_SCALE.items() for x in kv]), lambda k, _: k == F.col("rule"))), F.lit(0)), F.lit(0.04))
+    value = F.when(F.col("rule") == "up", F.when(F.col("is_error"), 0.0).otherwise(1.0)).otherwise(F.col("value") * scale)
+    gauges = ev.withColumn("rule", name).groupBy("rule", F.col("service").alias("series"), F.col("sec").alias("tick")).agg(F.max_by(value, F.struct("us", "event_id")).alias("value"))
+    for rule, (amount, window, hop) in VOLUMES.items():
+        gauges = gauges.unionByName(mon.volume_samples(ev, rule, F.expr(amount), window, hop))
+    return gauges
+
+
+def _volume_sql(rule, amount, window, hop):
+    amount = {"600.0D": "600.0::DOUBLE", "if(is_error, 6.0D, 0.0D)": "CASE WHEN is_error THEN 6.0::DOUBLE ELSE 0 END"}.get(amount, amount)
+    return f"""v_{rule} AS (SELECT service, t AS tick, sum({amount}) AS value FROM ev, unnest(range((sec // {hop} + 1) * {hop}, (sec + {window}) // {hop} * {hop} + 1, {hop})) AS u(t) GROUP BY ALL),
+s_{rule} AS (SELECT '{rule}' AS rule, service AS series, tick, max(value) AS value FROM (SELECT * FROM v_{rule} UNION ALL SELECT service, tick + {hop}, 0 FROM v_{rule}) GROUP BY ALL)"""
+
+
+_RULES = ", ".join(f"('{r}', '{op}', {x}::DOUBLE, {hold}, '{sev}')" for r, op, x, hold, sev in [*mon.GAUGE_RULES, *[(n, ">", x, h, s) for n, _, x, h, s in mon.VOLUME_RULES]])
+HELD = f"""{EV}, rules AS (SELECT * FROM (VALUES {_RULES}) r(rule, op, lim, hold, severity)),
+g AS (SELECT {list(GAUGES)}[event_id % {len(GAUGES)} + 1] AS rule, * FROM ev),
+sg AS (SELECT rule, service AS series, sec AS tick, arg_max(CASE WHEN rule = 'up' THEN CASE WHEN is_error THEN 0 ELSE 1 END ELSE value * CASE rule WHEN 'queue_messages' THEN 400 WHEN 'mean_exec_ms' THEN 40 ELSE 0.04::DOUBLE END END, (us, event_id)) AS value FROM g GROUP BY ALL),
+{", ".join(_volume_sql(r, *v) for r, v in VOLUMES.items())},
+sa AS (SELECT * FROM sg {" ".join(f"UNION ALL SELECT * FROM s_{r}" for r in VOLUMES)}),
+ju AS (SELECT sa.*, hold, severity, CASE WHEN op = '>' THEN value > lim ELSE value = lim END AS met FROM sa JOIN rules USING (rule)),
+tu AS (SELECT * FROM (SELECT *, lag(met, 1, false) OVER (PARTITION BY rule, series ORDER BY tick) AS was FROM ju) WHERE met <> was),
+st AS (SELECT *, lead(tick) OVER (PARTITION BY rule, series ORDER BY tick) AS resolved_at FROM tu),
+he AS (SELECT rule, series, severity, tick AS started, resolved_at, hold, coalesce(resolved_at, (SELECT max(tick) FROM ju)) - tick >= hold AS held FROM st WHERE met)"""
+
+
+@query("held_alerts", "J13 J14 J15", f"""WITH {HELD} SELECT rule, series, severity, started, CASE WHEN held THEN started + hold END AS fired_at, resolved_at,
+  CASE WHEN NOT held THEN 'pending' WHEN resolved_at IS NULL THEN 'firing' ELSE 'resolved' END AS state FROM he WHERE held OR resolved_at IS NULL""")
+def held_alerts(spark, root):
+    """All twelve rules with their hold times: pending, firing and resolved stretches of every series."""
+    return mon.held_alerts(mon.judged_samples(alert_samples(events(spark, root)), mon.rule_table(spark)))
+
+
 SUSTAINED = f"""{EV}, tk AS (SELECT service, sec // 3600 * 3600 AS tick, avg(is_error::INT) > 0.05 AS firing FROM ev GROUP BY ALL),
 isl AS (SELECT service, tick, tick - row_number() OVER (PARTITION BY service ORDER BY tick) * 3600 AS g FROM tk WHERE firing),
 su AS (SELECT service, min(tick) AS started, max(tick) AS ended FROM isl GROUP BY service, g)"""

@@ -145,3 +145,59 @@ def cached(events: DataFrame, ttl: int, is_write: Column, is_read: Column) -> Da
     rows = events.filter(is_write | is_read).select("k", "sec", "event_id", "value", "at", is_write.alias("is_write"))
     schema = "read_id long, k long, sec long, cached_at long, payload double, hit boolean"
     return rows.groupBy("k").transformWithStateInPandas(_Cache(ttl), schema, "Append", "EventTime")
+
+
+class _Alerts(_Keyed):
+    """Whether a rule is met for one series, since when, and whether that has been reported."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "started long, hold long, severity string, fired boolean")
+
+    def _report(self, key, rows) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["severity", "started", "state", "tick"])
+        return frame.assign(rule=key[0], series=key[1])[["rule", "series", "severity", "started", "state", "tick"]]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = tuple(self.open.get()) if self.open.exists() else None
+        out, frame = [], _gathered(rows).sort_values("tick", kind="stable")
+        for tick, met, hold, severity in zip(frame["tick"].tolist(), frame["met"].tolist(), frame["hold"].tolist(), frame["severity"].tolist()):
+            if now is None and met:
+                now = (tick, hold, severity, False)
+            elif now is not None:
+                started, held, level, fired = now
+                if not fired and tick - started >= held:
+                    out.append((level, started, "firing", started + held))
+                    now = (started, held, level, True)
+                if not met:
+                    if now[3]:
+                        out.append((level, started, "resolved", tick))
+                    now = None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if now is None:
+            self.open.clear()
+        else:
+            self.open.update(now)
+            if not now[3]:
+                self.handle.registerTimer((now[0] + now[1]) * 1000)
+        if out:
+            yield self._report(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists():
+            started, hold, severity, fired = self.open.get()
+            if not fired:
+                self.open.update((started, hold, severity, True))
+                yield self._report(key, [(severity, started, "firing", started + hold)])
+
+
+def alert_changes(judged: DataFrame) -> DataFrame:
+    """Streaming twin of ``monitoring.held_alerts``: rule, series, severity, started, state, tick of every change.
+
+    ``judged`` has rule, series, tick, met, hold, severity and a watermark ``at``; samples of a series come in order. A
+    stretch is reported as firing when a sample or the watermark shows that it has held, and as resolved afterwards.
+    """
+    schema = "rule string, series long, severity string, started long, state string, tick long"
+    rows = judged.select("rule", "series", "tick", "met", "hold", "severity", "at")
+    return rows.groupBy("rule", "series").transformWithStateInPandas(_Alerts(), schema, "Append", "EventTime")

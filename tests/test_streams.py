@@ -89,6 +89,33 @@ def test_state_follows_the_keys_touched_and_expires(spark):
     assert sorted((r.k, r.hit) for r in spark.read.parquet(f"{path}/data").collect()) == [(3, True), (99, True)]
 
 
+def test_alerts_hold_fire_and_resolve_in_the_stream(spark, root, parts):
+    """Gauge rules over four batches: changes are those of the batch job, up to the watermark."""
+    ev = stream(spark, parts)
+    rules = monitoring.rule_table(spark)
+    sample = lambda e: e.select(F.when(F.col("event_id") % 2 == 0, "cpu_rate").otherwise("restart_rate").alias("rule"), F.col("service").alias("series"), F.col("sec").alias("tick"),
+                                F.when(F.col("event_id") % 2 == 0, F.col("value") / 50).otherwise(F.col("value") - 10).alias("value"), *[c for c in e.columns if c == "at"])
+    rows = spark.read.parquet(f"{jobs.drain(stateful.alert_changes(monitoring.judged_samples(sample(ev), rules)), 'alerts')}/data").collect()
+    want = monitoring.held_alerts(monitoring.judged_samples(sample(events(spark, root)), rules)).filter("state <> 'pending'").collect()
+    fired = {(r.rule, r.series, r.started, r.tick) for r in rows if r.state == "firing"}
+    assert fired == {(r.rule, r.series, r.started, r.fired_at) for r in want} and len(fired) > 20
+    assert {(r.rule, r.series, r.started, r.tick) for r in rows if r.state == "resolved"} == {(r.rule, r.series, r.started, r.resolved_at) for r in want if r.resolved_at is not None}
+
+
+def test_a_timer_fires_without_another_sample(spark):
+    folder, path = fresh_path(spark, "alerts"), fresh_path(spark, "out")
+
+    def run(number, series, minute):
+        spark.createDataFrame([(number, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute), series, "view", 60.0, '{"k": 1}')], jobs.EVENT_SCHEMA).coalesce(1).write.parquet(f"{folder}/p{number}")
+        judged = monitoring.judged_samples(stream(spark, folder).select(F.lit("cpu_rate").alias("rule"), F.col("service").alias("series"), F.col("sec").alias("tick"), "value", "at"), monitoring.rule_table(spark))
+        jobs.drain(stateful.alert_changes(judged), "alerts", path=path)
+
+    run(0, 1, 0)
+    run(1, 2, 200)  # the watermark goes past the hold time of series 1
+    got = [(r.series, r.state) for r in spark.read.parquet(f"{path}/data").collect()]
+    assert got == [(1, "firing")]
+
+
 def test_counts_over_batches(spark, root, parts):
     path = jobs.drain(jobs.daily_counts(stream(spark, parts)), "daily", jobs.by_batch, "update")
     got = jobs.latest_updates(spark, path, ["day", "event_type"]).select("day", "event_type", "n")
