@@ -6,10 +6,13 @@ greedy walks over their lengths are linear loops on Arrow batches.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from corpusflow.functions.text import words
 
@@ -185,3 +188,31 @@ def word_windows(docs: DataFrame, size: int, overlap: int, min_share: int = 2, d
     held = bag.select(doc, *rest, pieces.alias("_pieces")).select(doc, *rest, F.size("_pieces").alias("total_chunks"), "_pieces")
     cut = held.select(doc, *rest, "total_chunks", F.posexplode_outer("_pieces").alias("chunk_index", "_piece")).filter(F.col("_piece").isNotNull())
     return cut.select(doc, *rest, "chunk_index", "total_chunks", F.size("_piece").alias("n_words"), F.array_join("_piece", " ").alias("chunk"))
+
+
+class ChunkFunction:
+    """Table function chunk(text, size, overlap): the windows of ``word_windows``, row by row. A null text has none."""
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, size: AnalyzeArgument, overlap: AnalyzeArgument) -> AnalyzeResult:
+        for given in (size, overlap):
+            if given.isConstantExpression and given.value is None:
+                raise ValueError("size and overlap must be numbers")
+        if size.isConstantExpression and overlap.isConstantExpression and not 0 <= overlap.value < size.value:
+            raise ValueError("overlap must be at least 0 and less than size")
+        return AnalyzeResult(T.StructType().add("chunk_index", T.IntegerType()).add("n_words", T.IntegerType()).add("chunk", T.StringType()))
+
+    def eval(self, text, size, overlap):
+        # the blanks of Java's space class
+        bag = [] if text is None else [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+        index = 0
+        for start in range(0, len(bag), size - overlap):
+            piece = bag[start: start + size]
+            if len(piece) >= max(size // 2, 1):
+                yield index, len(piece), " ".join(piece)
+                index += 1
+
+
+def register_chunk(spark, name: str = "chunk") -> None:
+    """Make ``chunk(text, size, overlap)`` a table function of the session's SQL, for use under LATERAL."""
+    spark.udtf.register(name, F.udtf(ChunkFunction))

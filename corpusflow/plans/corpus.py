@@ -275,6 +275,14 @@ def word_windows(spark, root):
     return parts.select("doc_id", "chunk_index", "n_words", F.md5("chunk").alias("digest"))
 
 
+@query("chunk_function", "K5", f"""SELECT doc_id, chunk_index, n_words, md5(chunk) AS digest FROM ({windows_sql(128, 12, 2)})""")
+def chunk_function(spark, root):
+    """The same windows by a table function in SQL."""
+    chunking.register_chunk(spark)
+    return spark.sql("SELECT d.doc_id, c.chunk_index, c.n_words, md5(c.chunk) AS digest FROM {docs} d, LATERAL chunk(d.text, 128, 12) c",
+                     docs=articles(spark, root).select("doc_id", "text"))
+
+
 @query("chunk_size_stats", "C13", " UNION ALL ".join(f"""
 SELECT '{name}' AS strategy, round(avg(n_words), 6) AS avg_size, min(n_words) AS min_size, max(n_words) AS max_size,
   round(stddev_samp(n_words), 6) AS std_size FROM ({windows_sql(size, overlap, 2)})"""

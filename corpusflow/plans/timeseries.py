@@ -154,7 +154,8 @@ def volume_alerts(spark, root):
 #: The gauge that an event samples, by its number; the value's scale lets every rule be met sometimes.
 GAUGES = [name for name, *_ in mon.GAUGE_RULES]
 GAUGE_SCALE = {"up": 0.0, "queue_messages": 400.0, "mean_exec_ms": 40.0}
-VOLUMES = {"token_usage": ("value * 1000", 3600, 600), "cost": ("value / 100", 3600, 600), "request_rate": ("600.0D", 60, 60), "rate_limited": ("if(is_error, 6.0D, 0.0D)", 300, 60)}
+#: (amount of an event, seconds it counts for, hop); for the request rate an event stands for a quarter of an hour of traffic.
+VOLUMES = {"token_usage": ("value * 1000", 3600, 600), "cost": ("value / 10", 3600, 600), "request_rate": ("1100.0D", 900, 60), "rate_limited": ("if(is_error, 6.0D, 0.0D)", 300, 60)}
 
 
 def alert_samples(ev):
@@ -169,7 +170,7 @@ def alert_samples(ev):
 
 
 def _volume_sql(rule, amount, window, hop):
-    amount = {"600.0D": "600.0::DOUBLE", "if(is_error, 6.0D, 0.0D)": "CASE WHEN is_error THEN 6.0::DOUBLE ELSE 0 END"}.get(amount, amount)
+    amount = {"1100.0D": "1100.0::DOUBLE", "if(is_error, 6.0D, 0.0D)": "CASE WHEN is_error THEN 6.0::DOUBLE ELSE 0 END"}.get(amount, amount)
     return f"""v_{rule} AS (SELECT service, t AS tick, sum({amount}) AS value FROM ev, unnest(range((sec // {hop} + 1) * {hop}, (sec + {window}) // {hop} * {hop} + 1, {hop})) AS u(t) GROUP BY ALL),
 s_{rule} AS (SELECT '{rule}' AS rule, service AS series, tick, max(value) AS value FROM (SELECT * FROM v_{rule} UNION ALL SELECT service, tick + {hop}, 0 FROM v_{rule}) GROUP BY ALL)"""
 
