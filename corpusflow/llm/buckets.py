@@ -26,7 +26,7 @@ from corpusflow.session import materialize
 TILE = 256
 HOME_TILE = 48
 CENTRES = 4
-FIRST_PARTNERS, MORE = 8, 32
+FIRST_PARTNERS, MORE = 2, 128
 
 
 def sets_of(batches, size: int):
@@ -117,20 +117,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
     low = both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("low"))
     homed = pairs.join(low, "a").join(low.select(F.col("a").alias("b"), F.col("low").alias("low_b")), "b").select("a", "b", F.least("low", "low_b").alias("home"))
     homed = materialize(homed, "homes")
-    size = homed.select("home", F.explode(F.array("a", "b")).alias("id")).groupBy("home").agg(F.approx_count_distinct("id").alias("docs"))
+    size = homed.select("home", F.col("a").alias("id")).unionByName(homed.select("home", F.col("b").alias("id"))).groupBy("home").agg(F.approx_count_distinct("id").alias("docs"))
     tile = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("docs") / HOME_TILE))
     at = ["home", "left", "right"]
     placed = homed.join(size, "home").withColumn("x", tile("a")).withColumn("y", tile("b")).select(
         "home", F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), "a", "b")
     placed = materialize(placed, "homes")
-    needed = placed.select(*at, F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select(
+    needed = placed.select(*at, F.col("a").alias("id")).unionByName(placed.select(*at, F.col("b").alias("id"))).distinct().join(texts, "id").select(
         *[F.col(c).alias(f"{c}_of") for c in at], "id", "text")
     found = needed.groupBy(*[f"{c}_of" for c in at]).cogroup(placed.groupBy(*at)).applyInArrow(_linking(rule), "a long, b long")
     return found.distinct()
 
 
 def _judged_pairs(pairs: DataFrame, features: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) that the features (id, n, feat) do not rule out."""
+    """The pairs (a, b) that the features (id, n, feat) do not rule out: the likeliest a of each b.
+
+    One link to a component joins a document as well as many do; the pairs left out stay open for the tiles.
+    """
     sides = pairs
     for x in "ab":
         sides = sides.join(features.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("feat").alias(f"f{x}")), x)
@@ -141,10 +144,12 @@ def _judged_pairs(pairs: DataFrame, features: DataFrame, like: Likeness) -> Data
             if not batch.num_rows:
                 continue
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            likely = score(na, None, _rows_of(batch.column("fa")), nb, None, _rows_of(batch.column("fb"))) >= 0
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(likely)) for c in "ab"], ["a", "b"])
+            likely = score(na, None, _rows_of(batch.column("fa")), nb, None, _rows_of(batch.column("fb")))
+            keep = pa.array(likely >= 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in "ab"), pa.array(likely).filter(keep)], ["a", "b", "likely"])
 
-    return sides.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(judge, "a long, b long").distinct()
+    judged = sides.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(judge, "a long, b long, likely double")
+    return judged.groupBy("b").agg(F.max_by("a", F.struct("likely", "a")).alias("a")).select("a", "b")
 
 
 def _partners(like: Likeness, most: int):
@@ -184,7 +189,7 @@ def _centre_pairs(members: DataFrame, like: Likeness) -> DataFrame:
     centres = members.groupBy("token").agg(F.array_distinct(F.array(*[F.struct(c["id"].alias("id"), c["n"].alias("n"), c["pos"].alias("pos"), c["comp"].alias("comp")) for c in centre])).alias("c"))
     met = members.join(centres.select("token", F.explode("c").alias("c")), "token").filter("comp <> c.comp")
     met = met.filter(like.possible(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
-    return met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+    return met.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def linked(entries: DataFrame, features: DataFrame, docs: DataFrame, like: Likeness, rule: Threshold) -> DataFrame:
@@ -199,7 +204,8 @@ def linked(entries: DataFrame, features: DataFrame, docs: DataFrame, like: Liken
     first = entries.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("c"), F.max("id").alias("last")).filter("last > c.id")
     buckets = materialize(entries.join(first.select("token", "c"), "token"), "buckets")
     name = f"texts_{uuid.uuid4().hex}"
-    moved = docs.join(buckets.select("id").distinct(), "id").select("id", "text")
+    # dealt by id at any size, as the bucketed table needs it
+    moved = docs.join(buckets.select("id").distinct().hint("merge"), "id").select("id", "text")
     moved.write.bucketBy(shuffles, "id").sortBy("id").format("parquet").saveAsTable(name)
     try:
         texts = spark.table(name)
@@ -217,11 +223,11 @@ def linked(entries: DataFrame, features: DataFrame, docs: DataFrame, like: Liken
             members = materialize(placed.join(per.select("token", "m", F.col("top.comp").alias("top")), "token"), "open")
             if members.isEmpty():
                 return found
-            if many:  # large buckets once more with a few centres, before any matrix
+            if many:  # large buckets once more with a few centres, before any matrix; judged pairs name a centre first
                 many, large = False, members.filter(F.col("m") > TILE)
                 if not large.isEmpty():
-                    pairs = _judged_pairs(_centre_pairs(large, like).join(checked, ["a", "b"], "left_anti"), features, like)
-                    fresh = materialize(pairs, "pairs")
+                    pairs = _judged_pairs(_centre_pairs(large, like), features, like).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                    fresh = materialize(pairs.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
                     links = materialize(links.unionByName(confirmed(fresh, texts, rule)), "links")
                     checked = materialize(checked.unionByName(fresh), "pairs")
                     continue
