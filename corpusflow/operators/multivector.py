@@ -216,6 +216,32 @@ def hypothetical_topk(queries: DataFrame, docs: DataFrame, k: int = 10, weight:
     return best_hits(hits, k)
 
 
+def centroids(vectors: DataFrame, key: str, vec: str = "vec") -> DataFrame:
+    """(key, n, centroid): mean vector of every key, whole vectors at a time.
+
+    Tasks add up the vectors of each key in Arrow batches; one partial sum for each key and batch is shuffled, so a key
+    with a third of all rows is a few rows. Null vectors are left out; a key's vectors must have one length.
+    """
+    kind = vectors.schema[key]
+
+    def partial(batches):
+        for batch in batches:
+            keys = batch.column(0).dictionary_encode(null_encoding="encode")
+            at = keys.indices.to_numpy()
+            for number in range(len(keys.dictionary)):
+                rows = batch.filter(pa.array(at == number))
+                total = rows.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([rows.column(0).slice(0, 1), pa.array([pa.compute.sum(rows.column(1)).as_py()], pa.int64()), _list_of(total, [len(total)], pa.float64())], [key, "n", "total"])
+
+    schema = f"{key} {kind.dataType.simpleString()}, n long, total array<double>"
+    ones = vectors.filter(F.col(vec).isNotNull()).select(key, F.lit(1).cast("long").alias("n"), F.transform(vec, lambda x: x.cast("double")).alias("total"))
+    sums = ones.mapInArrow(partial, schema).repartition(key).mapInArrow(partial, schema)
+    # a task may see a key in several batches: at most a handful of rows a key are left
+    whole = sums.groupBy(key).agg(F.sum("n").alias("n"), F.collect_list("total").alias("t"))
+    total = F.aggregate(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), F.get("t", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    return whole.select(key, "n", F.transform(total, lambda x: x / F.col("n")).alias("centroid"))
+
+
 # --- Quantization ---------------------------------------------------------------------
 
 # Compression ratio and bytes per dimension of each storage form.

@@ -104,10 +104,12 @@ def active_users(spark, root):
 @query("daily_summary", "H9", rf"""WITH {EV}, {QUESTIONS}, {KW},
 t AS (SELECT day, count(*) AS total, count(DISTINCT CASE WHEN user_id % 10 <> 0 THEN user_id END) AS users FROM ev GROUP BY 1),
 i AS (SELECT day, string_agg(event_type || '=' || n, ',' ORDER BY n DESC, event_type) AS intents FROM (SELECT day, event_type, count(*) AS n FROM ev GROUP BY ALL) GROUP BY 1),
-w AS (SELECT day, string_agg(keyword || '=' || n, ',' ORDER BY rank) AS keywords FROM (SELECT day, keyword, n, row_number() OVER (PARTITION BY day ORDER BY n DESC, keyword) AS rank FROM (SELECT day, keyword, count(*) AS n FROM ev JOIN kw USING (k) GROUP BY ALL)) WHERE rank <= 20 GROUP BY 1)
-SELECT t.day, total, users, intents, keywords FROM t LEFT JOIN i USING (day) LEFT JOIN w USING (day)""")
+w AS (SELECT day, string_agg(keyword || '=' || n, ',' ORDER BY rank) AS keywords FROM (SELECT day, keyword, n, row_number() OVER (PARTITION BY day ORDER BY n DESC, keyword) AS rank FROM (SELECT day, keyword, count(*) AS n FROM ev JOIN kw USING (k) GROUP BY ALL)) WHERE rank <= 20 GROUP BY 1),
+qc AS (SELECT day, md5(regexp_replace(regexp_replace(trim(lower(text)), '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s\-?!.]', '', 'g')) AS query, count(*) AS n FROM ev JOIN qs USING (k) GROUP BY ALL),
+q10 AS (SELECT day, string_agg(query || '=' || n, ',' ORDER BY rank) AS queries FROM (SELECT day, query, n, row_number() OVER (PARTITION BY day ORDER BY n DESC, query) AS rank FROM qc) WHERE rank <= 10 GROUP BY 1)
+SELECT t.day, total, users, intents, keywords, queries FROM t LEFT JOIN i USING (day) LEFT JOIN w USING (day) LEFT JOIN q10 USING (day)""")
 def daily_summary(spark, root):
-    """Summary of every day: total, users, intents, keywords."""
+    """Summary of every day: total, users, intents, keywords, top queries."""
     ev = events(spark, root)
     totals = ev.groupBy("day").agg(F.count("*").alias("total"), F.count_distinct(F.when(F.pmod("user_id", F.lit(10)) != 0, F.col("user_id"))).alias("users"))
 
@@ -117,7 +119,9 @@ def daily_summary(spark, root):
         return ranked.groupBy("day").agg(F.array_join(F.transform(rows, lambda r: F.concat(r[name], F.lit("="), r["n"].cast("string"))), ",").alias(out))
 
     intents_, words = intent_distribution(spark, root), popular_keywords(spark, root)
-    return totals.join(listed(intents_, "intent", "intents"), "day", "left").join(listed(words, "keyword", "keywords"), "day", "left")
+    asked = listed(popular_queries(spark, root), "query", "queries")
+    return (totals.join(listed(intents_, "intent", "intents"), "day", "left").join(listed(words, "keyword", "keywords"), "day", "left")
+            .join(asked, "day", "left"))
 
 
 CACHE = f"""{EV}, sets AS (SELECT k, sec AS cached_at, event_id, value FROM ev WHERE event_type IN ('view', 'signup', 'purchase')),
@@ -139,6 +143,16 @@ def cache_lookup(spark, root):
     return cache_reads(spark, root)
 
 
+@query("cache_entries", "H10", f"""WITH {CACHE}, e AS (SELECT event_type AS kind, k, max(sec) AS sec FROM ev WHERE event_type IN ('view', 'signup', 'purchase') GROUP BY ALL)
+SELECT kind, count(*) AS entries, sum(CASE WHEN sec > (SELECT max(sec) FROM ev) - 7200 THEN 1 ELSE 0 END)::BIGINT AS live FROM e GROUP BY 1""")
+def cache_entries(spark, root):
+    """Cache entries by kind: keys ever written, and those that have not expired by the last event."""
+    ev = events(spark, root)
+    last = ev.filter(F.col("event_type").isin("view", "signup", "purchase")).groupBy(F.col("event_type").alias("kind"), "k").agg(F.max("sec").alias("sec"))
+    now = ev.agg(F.max("sec").alias("now")).select("now").scalar()
+    return last.groupBy("kind").agg(F.count("*").alias("entries"), F.sum((F.col("sec") > now - 7200).cast("long")).alias("live"))
+
+
 @query("cache_statistics", "H10 H11", f"""WITH {CACHE} SELECT CAST(to_timestamp(sec) AT TIME ZONE 'UTC' AS DATE) AS day, count(*) AS reads, sum(CASE WHEN w IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS hits,
   round(avg(CASE WHEN w IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 9) AS hit_rate, round(avg(CASE WHEN w IS NOT NULL THEN ms END), 6) AS hit_ms, round(avg(CASE WHEN w IS NULL THEN ms END), 6) AS miss_ms FROM looked GROUP BY 1""")
 def cache_statistics(spark, root):

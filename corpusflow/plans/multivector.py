@@ -69,6 +69,16 @@ def multivector_storage(spark, root):
     return stats.withColumns({"avg_tokens": stable(F.col("avg_tokens")), "storage_mib": stable(F.col("storage_mib"))})
 
 
+@query("centroids", "K6", """WITH f AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
+m AS (SELECT label, dim, avg(x) AS x FROM f GROUP BY ALL)
+SELECT label, (SELECT count(*) FROM embeddings e WHERE e.label = m.label) AS n, round(sqrt(sum(x * x)), 9) AS length, round(max(CASE WHEN dim = 0 THEN x END), 9) AS first_value, round(sum(x), 9) AS total FROM m GROUP BY 1""")
+def centroids(spark, root):
+    """Mean vector of every label."""
+    means = mv.centroids(table(spark, root, "embeddings").select("label", F.col("embedding").alias("vec")), "label")
+    return means.select("label", "n", stable(dense.norm(F.col("centroid"))).alias("length"), stable(F.get("centroid", F.lit(0))).alias("first_value"),
+                        stable(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
 def _three_indexes(spark, root):
     """Indexes of the even, the odd and all documents; the odd one is deleted again."""
     t, found = tokens(spark, root), TokenIndexes(spark)
