@@ -25,19 +25,30 @@ from corpusflow.operators.sparse import QUERY_BLOCK, WEIGHT_BLOCK, WEIGHT_BYTES,
 from corpusflow.session import materialize
 
 RANGE_DOCS, RANGE_WORDS = 2048, 200_000
+#: Words of a range that leave Python in one batch.
+TERM_ROWS = 4096
 #: Every PROBE-th range is searched first, for thresholds, when there are at least 2 * PROBE.
 PROBE = 16
 SEGMENT_SHIFT, PARTITION_SHIFT = 40, 16
 
 
 def _packed(docs: DataFrame, segment: int) -> DataFrame:
-    """One row per range: ids, lengths, and per word its documents' places and counts, the largest count, the smallest length."""
+    """Rows of two kinds. One per range: ids and lengths (term is null). One per word of a range: its documents' places and
+    counts, the largest count, the smallest length. No row holds more than one word's documents of one range, so readers
+    and writers, which take rows by the thousand, hold little whatever the table's size."""
     bags = docs.select("doc_id", tokens("text").alias("bag"))
+    ints = T.ArrayType(T.IntegerType())
+    kind = T.StructType([
+        T.StructField("range", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("lens", ints),
+        T.StructField("term", T.StringType()), T.StructField("docs", ints), T.StructField("tfs", ints),
+        T.StructField("most", T.IntegerType()), T.StructField("least", T.IntegerType())])
+    names = kind.fieldNames()
 
     def pack(batches):
         from pyspark import TaskContext
 
         number = 0
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         for batch in batches:
             sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             part = np.maximum(np.cumsum(sizes) // RANGE_WORDS, 0) * (1 << 32) + np.arange(len(sizes)) // RANGE_DOCS
@@ -48,22 +59,22 @@ def _packed(docs: DataFrame, segment: int) -> DataFrame:
                 key, tf = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(own) + np.repeat(np.arange(len(own)), own), return_counts=True)
                 word, doc = key // len(own), key % len(own)
                 first = np.flatnonzero(np.diff(word, prepend=-1))
-                offsets = pa.array(np.r_[first, len(key)].astype(np.int32))
-                most = np.maximum.reduceat(tf, first) if len(first) else first
-                least = np.minimum.reduceat(own[doc], first) if len(first) else first
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 place = (segment << SEGMENT_SHIFT) | (TaskContext.get().partitionId() << PARTITION_SHIFT) | number
                 number += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([place], pa.int64()), one(rows.column(0)), one(pa.array(own, pa.int32())), one(words.dictionary.take(pa.array(word[first]))),
-                     one(pa.ListArray.from_arrays(offsets, pa.array(doc, pa.int32()))), one(pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32()))),
-                     one(pa.array(most, pa.int32())), one(pa.array(least, pa.int32()))], ["range", "ids", "lens", "terms", "docs", "tfs", "most", "least"])
-
-    ints = T.ArrayType(T.IntegerType())
-    return bags.mapInArrow(pack, T.StructType([
-        T.StructField("range", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("lens", ints),
-        T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("docs", T.ArrayType(ints)), T.StructField("tfs", T.ArrayType(ints)),
-        T.StructField("most", ints), T.StructField("least", ints)]))
+                ids, lens, none = one(rows.column(0)), one(pa.array(own, pa.int32())), pa.nulls(1, pa.int32())
+                lists = pa.nulls(1, lens.type)
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), ids, lens, pa.nulls(1, pa.string()), lists, lists, none, none], names)
+                for low in range(0, len(first), TERM_ROWS):
+                    begin, stop = first[low], first[low + TERM_ROWS] if low + TERM_ROWS < len(first) else len(key)
+                    of = first[low: low + TERM_ROWS] - begin
+                    d, t, n = doc[begin:stop], tf[begin:stop], len(of)
+                    offsets = pa.array(np.r_[of, len(d)].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, place), pa.int64()), pa.nulls(n, ids.type), pa.nulls(n, lens.type), words.dictionary.take(pa.array(word[first[low: low + TERM_ROWS]])),
+                         pa.ListArray.from_arrays(offsets, pa.array(d, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(t, pa.int32())),
+                         pa.array(np.maximum.reduceat(t, of), pa.int32()), pa.array(np.minimum.reduceat(own[d], of), pa.int32())], names)
+
+    return bags.mapInArrow(pack, kind)
 
 
 class TermIndex:
@@ -89,13 +100,13 @@ class TermIndex:
             self.remove(docs)
         segment = uuid.uuid4().int & ((1 << 22) - 1)
         packed = materialize(_packed(docs, segment), "ranges")  # numbers of ranges and places are fixed from here on
-        posts = packed.select("range", F.inline(F.arrays_zip("terms", "docs", "tfs", "most", "least"))).select(
-            F.col("terms").alias("term"), "range", F.size("docs").alias("n"), "most", "least", "docs", "tfs")
+        posts = packed.filter("term IS NOT NULL").select("term", "range", F.size("docs").alias("n"), "most", "least", "docs", "tfs")
+        ranges = packed.filter("term IS NULL").select("range", "ids", "lens")
         # one writer per bucket, so that a bucket gets one sorted file per segment
         (posts.repartition(self.buckets, "term").write.bucketBy(self.buckets, "term").sortBy("term").format("parquet")
          .mode("append").saveAsTable(f"{self.name}_postings"))
-        self._append(packed.select("range", "ids", "lens"), "ranges")
-        size = packed.select(F.size("lens").alias("docs"), F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x).alias("words"))
+        self._append(ranges, "ranges")
+        size = ranges.select(F.size("lens").alias("docs"), F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x).alias("words"))
         self._append(size.agg(F.coalesce(F.sum("docs"), F.lit(0)).cast("long").alias("docs"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
                      .select(F.lit(segment).cast("long").alias("segment"), "docs", "words"), "segments")
         return self

@@ -109,3 +109,15 @@ def test_a_search_reads_postings_and_no_text(spark, asked):
         assert [c.name for c in spark.catalog.listColumns(f"{index.name}_postings") if c.isBucket] == ["term"]
     finally:
         index.drop()
+
+
+def test_no_packed_row_holds_more_than_a_word_of_a_range(spark):
+    """Parquet readers and Arrow take rows by the thousand; a whole range in each of them is more than an executor has."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 400}" for j in range(100))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    rows = termindex._packed(docs, 1).collect()
+    ranges = [r for r in rows if r["term"] is None]
+    assert sorted(i for r in ranges for i in r["ids"]) == list(range(60)) and all(r["docs"] is None for r in ranges)
+    words = [r for r in rows if r["term"] is not None]
+    assert len({(r["range"], r["term"]) for r in words}) == len(words) == 400 and all(r["ids"] is None for r in words)
+    assert sum(sum(r["tfs"]) for r in words) == 6000
+    assert all(len(r["docs"]) == len(r["tfs"]) <= 60 and r["most"] == max(r["tfs"]) and r["least"] == 100 for r in words)
