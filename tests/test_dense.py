@@ -162,3 +162,40 @@ def test_maxsim_with_uneven_documents(spark, monkeypatch):
         for d, dv in docs.items():
             want = np.mean((np.array(qv) @ np.array(dv).T).max(axis=1))
             assert abs(got[(q, d)] - want) < 1e-8
+
+
+def test_grid_copies_do_not_follow_the_number_of_blocks(data, monkeypatch):
+    """What is dealt to the cells: every vector block once a row, every query block once a column, however many blocks."""
+    _, frame = data
+    monkeypatch.setattr(dense, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(dense, "CELLS_A_CORE", 1)
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    blocks = frame.sparkSession.range(100).select(F.col("id").alias("block"), F.array("id").alias("qids"))
+    vectors = frame.sparkSession.range(40).select(F.lit(0).cast("long").alias("block"), F.array("id").alias("vids"))
+    met = dense.join_blocks(blocks, vectors, 100, 1, "vids", lambda: 2 * dense.CELL_BYTES)
+    got = [(r.qids[0], r.vids[0]) for r in met.collect()]
+    assert len(got) == len(set(got)) == 4000
+    assert met.select("_column").distinct().count() == 2 and met.select("_row").distinct().count() == -(-cores // 2)
+
+
+def test_best_of_tiles_equals_sorting_all(monkeypatch):
+    """Ties go to smaller ids, whatever the order and the cut of the tiles; a query is left out of its own list."""
+    rng = np.random.default_rng(3)
+    sims, ids, qids = rng.integers(0, 6, (9, 200)) / 3, rng.permutation(200), np.arange(9)
+    best = dense.Best(qids, 7, threshold=0.4, exclude_self=True)
+    for low in range(0, 200, 5):
+        best.add(sims[:, low: low + 5], ids[low: low + 5])
+    got = {}
+    for q, d, s in zip(*(c.to_pylist() for c in best.batch().columns)):
+        got.setdefault(q, []).append((-s, d))
+    assert got == {q: sorted((-round(s, 9), d) for s, d in zip(sims[q].tolist(), ids.tolist()) if d != q and s >= 0.4)[:7] for q in range(9)}
+
+
+def test_maxsim_holds_few_products_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    q, d, ql, dl = rng.normal(size=(6, 4)), rng.normal(size=(30, 4)), np.array([1, 2, 3]), np.array([3, 1, 4, 1, 5, 9, 2, 5])
+    whole = mv.maxsim(q.ravel(), ql, d.ravel(), dl)
+    monkeypatch.setattr(mv, "TILE_CELLS", 40)
+    assert np.allclose(mv.maxsim(q.ravel(), ql, d.ravel(), dl), whole, atol=1e-12)
+    one = (q[3:] @ d[3:4].T).mean()
+    assert abs(whole[2, 1] - one) < 1e-12
