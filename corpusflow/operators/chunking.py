@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,9 +143,6 @@ def document_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OV
     return _packed(cut, doc, rest, size, overlap, "\n\n")
 
 
-CHAR_SPANS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("t", T.StringType())]))
-
-
 def char_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS,
                 doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Character windows of 4*size that back off to the last blank, overlapping by 4*overlap.
@@ -154,25 +152,30 @@ def char_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLA
     """
     width, back = size * CHARS_PER_TOKEN, overlap * CHARS_PER_TOKEN
 
-    @F.pandas_udf(CHAR_SPANS)
-    def walk(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            spans, start = [], 0
+    @F.arrow_udf("array<int>")
+    def ends(texts: pa.Array) -> pa.Array:
+        """Where the windows end; one text at a time is a Python object, and no piece of it goes back."""
+        out, offsets = [], [0]
+        for row in texts:
+            t, start = row.as_py(), 0
             while t:
                 end = len(t)
                 if start + width < len(t):
                     blank = t.rfind(" ", start, start + width)
                     end = blank if blank - back > start else start + width
-                spans.append({"s": start, "e": end, "t": t[start:end]})
+                out.append(end)
                 if end >= len(t):
                     break
                 start = end - back
-            out.append(spans)
-        return pd.Series(out)
+            offsets.append(len(out))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()))
 
     rest = [c for c in docs.columns if c not in (doc, text)]
-    cut = docs.select(doc, *rest, walk(text).alias("_spans")).select(doc, *rest, F.posexplode("_spans").alias("chunk_index", "_p"))
+    start = lambda i: F.when(i > 0, F.get("_ends", i - 1) - back).otherwise(0)
+    span = lambda e, i: F.struct(start(i).alias("s"), e.alias("e"), F.substring(F.col(text), start(i) + 1, e - start(i)).alias("t"))
+    # windows are cut on the document's row; exploding first would copy the text to each
+    spans = docs.select(doc, *rest, text, ends(text).alias("_ends")).select(doc, *rest, F.transform("_ends", span).alias("_spans"))
+    cut = spans.select(doc, *rest, F.posexplode("_spans").alias("chunk_index", "_p"))
     return cut.select(doc, *rest, "chunk_index", F.col("_p.s").alias("start_char"), F.col("_p.e").alias("end_char"), _strip(F.col("_p.t")).alias("chunk"))
 
 

@@ -75,3 +75,16 @@ def test_word_windows_keep_every_word_with_full_minimum(spark, root):
     n = {r.doc_id: r.n for r in chunking.word_windows(docs, 50, 0, min_share=50).groupBy("doc_id").agg({"n_words": "sum"}).withColumnRenamed("sum(n_words)", "n").collect()}
     for doc_id, text in docs.collect():
         assert n.get(doc_id, 0) == len([w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w])
+
+
+def test_char_chunks_cut_code_points_and_send_only_numbers_back(spark):
+    text = "𝔘né words ß " * 30
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "short")], "doc_id long, text string")
+    out = chunking.char_chunks(docs, 8, 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython [ends(text" in plan and "Python [walk" not in plan
+    rows = sorted(out.select("doc_id", "chunk_index", "start_char", "end_char", "chunk").collect())
+    assert {r.doc_id for r in rows} == {1, 4}
+    assert all(r.chunk == (text if r.doc_id == 1 else "short")[r.start_char: r.end_char].strip() for r in rows)
+    own = [r for r in rows if r.doc_id == 1]
+    assert own[0].start_char == 0 and own[-1].end_char == len(text) and all(b.start_char == a.end_char - 8 for a, b in zip(own, own[1:]))
