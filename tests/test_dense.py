@@ -199,3 +199,15 @@ def test_maxsim_holds_few_products_at_once(monkeypatch):
     assert np.allclose(mv.maxsim(q.ravel(), ql, d.ravel(), dl), whole, atol=1e-12)
     one = (q[3:] @ d[3:4].T).mean()
     assert abs(whole[2, 1] - one) < 1e-12
+
+
+def test_listed_copies_are_dropped_where_hits_are_ranked(data):
+    """All cells probed: the exact result, and no hit is shuffled by its document."""
+    rows, frame = data
+    queries = frame.withColumnRenamed("doc_id", "query_id")
+    lists = dense.InvertedLists.build(frame, dense.train_centroids(frame, 4), copies=3)
+    found = lists.search(queries, 7, n_probe=4, exclude_self=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not any("hashpartitioning(query_id" in x and "doc_id" in x for x in plan.splitlines())
+    key = lambda hits: sorted((r.query_id, r["rank"], r.doc_id) for r in hits.collect())
+    assert key(found) == key(dense.cosine_topk(queries, frame, 7, exclude_self=True))
