@@ -184,9 +184,9 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
     packed = _chunks(docs).withColumn("chunk", F.monotonically_increasing_id())
-    packed = materialize(packed, "chunks")
-    size = packed.agg(F.sum(F.length("body"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    # the bucketed table is the only copy of the texts, and what fixes the numbers of the chunks
     packed.repartition(parts, "chunk").write.bucketBy(parts, "chunk").sortBy("chunk").format("parquet").saveAsTable(name)
     try:
         chunks = spark.table(name)

@@ -226,3 +226,13 @@ def test_merged_sketches_of_groups(spark):
         union = {tuple(t.split()[i:i + 5]) for _, t, s in rows if s == r.source for i in range(196)}
         assert abs(r.estimate / len(union) - 1) < 0.35
     assert len(found) == 2
+
+
+def test_collocations_write_their_texts_once(spark, monkeypatch):
+    """The bucketed table holds the texts; besides it only fingerprints and phrases are written."""
+    written, plain = [], phrases.materialize
+    monkeypatch.setattr(phrases, "materialize", lambda frame, name: (written.append(frame.columns), plain(frame, name))[1])
+    docs = spark.createDataFrame([(i, "en", "one two three") for i in range(5)], "doc_id long, lang string, text string")
+    counts, totals = phrases.phrase_counts(docs, least=5)
+    assert {(r.phrase, r.f) for r in counts.collect()} >= {("one", 5), ("one two three", 5)} and totals.first().n == 15
+    assert written and not any("body" in columns for columns in written)
