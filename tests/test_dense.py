@@ -211,3 +211,39 @@ def test_listed_copies_are_dropped_where_hits_are_ranked(data):
     assert "hashpartitioning(query_id" in plan and not any("hashpartitioning(query_id" in x and "doc_id" in x for x in plan.splitlines())
     key = lambda hits: sorted((r.query_id, r["rank"], r.doc_id) for r in hits.collect())
     assert key(found) == key(dense.cosine_topk(queries, frame, 7, exclude_self=True))
+
+
+def test_the_grid_is_square_and_vectors_stay_four_bytes_wide(data, monkeypatch):
+    """Small tables too: about as many columns as rows, so neither side is copied to every cell; floats are not widened before the shuffle."""
+    _, frame = data
+    monkeypatch.setattr(dense, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(dense, "CELLS_A_CORE", 4)
+    blocks = frame.sparkSession.range(100).select(F.col("id").alias("block"), F.array("id").alias("qids"))
+    vectors = frame.sparkSession.range(400).select(F.lit(0).cast("long").alias("block"), F.array("id").alias("vids"))
+    met = dense.join_blocks(blocks, vectors, 100, 1, "vids", lambda: 1)
+    side = int(np.ceil(np.sqrt(4 * frame.sparkSession.sparkContext.defaultParallelism)))
+    assert met.select("_column").distinct().count() == side and met.select("_row").distinct().count() <= side
+    assert dense.pack(frame.select(F.lit(0).cast("long").alias("block"), "doc_id", "vec"), "v", True, True).schema["vvecs"].dataType.simpleString() == "array<float>"
+
+
+def test_decoded_codes_have_the_products_of_the_tables():
+    rng = np.random.default_rng(2)
+    books, codes, q = rng.normal(size=(4, 16, 3)), rng.integers(0, 16, (50, 4)).astype(np.uint8), rng.normal(size=(5, 12))
+    tables = np.einsum("qsw,scw->qsc", q.reshape(5, 4, 3), books)
+    assert np.allclose(q @ mv._decoded(codes, books).T, sum(tables[:, s, :][:, codes[:, s]] for s in range(4)))
+
+
+def test_listed_pairs_meet_without_copies_of_vectors(spark, monkeypatch):
+    """Each vector is dealt once a row or column of the grid, not once a pair; pairs of unknown ids and zero vectors have no score."""
+    monkeypatch.setattr(dense, "CELLS_A_CORE", 1)
+    monkeypatch.setattr(dense, "PAIRS_AT_ONCE", 7)
+    rng = np.random.default_rng(4)
+    vecs = {i: [float(x) for x in rng.normal(size=4)] for i in range(40)} | {40: [0.0] * 4}
+    frame = spark.createDataFrame(list(vecs.items()), "doc_id long, flat array<double>")
+    pairs = [(q, d) for q in range(41) for d in range(0, 41, 3)] + [(5, 999), (999, 5)]
+    found = dense.score_pairs(spark.createDataFrame(pairs, "query_id long, doc_id long"), frame.withColumnRenamed("doc_id", "query_id"), frame, 328, mv._cosines)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FlatMapCoGroupsInArrow" in plan
+    got = {(r.query_id, r.doc_id): r.score for r in found.collect()}
+    want = {(q, d): round(float(np.dot(vecs[q], vecs[d]) / np.linalg.norm(vecs[q]) / np.linalg.norm(vecs[d])), 9) for q, d in pairs if q < 40 and d < 40}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-8 for p in want)
