@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,10 +108,13 @@ class TokenIndex:
         return self.spark.read.parquet(f"{self.path}/documents")
 
     def candidates(self, tokens: DataFrame, depth: int, n_probe: int) -> DataFrame:
-        """(query_id, doc_id): every query's ``depth`` best documents by decoded tokens of the probed cells."""
+        """(query_id, doc_id): every query's ``depth`` best documents by decoded tokens of the probed cells.
+
+        A token's finds in a cell are one row, dealt by query once: that order serves the sums and the ranks too.
+        """
         centers = self.centers
-        asked = tokens.withColumn("token", F.xxhash64("query_id", "pos")).select("token", "vec")
-        probes = materialize(dense.nearest_cells(asked, "token", [list(c) for c in centers], n_probe), "probes")
+        asked = tokens.withColumn("token", F.xxhash64("query_id", "pos")).select("query_id", "token", "vec")
+        probes = materialize(dense.nearest_cells(asked, "token", [list(c) for c in centers], n_probe, ("query_id",)), "probes")
         cells = [r.block for r in probes.select("block").distinct().collect()]  # at most one number per centroid
         rows = self.spark.read.schema("doc_id long, size double, code binary, cell long").parquet(f"{self.path}/cells").filter(F.col("cell").isin(cells))
 
@@ -125,6 +129,16 @@ class TokenIndex:
                         ["block", "ids", "sizes", "codes"])
 
         lists = rows.mapInArrow(packed, "block long, ids array<long>, sizes array<double>, codes binary")
+        owner = tokens.schema["query_id"].dataType.simpleString()
+
+        def gathered(batches):
+            whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            for batch in batches:
+                at = batch.column("block").to_numpy()
+                for cell in np.unique(at):
+                    own = batch.filter(pa.array(at == cell))
+                    yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), whole(own.column("token")), whole(own.column("query_id")), whole(own.column("vec").flatten())],
+                                                     ["block", "qids", "owners", "qvecs"])
 
         def look_up(batches):
             for batch in batches:
@@ -133,28 +147,38 @@ class TokenIndex:
                     codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int8).reshape(len(ids), -1)
                     decoded = centers[batch.column("block")[i].as_py()] + codes * (sizes / SCALE)[:, None]
                     scores = np.round(vecs.reshape(len(tokens_), -1) @ decoded.T, DIGITS)
-                    for token, row in zip(tokens_, scores):
-                        best, found = dense.keep_best(row, ids, TOKENS_A_CELL)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), token), pa.int64()), pa.array(found, pa.int64()), pa.array(best)], ["token", "doc_id", "score"])
-
-        met = dense.pack(probes.select("block", "token", "vec"), "q", normalize=False).join(lists, "block")
-        best = met.mapInArrow(look_up, "token long, doc_id long, score double").groupBy("token", "doc_id").agg(F.max("score").alias("score"))
-        owners = tokens.select("query_id", F.xxhash64("query_id", "pos").alias("token"))
-        sums = best.join(owners, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), DIGITS).alias("score"))
+                    best = [dense.keep_best(row, ids, TOKENS_A_CELL) for row in scores]
+                    sizes = [len(found) for _, found in best]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("owners")[i].values, pa.array(tokens_, pa.int64()), dense._list_of(np.concatenate([found for _, found in best]), sizes, pa.int64()),
+                         dense._list_of(np.concatenate([score for score, _ in best]), sizes, pa.float64())], ["query_id", "token", "ids", "scores"])
+
+        met = probes.mapInArrow(gathered, f"block long, qids array<long>, owners array<{owner}>, qvecs array<double>").join(lists, "block")
+        found = met.mapInArrow(look_up, f"query_id {owner}, token long, ids array<long>, scores array<double>").repartition("query_id")
+        rows = found.select("query_id", "token", F.explode(F.arrays_zip("ids", "scores")).alias("h")).select("query_id", "token", F.col("h.ids").alias("doc_id"), F.col("h.scores").alias("score"))
+        best = rows.groupBy("query_id", "token", "doc_id").agg(F.max("score").alias("score"))
+        sums = best.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), DIGITS).alias("score"))
         return best_hits(sums, depth).select("query_id", "doc_id")
 
     def search(self, tokens: DataFrame, k: int = 10, depth: int = 50, n_probe: int = 6) -> DataFrame:
         """MaxSim top-k of the queries (query_id, pos, vec) among their candidates: query_id, doc_id, score, rank."""
         queries = mv.packed_documents(tokens.withColumnRenamed("query_id", "doc_id")).withColumnRenamed("doc_id", "query_id")
-        pairs = (self.candidates(tokens, depth, n_probe).join(queries.select("query_id", F.col("lens").alias("ql"), F.col("flat").alias("qf")), "query_id")
-                 .join(self.documents().select("doc_id", F.col("lens").alias("dl"), F.col("flat").alias("df")), "doc_id"))
-
-        def exact(batches):
-            for batch in batches:
-                scores = []
-                for i in range(batch.num_rows):
-                    ql, qf, dl, df = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ql", "qf", "dl", "df"))
-                    scores.append(float(mv.maxsim(qf.astype(np.float64), ql, df.astype(np.float64), dl)[0, 0]))
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("doc_id"), pa.array(np.round(scores, DIGITS), pa.float64())], ["query_id", "doc_id", "score"])
-
-        return best_hits(pairs.select("query_id", "doc_id", "ql", "qf", "dl", "df").mapInArrow(exact, "query_id long, doc_id long, score double"), k)
+        pairs = materialize(self.candidates(tokens, depth, n_probe), "candidates")
+        documents = self.documents().select("doc_id", "lens", "flat")
+        numbers = sum(frame.agg(F.coalesce(F.sum(F.size("flat")), F.lit(0))).first()[0] for frame in (queries, documents))
+        return best_hits(dense.score_pairs(pairs, queries, documents, numbers, _maxsims), k)
+
+
+def _maxsims(queries: pa.Table, docs: pa.Table, q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """MaxSim of every pair of rows of two tables of packed tokens; a query meets its documents at once."""
+    columns = []
+    for table in (queries, docs):
+        lens, flat = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("lens", "flat"))
+        edges = np.r_[0, np.cumsum(pc.list_value_length(table.column("flat").combine_chunks()).to_numpy(zero_copy_only=False))]
+        columns.append((lens, lambda row, flat=flat, edges=edges: flat[edges[row]: edges[row + 1]].astype(np.float64)))
+    (ql, qf), (dl, df) = columns
+    out, starts = np.empty(len(q)), np.flatnonzero(np.diff(q, prepend=-1))
+    for low, high in zip(starts, np.r_[starts[1:], len(q)]):
+        own = d[low:high]
+        out[low:high] = mv.maxsim(qf(q[low]), ql[q[low]: q[low] + 1], np.concatenate([df(x) for x in own]), dl[own])[0]
+    return out

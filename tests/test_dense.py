@@ -247,3 +247,16 @@ def test_listed_pairs_meet_without_copies_of_vectors(spark, monkeypatch):
     got = {(r.query_id, r.doc_id): r.score for r in found.collect()}
     want = {(q, d): round(float(np.dot(vecs[q], vecs[d]) / np.linalg.norm(vecs[q]) / np.linalg.norm(vecs[d])), 9) for q, d in pairs if q < 40 and d < 40}
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-8 for p in want)
+
+
+def test_finds_of_a_token_are_dealt_by_query_once(spark):
+    """Neither sums nor ranks move the finds a second time, and no join by token brings the query back."""
+    rng = np.random.default_rng(12)
+    frame = spark.createDataFrame([(d, p, [float(x) for x in rng.normal(size=6)]) for d in range(20) for p in range(3)], "doc_id long, pos long, vec array<double>")
+    indexes = TokenIndexes(spark)
+    indexes.save("a", frame, cells=4)
+    found = indexes.load("a").candidates(frame.withColumnRenamed("doc_id", "query_id"), 20, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert any("hashpartitioning(query_id" in x for x in dealt) and not any("token" in x.split("hashpartitioning(")[1].split(")")[0] or "doc_id" in x.split("hashpartitioning(")[1].split(")")[0] for x in dealt)
+    assert found.count() == 400
