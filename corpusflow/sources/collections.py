@@ -153,12 +153,51 @@ class StoredCollections:
         return {(r[0], r[1]) for r in rows.select("collection", self._bucket().alias("b")).distinct().collect()}
 
     def merge(self, incoming: DataFrame, keys: Sequence[str], version: str, content: str | None = None, touched: str | None = None) -> int:
-        """``merge_latest`` into the cuts that ``incoming`` has rows for; repeating a merge changes nothing."""
+        """``merge_latest`` into the cuts that ``incoming`` has rows for.
+
+        Only cuts whose rows change are rewritten, so repeating a merge writes nothing but its manifest.
+        """
         cuts = self.cuts()
         hit = self._cuts_of(incoming)
         current = self.read(sorted(hit, key=str))
-        merged = merge_latest(current, incoming.select(*current.columns), keys, version, content, touched).select(*current.columns)
-        return self._rewrite(merged, hit, cuts)
+        incoming = incoming.select(*current.columns)
+        changed = self._changed(current, incoming, keys, version, content, touched, hit)
+        if not changed:
+            return self._commit(cuts, current.schema)
+        current = self.read(sorted(changed, key=str))
+        inside = self._in_cuts(incoming, changed)
+        merged = merge_latest(current, inside, keys, version, content, touched).select(*current.columns)
+        return self._rewrite(merged, changed, cuts)
+
+    def _in_cuts(self, rows: DataFrame, cuts: set) -> DataFrame:
+        numbers = defaultdict(list)
+        for collection, bucket in cuts:
+            numbers[collection].append(bucket)
+        wanted = F.lit(False)
+        for collection, held in numbers.items():
+            wanted = wanted | (F.col("collection").eqNullSafe(F.lit(collection)) & self._bucket().isin(held))
+        return rows.filter(wanted)
+
+    def _changed(self, current: DataFrame, incoming: DataFrame, keys: Sequence[str], version: str, content: str | None, touched: str | None, hit: set) -> set:
+        """Cuts in which a merge adds, changes or takes away a row. Rows are merged without their contents, by digests of them.
+
+        Where a key has rows in two cuts, these depend on each other: then all cuts of ``hit`` are merged together.
+        """
+        named = [c for c in (version, touched) if c]
+        place = ["collection", self.document]
+        plain = [*keys, *[c for c in [*named, *place] if c not in keys]]
+        rest = [c for c in current.columns if c not in plain and c != content]
+        digest = lambda columns: F.unhex(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+        extra = {"_content": F.when(F.col(content).isNotNull(), digest([content])) if content else F.lit(None).cast("binary"), "_rest": digest(rest) if rest else F.lit(None).cast("binary")}
+        narrow = lambda frame: frame.withColumns(extra).select(*plain, "_content", "_rest")
+        before, after = narrow(current), narrow(incoming)
+        places = before.unionByName(after).groupBy(*keys).agg(*[f(F.struct("collection", self._bucket())).alias(n) for f, n in ((F.min, "_low"), (F.max, "_high"))])
+        if not places.filter(~F.col("_low").eqNullSafe(F.col("_high"))).isEmpty():
+            return hit
+        merged = merge_latest(before, after, keys, version, "_content" if content else None, touched).select(*before.columns)
+        # a row counts +1 after and -1 before; what does not cancel out has changed
+        both = merged.withColumn("_n", F.lit(1)).unionByName(before.withColumn("_n", F.lit(-1)))
+        return self._cuts_of(both.groupBy(*before.columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0"))
 
     def remove_documents(self, gone: DataFrame) -> int:
         """Drop all rows of these documents; cuts without any of them stay as they are."""

@@ -62,3 +62,26 @@ def test_documents_and_collections_are_removed(spark, stored):
     stored.drop_collection("en/x=1")
     stored.remove_documents(stored.read().select("doc_id"))
     assert stored.read().columns == ["id", "doc_id", "collection", "chunk", "version", "updated_at"] and stored.read().collect() == []
+
+
+def test_a_repeated_merge_rewrites_no_cut(spark, stored):
+    """Contents, null contents and touch columns as they are: only the manifest is new. One changed row rewrites its cut alone."""
+    kind = "id string, doc_id long, collection string, chunk string, version int, updated_at int"
+    again = stored.read().withColumns({"version": F.lit(2), "updated_at": F.lit(20), "chunk": F.when(F.col("doc_id") % 5 > 0, F.col("chunk"))})
+    for _ in range(2):
+        before, rows = stored.cuts(), rows_of(stored.read())
+        stored.merge(again, ["id"], "version", "chunk", "updated_at")
+    assert stored.cuts() == before and rows_of(stored.read()) == rows and stored.versions() == [1, 2, 3]
+    one = spark.createDataFrame([("8-1", 8, "en/x=1", "other", 3, 30)], kind)
+    stored.merge(again.unionByName(one), ["id"], "version", "chunk", "updated_at")
+    after = stored.cuts()
+    assert sum(before[c] != after[c] for c in before) == 1 and ("8-1", 8, "en/x=1", "other", 3, 30) in rows_of(stored.read()) and len(rows_of(stored.read())) == 900
+
+
+def test_keys_in_two_cuts_are_merged_together(spark, stored):
+    """An older row of a key in another cut does not bring the key back there."""
+    kind = "id string, doc_id long, collection string, chunk string, version int, updated_at int"
+    late = spark.createDataFrame([("7-0", 9, None, "moved", 0, 5), ("9-0", 9, None, "changed", 2, 20), ("7-1", 7, "de", "chunk 1 of 7", 1, 10)], kind)
+    stored.merge(late, ["id"], "version", "chunk", "updated_at")
+    got = {r[0]: r[1:] for r in rows_of(stored.read())}
+    assert stored.read().count() == len(got) == 900 and got["7-0"][0] == 7 and got["9-0"] == (9, None, "changed", 2, 20)
