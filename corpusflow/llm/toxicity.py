@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +44,10 @@ def parts(ids) -> list[int]:
     return [zlib.crc32(b"null" if i is None else b"%d" % i) % 4 for i in ids]
 
 
-@F.pandas_udf(T.IntegerType())
-def part_of(ids: pd.Series) -> pd.Series:
-    return pd.Series(parts(None if pd.isna(i) else int(i) for i in ids), dtype="int32")
+def part_of(ids: str) -> Column:
+    """``parts`` as a column expression, so that no task needs a Python worker for it."""
+    text = F.coalesce(F.col(ids).cast("long").cast("string"), F.lit("null"))
+    return F.pmod(F.crc32(text.cast("binary")), F.lit(4)).cast("int")
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -245,3 +245,12 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     cases.empty(spark).write.parquet(f"{root}/documents.parquet")
     cases.labels(spark).write.parquet(f"{root}/labels.parquet")
     assert corpus_pipeline.run(spark, root).collect() == []
+
+
+def test_parts_need_no_python_worker(spark):
+    """The remainder of crc32 is a built-in expression and equals zlib's, for null, negative and very large ids too."""
+    ids = [None, 0, 7, -3, 10, 123456789, 2 ** 53 + 1, 2 ** 63 - 1, -(2 ** 63)]
+    frame = spark.createDataFrame([(i,) for i in ids], "doc_id long").withColumn("part", toxicity.part_of("doc_id"))
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.part for r in frame.collect()} == dict(zip(ids, toxicity.parts(ids)))
+    assert frame.schema["part"].dataType.simpleString() == "int"
