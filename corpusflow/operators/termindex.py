@@ -22,9 +22,12 @@ from corpusflow.functions.text import tokens
 from corpusflow.operators.dense import BROADCAST_BYTES
 from corpusflow.operators.ranking import best_hits
 from corpusflow.operators.sparse import QUERY_BLOCK, WEIGHT_BLOCK, WEIGHT_BYTES, query_terms, saturated_tf, smoothed_idf, tile_hits
-from corpusflow.session import materialize
+from corpusflow.session import arrow_batches, materialize
 
-RANGE_DOCS, RANGE_WORDS = 2048, 200_000
+#: A range is large, as a word takes one row in each range it stands in.
+RANGE_DOCS, RANGE_WORDS = 2048, 1_000_000
+#: Rows and bytes of words that reach Python at once: about a range.
+BATCH_ROWS, BATCH_BYTES = 2048, 12 << 20
 #: Words of a range that leave Python in one batch.
 TERM_ROWS = 4096
 #: Every PROBE-th range is searched first, for thresholds, when there are at least 2 * PROBE.
@@ -56,7 +59,11 @@ def _packed(docs: DataFrame, segment: int) -> DataFrame:
             for start, end in zip(edges[:-1], edges[1:]):
                 rows, own = batch.slice(start, end - start), sizes[start:end]
                 words = rows.column(1).flatten().dictionary_encode()
-                key, tf = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(own) + np.repeat(np.arange(len(own)), own), return_counts=True)
+                kind = np.int32 if len(words.dictionary) * len(own) < 1 << 31 else np.int64
+                key = words.indices.to_numpy(zero_copy_only=False).astype(kind) * kind(len(own)) + np.repeat(np.arange(len(own), dtype=kind), own)
+                key.sort()  # in place: a range's words are held once
+                places = np.flatnonzero(np.diff(key, prepend=kind(-1)))
+                key, tf = key[places], np.diff(places, append=len(key))
                 word, doc = key // len(own), key % len(own)
                 first = np.flatnonzero(np.diff(word, prepend=-1))
                 place = (segment << SEGMENT_SHIFT) | (TaskContext.get().partitionId() << PARTITION_SHIFT) | number
@@ -99,7 +106,8 @@ class TermIndex:
         if self.exists():
             self.remove(docs)
         segment = uuid.uuid4().int & ((1 << 22) - 1)
-        packed = materialize(_packed(docs, segment), "ranges")  # numbers of ranges and places are fixed from here on
+        with arrow_batches(self.spark, BATCH_ROWS, BATCH_BYTES):
+            packed = materialize(_packed(docs, segment), "ranges")  # numbers of ranges and places are fixed from here on
         posts = packed.filter("term IS NOT NULL").select("term", "range", F.size("docs").alias("n"), "most", "least", "docs", "tfs")
         ranges = packed.filter("term IS NULL").select("range", "ids", "lens")
         # one writer per bucket, so that a bucket gets one sorted file per segment

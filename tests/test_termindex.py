@@ -121,3 +121,17 @@ def test_no_packed_row_holds_more_than_a_word_of_a_range(spark):
     assert len({(r["range"], r["term"]) for r in words}) == len(words) == 400 and all(r["ids"] is None for r in words)
     assert sum(sum(r["tfs"]) for r in words) == 6000
     assert all(len(r["docs"]) == len(r["tfs"]) <= 60 and r["most"] == max(r["tfs"]) and r["least"] == 100 for r in words)
+
+
+def test_the_build_hands_small_batches_to_python_and_cuts_large_ranges(spark, monkeypatch):
+    """Batches of 10 000 word lists took the executor's memory; small ranges took a row for each few places of a word."""
+    key, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], termindex.materialize
+    monkeypatch.setattr(termindex, "materialize", lambda rows, name: (seen.append(int(spark.conf.get(key))), plain(rows, name))[1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 900}" for j in range(500))) for i in range(600)], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get(key)
+    index = TermIndex(spark, buckets=2).add(docs)
+    try:
+        assert seen[0] <= 2048 and spark.conf.get(key) == before
+        assert index._table("ranges").count() == 1 and index._table("postings").count() == 900
+    finally:
+        index.drop()
