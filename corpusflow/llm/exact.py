@@ -110,9 +110,10 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     Of rows that repeat both doc_id and text one stays, the one with the smallest hash of its other columns. Columns may
     have any names: helper names are made so that ``docs`` does not use them. An empty table stays empty.
     """
-    keep_id, keep_sha, sha, place = (unused(docs, n) for n in ("keep_id", "keep_sha", "sha", "place"))
-    marks = deduplicated(docs).filter("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
-    hashed = docs.withColumn(sha, text_digest(F.col("text").cast("string")))
-    found = hashed.join(marks, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(sha) == F.col(keep_sha)))
-    first = Window.partitionBy(keep_id, keep_sha).orderBy(row_hash(docs))
-    return found.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).select(*docs.columns)
+    key, sha, place = (unused(docs, n) for n in ("key", "sha", "place"))
+    # rows are dealt once by this key, which is never null: the join and the window both find them there
+    named = lambda c: F.coalesce(F.concat(F.lit("+"), c.cast("string")), F.lit(""))
+    marks = deduplicated(docs).filter("kept").select(named(F.col("doc_id")).alias(key), F.col("text_sha256").alias(sha))
+    hashed = docs.withColumn(key, named(F.col("doc_id"))).withColumn(sha, text_digest(F.col("text").cast("string")))
+    first = Window.partitionBy(key, sha).orderBy(row_hash(docs))
+    return hashed.join(marks, [key, sha]).withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).select(*docs.columns)

@@ -158,11 +158,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     one with the smallest hash of its columns is taken. Columns may have any names: helper names are made so that
     ``docs`` does not use them. Null texts and texts without words are not taken. An empty table stays empty.
     """
-    key, source, tie, times, text, copy, place = (unused(docs, n) for n in ("key", "of_source", "tie", "times", "text_hash", "copy", "place"))
-    plan = (mixed(docs, **how).groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("tie").alias(tie))
-            .agg(F.sum("repeats").alias(times)).filter(F.col(times) > 0))
-    first = Window.partitionBy("doc_id", "source", text).orderBy(row_hash(docs))
-    once = docs.withColumn(text, F.xxhash64("text")).withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
-    same = F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(text) == F.col(tie))
-    copies = once.join(plan, same).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    key, times, text, copy, place = (unused(docs, n) for n in ("key", "times", "text_hash", "copy", "place"))
+    # rows are dealt once by this key, which is never null (null fields are left out of it): the window and the join both find them there
+    named = lambda doc_id, source, tie: F.to_json(F.struct(F.col(doc_id).alias("d"), F.col(source).alias("s"), F.col(tie).alias("t")))
+    plan = (mixed(docs, **how).select(named("doc_id", "source", "tie").alias(key), F.col("repeats").alias(times))
+            .groupBy(key).agg(F.sum(times).alias(times)).filter(F.col(times) > 0))
+    once = docs.withColumn(text, F.xxhash64("text")).withColumn(key, named("doc_id", "source", text))
+    once = once.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(row_hash(docs)))).filter(F.col(place) == 1)
+    copies = once.join(plan, key).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
     return copies.select(*docs.columns)
