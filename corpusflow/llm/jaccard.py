@@ -24,7 +24,7 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 SKETCH_BITS = 22  # counters of the frequency sketch: a fixed 4 MB of saturating bytes, at any corpus size
 CHUNK_BITS = 16
 COUNT_AT_ONCE = 1 << 18
-PARTS = 64
+PARTS = 128
 
 
 def _frequency_ranks(docs: DataFrame, size: int) -> np.ndarray:
@@ -96,7 +96,7 @@ def _profiles(docs: DataFrame, size: int, num: int, den: int, ranks) -> DataFram
             n, sums = set_digests(h, d, count)
             tokens = _sorted_tokens(h, d, table)
             parts = np.bincount(d * PARTS + (mix(h ^ np.uint64(0x94D049BB133111EB)) % np.uint64(PARTS)).astype(np.int64), minlength=count * PARTS)
-            parts = np.minimum(parts, 65535).astype(np.uint16).reshape(count, PARTS)
+            parts = parts.astype(np.uint8).reshape(count, PARTS)  # modulo 256; see likeness
             length = np.where(n > 0, n - (n * num + den - 1) // den + 1, 0)
             skip = np.repeat(np.cumsum(n) - n - (np.cumsum(length) - length), length)
             prefix = tokens[np.arange(len(skip)) + skip] if len(skip) else tokens[:0]
@@ -113,7 +113,8 @@ def likeness(num: int, den: int) -> Likeness:
 
     Tokens before a shared one can match at most min(pos) times, tokens behind it at most the shorter rest. The suffix
     filter splits the token space into ``PARTS`` parts: the two sets differ in at least as many tokens as their parts
-    differ in size, which bounds their similarity from above.
+    differ in size, which bounds their similarity from above. Sizes are known modulo 256, so a part's difference is taken
+    the shorter way round, which is never more than it is.
     """
     def possible(na, pos_a, nb, pos_b):
         most = F.least(pos_a, pos_b) + 1 + F.least(na - pos_a - 1, nb - pos_b - 1)
@@ -125,11 +126,12 @@ def likeness(num: int, den: int) -> Likeness:
         if pos_a is not None:
             most = np.minimum(pos_a, pos_b) + 1 + np.minimum(na - pos_a - 1, nb - pos_b - 1)
             good = good & (most * (num + den) >= total * num)
-        apart = np.zeros(good.shape, np.int64)
-        a, b = fa.view(np.uint16).astype(np.int32), fb.view(np.uint16).astype(np.int32)
+        apart = np.zeros(good.shape, np.uint16)
         if good.any():
-            for k in range(PARTS):  # part by part: no array of all pairs and parts at once
-                apart += np.abs(a[..., k] - b[..., k])
+            for a, b in zip(*(np.ascontiguousarray(np.moveaxis(f, -1, 0)) for f in (fa, fb))):  # part by part, a byte a pair
+                gap = a - b
+                apart += np.minimum(gap, -gap)
+        apart = apart.astype(np.int64)
         good = good & (apart * (num + den) <= total * (den - num))
         return np.where(good, (total - apart) / np.maximum(total + apart, 1), -1.0)
 

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import cases
 import numpy as np
 import pytest
-from corpusflow.llm import buckets, hardneg, phrases, setsketch
+from corpusflow.llm import buckets, exact, hardneg, jaccard, mixing, phrases, setsketch
 from test_llm_bruteforce import brute_components, key
 
 VECTORS = "vec_id long, embedding array<float>, label int, score double, shard string, q int, rank int"
@@ -236,3 +236,51 @@ def test_collocations_write_their_texts_once(spark, monkeypatch):
     counts, totals = phrases.phrase_counts(docs, least=5)
     assert {(r.phrase, r.f) for r in counts.collect()} >= {("one", 5), ("one two three", 5)} and totals.first().n == 15
     assert written and not any("body" in columns for columns in written)
+
+
+def feature(members):
+    parts = np.bincount(np.asarray(members) % jaccard.PARTS, minlength=jaccard.PARTS)
+    return np.frombuffer(parts.astype(np.uint8 if jaccard.PARTS == 128 else np.uint16).tobytes(), np.uint8)[None, :]
+
+
+def test_the_suffix_filter_rules_out_pairs_below_the_threshold_and_no_link():
+    """Most sets of 800 with a likeness of 0.8 went on to their full texts at a threshold of 0.9; sizes of parts beyond 255 rule out no link."""
+    rng, score = np.random.default_rng(4), jaccard.likeness(90, 100).score
+    judged = lambda x, y: score(np.array([len(x)]), None, feature(x), np.array([len(y)]), None, feature(y))[0]
+    out = 0
+    for _ in range(100):
+        drawn = rng.choice(1 << 40, 1000, replace=False)
+        out += judged(drawn[:800], drawn[89:889]) < 0
+        assert judged(drawn[:800], drawn[42:842]) >= 0.9
+    assert out > 70
+    huge = rng.choice(1 << 40, 60_000, replace=False)
+    assert judged(huge[:57_000], huge[:54_000]) >= 0.9
+
+
+def test_whole_rows_are_dealt_once(spark):
+    """Exact dedup and the mix dealt the texts to find copies and dealt them again for the join."""
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "web", 6) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for stage in (exact.kept_documents, mixing.mixed_documents):
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        try:
+            plan = spark._jvm.PythonSQLUtils.explainString(stage(docs)._jdf.queryExecution(), "formatted")
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+        assert sum(bool(re.search(r"\btext#", columns)) for columns in dealt) == 1
+
+
+def test_null_keys_and_repeated_rows_keep_their_place(spark):
+    rows = [(1, "A b", "en", None, 3), (1, "a B", "de", None, 3), (None, "c", "en", "", 1), (None, "c", "en", None, 1), (2, "c d", "en", "", 3), (2, "c d", "en", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text.lower()) for r in exact.kept_documents(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a b"), (None, "c"), (2, "c d")], key=str)
+    drawn = Counter((r.doc_id, r.source) for r in mixing.mixed_documents(docs).select("doc_id", "source").collect())
+    taken = Counter()
+    for r in mixing.mixed(docs).collect():
+        taken[(r.doc_id, r.source)] += r.repeats
+    assert drawn == +taken
