@@ -1,6 +1,6 @@
 """Links inside buckets: from documents that share a bucket to connected components, without expanding a bucket.
 
-Candidate generation deals documents to buckets (prefix tokens, bands of a sketch). Here the members of a bucket are
+Candidate generation deals documents to buckets (tokens of a prefix, bands of a sketch). Here the members of a bucket are
 first compared with one centre, and those of large buckets that still hold several components with a few more.
 Members of the buckets that are left meet in tiles: packs of about ``TILE`` members, compared as matrices inside a
 task, which hands over only each member's likeliest partners in other components. The number handed over grows from
@@ -201,6 +201,7 @@ def linked(entries: DataFrame, features: DataFrame, docs: DataFrame, like: Liken
     """
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = entries.repartition("token")  # dealt once, for the centres and for the join with them
     first = entries.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("c"), F.max("id").alias("last")).filter("last > c.id")
     buckets = materialize(entries.join(first.select("token", "c"), "token"), "buckets")
     name = f"texts_{uuid.uuid4().hex}"

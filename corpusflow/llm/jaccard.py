@@ -1,9 +1,11 @@
-"""Similarity join on word n-grams: rare-first prefixes with length, positional and suffix filters.
-
-Every document becomes a set of shingle tokens in one global order, rare ones first. Two sets whose Jaccard
-similarity reaches the threshold share a token within their prefixes, so documents meet in the buckets of their
-prefix tokens (``buckets.linked``): with one centre first, then in tiles with members of other components. Only pairs
-within one component are left out, so no link between components is lost, and each pair is confirmed once.
+"""Similarity join on word n-grams: prefixes of hashed parts, with length and suffix filters.
+
+Every document becomes a set of shingle hashes. The hash space is cut into parts, somewhat more than two linking sets
+can differ in shingles, so linking sets agree in some whole parts: the shingles of a part together are one token, which
+only near copies share, however common its single shingles are. Parts in one global order, large ones first, allow a
+prefix filter: linking sets share a token within their prefixes. Documents meet in the buckets of these tokens
+(``buckets.linked``): with one centre first, then in tiles with members of other components. Only pairs within one
+component are left out, so no link between components is lost, and each pair is confirmed once.
 """
 
 from __future__ import annotations
@@ -21,86 +23,77 @@ from corpusflow.llm.words import mix
 from corpusflow.session import materialize
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
-SKETCH_BITS = 22  # counters of the frequency sketch: a fixed 4 MB of saturating bytes, at any corpus size
-CHUNK_BITS = 16
-COUNT_AT_ONCE = 1 << 18
-PARTS = 128
+PARTS = 128  # of the suffix filter
+AT_ONCE = 2048  # pairs whose parts are subtracted in one go
+SMALLEST = 4  # sizes up to this are one class; each further class reaches twice as far
+SPARE = 5  # a class has a part more for each SPARE parts of the longest prefix, so that prefixes leave out the smallest parts
+
+
+def _size_classes(num: int, den: int) -> np.ndarray:
+    """Upper ends of the size classes. Linking sets are in one class or in adjacent ones."""
+    ends = [SMALLEST]
+    while ends[-1] < 1 << 40:
+        ends.append(max(2 * ends[-1], -(-ends[-1] * den // num)))
+    return np.array(ends, np.int64)
 
 
-def _frequency_ranks(docs: DataFrame, size: int) -> np.ndarray:
-    """Quantised log2 document frequency of every sketch counter.
+def _tokens(h: np.ndarray, d: np.ndarray, n: np.ndarray, level: np.ndarray, ends: np.ndarray, differ: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, document) of the prefixes of documents cut into the parts of class ``level``; ``h`` is sorted by document.
 
-    Tasks count into a fixed number of counters and hand over 64 chunks of saturating bytes; the chunks are summed
-    as they stream in. Only the order of tokens depends on the sketch, never the result.
+    A document and a partner differ in at most ``differ`` shingles, hence in as many parts of the K that the class has:
+    they have K - differ parts in common, of which the first is among the first differ + 1 of either. A part's place in
+    the order follows from its contents: large parts, then small ones, then empty ones. Without ``differ`` no
+    other set can link.
     """
-    counters, chunk = 1 << SKETCH_BITS, 1 << CHUNK_BITS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, dtype=np.uint8)
-
-        def put(waiting):
-            place, more = np.unique(np.concatenate(waiting), return_counts=True)
-            total[place] = np.minimum(total[place] + more, 255)
-
-        waiting, held = [], 0
-        for _, h, _, _ in sets_of(batches, size):
-            waiting.append((h >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
-            held += len(h)
-            if held > COUNT_AT_ONCE:
-                put(waiting)
-                waiting, held = [], 0
-        if held:
-            put(waiting)
-        if total.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(counters // chunk), pa.int64()),
-                 pa.array([total[i: i + chunk].tobytes() for i in range(0, counters, chunk)], pa.binary())], ["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums.setdefault(k, np.zeros(chunk, dtype=np.int64))
-                sums[k] += np.frombuffer(counts, dtype=np.uint8)
-        if sums:
-            ranks = [np.minimum(8 * np.log2(1 + s), 255).astype(np.uint8).tobytes() for s in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(ranks, pa.binary())], ["chunk", "ranks"])
-
-    partial = docs.select("doc_id", "text").mapInArrow(count, "chunk long, counts binary")
-    rows = partial.repartition(counters // chunk, "chunk").mapInArrow(add, "chunk long, ranks binary").collect()  # 64 rows, 4 MB
-    ranks = np.zeros(counters, dtype=np.uint8)
-    for row in rows:
-        ranks[row.chunk * chunk: (row.chunk + 1) * chunk] = np.frombuffer(row.ranks, dtype=np.uint8)
-    return ranks
-
-
-def _tokens(h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Signed 64-bit tokens whose natural order is rare first: frequency rank, then 56 bits of the hash."""
-    rank = ranks[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    return ((rank << np.uint64(56)) | (mix(h) >> np.uint64(8))).view(np.int64) ^ np.int64(-(1 << 63))
-
-
-def _sorted_tokens(h: np.ndarray, d: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    tokens = _tokens(h, ranks)
-    for part in np.split(tokens, np.flatnonzero(np.diff(d)) + 1):
-        part.sort()
-    return tokens
-
-
-def _profiles(docs: DataFrame, size: int, num: int, den: int, ranks) -> DataFrame:
+    able = differ > 0
+    longest = 2 * ends[level] * (den - num) // (den + num) + 1
+    parts = longest + -(-longest // SPARE)
+    use = able[d]
+    h, d = h[use], d[use]
+    part = ((h >> np.uint64(32)) * parts[d].astype(np.uint64)) >> np.uint64(32)  # rises with the hash
+    new = np.ones(len(h), bool)
+    new[1:] = (part[1:] != part[:-1]) | (d[1:] != d[:-1])
+    first = np.flatnonzero(new)
+    size, part, doc = np.diff(first, append=len(h)), part[first], d[first]
+    token = np.add.reduceat(mix(h ^ np.uint64(0xD1B54A32D192ED03)), first) if len(first) else h
+    named = lambda part, doc: mix((level[doc].astype(np.uint64) << np.uint64(48)) + part + np.uint64(1))
+    token = mix(token ^ named(part, doc))
+    order = np.lexsort((token, -size, doc))
+    token, doc = token[order], doc[order]
+    held = np.bincount(doc, minlength=len(n))
+    place = np.arange(len(doc)) - (np.cumsum(held) - held)[doc]
+    keep = place <= differ[doc]
+    tokens, owners = [token[keep]], [doc[keep]]
+    for k in np.flatnonzero(able & (held <= differ)):  # too few parts with contents: empty ones, by number
+        empty = np.setdiff1d(np.arange(parts[k], dtype=np.uint64), part[np.searchsorted(d[first], k): np.searchsorted(d[first], k, "right")])
+        empty = empty[: differ[k] + 1 - held[k]]
+        owners.append(np.full(len(empty), k))
+        tokens.append(named(empty, owners[-1]))
+    return np.concatenate(tokens), np.concatenate(owners)
+
+
+def _prefixes(h: np.ndarray, d: np.ndarray, n: np.ndarray, ends: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, document), by document: a document's prefix in its own size class, and in the next one where partners can be in it."""
+    level, most = np.searchsorted(ends, n), n * den // num
+    differ = (n + np.minimum(most, ends[level])) * (den - num) // (den + num)
+    beyond = np.where(most > ends[level], (n + most) * (den - num) // (den + num), 0)
+    found = [_tokens(h, d, n, level, ends, differ, num, den), _tokens(h, d, n, level + 1, ends, beyond, num, den)]
+    token, doc = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(doc, kind="stable")
+    return token[order].view(np.int64), doc[order]
+
+
+def _profiles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(id, n, d1, d2, feat, prefix): set size, digest, part sizes and prefix tokens of every document."""
+    ends = _size_classes(num, den)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value
         for ids, h, d, count in sets_of(batches, size):
             n, sums = set_digests(h, d, count)
-            tokens = _sorted_tokens(h, d, table)
             parts = np.bincount(d * PARTS + (mix(h ^ np.uint64(0x94D049BB133111EB)) % np.uint64(PARTS)).astype(np.int64), minlength=count * PARTS)
             parts = parts.astype(np.uint8).reshape(count, PARTS)  # modulo 256; see likeness
-            length = np.where(n > 0, n - (n * num + den - 1) // den + 1, 0)
-            skip = np.repeat(np.cumsum(n) - n - (np.cumsum(length) - length), length)
-            prefix = tokens[np.arange(len(skip)) + skip] if len(skip) else tokens[:0]
-            offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            prefix, owner = _prefixes(h, d, n, ends, num, den)
+            offsets = np.searchsorted(owner, np.arange(count + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 ids.cast(pa.int64()), pa.array(n, pa.int64()), *map(pa.array, sums), pa.array([p.tobytes() for p in parts], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))], ["id", "n", "d1", "d2", "feat", "prefix"])
@@ -109,25 +102,23 @@ def _profiles(docs: DataFrame, size: int, num: int, den: int, ranks) -> DataFram
 
 
 def likeness(num: int, den: int) -> Likeness:
-    """Length and positional filter for two members of a bucket, and the suffix filter.
+    """Length filter for two members of a bucket, and the suffix filter.
 
-    Tokens before a shared one can match at most min(pos) times, tokens behind it at most the shorter rest. The suffix
-    filter splits the token space into ``PARTS`` parts: the two sets differ in at least as many tokens as their parts
-    differ in size, which bounds their similarity from above. Sizes are known modulo 256, so a part's difference is taken
-    the shorter way round, which is never more than it is.
+    The suffix filter splits the token space into ``PARTS`` parts: the two sets differ in at least as many tokens as their
+    parts differ in size, which bounds their similarity from above. Sizes are known modulo 256, so a part's difference is
+    taken the shorter way round, which is never more than it is.
     """
     def possible(na, pos_a, nb, pos_b):
-        most = F.least(pos_a, pos_b) + 1 + F.least(na - pos_a - 1, nb - pos_b - 1)
-        return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (most * (num + den) >= (na + nb) * num)
+        return F.least(na, nb) * den >= F.greatest(na, nb) * num
 
     def score(na, pos_a, fa, nb, pos_b, fb):
         total = na + nb
         good = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
-        if pos_a is not None:
-            most = np.minimum(pos_a, pos_b) + 1 + np.minimum(na - pos_a - 1, nb - pos_b - 1)
-            good = good & (most * (num + den) >= total * num)
         apart = np.zeros(good.shape, np.uint16)
-        if good.any():
+        if good.size <= AT_ONCE:  # most tiles hold a few members
+            gap = fa - fb
+            apart = np.minimum(gap, -gap).sum(axis=-1, dtype=np.uint16)
+        elif good.any():
             for a, b in zip(*(np.ascontiguousarray(np.moveaxis(f, -1, 0)) for f in (fa, fb))):  # part by part, a byte a pair
                 gap = a - b
                 apart += np.minimum(gap, -gap)
@@ -147,15 +138,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int =
     one document for linking; rows with a null doc_id link with nothing and have a null component. Columns beyond
     doc_id and text are not read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranks = spark.sparkContext.broadcast(_frequency_ranks(docs, shingle))
-    profiles = materialize(_profiles(docs, shingle, numerator, denominator, ranks), "profiles")
+    profiles = materialize(_profiles(docs, shingle, numerator, denominator), "profiles")
 
     def link(reps: DataFrame) -> DataFrame:
         own = profiles.filter("n > 0").join(reps.withColumnRenamed("rep", "id"), "id", "left_semi")
         features = materialize(own.select("id", "n", "feat").distinct(), "features")
-        entries = own.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "n", F.col("pos").cast("long").alias("pos"))
+        entries = own.select(F.explode("prefix").alias("token"), "id", "n", F.lit(0).cast("long").alias("pos"))
         return linked(entries, features, docs.withColumnRenamed("doc_id", "id"), likeness(numerator, denominator), Threshold(shingle, numerator, denominator))
 
     return classes_named(profiles, link)

@@ -284,3 +284,44 @@ def test_null_keys_and_repeated_rows_keep_their_place(spark):
     for r in mixing.mixed(docs).collect():
         taken[(r.doc_id, r.source)] += r.repeats
     assert drawn == +taken
+
+
+def prefixes_of(sets, num, den):
+    """One set of tokens for each set of shingle hashes."""
+    n = np.array([len(s) for s in sets])
+    token, doc = jaccard._prefixes(np.concatenate([np.sort(s) for s in sets]), np.repeat(np.arange(len(sets)), n), n, jaccard._size_classes(num, den), num, den)
+    return [set(token[doc == k].tolist()) for k in range(len(sets))]
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100), (1, 2)])
+def test_linking_sets_share_a_token_of_their_prefixes(num, den):
+    """At the threshold itself, from one class of sizes to the next, and where sets hardly fill their parts."""
+    rng = np.random.default_rng(7)
+    for size in [*range(1, 70), 128, 129, 500]:
+        for smaller in range(-(-size * num // den), size + 1):
+            pool = rng.integers(1, 1 << 63, 3 * size, dtype=np.uint64) << np.uint64(1)
+            common = -(-num * (size + smaller) // (num + den))
+            if common <= smaller:
+                a, b = prefixes_of([pool[:size], np.r_[pool[:common], pool[2 * size: 2 * size + smaller - common]]], num, den)
+                assert a & b or size == smaller == common
+
+
+def test_sets_that_share_a_common_passage_meet_in_few_buckets():
+    """Documents met wherever one frequent shingle was in both prefixes, so pairs grew with the square of the corpus."""
+    rng = np.random.default_rng(8)
+    passage = rng.integers(1, 1 << 63, 60, dtype=np.uint64) << np.uint64(1)
+    found = prefixes_of([np.r_[passage, rng.integers(1, 1 << 63, 240, dtype=np.uint64) << np.uint64(1)] for _ in range(200)], 90, 100)
+    assert sum(bool(a & b) for k, a in enumerate(found) for b in found[:k]) < 20  # of 19 900 pairs
+    assert all(len(f) <= 300 * 0.3 for f in found)
+
+
+def test_small_and_large_tiles_are_judged_alike(monkeypatch):
+    """A tile of a few members took a hundred steps over single numbers."""
+    rng, score = np.random.default_rng(9), jaccard.likeness(90, 100).score
+    base = rng.integers(0, 256, jaccard.PARTS).astype(np.uint8)
+    feats = [base + rng.integers(0, 2, (k, jaccard.PARTS)).astype(np.uint8) for k in (30, 40)]
+    sizes = [rng.integers(500, 700, k) for k in (30, 40)]
+    judged = lambda: score(sizes[0][:, None], None, feats[0][:, None, :], sizes[1][None, :], None, feats[1][None, :, :])
+    fast = judged()
+    monkeypatch.setattr(jaccard, "AT_ONCE", 0)
+    assert (fast == judged()).all() and 0 < (fast >= 0).mean() < 1
