@@ -134,12 +134,16 @@ def _packed(prints: list[np.ndarray], chunk: int, parts: int) -> pa.RecordBatch:
     value, count = np.unique(np.concatenate(prints), return_counts=True)
     part = ((value >> np.uint64(16)) * np.uint64(parts) >> np.uint64(BITS - 16)).astype(np.int64)
     edges = np.r_[np.flatnonzero(np.diff(part, prepend=-1)), len(part)]
-    planes = lambda x, width: [np.ascontiguousarray(x[a:b].view(np.uint8).reshape(-1, x.itemsize)[:, :width].T).tobytes() for a, b in zip(edges[:-1], edges[1:])]
+    planes = lambda x, width: [_planes(x[a:b], width) for a, b in zip(edges[:-1], edges[1:])]
     return pa.RecordBatch.from_arrays(
         [pa.array(part[edges[:-1]]), pa.array(np.full(len(edges) - 1, chunk, np.int64)), pa.array(planes(value, BITS // 8), pa.binary()),
          pa.array(planes(count.astype(np.uint32), 4), pa.binary())], ["part", "chunk", "prints", "counts"])
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize)[:, :width].T).tobytes()
+
+
 def _unplaned(planes: bytes, width: int) -> np.ndarray:
     raw = np.frombuffer(planes, np.uint8).reshape(width, -1)
     out = np.zeros((raw.shape[1], 8), np.uint8)
@@ -148,7 +152,7 @@ def _unplaned(planes: bytes, width: int) -> np.ndarray:
 
 
 def _frequent(counted: DataFrame, least: int) -> DataFrame:
-    """(chunk, prints): for every chunk those of its fingerprints whose counts over all chunks reach ``least``."""
+    """(chunk, prints): for every chunk those of its fingerprints whose counts over all chunks reach ``least``, as byte planes."""
 
     def total(table: pa.Table) -> pa.Table:
         prints = [_unplaned(p, BITS // 8) for p in table.column("prints").to_pylist()]
@@ -159,14 +163,14 @@ def _frequent(counted: DataFrame, least: int) -> DataFrame:
         take = often[number]
         number, owner = number[take], owner[take]
         edges = np.searchsorted(owner, np.arange(len(prints) + 1))
-        found = [value[number[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+        found = [_planes(value[number[a:b]], BITS // 8) for a, b in zip(edges[:-1], edges[1:])]
         return pa.table({"chunk": table.column("chunk"), "prints": pa.array(found, pa.binary())}).filter(pa.array(np.diff(edges) > 0))
 
     return counted.groupBy("part").applyInArrow(total, "chunk long, prints binary")
 
 
 def _known(flags: pa.Table) -> np.ndarray:
-    return np.sort(np.frombuffer(b"".join(flags.column("prints").to_pylist()), np.uint64))
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unplaned(p, BITS // 8) for p in flags.column("prints").to_pylist())]))
 
 
 def _among(prints: np.ndarray, known: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpusflow.llm import buckets, exact, hardneg, jaccard, mixing, phrases, setsketch
 from test_llm_bruteforce import brute_components, key
@@ -325,3 +326,12 @@ def test_small_and_large_tiles_are_judged_alike(monkeypatch):
     fast = judged()
     monkeypatch.setattr(jaccard, "AT_ONCE", 0)
     assert (fast == judged()).all() and 0 < (fast >= 0).mean() < 1
+
+
+def test_frequent_fingerprints_travel_in_six_bytes(spark):
+    """A chunk's frequent fingerprints came back in eight bytes each, which hardly compress."""
+    value = np.unique(np.random.default_rng(5).integers(0, 1 << phrases.BITS, 500, dtype=np.uint64))
+    rows = [r for chunk in (0, 1) for r in phrases._packed([value], chunk, 3).to_pylist()]
+    back = phrases._frequent(spark.createDataFrame([(r["part"], r["chunk"], r["prints"], r["counts"]) for r in rows], "part long, chunk long, prints binary, counts binary"), 2).collect()
+    assert sum(len(r.prints) for r in back) == 2 * 6 * len(value)
+    assert (phrases._known(pa.table({"prints": pa.array([bytes(r.prints) for r in back if r.chunk == 1], pa.binary())})) == value).all()
