@@ -30,6 +30,10 @@ RANGE_DOCS, RANGE_WORDS = 2048, 1_000_000
 BATCH_ROWS, BATCH_BYTES = 2048, 12 << 20
 #: Words of a range that leave Python in one batch.
 TERM_ROWS = 4096
+#: Bytes of text for each bucket of postings: a writer sorts a bucket, so buckets grow in number and not in size.
+BUCKET_BYTES = 24 << 20
+#: Bytes that a Parquet writer holds before it writes them out (128 MB by default, in every task).
+BLOCK_BYTES = 16 << 20
 #: Every PROBE-th range is searched first, for thresholds, when there are at least 2 * PROBE.
 PROBE = 16
 SEGMENT_SHIFT, PARTITION_SHIFT = 40, 16
@@ -89,7 +93,17 @@ class TermIndex:
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark, self.name = spark, name or f"terms_{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets
+
+    def _buckets_for(self, docs: DataFrame) -> int:
+        """Buckets of the postings: as many as the table has; of a new table, as its first documents need."""
+        if self.spark.catalog.tableExists(f"{self.name}_postings"):
+            told = self.spark.sql(f"DESCRIBE EXTENDED {self.name}_postings").filter("col_name = 'Num Buckets'").first()
+            return int(told.data_type)
+        if self.buckets:
+            return self.buckets
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
     def _table(self, part: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{part}")
@@ -107,11 +121,12 @@ class TermIndex:
             self.remove(docs)
         segment = uuid.uuid4().int & ((1 << 22) - 1)
         with arrow_batches(self.spark, BATCH_ROWS, BATCH_BYTES):
-            packed = materialize(_packed(docs, segment), "ranges")  # numbers of ranges and places are fixed from here on
+            packed = materialize(_packed(docs, segment), "ranges", **{"parquet.block.size": BLOCK_BYTES})  # numbers of ranges and places are fixed from here on
         posts = packed.filter("term IS NOT NULL").select("term", "range", F.size("docs").alias("n"), "most", "least", "docs", "tfs")
         ranges = packed.filter("term IS NULL").select("range", "ids", "lens")
         # one writer per bucket, so that a bucket gets one sorted file per segment
-        (posts.repartition(self.buckets, "term").write.bucketBy(self.buckets, "term").sortBy("term").format("parquet")
+        buckets = self._buckets_for(docs)
+        (posts.repartition(buckets, "term").write.option("parquet.block.size", BLOCK_BYTES).bucketBy(buckets, "term").sortBy("term").format("parquet")
          .mode("append").saveAsTable(f"{self.name}_postings"))
         self._append(ranges, "ranges")
         size = ranges.select(F.size("lens").alias("docs"), F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x).alias("words"))

@@ -71,13 +71,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str):
-    """Write a result that several branches read, and return the written table.
+def materialize(df, name: str, **options):
+    """Write a result that several branches read, and return the written table. ``options`` go to the writer.
 
     Used where recomputing would repeat a scan of the whole corpus. The table
     lives in the shared folder, so a lost executor does not lose it.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.parquet(path)

@@ -135,3 +135,15 @@ def test_the_build_hands_small_batches_to_python_and_cuts_large_ranges(spark, mo
         assert index._table("ranges").count() == 1 and index._table("postings").count() == 900
     finally:
         index.drop()
+
+
+def test_buckets_grow_in_number_with_the_texts(spark, monkeypatch):
+    """A bucket, which one task sorts, grew with the corpus; later segments keep the number of the first."""
+    monkeypatch.setattr(termindex, "BUCKET_BYTES", 200)
+    index = TermIndex(spark).add(frame(spark, made(40)))
+    told = lambda: int(spark.sql(f"DESCRIBE EXTENDED {index.name}_postings").filter("col_name = 'Num Buckets'").first().data_type)
+    first = told()
+    assert first > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    more = frame(spark, [(1000 + i, text) for i, text in made(5)])
+    assert TermIndex(spark, index.name).add(more).doc_lengths().count() == 45 and told() == first
+    index.drop()
