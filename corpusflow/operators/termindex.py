@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.text import tokens
-from corpusflow.operators.dense import BROADCAST_BYTES
+from corpusflow.operators.dense import BROADCAST_BLOCKS, BROADCAST_BYTES
+from corpusflow.operators.maxscore import packed as loaded, searcher
 from corpusflow.operators.ranking import best_hits
 from corpusflow.operators.sparse import QUERY_BLOCK, WEIGHT_BLOCK, WEIGHT_BYTES, query_terms, saturated_tf, smoothed_idf, tile_hits
 from corpusflow.session import arrow_batches, materialize
@@ -36,6 +37,8 @@ BUCKET_BYTES = 24 << 20
 BLOCK_BYTES = 16 << 20
 #: Every PROBE-th range is searched first, for thresholds, when there are at least 2 * PROBE.
 PROBE = 16
+#: Weights of queries that a cell of the grid for many queries holds, and cells per core.
+CELL_WEIGHTS, CELLS_A_CORE = 6_000_000, 2
 SEGMENT_SHIFT, PARTITION_SHIFT = 40, 16
 
 
@@ -208,6 +211,8 @@ class TermIndex:
             F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("long").alias("block"), "query_id", "term",
             (F.col("qtf") * smoothed_idf(F.lit(stats.n_docs or 0), F.col("df"))).alias("weight")), "weights")
         ranges = self._live("ranges")
+        if n_blocks > BROADCAST_BLOCKS:
+            return self._many(weights, ranges, subset, size.weights, k, stats.avg_len or 1.0, queries.schema["query_id"])
         kinds = T.StructType([queries.schema["query_id"], T.StructField("doc_id", ranges.schema["ids"].dataType.elementType), T.StructField("score", T.DoubleType())])
         count = ranges.count()
         run = lambda some, floors: self._hits(weights, ranges.filter(some), subset, floors, n_blocks, WEIGHT_BYTES * size.weights, count, k, stats.avg_len or 1.0, kinds)
@@ -218,6 +223,39 @@ class TermIndex:
         floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("hits")).filter(F.col("hits") >= k).drop("hits")
         return best_hits(first.drop("rank").unionByName(run(~probe, floors)), k)
 
+    def _places(self, ranges: DataFrame, subset: DataFrame | None) -> DataFrame:
+        """Ranges with the places that are removed (barred) and, for a subset, those that may be found (allowed)."""
+        places = ranges.withColumn("barred", F.lit(None).cast("array<int>"))
+        gone = self._gone()
+        if gone is not None:
+            places = ranges.join(gone.groupBy("range").agg(F.collect_set("place").alias("barred")), "range", "left")
+        if subset is None:
+            return places.withColumn("allowed", F.lit(None).cast("array<int>"))
+        inside = ranges.select("range", F.posexplode("ids").alias("place", "doc_id")).join(subset.select("doc_id").distinct(), "doc_id", "left_semi")
+        return places.join(inside.groupBy("range").agg(F.collect_list("place").alias("allowed")), "range")
+
+    def _many(self, weights, ranges, subset, n_weights: int, k: int, average: float, query_id: T.StructField) -> DataFrame:
+        """Search for many blocks of queries: dealt with the ranges to a grid of cells, which hold queries and let ranges pass.
+
+        A posting goes to every row of cells, of which there is one for CELL_WEIGHTS weights; a query to every column.
+        """
+        rows = -(-n_weights // CELL_WEIGHTS)
+        columns = -(-CELLS_A_CORE * self.spark.sparkContext.defaultParallelism // rows)
+        copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        cell = (F.col("_row") * columns + F.col("_column")).cast("int").alias("_cell")
+        blocks = (weights.groupBy("block", "query_id").agg(F.collect_list(F.struct("term", "weight")).alias("words"))
+                  .groupBy("block").agg(F.collect_list(F.struct("query_id", "words")).alias("asked"))
+                  .withColumn("_row", F.pmod("block", F.lit(rows))).withColumn("_column", copies(columns)).select(cell, "asked"))
+        dealt = lambda frame, *names: frame.withColumn("_column", F.pmod(F.xxhash64("range"), F.lit(columns))).withColumn("_row", copies(rows)).select(cell, "range", *names)
+        posts = self._live("postings").join(weights.select("term").distinct(), "term", "left_semi")
+        loads = posts.select("range", "term", "docs", "tfs").mapInArrow(loaded, "range long, load binary")
+        every = (blocks.unionByName(dealt(self._places(ranges, subset), "ids", "lens", "barred", "allowed"), allowMissingColumns=True)
+                 .unionByName(dealt(loads, "load"), allowMissingColumns=True))
+        kinds = T.StructType([query_id, T.StructField("doc_id", ranges.schema["ids"].dataType.elementType), T.StructField("score", T.DoubleType())])
+        with arrow_batches(self.spark, BATCH_ROWS, BATCH_BYTES):
+            hits = every.repartitionById(rows * columns, "_cell").sortWithinPartitions("_cell", "range", F.col("load").isNotNull()).mapInArrow(searcher(k, average), kinds)
+            return materialize(best_hits(hits, k), "hits")
+
     def _hits(self, weights, ranges, subset, floors, n_blocks, query_bytes, count, k, average, kinds) -> DataFrame:
         words = weights.groupBy("block", "query_id").agg(F.collect_list(F.struct("term", "weight")).alias("words"))
         if floors is None:
@@ -228,15 +266,7 @@ class TermIndex:
         blocks = words.groupBy("block").agg(F.collect_list(F.struct("query_id", "floor", "words")).alias("asked"))
         posts = self._live("postings").join(weights.select("block", "term").distinct(), "term").join(ranges.select("range"), "range", "left_semi")
         found = posts.groupBy("block", "range").agg(F.collect_list(F.struct("term", "docs", "tfs", "most", "least")).alias("found"))
-        places = ranges.withColumn("barred", F.lit(None).cast("array<int>"))
-        gone = self._gone()
-        if gone is not None:
-            places = ranges.join(gone.groupBy("range").agg(F.collect_set("place").alias("barred")), "range", "left")
-        if subset is not None:
-            inside = ranges.select("range", F.posexplode("ids").alias("place", "doc_id")).join(subset.select("doc_id").distinct(), "doc_id", "left_semi")
-            places = places.join(inside.groupBy("range").agg(F.collect_list("place").alias("allowed")), "range")
-        else:
-            places = places.withColumn("allowed", F.lit(None).cast("array<int>"))
+        places = self._places(ranges, subset)
         met = found.join(places, "range")
         if query_bytes <= BROADCAST_BYTES:
             met = met.join(F.broadcast(blocks), "block")
