@@ -186,8 +186,9 @@ def score_statistics(spark, root):
     """Mean, deviation, range of every score list and its correlation with word overlap."""
     scored = sparse.overlap_scores(queries_of(spark, root), candidates(spark, root))
     # corr() ends the job where all scores of a list are equal; as in the SQL such a list has no number
-    correlation = F.when(F.min("score") == F.max("score"), float("nan")).otherwise(
-        F.round(F.try_divide(F.covar_pop("score", "overlap"), F.stddev_pop("score") * F.stddev_pop("overlap")), 6))
+    both = F.when(F.col("overlap").isNotNull(), F.col("score"))  # a candidate without overlap (no text) counts elsewhere only
+    correlation = F.when(F.min(both) == F.max(both), float("nan")).otherwise(
+        F.round(F.try_divide(F.covar_pop(both, F.col("overlap")), F.stddev_pop(both) * F.stddev_pop("overlap")), 6))
     return scored.groupBy("query_id").agg(
         F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std"), F.min("score").alias("low"),
         F.max("score").alias("high"), F.when(F.stddev_pop("overlap") > 1e-9, correlation).alias("correlation"))
